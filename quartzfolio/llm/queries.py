@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import shared_dir
+from .minhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .token_output import read_tokens, write_tokens
 
@@ -23,6 +24,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -34,5 +39,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_bpe, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op9_token_output)}
 ORACLE_SQL: dict[str, str] = {}
