@@ -33,10 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, configure, id_text, pack, partitions, string_bytes, unpack
+from .common import Scratch, configure, id_text, pack, partitions, string_bytes, sweep, unpack
 
-#: Bytes of text in a block, and segments in one BWT; both bound memory, not results.
-BLOCK_BYTES, BWT_SEGMENTS = 4 << 20, 24_000
+#: Bytes of text in a block and of windows hashed at once, and segments in one BWT:
+#: they bound memory, not results.
+BLOCK_BYTES, PIECE, BWT_SEGMENTS = 4 << 20, 1 << 17, 4_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -52,18 +53,32 @@ class CollectionBwt:
         self.columns, self.lengths, self.folder = columns, lengths, folder
         self.n_texts = len(lengths)
 
+        self.files = [[open(f"{folder}/{name}.{i}", "w+b", 0) for i in (0, 1)] for name in ("bwt", "lcp")]  # noqa: SIM115
+        self.size = 0
+
     def _put(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for name, data in (("bwt", bwt), ("lcp", lcp)):
-            data.tofile(f"{self.folder}/{name}.next")
-            os.replace(f"{self.folder}/{name}.next", f"{self.folder}/{name}")
+        """The next round's files, written in sequence beside the last round's."""
+        for pair, data in zip(self.files, (bwt, lcp), strict=True):
+            pair.reverse()
+            pair[0].seek(0)
+            pair[0].write(data)
+        self.size = len(bwt)
+
+    def _get(self, which: int) -> np.ndarray:
+        self.files[which][0].seek(0)
+        return np.fromfile(self.files[which][0], np.uint8, self.size)
 
     @property
     def bwt(self) -> np.ndarray:
-        return np.fromfile(f"{self.folder}/bwt", np.uint8)
+        return self._get(0)
 
     @property
     def lcp(self) -> np.ndarray:
-        return np.fromfile(f"{self.folder}/lcp", np.uint8)
+        return self._get(1)
+
+    def close(self) -> None:
+        for file in (f for pair in self.files for f in pair):
+            file.close()
 
     def build(self) -> CollectionBwt:
         m, width = self.columns.shape
@@ -120,16 +135,20 @@ class CollectionBwt:
 
 def _range_min(values: np.ndarray):
     """Minimum over [lo, hi] for arrays of bounds, from doubling tables."""
-    table, span = [values], 1
-    while span * 2 <= len(values):
-        last = table[-1]
-        table.append(np.minimum(last[:-span], last[span:]))
-        span *= 2
-    flat, starts = np.concatenate(table), np.concatenate([[0], np.cumsum([len(t) for t in table])])
+    n = len(values)
+    table = np.empty((n.bit_length(), n), np.uint8)
+    table[0] = values
+    for level in range(1, len(table)):
+        span, size = 1 << (level - 1), n - (1 << level) + 1
+        np.minimum(table[level - 1, :size], table[level - 1, span : span + size], out=table[level, :size])
+    flat = table.reshape(-1)
 
     def least(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        return np.minimum(flat[starts[level] + lo], flat[starts[level] + hi + 1 - (1 << level.astype(np.int64))])
+        size = hi - lo + 1
+        level = np.frexp(size.astype(np.float32))[1].astype(np.int64) - 1
+        level -= np.left_shift(1, level) > size  # a size rounded up to a power of two
+        at = level * n
+        return np.minimum(flat[at + lo], flat[at + hi + 1 - np.left_shift(1, level)])
 
     return least
 
@@ -158,6 +177,7 @@ def window_minima(segments: np.ndarray, lengths: np.ndarray, owner: np.ndarray,
         least = np.minimum.reduceat(least, starts)
         for j, texts, at in walk:
             out[texts, lengths[texts].astype(np.int64) - j] = least[group[at]]
+        built.close()
     return out
 
 
@@ -166,8 +186,8 @@ def runs_of(text: np.ndarray, off: np.ndarray, match: int, gram: int):
     out: list[tuple[np.ndarray, ...]] = []
     n_all = len(text)
     long = np.flatnonzero(np.diff(off) >= match)
-    for lo in range(0, n_all, BLOCK_BYTES):
-        n = min(lo + BLOCK_BYTES, n_all - match + 1) - lo  # windows that start here
+    for lo in range(0, n_all, PIECE):
+        n = min(lo + PIECE, n_all - match + 1) - lo  # windows that start here
         if n <= 0:
             break
         valid = np.zeros(n + 1, np.int32)
@@ -179,7 +199,7 @@ def runs_of(text: np.ndarray, off: np.ndarray, match: int, gram: int):
             continue
         size = n + match - gram  # anchors that may start here
         piece = np.concatenate([text[lo : lo + n + match - 1], np.zeros(16, np.uint8)])
-        words = np.ndarray((size + gram,), "<u8", piece.data, 0, (1,))
+        words = np.ndarray((size + gram,), "<u8", piece.data, 0, (1,)).copy()
         h = words[:size] * _ODD[0]
         for i in range(8, gram - 7, 8):
             h += words[i : i + size] * _ODD[1 + i // 8 % 2]
@@ -436,6 +456,8 @@ def remove_repeats(
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
     )
+    near = scratch.save(near, "near")
+    sweep(spark)
     runs = (
         blocks.join(near, "block")
         .select("block", "payload", "bits")
@@ -446,6 +468,9 @@ def remove_repeats(
         .agg(F.collect_list(F.struct("bucket", "kind", "payload")).alias("found"))
     )
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
+    runs = scratch.save(runs, "runs")
+    del near
+    sweep(spark)  # the shuffles up to here are not needed any more
     done = blocks.join(runs, "block", "left").select("payload", "found").mapInArrow(cut, schema)
 
     def whole(batches):

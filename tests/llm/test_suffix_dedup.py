@@ -57,7 +57,7 @@ def test_other_lengths(spark):
 def test_long_text_and_small_blocks(spark, monkeypatch):
     import quartzfolio.llm.suffix_dedup as m
 
-    monkeypatch.setattr(m, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(m, "PIECE", 700)
     rows = corpus(3, 20) + [(500, " ".join(t for _, t in corpus(3, 20) if t))]
     raw = [t.encode() for _, t in rows if t]
     text = np.frombuffer(b"".join(raw), np.uint8)
