@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import shared_dir
+from .language_id import identify, train
 from .minhash import near_duplicates
+from .quality import classify
 from .suffix_dedup import remove_repeats
 from .token_output import read_tokens, write_tokens
 
@@ -33,11 +35,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return identify(documents, train(documents)).drop("rejected")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op6_quality, op9_token_output)}
 ORACLE_SQL: dict[str, str] = {}
