@@ -26,28 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import configure, id_text, string_bytes
+from .shingles import word_hashes, word_spans
 
-#: Chunks and prefixes a worker remembers in each of two generations.
-CACHE, PREFIXES = 500_000, 400_000
+#: Chunks a worker remembers in each of two generations.
+CACHE = 400_000
 END = "</w>"
 
 
 class WordTrie:
-    """A trie of words whose nodes hold the last token of the prefix they stand for.
+    """A trie of words; a node, named by its prefix, holds the prefix's last token.
 
     ``add`` inserts distinct words in sorted order, which is the depth-first order
     of their paths: each word goes down from the deepest node that is there already.
+    It gives every word's ids as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, vocabulary: TokenTable):
         self.vocabulary, self.last = vocabulary, {}
 
-    def add(self, words: set[str]) -> dict[str, list[int]]:
-        table, last = self.vocabulary, self.last
-        if len(last) > PREFIXES:
-            last.clear()
+    def add(self, words: set[str]) -> dict[str, bytes]:
+        table, last, four = self.vocabulary, self.last, self.vocabulary.bytes_of
         ids, sizes, size_of, known, follows = table.ids, table.sizes, table.size_of, table.known, table.follows
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         for word in sorted(words):
             n = len(word)
             depth = n - 1
@@ -78,12 +78,11 @@ class WordTrie:
                             break
             else:
                 raise ValueError(f"no encoding for {word!r}")
-            found, at = [token], n - size
+            found, at = four[token], n - size
             while at:
                 token = last[word[:at]]
-                found.append(token)
+                found = four[token] + found
                 at -= size_of[token]
-            found.reverse()
             out[word] = found
         return out
 
@@ -175,11 +174,8 @@ class Encoder:
         self.letters = _byte_letters()
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
         self.simple = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
-        self.bytes_of = {i: np.array([i], "<u4").tobytes() for i in self.token}
-        self.trie = WordTrie(self.table)
-        self.known: list[dict[bytes, bytes]] = [{}, {}]  # chunk to ids: young, old
-        self.back: list[dict[bytes, str]] = [{}, {}]  # chunk to decoded text
-        self.words: dict[str, list[int]] = {}
+        self.bytes_of = self.table.bytes_of = {i: np.array([i], "<u4").tobytes() for i in self.token}
+        self.known: list[dict[int, bytes]] = [{}, {}]  # a chunk's hash to its ids: young, old
 
     def words_of(self, text: str) -> list[str]:
         """The words of a text without special tokens, as byte letters."""
@@ -191,75 +187,94 @@ class Encoder:
         normal = self.library.normalizer.normalize_str(text)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def learn(self, chunks: set[bytes], decoded: bool) -> None:
-        """Adds unseen chunks to the memory, their words through the trie."""
-        if self.by_library:
-            order = list(chunks)
-            got = self.library.encode([c.decode("utf-8", "replace") for c in order], is_pretokenized=True, add_special_tokens=False)
-            cuts = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(order) + 1)).tolist()
-            flat = np.array(got.ids, "<u4").tobytes()
-            self.known[0] |= {c: flat[4 * a : 4 * b] for c, a, b in zip(order, cuts[:-1], cuts[1:], strict=True)}
-            if decoded:
-                self.back[0] |= {c: self.decode(self.known[0][c]) for c in order}
-            return
-        parts: dict[bytes, list] = {}
+    def learn(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks not remembered, through a trie of their distinct words."""
+        rows: list = []
         fresh: set[str] = set()
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
         for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            if b"<|" in chunk and self.split_special:
-                row: list = []
-                for piece in self.split_special.split(text):
+            if chunk.isalpha():  # ASCII letters only: one word
+                row = chunk.decode().lower()
+                fresh.add(row)
+            elif b"<|" in chunk and self.split_special:
+                row = []
+                for piece in self.split_special.split(chunk.decode("utf-8", "replace")):
                     if piece in self.special:
                         row.append(self.special[piece])
                     elif piece:
                         row += self.words_of(piece)
+                fresh.update([w for w in row if w.__class__ is str])
             else:
-                row = self.words_of(text)
-            parts[chunk] = row
-            for w in row:
-                if w not in known and w.__class__ is str:
-                    fresh.add(w)
-        if fresh:
-            known |= self.trie.add(fresh)
-        ids, back, four, token = self.known[0], self.back[0], self.bytes_of, self.token
-        for chunk, row in parts.items():
-            found = known[row[0]] if len(row) == 1 and row[0] in known else [i for w in row for i in ((w,) if w.__class__ is int else known[w])]
-            ids[chunk] = b"".join([four[i] for i in found])
-            if decoded:
-                back[chunk] = " ".join([token[i] for i in found])
-
-    def _ready(self, split: list[list[bytes]], decoded: bool) -> None:
-        """Puts every chunk of these texts into the young memory."""
+                row = self.words_of(chunk.decode("utf-8", "replace"))
+                fresh.update(row)
+            rows.append(row)
+        four = self.bytes_of
+        if self.by_library:
+            words, tokenize = list(fresh), self.library.model.tokenize
+            known = {w: b"".join([four[t.id] for t in tokenize(w)]) for w in words}
+        else:
+            known = WordTrie(self.table).add(fresh)
+        return [known[row] if row.__class__ is str else b"".join([four[w] if w.__class__ is int else known[w] for w in row]) for row in rows]
+
+    def _remembered(self, keys: list[int], chunks) -> list[bytes]:
+        """Ids of distinct chunks, by hash from the young or the old memory, or worked out."""
         young, old = self.known
-        every = set().union(*split)
-        new = every.difference(young)
-        if len(young) + len(new) > CACHE:  # the young memory becomes the old one
-            new, old = every, young
-            self.known, self.back = [{}, old], [{}, self.back[0]]
-        elif decoded and len(young) > len(self.back[0]):  # remembered without their texts
-            new |= every.difference(self.back[0])
-        for memory in (self.known, self.back)[: 1 + decoded]:
-            memory[0] |= {c: memory[1][c] for c in new.intersection(memory[1])}
-        new.difference_update(self.known[0] if not decoded else self.known[0].keys() & self.back[0].keys() & new)
-        if new:
-            self.learn(new, decoded)
+        if len(young) + len(keys) > CACHE:
+            young, old = self.known = [{}, young]
+        out = list(map(young.get, keys))
+        lost = [i for i, x in enumerate(out) if x is None]
+        if lost:
+            if old:
+                for i in lost:
+                    out[i] = old.get(keys[i])
+            new = [i for i in lost if out[i] is None] if old else lost
+            if new:
+                for i, x in zip(new, self.learn(chunks(new)), strict=True):
+                    out[i] = x
+            for i in lost:
+                young[keys[i]] = out[i]
+        return out
+
+    def encode_bytes(self, raw: np.ndarray, off: np.ndarray, decoded: bool = False):
+        """Ids of texts laid end to end: (ids, first id of each text, decoded texts).
+
+        Chunks are told apart by a 64-bit hash.
+        """
+        start, end = spans = word_spans(raw, off)
+        h, first = word_hashes(raw, off, False, spans)
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        np.not_equal(h[order[1:]], h[order[:-1]], out=new[1:])
+        where, chunk = order[new], np.empty(len(h), np.int64)
+        chunk[order] = np.cumsum(new) - 1
+        keys = h[where]
+        data = raw.tobytes()
+
+        def chunks(new: list[int]) -> list[bytes]:
+            return [data[a:b] for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
+
+        got = self._remembered(keys.tolist(), chunks)
+        flat = np.frombuffer(b"".join(got), "<u4")
+        size = np.array([len(x) for x in got], np.int64) // 4
+        at = np.cumsum(size) - size
+        count = size[chunk]
+        cuts = np.r_[0, np.cumsum(count)]
+        ids = flat[np.repeat(at[chunk] - cuts[:-1], count) + np.arange(cuts[-1])]
+        back = None
+        if decoded:
+            strings, shown = list(map(self.token.__getitem__, flat.tolist())), np.empty(len(got), object)
+            for i, (a, n) in enumerate(zip(at.tolist(), size.tolist(), strict=True)):
+                shown[i] = strings[a] if n == 1 else " ".join(strings[a : a + n])
+            rows = shown[chunk[count > 0]].tolist()
+            edges = np.r_[0, np.cumsum(count > 0)][first].tolist()
+            back = [" ".join(rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return ids, cuts[first], back
 
     def encode(self, texts: list[bytes], decoded: bool = False) -> tuple[list[bytes], list[str] | None]:
         """Ids of each text as little-endian unsigned 32-bit integers, and what
         decoding them gives: the tokens' strings with a space between."""
-        ids, back = [], []
-        for lo in range(0, len(texts), 256):  # texts whose new chunks are learnt together
-            split = [t.split() for t in texts[lo : lo + 256]]
-            self._ready(split, decoded)
-            get, text = self.known[0].__getitem__, self.back[0].__getitem__
-            for chunks in split:
-                ids.append(b"".join(map(get, chunks)))
-                if decoded:
-                    back.append(" ".join(filter(None, map(text, chunks))))
-        return ids, back if decoded else None
+        raw, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+        ids, cuts, back = self.encode_bytes(raw, off, decoded)
+        return split_ids(ids, cuts), back
 
     def decode(self, ids: bytes) -> str:
         token = self.token
@@ -280,10 +295,9 @@ def encoder(path: str, by_library: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    raw, off = string_bytes(column)
-    data, cuts = raw.tobytes(), off.tolist()
-    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def split_ids(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    data, at = ids.astype("<u4", copy=False).tobytes(), (4 * cuts).tolist()
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,9 +307,9 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            ids, back = coder.encode(texts_of(batch.column(1)), decoded=True)
+            ids, cuts, back = coder.encode_bytes(*string_bytes(batch.column(1)), decoded=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())],
+                [batch.column(0), pa.array(np.diff(cuts), pa.int64()), pa.array(split_ids(ids, cuts), pa.binary()), pa.array(back, pa.string())],
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
 

@@ -31,29 +31,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _TABLE = _powers(1 << 16)
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of A-Z-lowered texts, and the first word of each text.
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words: runs without space, tab, line feed, vertical tab,
+    form feed or return, within one text."""
+    n = len(raw)
+    word = np.zeros(n + 2, bool)
+    np.logical_not(_SPACE[raw], out=word[1 : n + 1])
+    edge = word[1:] != word[:-1]  # [i]: a border before byte i
+    inner = off[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
+    cut = np.unique(inner[word[inner] & word[inner + 1]])  # a word ends where the next text starts with one
+    spots = np.flatnonzero(edge)
+    start, end = spots[::2], spots[1::2]
+    if len(cut):
+        start, end = np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
+    return start, end
+
 
-    Words are runs without space, tab, line feed, vertical tab, form feed or return.
-    """
+def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True, spans: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, A-Z lowered if asked, and the first word of each text."""
     global _TABLE
     n = len(raw)
     if n >= len(_TABLE[0]):
         _TABLE = _powers(max(n, 2 * len(_TABLE[0])))
     up, down = _TABLE
-    word = ~_SPACE[raw]
-    edge = np.zeros(n + 1, bool)
-    edge[0], edge[1:n] = True, ~word[:-1]
-    edge[off] = True
-    start = np.flatnonzero(edge[:n] & word)
-    stop_edge = np.zeros(n + 1, bool)
-    stop_edge[n] = True
-    stop_edge[:n] = ~word
-    stop_edge[off[1:]] = True
-    stops = np.flatnonzero(stop_edge)
-    end = stops[np.searchsorted(stops, start, "right")] if len(start) else start
+    start, end = spans or word_spans(raw, off)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    np.cumsum(((_LOWER[raw] if lower else raw) + np.uint64(1)) * up[:n], out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
     return h, np.searchsorted(start, off)
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, texts_of
-from .common import configure, id_text, partitions
+from .bpe import encoder
+from .common import configure, id_text, partitions, string_bytes
 
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20)},
@@ -47,14 +47,14 @@ def write_tokens(
     """Writes doc_id, n_tokens and ids (array<int>) under ``path``; gives the path."""
     spark = documents.sparkSession
     configure(spark)
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, by_library=True)
         for batch in batches:
-            ids = [x + tail for x in coder.encode(texts_of(batch.column(1)))[0]]
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            cuts = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
+            ids, cuts, _ = coder.encode_bytes(*string_bytes(batch.column(1)))
+            flat = (np.insert(ids, cuts[1:], tail[0]) if len(tail) else ids).view("<i4")
+            cuts = (cuts + len(tail) * np.arange(len(cuts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(cuts), pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))],
                 ["doc_id", "n_tokens", "ids"],
