@@ -13,6 +13,7 @@ from .common import shared_dir
 from .language_id import identify, train
 from .minhash import near_duplicates
 from .quality import classify
+from .secrets import report, scan, train_models
 from .suffix_dedup import remove_repeats
 from .token_output import read_tokens, write_tokens
 
@@ -44,11 +45,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return report(scan(documents, train_models(documents)))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op6_quality, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op6_quality, op7_secrets, op9_token_output)}
 ORACLE_SQL: dict[str, str] = {}
