@@ -16,6 +16,7 @@ from .quality import classify
 from .secrets import report, scan, train_models
 from .suffix_dedup import remove_repeats
 from .token_output import read_tokens, write_tokens
+from .vector_dedup import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +57,9 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op6_quality, op7_secrets, op9_token_output)}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op6_quality, op7_secrets, op9_token_output, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = {}
