@@ -185,3 +185,15 @@ def identify(documents: DataFrame, model: LanguageModel, folds: int = 5, id_col:
 
     out = id_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_identified(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose prediction is not rejected."""
+    configure(documents.sparkSession)
+    place = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~model.predict(batch.column(place))[2]))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import shared_dir
+from .decontamination import find_contamination
 from .language_id import identify, train
 from .minhash import near_duplicates
 from .quality import classify
@@ -42,6 +43,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, train(documents)).drop("rejected")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,5 +66,5 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op6_quality, op7_secrets, op9_token_output, op10_vector_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op5_decontamination, op6_quality, op7_secrets, op9_token_output, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = {}
