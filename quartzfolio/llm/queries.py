@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .common import shared_dir
 from .decontamination import find_contamination
 from .language_id import identify, train
+from .language_model import score_documents
 from .minhash import near_duplicates
 from .quality import classify
 from .secrets import report, scan, train_models
@@ -56,6 +57,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(documents, train_models(documents)))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -66,5 +71,5 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op5_decontamination, op6_quality, op7_secrets, op9_token_output, op10_vector_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_bpe, op4_language_id, op5_decontamination, op6_quality, op7_secrets, op8_language_model, op9_token_output, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = {}
