@@ -53,8 +53,9 @@ class EliasFano:
         return out
 
     def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted values: place of the first element not below each, and whether
-        it is equal. Each chunk that holds answers is decoded once."""
+        """Of a strictly increasing sequence, for sorted values: place of the first
+        element not below each, and whether it is equal. Each chunk that holds answers
+        is decoded once."""
         place, equal = np.full(len(wanted), self.n, np.int64), np.zeros(len(wanted), bool)
         if not self.n:
             return place, equal
