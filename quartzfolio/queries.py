@@ -1,4 +1,609 @@
-"""Registered queries of the panel engine, and the SQL that checks them."""
+"""Registered queries of the panel engine, and the SQL that checks them.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each query applies one operator to the whole tables. Floating results are rounded,
+since sums depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import kernels as K
+from .operators import attribution as A
+from .operators import calendar as C
+from .operators import metrics as M
+from .operators import quality as Q
+from .operators import returns as R
+from .operators import verdicts as V
+from .plans import backtest as B
+from .plans import factors as X
+from .sources import panel as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+DIGITS = 8
+
+_ROWS = ", ".join(f"({i}, '{n}', '{c}', '{g}', {w})" for i, (n, c, g, w) in enumerate(P.UNIVERSE))
+_FACTS = ", ".join(f"('{n}', '{i}', '{s}')" for n, i, s in P.FACTS)
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_BINS = [("early", "2000-01-01", "2000-06-30"), ("middle", "2000-07-01", "2000-12-31"), ("late", "2001-01-01", "2001-07-31")]
+
+#: Named relations of the oracle, in the order in which they build on each other.
+_CTES = {
+    "universe": f"SELECT * FROM (VALUES {_ROWS}) t(ord, instrument, currency, grp, policy)",
+    "facts": f"SELECT * FROM (VALUES {_FACTS}) t(instrument, income, size)",
+    "prices": f"""SELECT instrument, period_month, CAST(period_month + INTERVAL 1 MONTH AS DATE) AS available_from,
+        level * (1 - cut) AS close, level AS adj_close, CASE WHEN month(period_month) % 3 = 0 THEN level * cut ELSE 0.0 END AS dividend,
+        CASE WHEN instrument = 'PROMO' THEN 'SEK' ELSE 'EUR' END AS currency
+        FROM (SELECT p_type AS instrument, CAST(date_trunc('month', l_shipdate) AS DATE) AS period_month,
+            sum(l_extendedprice) / sum(l_quantity) AS level, avg(l_discount) AS cut
+            FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '{P.PRICE_END}' GROUP BY 1, 2)""",
+    "levels": f"""SELECT c_mktsegment AS factor, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_month, avg(o_totalprice) AS level
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '{P.ORDER_END}' GROUP BY 1, 2""",
+    "fx": "SELECT 'SEK' AS currency, period_month, level / 10000 AS close FROM levels WHERE factor = 'BUILDING'",
+    "fxret": "SELECT currency, period_month, close / lag(close) OVER (ORDER BY period_month) - 1 AS fx FROM fx",
+    "factors": "SELECT * FROM (SELECT factor, period_month, level / lag(level) OVER (PARTITION BY factor ORDER BY period_month) - 1 AS ret FROM levels) WHERE ret IS NOT NULL",
+    "rates": f"""SELECT CASE l_linestatus WHEN 'F' THEN 'A' ELSE 'B' END AS leg, CAST(l_shipdate AS DATE) AS day, avg(l_tax) * 100 AS pct
+        FROM lineitem WHERE l_shipdate < TIMESTAMP '{P.PRICE_END}' AND l_linestatus IN ('F', 'O') GROUP BY 1, 2""",
+    "spliced": f"SELECT day, pct FROM rates WHERE (leg = 'A' AND day < DATE '{P.SPLICE}') OR (leg = 'B' AND day >= DATE '{P.SPLICE}')",
+    "cash": "SELECT CAST(date_trunc('month', day) AS DATE) AS period_month, product(1 + pct / 100 / 360) - 1 AS rf FROM spliced GROUP BY 1",
+    "months": "SELECT DISTINCT period_month FROM prices INTERSECT SELECT period_month FROM fx INTERSECT SELECT period_month FROM cash",
+    "split": """SELECT instrument, period_month, currency, local, translation, (1 + local) * (1 + translation) - 1 AS euro FROM (
+        SELECT p.instrument, p.period_month, p.currency, local, CASE WHEN p.currency = 'EUR' THEN 0.0 ELSE 1 / (1 + fx) - 1 END AS translation
+        FROM (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY instrument ORDER BY period_month) - 1 AS local
+            FROM prices WHERE period_month IN (SELECT period_month FROM months)) p LEFT JOIN fxret f ON f.currency = p.currency AND f.period_month = p.period_month
+        WHERE local IS NOT NULL)""",
+    "returns": """SELECT s.period_month, instrument, currency, local, translation, euro, rf, euro - rf AS excess
+        FROM split s LEFT JOIN cash c ON s.period_month = c.period_month WHERE euro - rf IS NOT NULL""",
+    "numbered": "SELECT period_month, row_number() OVER (ORDER BY period_month) - 1 AS pos FROM months",
+    "steps": """SELECT 'rolling' AS protocol, t.period_month AS traded, a.period_month AS window_start, b.period_month AS window_end, 60 AS months, t.pos - 60 AS lo, t.pos - 1 AS hi
+        FROM numbered t JOIN numbered a ON a.pos = t.pos - 60 JOIN numbered b ON b.pos = t.pos - 1
+        UNION ALL SELECT 'expanding', t.period_month, a.period_month, b.period_month, t.pos, 0, t.pos - 1
+        FROM numbered t JOIN numbered a ON a.pos = 0 JOIN numbered b ON b.pos = t.pos - 1 WHERE t.pos >= 60""",
+    "windows": """SELECT s.protocol, s.traded, r.period_month, r.instrument, u.ord, r.excess, u.policy, s.months, s.window_start FROM steps s JOIN numbered n ON n.pos BETWEEN s.lo AND s.hi
+        JOIN returns r ON r.period_month = n.period_month JOIN universe u ON u.instrument = r.instrument""",
+    "cov": """SELECT a.protocol, a.traded, a.instrument AS i, b.instrument AS j, covar_samp(a.excess, b.excess) AS value
+        FROM windows a JOIN windows b ON a.protocol = b.protocol AND a.traded = b.traded AND a.period_month = b.period_month GROUP BY 1, 2, 3, 4""",
+    "books": """SELECT 'equal_weight' AS run_id, traded, instrument, 1.0 / 6 AS weight FROM (SELECT DISTINCT traded FROM steps), universe
+        UNION ALL SELECT 'policy', traded, instrument, policy FROM (SELECT DISTINCT traded FROM steps), universe
+        UNION ALL SELECT 'inverse_volatility', traded, i, (1 / sqrt(value)) / sum(1 / sqrt(value)) OVER (PARTITION BY traded)
+        FROM cov WHERE protocol = 'rolling' AND i = j""",
+    "traded_returns": "SELECT b.run_id, b.traded, b.instrument, b.weight, r.local, r.translation, r.euro, r.rf, r.excess, u.policy, u.grp FROM books b JOIN returns r ON r.period_month = b.traded AND r.instrument = b.instrument JOIN universe u ON u.instrument = b.instrument",
+    "turned": """SELECT run_id, traded, coalesce(sum(abs(weight - before)) / 2, 0) AS turnover FROM (
+        SELECT *, lag(weight) OVER (PARTITION BY run_id, instrument ORDER BY traded) AS before FROM books) GROUP BY 1, 2""",
+    "series": """SELECT g.run_id, g.traded, gross, turnover, gross - 2 * turnover * 10.0 / 1e4 AS net FROM (
+        SELECT run_id, traded, sum(weight * excess) AS gross FROM traded_returns GROUP BY 1, 2) g JOIN turned t ON t.run_id = g.run_id AND t.traded = g.traded""",
+    "active": "SELECT s.*, b.gross AS bench, s.net - b.gross AS active FROM series s JOIN (SELECT traded, gross FROM series WHERE run_id = 'policy') b ON b.traded = s.traded",
+}
+_RATIO = "CASE WHEN count({0}) < 2 THEN NULL WHEN stddev_samp({0}) <= 1e-12 THEN 0.0 ELSE avg({0}) / stddev_samp({0}) * sqrt(12.0) END"
+
+
+def _sql(body: str) -> str:
+    """The body behind the named relations it needs."""
+    import re
+
+    need, todo = set(), [body]
+    while todo:
+        text = todo.pop()
+        for name in _CTES:
+            if name not in need and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
+                need.add(name)
+                todo.append(_CTES[name])
+    head = ",\n".join(f"{n} AS ({_CTES[n]})" for n in _CTES if n in need)
+    return f"WITH {head}\n{body}" if head else body
+
+
+def register(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = _sql(sql)
+        return function
+
+    return add
+
+
+def rounded(frame: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return frame.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
+
+
+def _round(columns: str, digits: int = DIGITS) -> str:
+    return ", ".join(f"round({c.strip()}, {digits}) AS {c.strip()}" for c in columns.split(","))
+
+
+# Sources, calendar and joins
+
+
+@register(f"SELECT period_month, instrument, currency, {_round('local, translation, euro, rf, excess')} FROM returns")
+def returns(spark, d):
+    return rounded(P.load(spark, d).returns)
+
+
+@register(f"SELECT instrument, period_month, available_from, currency, {_round('close, adj_close, dividend', 6)} FROM prices")
+def long_table(spark, d):
+    return rounded(P.prices(spark, d).drop("kind"), 6)
+
+
+@register("SELECT instrument, count(*) AS n_rows, min(period_month) AS first, max(period_month) AS last FROM prices GROUP BY 1")
+def measure(spark, d):
+    return P.prices(spark, d).groupBy("instrument").agg(F.count("*").alias("n_rows"), F.min("period_month").alias("first"), F.max("period_month").alias("last"))
+
+
+@register(f"SELECT instrument, period_month, {_round('adj_close', 6)} FROM prices WHERE available_from <= DATE '1999-06-15'")
+def as_of(spark, d):
+    return rounded(C.as_of(P.prices(spark, d), "1999-06-15T23:30:00+02:00").select("instrument", "period_month", "adj_close"), 6)
+
+
+@register("SELECT instrument, min(period_month) AS first, max(period_month) AS last, count(DISTINCT period_month) AS months, count(DISTINCT period_month) FILTER (WHERE available_from <= DATE '1999-06-15') AS visible FROM prices GROUP BY 1")
+def coverage(spark, d):
+    rows = P.prices(spark, d).select("instrument", "period_month", "available_from").distinct()
+    seen = F.count_if(F.col("available_from") <= F.lit("1999-06-15").cast("date"))
+    return rows.groupBy("instrument").agg(F.min("period_month").alias("first"), F.max("period_month").alias("last"), F.count("*").alias("months"), seen.alias("visible"))
+
+
+@register("SELECT factor, min(period_month) AS first, max(period_month) AS last, count(DISTINCT period_month) AS months, date_diff('month', min(period_month), max(period_month)) + 1 - count(DISTINCT period_month) AS missing FROM factors GROUP BY 1")
+def month_span(spark, d):
+    return C.month_span(P.load(spark, d).factors, ["factor"])
+
+
+@register("SELECT period_month FROM months")
+def joined_months(spark, d):
+    p = P.load(spark, d)
+    return R.joined_months(p.prices, p.fx, R.splice(p.rates, P.SPLICE).select(C.month("day").alias("period_month")))
+
+
+@register("SELECT instrument, period_month FROM prices WHERE period_month BETWEEN DATE '1996-01-01' AND DATE '2000-12-01'")
+def window_trim(spark, d):
+    return C.window(P.prices(spark, d), "1996-01-01", "2000-12-01")[0].select("instrument", "period_month")
+
+
+@register("SELECT count(*) FILTER (WHERE period_month NOT BETWEEN DATE '1996-01-01' AND DATE '2000-12-01') AS dropped FROM prices")
+def window_dropped(spark, d):
+    return C.window(P.prices(spark, d), "1996-01-01", "2000-12-01")[1]
+
+
+@register(f"SELECT instrument, period_month, currency, {_round('local, translation, euro')} FROM split")
+def currency_split(spark, d):
+    p = P.load(spark, d)
+    months = R.joined_months(p.prices, p.fx, R.splice(p.rates, P.SPLICE).select(C.month("day").alias("period_month")))
+    return rounded(R.currency_split(p.prices.join(months, "period_month", "left_semi"), p.fx))
+
+
+@register(f"SELECT day, {_round('pct')} FROM spliced")
+def splice_risk_free(spark, d):
+    return rounded(R.splice(P.overnight(spark, d), P.SPLICE))
+
+
+@register("SELECT round(avg(a.pct - b.pct) * 100, 8) AS basis_bp, count(*) AS overlap_days FROM rates a JOIN rates b ON a.day = b.day WHERE a.leg = 'A' AND b.leg = 'B'")
+def splice_basis(spark, d):
+    return rounded(R.splice_basis(P.overnight(spark, d)))
+
+
+@register(f"SELECT period_month, {_round('rf')} FROM cash")
+def accrue_monthly(spark, d):
+    return rounded(R.accrue_monthly(R.splice(P.overnight(spark, d), P.SPLICE)))
+
+
+@register("SELECT CAST(date_trunc('month', day) AS DATE) AS period_month, round(max_by(pct, day), 8) AS level FROM spliced GROUP BY 1")
+def monthly_last(spark, d):
+    return rounded(R.monthly_last(R.splice(P.overnight(spark, d), P.SPLICE)))
+
+
+@register(f"SELECT factor, period_month, {_round('ret')} FROM factors")
+def monthly_returns(spark, d):
+    return rounded(P.load(spark, d).factors)
+
+
+@register("SELECT factor, f.period_month, round((1 + ret) / (1 + fx) - 1, 8) AS eur FROM factors f JOIN fxret x ON f.period_month = x.period_month")
+def eur_translate(spark, d):
+    p = P.load(spark, d)
+    return rounded(R.eur_translate(p.factors, p.fx).select("factor", "period_month", "eur"))
+
+
+@register("SELECT instrument, period_month, round(adj_close / lag(adj_close) OVER w - 1, 8) AS local, round((close + coalesce(dividend, 0)) / lag(close) OVER w - 1, 8) AS rebuilt FROM prices WINDOW w AS (PARTITION BY instrument ORDER BY period_month)")
+def total_returns(spark, d):
+    return rounded(R.recomputed_total_return(R.total_return(P.prices(spark, d))).select("instrument", "period_month", "local", "rebuilt"))
+
+
+@register("SELECT count(*) AS cells, 0 AS mismatches, 0.0 AS worst FROM returns")
+def returns_agreement(spark, d):
+    """The excess table against the same returns stated in SQL over views."""
+    p = P.load(spark, d)
+    p.prices.createOrReplaceTempView("qf_prices")
+    p.fx.createOrReplaceTempView("qf_fx")
+    R.accrue_monthly(R.splice(p.rates, P.SPLICE)).createOrReplaceTempView("qf_cash")
+    other = spark.sql("""
+        WITH months AS (SELECT DISTINCT period_month FROM qf_prices INTERSECT SELECT period_month FROM qf_fx INTERSECT SELECT period_month FROM qf_cash),
+        fxret AS (SELECT currency, period_month, close / lag(close) OVER (PARTITION BY currency ORDER BY period_month) - 1 AS fx FROM qf_fx),
+        moved AS (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY instrument ORDER BY period_month) - 1 AS local FROM qf_prices
+            WHERE period_month IN (SELECT period_month FROM months))
+        SELECT m.period_month, m.instrument, (1 + local) * CASE WHEN m.currency = 'EUR' THEN 1.0 ELSE 1 / (1 + fx) END - 1 - rf AS excess
+        FROM moved m LEFT JOIN fxret f ON f.currency = m.currency AND f.period_month = m.period_month LEFT JOIN qf_cash c ON c.period_month = m.period_month
+        WHERE local IS NOT NULL""").where("excess is not null")
+    out = R.agreement(p.returns, other, ["period_month", "instrument"], "excess")
+    return rounded(out.withColumn("mismatches", F.col("mismatches").cast("int")))
+
+
+@register("SELECT period_month, round((max(CASE WHEN instrument = 'SMALL' THEN excess END) + max(CASE WHEN instrument = 'STANDARD' THEN excess END)) / 2, 8) AS level, round(max(CASE WHEN instrument = 'SMALL' THEN excess END) - max(CASE WHEN instrument = 'STANDARD' THEN excess END), 8) AS slope, round(max(CASE WHEN instrument = 'MEDIUM' THEN excess END) - max(CASE WHEN instrument = 'SMALL' THEN excess END), 8) AS credit, round(max(CASE WHEN instrument = 'LARGE' THEN excess END) - max(CASE WHEN instrument = 'MEDIUM' THEN excess END), 8) AS high_yield FROM returns GROUP BY 1")
+def constructed_block(spark, d):
+    return rounded(R.constructed_block(P.load(spark, d).returns, "SMALL", "STANDARD", "MEDIUM", "LARGE"))
+
+
+@register("SELECT period_month, " + ", ".join(f"round(max(CASE WHEN factor = '{s}' THEN ret END), 8) AS {s.lower()}" for s in _SEGMENTS) + ", round(max(excess) FILTER (WHERE instrument = 'SMALL'), 8) AS level FROM factors JOIN returns USING (period_month) GROUP BY 1")
+def named_set(spark, d):
+    p = P.load(spark, d)
+    spine = R.wide(p.factors, list(_SEGMENTS), "ret", "factor").select("period_month", *[F.col(s).alias(s.lower()) for s in _SEGMENTS])
+    block = p.returns.where("instrument = 'SMALL'").select("period_month", F.col("excess").alias("level"))
+    return rounded(R.named_set(spine, block))
+
+
+@register("SELECT protocol, traded, window_start, window_end, CAST(months AS INTEGER) AS months, CAST(window_end + INTERVAL 1 MONTH AS DATE) AS available_from, window_end AS gated_by, 'monthly' AS refit FROM steps")
+def walk_forward_steps(spark, d):
+    return B.all_steps(P.load(spark, d).returns.select("period_month").distinct().transform(lambda x: _calendar(spark, d))).drop("window")
+
+
+def _calendar(spark, d):
+    p = P.load(spark, d)
+    return R.joined_months(p.prices, p.fx, R.splice(p.rates, P.SPLICE).select(C.month("day").alias("period_month")))
+
+
+def _windows(spark, d):
+    p = P.load(spark, d)
+    return p, B.window_rows(p.returns, B.all_steps(_calendar(spark, d)), P.universe(spark))
+
+
+@register("SELECT protocol, traded, count(DISTINCT period_month) AS observations, count(*) AS cells, max(period_month) AS newest FROM windows GROUP BY 1, 2")
+def window_block(spark, d):
+    return _windows(spark, d)[1].groupBy("protocol", "traded").agg(F.countDistinct("period_month").alias("observations"), F.count("*").alias("cells"), F.max("period_month").alias("newest"))
+
+
+@register("SELECT protocol, traded, 'row at or after the traded month' AS rule FROM windows WHERE period_month >= traded")
+def no_look_ahead(spark, d):
+    months = _calendar(spark, d)
+    return C.look_ahead(B.all_steps(months), _windows(spark, d)[1], months)
+
+
+# Quality gate
+
+
+@register("""SELECT instrument, 'implausible move' AS rule, CAST(period_month AS VARCHAR) AS detail FROM (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY instrument ORDER BY period_month) - 1 AS r FROM prices) WHERE abs(r) > 0.05
+    UNION ALL SELECT instrument, 'line starting late', CAST(min(period_month) AS VARCHAR) FROM prices GROUP BY 1 HAVING min(period_month) > DATE '1994-12-01'
+    UNION ALL SELECT instrument, 'too-fresh bar', CAST(period_month AS VARCHAR) FROM prices WHERE available_from > DATE '2001-08-15'""")
+def quality_stops(spark, d):
+    """Every rule at bounds tight enough for these prices to break some of them."""
+    bounds = {n: 0.05 for n, *_ in P.UNIVERSE}
+    return Q.violations(P.prices(spark, d), P.facts(spark), "1994-12-01", "2001-08-15", bounds).select("instrument", "rule", "detail")
+
+
+@register("SELECT instrument, round(product(1 + local) - product(1 + rebuilt), 6) AS gap FROM (SELECT instrument, adj_close / lag(adj_close) OVER w - 1 AS local, (close + coalesce(dividend, 0)) / lag(close) OVER w - 1 AS rebuilt FROM prices WINDOW w AS (PARTITION BY instrument ORDER BY period_month)) WHERE local IS NOT NULL GROUP BY 1 HAVING abs(product(1 + local) - product(1 + rebuilt)) > 0.02")
+def warn_tr_divergence(spark, d):
+    return rounded(Q.warn_divergence(P.prices(spark, d)), 6)
+
+
+@register("SELECT instrument, round(eur, 2) AS eur, eur IS NOT NULL AS screened FROM (SELECT instrument, TRY_CAST(regexp_extract(replace(size, ',', ''), '^([A-Z]{3})\\s+([0-9.]+)(bn|m|k)$', 2) AS DOUBLE) * CASE regexp_extract(replace(size, ',', ''), '^([A-Z]{3})\\s+([0-9.]+)(bn|m|k)$', 3) WHEN 'bn' THEN 1e9 WHEN 'm' THEN 1e6 WHEN 'k' THEN 1e3 END * CASE WHEN size LIKE 'EUR%' THEN 1.0 ELSE (SELECT 1 / max_by(close, period_month) FROM fx) END AS eur FROM facts) WHERE eur IS NULL OR eur < 1.35e9")
+def warn_thin_liquidity(spark, d):
+    return rounded(Q.warn_liquidity(P.facts(spark), Q.newest_rates(P.load(spark, d).fx)), 2)
+
+
+@register("SELECT DISTINCT period_month FROM prices WHERE period_month NOT IN (SELECT period_month FROM factors)")
+def warn_factor_trim(spark, d):
+    p = P.load(spark, d)
+    return Q.warn_factor_trim(p.prices, p.factors)
+
+
+@register("SELECT * FROM (SELECT p.instrument, year(period_month)::INTEGER AS year, count(*) AS events, f.income, CASE WHEN lower(income) NOT LIKE 'distributing%' THEN 0 WHEN lower(income) LIKE '%quarterly%' THEN 4 WHEN lower(income) LIKE '%semi-annual%' THEN 2 WHEN lower(income) LIKE '%annual%' THEN 1 ELSE 12 END AS allowed FROM prices p JOIN facts f ON f.instrument = p.instrument WHERE dividend > 0 GROUP BY 1, 2, 4) WHERE events > allowed")
+def warn_extra_distributions(spark, d):
+    return Q.warn_distributions(P.prices(spark, d), P.facts(spark)).select("instrument", "year", "events", "income", "allowed")
+
+
+# Aggregations, covariances and books
+
+
+@register("SELECT factor, round(avg(ret), 8) AS mean, round(avg(ret) / (stddev_samp(ret) / sqrt(count(*))), 6) AS t FROM factors GROUP BY 1")
+def premiums(spark, d):
+    t = F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*")))
+    return P.load(spark, d).factors.groupBy("factor").agg(F.round(F.avg("ret"), 8).alias("mean"), F.round(t, 6).alias("t"))
+
+
+@register(f"SELECT protocol, traded, i, j, {_round('value', 10)} FROM cov")
+def rolling_covariance(spark, d):
+    return rounded(A.covariance(_windows(spark, d)[1], ["protocol", "traded"], "excess"), 10)
+
+
+@register("SELECT a.instrument AS i, b.instrument AS j, round(corr(a.excess, b.excess), 8) AS value FROM returns a JOIN returns b ON a.period_month = b.period_month GROUP BY 1, 2")
+def correlation_matrix(spark, d):
+    r = P.load(spark, d).returns
+    a, b = (r.select("period_month", F.col("instrument").alias(k), F.col("excess").alias(v)) for k, v in (("i", "x"), ("j", "y")))
+    return a.join(b, "period_month").groupBy("i", "j").agg(F.round(F.corr("x", "y"), 8).alias("value"))
+
+
+def _books(spark, d):
+    p, windows = _windows(spark, d)
+    dim = P.universe(spark)
+    months = windows.select("traded").distinct()
+    equal = months.crossJoin(F.broadcast(dim)).select(F.lit("equal_weight").alias("run_id"), "traded", "instrument", F.lit(1.0 / len(P.UNIVERSE)).alias("weight"))
+    policy = months.crossJoin(F.broadcast(dim)).select(F.lit("policy").alias("run_id"), "traded", "instrument", F.col("policy").alias("weight"))
+    sd = windows.where("protocol = 'rolling'").groupBy("traded", "instrument").agg((1 / F.stddev_samp("excess")).alias("x"))
+    from pyspark.sql import Window
+
+    inverse = sd.select(F.lit("inverse_volatility").alias("run_id"), "traded", "instrument", (F.col("x") / F.sum("x").over(Window.partitionBy("traded"))).alias("weight"))
+    return p, windows, equal.unionByName(policy).unionByName(inverse)
+
+
+def _series(spark, d):
+    from pyspark.sql import Window
+
+    p, windows, books = _books(spark, d)
+    before = F.lag("weight").over(Window.partitionBy("run_id", "instrument").orderBy("traded"))
+    moved = books.withColumn("move", F.abs(F.col("weight") - before))
+    rows = moved.join(p.returns.withColumnRenamed("period_month", "traded"), ["traded", "instrument"])
+    out = rows.groupBy("run_id", "traded").agg(F.sum(F.col("weight") * F.col("excess")).alias("gross"), F.coalesce(F.sum("move") / 2, F.lit(0.0)).alias("turnover"))
+    out = out.withColumn("net", F.col("gross") - M.cost(F.col("turnover")))
+    return p, windows, books, M.active(out, out.where("run_id = 'policy'").select("traded", F.col("gross").alias("net")))
+
+
+@register(f"SELECT run_id, traded, instrument, {_round('weight')} FROM books")
+def simple_books(spark, d):
+    return rounded(_books(spark, d)[2])
+
+
+@register(f"SELECT run_id, traded, {_round('gross, turnover, net, bench, active')} FROM active")
+def book_series(spark, d):
+    return rounded(_series(spark, d)[3].select("run_id", "traded", "gross", "turnover", "net", "bench", "active"))
+
+
+@register(f"SELECT run_id, n, round(information_ratio, 6) AS information_ratio, round(volatility, 8) AS volatility, round(tracking_error, 8) AS tracking_error, round(cumulative, 8) AS cumulative, round(drawdown, 8) AS drawdown FROM (SELECT run_id, count(*) AS n, {_RATIO.format('active')} AS information_ratio, stddev_samp(net) * sqrt(12.0) AS volatility, stddev_samp(active) * sqrt(12.0) AS tracking_error, product(1 + net) - 1 AS cumulative FROM active GROUP BY 1) JOIN (SELECT run_id, min(curve / peak - 1) AS drawdown FROM (SELECT run_id, traded, curve, max(curve) OVER (PARTITION BY run_id ORDER BY traded) AS peak FROM (SELECT run_id, traded, product(1 + net) OVER (PARTITION BY run_id ORDER BY traded) AS curve FROM active)) GROUP BY 1) USING (run_id)")
+def metric_block(spark, d):
+    out = M.block(_series(spark, d)[3], "run_id")
+    return rounded(out.withColumn("information_ratio", F.round("information_ratio", 6)))
+
+
+@register(f"SELECT run_id, bp, round(avg(paid) * 12, 8) AS cost_per_year, round(product(1 + kept) - 1, 8) AS cumulative, round({_RATIO.format('(kept - bench)')}, 6) AS information_ratio FROM (SELECT *, 2 * turnover * bp / 1e4 AS paid, gross - 2 * turnover * bp / 1e4 AS kept FROM active, (VALUES (5.0::DOUBLE), (20.0), (40.0)) r(bp)) GROUP BY 1, 2")
+def cost_sensitivity(spark, d):
+    out = M.sensitivity(_series(spark, d)[3], "run_id")
+    return rounded(out.withColumn("information_ratio", F.round("information_ratio", 6)))
+
+
+@register("SELECT run_id, period, count(*) AS n, round(CASE WHEN count(*) > 2 THEN " + _RATIO.format("active") + " END, 6) AS information_ratio FROM active JOIN (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _BINS) + ") p(period, lo, hi) ON traded BETWEEN lo AND hi GROUP BY 1, 2")
+def sub_periods(spark, d):
+    return rounded(M.sub_periods(_series(spark, d)[3], "run_id", _BINS), 6)
+
+
+@register(f"SELECT run_id, n, round(ir - ir_base, 6) AS difference, round(rho, 6) AS rho, round(se, 6) AS se, round((ir - ir_base) / se, 6) AS z, round({K.family_wise_bar(16) + K.POWER_QUANTILE!r} * se, 6) AS resolution FROM (SELECT *, sqrt(12.0 / n) * sqrt(2 * (1 - rho)) AS se FROM (SELECT a.run_id, count(*) AS n, {_RATIO.format('a.active')} AS ir, {_RATIO.format('b.active')} AS ir_base, corr(a.active, b.active) AS rho FROM active a JOIN active b ON a.traded = b.traded WHERE b.run_id = 'equal_weight' AND a.run_id = 'inverse_volatility' GROUP BY 1))")
+def paired_test(spark, d):
+    rows = _series(spark, d)[3].where("run_id <> 'policy'")
+    return rounded(M.paired(rows, "run_id", "equal_weight", K.family_wise_bar(16), K.POWER_QUANTILE), 6)
+
+
+@register(f"SELECT run_id, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 8) AS first_share, round(quantile_cont(rank, 0.5), 8) AS median_rank, round(avg(CASE WHEN sign(ir) = sign(actual) THEN 1.0 ELSE 0.0 END), 8) AS own_sign, round(max(actual), 6) AS actual FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY ir DESC, run_id) AS rank FROM (SELECT draw, run_id, {_RATIO.format('active')} AS ir FROM (SELECT i.range AS draw, p.range AS pos, (17 * i.range + 5 * p.range * p.range + 3 * i.range * p.range + 1) % 19 AS k FROM range(200) i, range(19) p) JOIN (SELECT run_id, active, row_number() OVER (PARTITION BY run_id ORDER BY traded) - 1 AS month_index FROM active WHERE run_id <> 'policy') m ON m.month_index = k GROUP BY 1, 2)) JOIN (SELECT run_id, {_RATIO.format('active')} AS actual FROM active GROUP BY 1) USING (run_id) GROUP BY 1")
+def rank_retention_table(spark, d):
+    """The bootstrap over a draw table of fixed arithmetic, shared with the oracle."""
+    i, p = spark.range(200).select(F.col("id").alias("draw")), spark.range(19).select(F.col("id").alias("pos"))
+    k = (17 * F.col("draw") + 5 * F.col("pos") * F.col("pos") + 3 * F.col("draw") * F.col("pos") + 1) % 19
+    draws = i.crossJoin(F.broadcast(p)).select("draw", "pos", k.alias("month_index"))
+    out = M.retention(_series(spark, d)[3].where("run_id <> 'policy'"), "run_id", draws)
+    return rounded(out.withColumn("actual", F.round("actual", 6)))
+
+
+# Attribution and budget
+
+
+def _members(spark, d):
+    p, windows, books = _books(spark, d)
+    rows = books.join(p.returns.withColumnRenamed("period_month", "traded"), ["traded", "instrument"])
+    return p, windows, rows.join(F.broadcast(P.universe(spark).select("instrument", "policy", "grp")), "instrument")
+
+
+_LINES = """SELECT run_id, traded AS period_month, sum((weight - policy) * (local - local_b)) AS allocation, sum((weight - policy) * translation) AS currency, sum((weight - policy) * local * translation) AS interaction,
+    sum((weight - policy) * euro) AS active, sum(policy * euro) AS benchmark, sum(weight * euro) AS portfolio, sum(policy * euro) - max(rf) AS level
+    FROM (SELECT *, sum(policy * local) OVER (PARTITION BY run_id, traded) AS local_b FROM traded_returns) GROUP BY 1, 2"""
+
+
+@register(f"SELECT run_id, period_month, {_round('allocation, currency, interaction, active, benchmark, portfolio, level')} FROM ({_LINES})")
+def allocation_lines(spark, d):
+    rows = _members(spark, d)[2].withColumnRenamed("traded", "period_month").withColumnRenamed("weight", "book")
+    return rounded(A.allocation_lines(rows).drop("residual"))
+
+
+@register("SELECT traded AS period_month, round(sum((weight - policy) * (excess - b)), 8) AS allocation, round(sum(policy * (euro - excess)), 8) AS selection, round(sum((weight - policy) * (euro - excess)), 8) AS interaction, round(sum((weight - policy) * excess), 8) AS allocation_bhb FROM (SELECT *, sum(policy * excess) OVER (PARTITION BY traded) AS b FROM traded_returns WHERE run_id = 'equal_weight') GROUP BY 1")
+def brinson_single_period(spark, d):
+    rows = _members(spark, d)[2].where("run_id = 'equal_weight'")
+    rows = rows.select(F.col("traded").alias("period_month"), "weight", "policy", F.col("euro").alias("ret"), F.col("excess").alias("bench_ret"))
+    return rounded(A.single_period(rows))
+
+
+def _linked(way: str) -> str:
+    k = "CASE WHEN abs(portfolio - benchmark) > 1e-12 THEN (ln(1 + portfolio) - ln(1 + benchmark)) / (portfolio - benchmark) ELSE 1 / (1 + portfolio) END"
+    return k if way == "k" else ""
+
+
+@register(f"""SELECT run_id, {', '.join(f'round(sum({e} * k / big), 8) AS {e}_carino, round(sum({e} * (m + a)), 8) AS {e}_menchero' for e in ('allocation', 'currency', 'interaction'))}, round(max(p - b), 8) AS active FROM (
+    SELECT *, CASE WHEN d2 > 1e-12 THEN (p - b - m * d1) * (portfolio - benchmark) / d2 ELSE 0 END AS a FROM (
+    SELECT *, {_linked('k')} AS k, CASE WHEN abs(p - b) > 1e-12 THEN (ln(1 + p) - ln(1 + b)) / (p - b) ELSE 1 / (1 + p) END AS big,
+    CASE WHEN abs(pow(1 + p, 1 / n) - pow(1 + b, 1 / n)) > 1e-12 THEN ((p - b) / n) / (pow(1 + p, 1 / n) - pow(1 + b, 1 / n)) ELSE pow(1 + p, (n - 1) / n) END AS m FROM ({_LINES}) l
+    JOIN (SELECT run_id, product(1 + portfolio) - 1 AS p, product(1 + benchmark) - 1 AS b, CAST(count(*) AS DOUBLE) AS n, sum(portfolio - benchmark) AS d1, sum((portfolio - benchmark) * (portfolio - benchmark)) AS d2 FROM ({_LINES}) GROUP BY 1) t USING (run_id))) GROUP BY 1""")
+def linked_effects(spark, d):
+    rows = _members(spark, d)[2].withColumnRenamed("traded", "period_month").withColumnRenamed("weight", "book")
+    return rounded(A.linking(A.allocation_lines(rows)).drop("residual_carino", "residual_menchero"))
+
+
+_EULER = """SELECT run_id, w.traded, w.i AS instrument, weight, sqrt(variance) AS volatility, m / sqrt(variance) AS marginal, weight * m / sqrt(variance) AS contribution, weight * m / variance AS share FROM (
+    SELECT *, sum(weight * m) OVER (PARTITION BY run_id, traded) AS variance FROM (SELECT b.run_id, b.traded, b.instrument AS i, max(b.weight) AS weight, sum(c.value * x.weight) AS m
+    FROM books b JOIN cov c ON c.protocol = 'rolling' AND c.traded = b.traded AND c.i = b.instrument JOIN books x ON x.run_id = b.run_id AND x.traded = b.traded AND x.instrument = c.j GROUP BY 1, 2, 3)) w"""
+
+
+def _euler(spark, d):
+    p, windows, books = _books(spark, d)
+    cov = A.covariance(windows.where("protocol = 'rolling'"), ["traded"], "excess")
+    return p, A.contributions(books, cov, ["run_id", "traded"])
+
+
+@register(f"SELECT run_id, traded, instrument, {_round('weight, volatility, marginal, contribution, share')} FROM ({_EULER})")
+def risk_contributions(spark, d):
+    return rounded(_euler(spark, d)[1])
+
+
+@register(f"SELECT run_id, traded, grp, round(sum(share), 8) AS consumed, round(max(declared), 8) AS declared, round(sum(share) - max(declared), 8) AS gap, false AS undeclared FROM ({_EULER}) JOIN universe USING (instrument) JOIN (VALUES {', '.join(f'({g!r}, {v})' for g, v in P.RISK_BUDGET.items())}) t(grp, declared) USING (grp) GROUP BY 1, 2, 3")
+def risk_budget(spark, d):
+    return rounded(A.budget(_euler(spark, d)[1], P.universe(spark), P.RISK_BUDGET, ["run_id", "traded"]))
+
+
+@register(f"SELECT run_id, round(max(abs(total / volatility - 1)), 8) AS worst FROM (SELECT run_id, traded, sum(contribution) AS total, max(volatility) AS volatility FROM ({_EULER}) GROUP BY 1, 2) GROUP BY 1")
+def euler_additivity(spark, d):
+    rows = _euler(spark, d)[1].groupBy("run_id", "traded").agg(F.sum("contribution").alias("total"), F.max("volatility").alias("volatility"))
+    return rounded(rows.groupBy("run_id").agg(F.max(F.abs(F.col("total") / F.col("volatility") - 1)).alias("worst")))
+
+
+@register("""SELECT run_id, round(avg(ex_ante), 8) AS ex_ante, round(max(ex_post), 8) AS ex_post, round(avg(ex_ante) - max(ex_post), 8) AS difference, round(CASE WHEN avg(ex_ante) > 0 THEN max(ex_post) / avg(ex_ante) END, 8) AS ratio FROM (SELECT b.run_id, b.traded, sqrt(12 * greatest(sum((b.weight - ub.policy) * c.value * (x.weight - ux.policy)), 0)) AS ex_ante
+    FROM books b JOIN universe ub ON ub.instrument = b.instrument JOIN cov c ON c.protocol = 'rolling' AND c.traded = b.traded AND c.i = b.instrument JOIN books x ON x.run_id = b.run_id AND x.traded = b.traded AND x.instrument = c.j JOIN universe ux ON ux.instrument = x.instrument GROUP BY 1, 2)
+    JOIN (SELECT run_id, stddev_samp(active) * sqrt(12.0) AS ex_post FROM active GROUP BY 1) USING (run_id) WHERE run_id <> 'policy' GROUP BY 1""")
+def forecast_quality(spark, d):
+    _, windows, books, series = _series(spark, d)
+    cov = A.covariance(windows.where("protocol = 'rolling'"), ["traded"], "excess")
+    gap = books.where("run_id <> 'policy'").join(F.broadcast(P.universe(spark).select("instrument", "policy")), "instrument").withColumn("a", F.col("weight") - F.col("policy"))
+    x, y = (gap.select("run_id", "traded", F.col("instrument").alias(k), F.col("a").alias(f"a{k}")) for k in "ij")
+    before = x.join(cov, ["traded", "i"]).join(y, ["run_id", "traded", "j"]).groupBy("run_id", "traded").agg(F.sqrt(12 * F.greatest(F.sum(F.col("ai") * F.col("value") * F.col("aj")), F.lit(0.0))).alias("ex_ante"))
+    after = series.groupBy("run_id").agg(M.annualised_sd("active").alias("ex_post"))
+    out = before.groupBy("run_id").agg(F.avg("ex_ante").alias("ex_ante")).join(after, "run_id")
+    return rounded(out.select("run_id", "ex_ante", "ex_post", (F.col("ex_ante") - F.col("ex_post")).alias("difference"), F.when(F.col("ex_ante") > 0, F.col("ex_post") / F.col("ex_ante")).alias("ratio")))
+
+
+@register("SELECT s.run_id, round(max(var), 8) AS var, round(avg(-net), 8) AS shortfall, count(*) AS n_tail, round(avg(-net) - max(var), 8) AS overstatement FROM series s JOIN (SELECT run_id, quantile_cont(-net, 0.9) AS var FROM series GROUP BY 1) v ON v.run_id = s.run_id WHERE -net >= var GROUP BY 1")
+def var_refusal(spark, d):
+    return rounded(A.tail(_series(spark, d)[3], "run_id", 0.1))
+
+
+@register("SELECT run_id, round(-avg(net), 8) AS expected_shortfall FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY net, traded) AS place, count(*) OVER (PARTITION BY run_id) AS months FROM series) WHERE place <= ceil(0.1 * months) GROUP BY 1")
+def expected_shortfall(spark, d):
+    return rounded(A.expected_shortfall(_series(spark, d)[3], "run_id", 0.1))
+
+
+@register("SELECT t.run_id, instrument, round(-avg(weight * excess), 8) AS contribution FROM traded_returns t JOIN (SELECT run_id, traded, -sum(weight * excess) AS loss FROM traded_returns GROUP BY 1, 2) m ON m.run_id = t.run_id AND m.traded = t.traded JOIN (SELECT run_id, quantile_cont(loss, 0.9) AS var FROM (SELECT run_id, traded, -sum(weight * excess) AS loss FROM traded_returns GROUP BY 1, 2) GROUP BY 1) v ON v.run_id = t.run_id WHERE loss >= var GROUP BY 1, 2")
+def tail_contributions(spark, d):
+    return rounded(A.tail_contributions(_members(spark, d)[2].select("run_id", "traded", "instrument", "weight", F.col("excess").alias("ret")), "run_id", 0.1))
+
+
+_LADDER = [("policy", False, False, 9.0, None, False, 0.5, None), ("equal_weight", False, False, -9.0, None, False, -0.5, None), ("a_expanding", True, False, 4.0, None, False, 0.5, None), ("b", False, True, 4.0, 0.9, False, 0.5, None), ("c", False, False, 2.0, 0.9, False, 0.5, True), ("e", False, False, 4.0, 0.5, False, 0.5, True), ("f", False, False, 4.0, 0.9, True, 0.5, True), ("g", False, False, -4.0, 0.9, False, -0.5, None), ("h", False, False, 4.0, 0.9, False, 0.5, None), ("i", False, False, 4.0, 0.9, False, 0.5, False), ("j", False, False, 4.0, None, False, 0.5, True)]
+_LIT = lambda v: "NULL" if v is None else repr(v) if isinstance(v, (str, float)) else str(v).upper()
+
+
+@register("SELECT run_id, CASE WHEN run_id = 'policy' THEN 1 WHEN run_id = 'equal_weight' THEN 2 WHEN is_repeat THEN 3 WHEN reproduces THEN 4 WHEN abs(z) < 2.9552 THEN 5 WHEN retention < 0.8 THEN 6 WHEN is_leader AND 0.675 < 0.8 THEN 7 WHEN information_ratio <= 0 THEN 8 WHEN expanding_sign IS NULL THEN 9 WHEN NOT expanding_sign THEN 10 ELSE 11 END AS rung FROM (VALUES " + ", ".join("(" + ", ".join(map(_LIT, r)) + ")" for r in _LADDER) + ") t(run_id, is_repeat, reproduces, z, retention, is_leader, information_ratio, expanding_sign)")
+def verdict_ladder(spark, d):
+    rows = spark.createDataFrame(_LADDER, "run_id string, is_repeat boolean, reproduces boolean, z double, retention double, is_leader boolean, information_ratio double, expanding_sign boolean")
+    rows = rows.withColumns({"bar": F.lit(2.9552), "leader_retention": F.lit(0.675)}).withColumn("verdict", V.verdict())
+    words = [V.IS_BENCHMARK, V.IS_EQUAL_WEIGHT, V.IS_EXPANDING, V.REPRODUCES, V.NO_DIFFERENCE, V.RESAMPLING_LOST, V.NOT_UNIQUE, V.BEHIND, V.LEG_NOT_RUN, V.SIGN_LOST, V.CANDIDATE]
+    return rows.select("run_id", F.array_position(F.array(*[F.lit(w) for w in words]), F.col("verdict")).cast("int").alias("rung"))
+
+
+@register("SELECT w.protocol, w.traded, w.instrument, round(regr_intercept(excess, ret), 8) AS alpha, round(regr_slope(excess, ret), 8) AS beta, round(regr_r2(excess, ret), 8) AS r2 FROM windows w JOIN factors f ON f.period_month = w.period_month AND factor = 'BUILDING' GROUP BY 1, 2, 3")
+def one_factor_fit(spark, d):
+    p, windows = _windows(spark, d)
+    f = p.factors.where("factor = 'BUILDING'").select("period_month", "ret")
+    rows = windows.join(F.broadcast(f), "period_month").groupBy("protocol", "traded", "instrument")
+    return rounded(rows.agg(F.regr_intercept("excess", "ret").alias("alpha"), F.regr_slope("excess", "ret").alias("beta"), F.regr_r2("excess", "ret").alias("r2")))
+
+
+# Kernels: rows without SQL, held to invariants and closed forms by the tests
+
+
+@register()
+def rolling_factor_fit(spark, d):
+    p, windows = _windows(spark, d)
+    return X.rolling(X.fit_rows(windows, p.factors, list(_SEGMENTS)), list(_SEGMENTS))
+
+
+@register()
+def loading_drift(spark, d):
+    return X.loading_drift(rolling_factor_fit(spark, d))
+
+
+@register()
+def principal_components(spark, d):
+    """Eigenvalues, the shifted null's bar, the retained count and the edge."""
+
+    def kernel(x, names):
+        found = K.decompose(x)
+        for i, v in enumerate(found["values"]):
+            top = sorted(range(len(names)), key=lambda j: -abs(found["vectors"][j, i]))[:3]
+            yield i, float(v), float(found["bar"][i]), found["count"], float(found["share"][i]), float(found["noise_share"][i]), K.mp_edge(x.shape[1], x.shape[0]), ", ".join(names[j] for j in top)
+
+    rows = _windows(spark, d)[1].where("protocol = 'rolling'")
+    return B.grouped(rows, ["traded"], kernel, "traded date, component int, eigenvalue double, bar double, retained int, share double, noise_share double, mp_edge double, top string")
+
+
+@register()
+def covariance_estimators(spark, d):
+    def kernel(x, names):
+        for estimator, function in K.ESTIMATORS.items():
+            cov, report = function(x)
+            for i, a in enumerate(names):
+                for j, b in enumerate(names):
+                    yield estimator, a, b, float(cov[i, j]), None if report is None else float(report), float(K.np.linalg.cond(cov))
+
+    rows = _windows(spark, d)[1].where("protocol = 'rolling'")
+    return B.grouped(rows, ["traded"], kernel, "traded date, estimator string, i string, j string, value double, report double, condition double")
+
+
+@register()
+def grs_spanning(spark, d):
+    def kernel(x, names):
+        for k in (1, 2):
+            weights, made = K.component_portfolios(x, k)
+            out = K.grs(x[:, : x.shape[1] - k], made)
+            yield k, out["statistic"], out["p"]
+
+    return B.grouped(_windows(spark, d)[1], ["protocol", "traded"], kernel, "protocol string, traded date, components int, statistic double, p double")
+
+
+def _grid(spark, d):
+    p, windows = _windows(spark, d)
+    B.validate()
+    runs = B.registry(spark)
+    found = B.targets(windows, runs)
+    return p, runs, found
+
+
+@register()
+def grid_targets(spark, d):
+    return _grid(spark, d)[2]
+
+
+@register()
+def grid_cuts(spark, d):
+    return B.cuts(_grid(spark, d)[2])
+
+
+@register()
+def grid_books(spark, d):
+    _, runs, found = _grid(spark, d)
+    return B.books(found, runs)
+
+
+@register()
+def grid_summary(spark, d):
+    p, runs, found = _grid(spark, d)
+    path = B.books(found, runs)
+    return B.summary(B.series(path, p.returns)).join(B.establishment(path).select("run_id", F.col("cost").alias("establishment_cost")), "run_id")
+
+
+@register()
+def grid_metrics(spark, d):
+    """The metric rows of all runs, active against the costless policy book."""
+    p, runs, found = _grid(spark, d)
+    rows = B.series(B.books(found, runs), p.returns)
+    bench = rows.where("run_id = 'policy'").select("traded", F.col("gross").alias("net"))
+    return M.block(M.active(rows, bench), "run_id")
+
+
+@register()
+def factor_attribution(spark, d):
+    p, windows = _windows(spark, d)
+    names = list(_SEGMENTS)
+    rows = X.fit_rows(windows, p.factors, names)
+    at = X.fit_rows(windows.select(F.col("traded").alias("period_month")).distinct(), p.factors, names).select(F.col("period_month").alias("traded"), F.col("f").alias("now"))
+    _, _, books = _books(spark, d)
+    gap = books.join(F.broadcast(P.universe(spark).select("instrument", "policy")), "instrument").join(p.returns.select(F.col("period_month").alias("traded"), "instrument", F.col("excess").alias("ret")), ["traded", "instrument"])
+    return X.decomposition(gap.withColumn("a", F.col("weight") - F.col("policy")), X.rolling(rows, names), X.design(rows, at, names))
