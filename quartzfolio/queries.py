@@ -20,6 +20,7 @@ from .operators import returns as R
 from .operators import verdicts as V
 from .plans import backtest as B
 from .plans import factors as X
+from .plans import study as S
 from .sources import panel as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,3 +608,116 @@ def factor_attribution(spark, d):
     _, _, books = _books(spark, d)
     gap = books.join(F.broadcast(P.universe(spark).select("instrument", "policy")), "instrument").join(p.returns.select(F.col("period_month").alias("traded"), "instrument", F.col("excess").alias("ret")), ["traded", "instrument"])
     return X.decomposition(gap.withColumn("a", F.col("weight") - F.col("policy")), X.rolling(rows, names), X.design(rows, at, names))
+
+
+def _grid_series(spark, d):
+    p, runs, found = _grid(spark, d)
+    return p, B.series(B.books(found, runs), p.returns)
+
+
+@register()
+def study_rows(spark, d):
+    return S.rows(_grid_series(spark, d)[1]).drop("claim")
+
+
+@register()
+def negative_results(spark, d):
+    return V.negative_results(S.rows(_grid_series(spark, d)[1])).select("run_id", "verdict")
+
+
+@register()
+def multiple_testing_bars(spark, d):
+    series = _grid_series(spark, d)[1]
+    bench = series.where("run_id = 'policy'").select("traded", F.col("gross").alias("net"))
+    return S.bars(M.active(series, bench))
+
+
+@register()
+def fama_macbeth(spark, d):
+    p, windows = _windows(spark, d)
+    names = list(_SEGMENTS)[:3]
+    rows = X.fit_rows(windows, p.factors, names)
+
+    def kernel(frame):
+        x, f, _ = X._block(frame)
+        out = K.fama_macbeth(x, f) if len(x) > 10 else None
+        found = [] if out is None else [(frame["protocol"].iloc[0], frame["traded"].iloc[0], n, float(out["premium"][i]), float(out["t"][i]), out["dof"]) for i, n in enumerate(["intercept", *names])]
+        return X.pd.DataFrame(found, columns=["protocol", "traded", "factor", "premium", "t", "dof"])
+
+    return rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, factor string, premium double, t double, dof int")
+
+
+@register()
+def varimax_loadings(spark, d):
+    def kernel(x, names):
+        values, vectors = K.eigen(K.correlation(x))
+        turned = K.varimax(vectors[:, :3] * K.np.sqrt(values[:3]))
+        for i, n in enumerate(names):
+            for j in range(3):
+                yield n, j, float(turned[i, j])
+
+    return B.grouped(_windows(spark, d)[1].where("protocol = 'rolling'"), ["traded"], kernel, "traded date, instrument string, component int, loading double")
+
+
+@register()
+def component_stability(spark, d):
+    """The retained count of the last window under five seeds."""
+
+    def kernel(x, names):
+        for k in range(5):
+            yield k, K.decompose(x, seed=K.SEED + k)["count"]
+
+    rows = _windows(spark, d)[1].where("protocol = 'rolling'")
+    last = rows.agg(F.max("traded").alias("traded"))
+    return B.grouped(rows.join(F.broadcast(last), "traded"), ["traded"], kernel, "traded date, seed int, retained int")
+
+
+@register()
+def fixed_alpha(spark, d):
+    """Window mean less the first window's betas times the window's factor means."""
+    p, windows = _windows(spark, d)
+    rows = windows.where("protocol = 'rolling'")
+    f = p.factors.where("factor = 'BUILDING'").select("period_month", "ret")
+    fits = rows.join(F.broadcast(f), "period_month").groupBy("traded", "instrument").agg(F.avg("excess").alias("y"), F.avg("ret").alias("x"), F.regr_slope("excess", "ret").alias("beta"))
+    first = fits.groupBy("instrument").agg(F.min_by("beta", "traded").alias("first_beta"))
+    return rounded(fits.join(F.broadcast(first), "instrument").select("traded", "instrument", (F.col("y") - F.col("first_beta") * F.col("x")).alias("alpha")))
+
+
+ORACLE_SQL["fixed_alpha"] = _sql("SELECT traded, instrument, round(y - first(beta) OVER (PARTITION BY instrument ORDER BY traded) * x, 8) AS alpha FROM (SELECT traded, instrument, avg(excess) AS y, avg(ret) AS x, regr_slope(excess, ret) AS beta FROM windows w JOIN factors f ON f.period_month = w.period_month AND factor = 'BUILDING' WHERE protocol = 'rolling' GROUP BY 1, 2)")
+
+
+@register(f"SELECT run_id, instrument, round(avg(weight * m / variance), 8) AS share, round(avg(sqrt(variance)) * sqrt(12.0), 8) AS volatility FROM (SELECT *, sum(weight * m) OVER (PARTITION BY run_id, traded) AS variance FROM (SELECT b.run_id, b.traded, b.instrument, max(b.weight) AS weight, sum(c.value * x.weight) AS m FROM books b JOIN (SELECT a.instrument AS i, b.instrument AS j, covar_samp(a.excess, b.excess) AS value FROM returns a JOIN returns b ON a.period_month = b.period_month GROUP BY 1, 2) c ON c.i = b.instrument JOIN books x ON x.run_id = b.run_id AND x.traded = b.traded AND x.instrument = c.j GROUP BY 1, 2, 3)) GROUP BY 1, 2")
+def path_contributions(spark, d):
+    """Shares month by month at one fixed covariance, and their mean."""
+    p, _, books = _books(spark, d)
+    shares = A.contributions(books, A.covariance(p.returns, [], "excess"), ["run_id", "traded"])
+    out = shares.groupBy("run_id", "instrument").agg(F.avg("share").alias("share"), (F.avg("volatility") * F.sqrt(F.lit(12.0))).alias("volatility"))
+    return rounded(out)
+
+
+@register("SELECT i AS instrument, traded, round(sum(policy * value), 10) AS covariance_with_policy FROM cov JOIN universe ON instrument = j WHERE protocol = 'rolling' GROUP BY 1, 2")
+def policy_betas(spark, d):
+    windows = _windows(spark, d)[1].where("protocol = 'rolling'")
+    cov = A.covariance(windows, ["traded"], "excess")
+    rows = cov.join(F.broadcast(P.universe(spark).select(F.col("instrument").alias("j"), "policy")), "j")
+    return rounded(rows.groupBy(F.col("i").alias("instrument"), "traded").agg(F.sum(F.col("policy") * F.col("value")).alias("covariance_with_policy")), 10)
+
+
+@register("SELECT run_id, traded, round(sum(weight * sqrt(value)) / max(vol), 8) AS ratio FROM books JOIN cov c USING (traded) JOIN (SELECT b.run_id, b.traded, sqrt(sum(b.weight * c.value * x.weight)) AS vol FROM books b JOIN cov c ON c.protocol = 'rolling' AND c.traded = b.traded AND c.i = b.instrument JOIN books x ON x.run_id = b.run_id AND x.traded = b.traded AND x.instrument = c.j GROUP BY 1, 2) v USING (run_id, traded) WHERE c.protocol = 'rolling' AND c.i = c.j AND c.i = books.instrument GROUP BY 1, 2")
+def diversification_ratio(spark, d):
+    _, windows, books = _books(spark, d)
+    cov = A.covariance(windows.where("protocol = 'rolling'"), ["traded"], "excess")
+    sd = cov.where("i = j").select("traded", F.col("i").alias("instrument"), F.sqrt("value").alias("sd"))
+    rows = A.contributions(books, cov, ["run_id", "traded"]).join(sd, ["traded", "instrument"])
+    return rounded(rows.groupBy("run_id", "traded").agg((F.sum(F.col("weight") * F.col("sd")) / F.max("volatility")).alias("ratio")))
+
+
+@register("SELECT run_id, traded, instrument, round(CASE WHEN abs(target - held) > 0.01 THEN target ELSE held END, 8) AS aim, round(sum(abs(target - held)) OVER (PARTITION BY run_id, traded) / 2, 8) AS one_way FROM (SELECT *, weight AS target, lag(weight) OVER (PARTITION BY run_id, instrument ORDER BY traded) AS held FROM books) WHERE held IS NOT NULL")
+def no_trade_band(spark, d):
+    from pyspark.sql import Window
+
+    books = _books(spark, d)[2]
+    held = F.lag("weight").over(Window.partitionBy("run_id", "instrument").orderBy("traded"))
+    rows = books.withColumn("held", held).where("held is not null").withColumn("gap", F.abs(F.col("weight") - F.col("held")))
+    one_way = F.sum("gap").over(Window.partitionBy("run_id", "traded")) / 2
+    return rounded(rows.select("run_id", "traded", "instrument", F.when(F.col("gap") > B.BAND, F.col("weight")).otherwise(F.col("held")).alias("aim"), one_way.alias("one_way")))
