@@ -65,14 +65,24 @@ def sub_periods(rows: DataFrame, key: str, bins: list[tuple[str, str, str]]) ->
     return held.groupBy(key, "period").agg(F.count("*").alias("n"), F.when(F.count("*") > 2, ratio("active")).alias("information_ratio"))
 
 
+def statistic(difference: Column, error: Column, tolerance: float = 1e-6) -> Column:
+    """difference / error; without an error, 0 for equal ratios and else unbounded."""
+    unbounded = F.signum(difference) * F.lit(float("inf"))
+    return F.when(error > tolerance, difference / F.when(error > tolerance, error)).when(F.abs(difference) <= tolerance, 0.0).otherwise(unbounded)
+
+
+def paired_error(n: Column, rho: Column) -> Column:
+    return F.sqrt(F.lit(float(PERIODS)) / n) * F.sqrt(2 * F.greatest(1 - F.coalesce(rho, F.lit(0.0)), F.lit(0.0)))
+
+
 def paired(rows: DataFrame, key: str, base: str, bar: float, power: float) -> DataFrame:
-    """Each series against ``base``: ratio difference, standard error, z, resolution."""
-    reference = rows.where(F.col(key) == base).select("traded", F.col("active").alias("other"))
+    """Each series of (key, traded, net, active) against ``base``: ratio difference,
+    correlation of the returns, standard error, z, and the resolution of the test."""
+    reference = rows.where(F.col(key) == base).select("traded", F.col("active").alias("other"), F.col("net").alias("other_net"))
     both = rows.where(F.col(key) != base).join(F.broadcast(reference), "traded")
-    stats = both.groupBy(key).agg(F.count("*").alias("n"), ratio("active").alias("ir"), ratio("other").alias("ir_base"), F.corr("active", "other").alias("rho"))
-    se = F.sqrt(F.lit(12.0) / F.col("n")) * F.sqrt(2 * F.greatest(1 - F.coalesce("rho", F.lit(0.0)), F.lit(0.0)))
-    stats = stats.withColumn("difference", F.col("ir") - F.col("ir_base")).withColumn("se", se)
-    return stats.select(key, "n", "difference", "rho", "se", F.when(F.col("se") > 1e-6, F.col("difference") / F.col("se")).alias("z"), ((bar + power) * F.col("se")).alias("resolution"))
+    stats = both.groupBy(key).agg(F.count("*").alias("n"), ratio("active").alias("ir"), ratio("other").alias("ir_base"), F.corr("net", "other_net").alias("rho"))
+    stats = stats.withColumn("difference", F.col("ir") - F.col("ir_base")).withColumn("se", paired_error(F.col("n"), F.col("rho")))
+    return stats.select(key, "n", "difference", "rho", "se", statistic(F.col("difference"), F.col("se")).alias("z"), ((bar + power) * F.col("se")).alias("resolution"))
 
 
 def retention(rows: DataFrame, key: str, draws: DataFrame) -> DataFrame:

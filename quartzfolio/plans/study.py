@@ -47,11 +47,11 @@ def rows(series: DataFrame) -> DataFrame:
     active = M.active(series, bench)
     bar = bars(active)
     n = F.count("*")
-    block = active.groupBy("run_id").agg(n.alias("months"), M.ratio("active").alias("information_ratio"), M.annualised_sd("active").alias("tracking_error"), F.count_if(F.col("at_cap") > 0).alias("cap_binding_steps"))
-    # Against the benchmark itself, whose active return is nothing: the paired error has no correlation term.
-    block = block.withColumn("z", F.col("information_ratio") / F.sqrt(12.0 / F.col("months")))
+    block = active.groupBy("run_id").agg(n.alias("months"), M.ratio("active").alias("information_ratio"), M.annualised_sd("active").alias("tracking_error"), F.corr("net", "bench").alias("rho"), F.count_if(F.col("at_cap") > 0).alias("cap_binding_steps"))
+    error = M.paired_error(F.col("months"), F.col("rho"))
+    block = block.withColumn("se", error).withColumn("z", M.statistic(F.col("information_ratio"), F.col("se"))).drop("rho")
     equal = series.where("run_id = 'equal_weight'").select("traded", F.col("net").alias("equal"))
-    same = series.join(F.broadcast(equal), "traded").groupBy("run_id").agg((F.max(F.abs(F.col("net") - F.col("equal"))) < 1e-9).alias("reproduces"))
+    same = series.join(F.broadcast(equal), "traded").groupBy("run_id").agg((F.max(F.abs(F.col("net") - F.col("equal"))) <= 1e-6).alias("reproduces"))
     spec = series.sparkSession.createDataFrame([(r[0], r[1], r[6] == "expanding", r[0].removesuffix("_expanding")) for r in RUNS], "run_id string, stage string, is_repeat boolean, cell string")
     out = block.join(F.broadcast(spec), "run_id").join(same, "run_id").join(_retention(active), "run_id", "left").crossJoin(F.broadcast(bar))
     wide = out.where("is_repeat").select("cell", F.col("information_ratio").alias("expanding_ratio"))

@@ -373,7 +373,7 @@ def sub_periods(spark, d):
     return rounded(M.sub_periods(_series(spark, d)[3], "run_id", _BINS), 6)
 
 
-@register(f"SELECT run_id, n, round(ir - ir_base, 6) AS difference, round(rho, 6) AS rho, round(se, 6) AS se, round((ir - ir_base) / se, 6) AS z, round({K.family_wise_bar(16) + K.POWER_QUANTILE!r} * se, 6) AS resolution FROM (SELECT *, sqrt(12.0 / n) * sqrt(2 * (1 - rho)) AS se FROM (SELECT a.run_id, count(*) AS n, {_RATIO.format('a.active')} AS ir, {_RATIO.format('b.active')} AS ir_base, corr(a.active, b.active) AS rho FROM active a JOIN active b ON a.traded = b.traded WHERE b.run_id = 'equal_weight' AND a.run_id = 'inverse_volatility' GROUP BY 1))")
+@register(f"SELECT run_id, n, round(ir - ir_base, 6) AS difference, round(rho, 6) AS rho, round(se, 6) AS se, round((ir - ir_base) / se, 6) AS z, round({K.family_wise_bar(16) + K.POWER_QUANTILE!r} * se, 6) AS resolution FROM (SELECT *, sqrt(12.0 / n) * sqrt(2 * (1 - rho)) AS se FROM (SELECT a.run_id, count(*) AS n, {_RATIO.format('a.active')} AS ir, {_RATIO.format('b.active')} AS ir_base, corr(a.net, b.net) AS rho FROM active a JOIN active b ON a.traded = b.traded WHERE b.run_id = 'equal_weight' AND a.run_id = 'inverse_volatility' GROUP BY 1))")
 def paired_test(spark, d):
     rows = _series(spark, d)[3].where("run_id <> 'policy'")
     return rounded(M.paired(rows, "run_id", "equal_weight", K.family_wise_bar(16), K.POWER_QUANTILE), 6)
