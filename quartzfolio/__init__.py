@@ -1 +1,8 @@
-"""Spark-first analytics for monthly multi-asset panels."""
+"""Spark-first analytics for monthly multi-asset panels.
+
+Entry groups: ``sources.panel`` and ``sources.snapshot`` (data), ``operators``
+(calendar, returns, quality, metrics, attribution, verdicts), ``functions.kernels``
+(window kernels), ``plans`` (backtest, factors, study), ``queries`` (the registry).
+"""
+
+VERSION = "0.1"
