@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from .common import configure, id_text, string_bytes
 from .shingles import word_hashes, word_spans
 
-#: Chunks a worker remembers in each of two generations.
-CACHE = 400_000
+#: Chunks a worker remembers in each of two generations: words by the trie come with
+#: decoded texts, and so take more memory beside them.
+CACHE, LIBRARY_CACHE = 250_000, 400_000
 END = "</w>"
 
 
@@ -177,6 +178,10 @@ class Encoder:
         self.bytes_of = self.table.bytes_of = {i: np.array([i], "<u4").tobytes() for i in self.token}
         self.known: list[dict[int, bytes]] = [{}, {}]  # a chunk's hash to its ids: young, old
 
+    def forget(self) -> None:
+        self.known = [{}, {}]
+        self.table.known.clear()
+
     def words_of(self, text: str) -> list[str]:
         """The words of a text without special tokens, as byte letters."""
         if self.simple(text):
@@ -218,7 +223,7 @@ class Encoder:
     def _remembered(self, keys: list[int], chunks) -> list[bytes]:
         """Ids of distinct chunks, by hash from the young or the old memory, or worked out."""
         young, old = self.known
-        if len(young) + len(keys) > CACHE:
+        if len(young) + len(keys) > (LIBRARY_CACHE if self.by_library else CACHE):
             young, old = self.known = [{}, young]
         out = list(map(young.get, keys))
         lost = [i for i, x in enumerate(out) if x is None]
@@ -302,15 +307,18 @@ def split_ids(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
 
 def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded."""
-    configure(documents.sparkSession)
+    configure(documents.sparkSession, 600)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
-            ids, cuts, back = coder.encode_bytes(*string_bytes(batch.column(1)), decoded=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(cuts), pa.int64()), pa.array(split_ids(ids, cuts), pa.binary()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids", "decoded"],
-            )
+        try:
+            for batch in batches:
+                ids, cuts, back = coder.encode_bytes(*string_bytes(batch.column(1)), decoded=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.diff(cuts), pa.int64()), pa.array(split_ids(ids, cuts), pa.binary()), pa.array(back, pa.string())],
+                    ["doc_id", "n_tokens", "ids", "decoded"],
+                )
+        finally:
+            coder.forget()  # the worker may go on to other operators
 
     return id_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

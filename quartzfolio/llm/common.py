@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; bounds its memory.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 250, 4 << 20
 
 
-def configure(spark: SparkSession) -> None:
+def configure(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound what one Python worker gets at once (whole rows; nothing is dropped)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     with contextlib.suppress(Exception):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 

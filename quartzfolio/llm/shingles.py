@@ -53,7 +53,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True, spans: tup
     global _TABLE
     n = len(raw)
     if n >= len(_TABLE[0]):
-        _TABLE = _powers(max(n, 2 * len(_TABLE[0])))
+        _TABLE = _powers(n | (1 << 18) - 1)
     up, down = _TABLE
     start, end = spans or word_spans(raw, off)
     total = np.zeros(n + 1, np.uint64)

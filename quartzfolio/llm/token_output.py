@@ -46,7 +46,7 @@ def write_tokens(
 ) -> str:
     """Writes doc_id, n_tokens and ids (array<int>) under ``path``; gives the path."""
     spark = documents.sparkSession
-    configure(spark)
+    configure(spark, 1000)
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
