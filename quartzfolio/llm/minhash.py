@@ -12,10 +12,12 @@ Texts with one shingle set are one class first, so exact copies of any number ar
 one row from there on. A band's group of classes gives each class with the group's
 first one and with its near neighbours in the order of their sketches, never all
 pairs. Pairs whose collision-corrected estimate is six standard errors short are
-dropped, the rest are confirmed on full shingle sets, and connected. Then every
-group that still holds more than one component gives its cross-component pairs, so
-that no link that joins two components is lost; pairs confirmed or refused before
-are not looked at again.
+dropped, the rest are confirmed on full shingle sets, and connected. The members of
+groups that still hold more than one component are compared once more, block against
+block: an upper bound from folded bit sets comes first, a full comparison where it
+leaves hope, and only links that join two components are rows. So no link that
+joins components is lost, and a group whose texts are nearly, but not quite, alike
+makes no pairs; it costs comparisons within the group, spread over its blocks.
 
 Null text has no words: an empty set, linked with nothing. Rows without an id stand
 alone and are kept. Rows that share an id and a text are copies; rows that share an
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, configure, id_text, pack, partitions, sweep, unpack
@@ -42,6 +44,8 @@ BUCKETS, MANTISSA, BANDS = 256, 10, 64
 NEIGHBOURS = 2
 #: Ids of candidate texts that go to every executor at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Bits a set is folded to for a bound, and sets in a block.
+WIDE, BLOCK = 4096, 1500
 
 
 def _fill_order() -> np.ndarray:
@@ -153,6 +157,67 @@ def _members(a, b, key, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(key)], ["kind", "a", "b", "key"])
 
 
+def _bits(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each set as WIDE bits, and how many of its shingles share a bit with another."""
+    out = np.zeros((len(items), WIDE), bool)
+    for i, x in enumerate(items):
+        out[i, (x >> np.uint64(20)) & np.uint64(WIDE - 1)] = True
+    packed = np.packbits(out, axis=1).view(np.uint64)
+    return packed, np.array([len(x) for x in items]) - np.bitwise_count(packed).sum(1, dtype=np.int64)
+
+
+def _meet(percent: int):
+    """Links between components among the rows of one pair of blocks after another.
+
+    A common shingle sets a common bit, so common bits and the shingles that hide
+    behind another's bit bound an intersection; pairs within the bound are compared
+    in full, and a component that was joined already is not compared again.
+    """
+
+    def links(held: list) -> list[tuple[int, int]]:
+        side, ids, comp = (np.array([r[k] for r in held]) for k in (0, 1, 2))
+        items = [np.frombuffer(r[3], "<u8") for r in held]
+        n = np.array([len(x) for x in items])
+        bits, hidden = _bits(items)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(ids))
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i in np.flatnonzero(side == 0).tolist():
+            most = np.bitwise_count(bits[right] & bits[i]).sum(1, dtype=np.int64) + np.minimum(hidden[right], hidden[i])
+            most = np.minimum(most, np.minimum(n[right], n[i]))
+            for j in right[((100 + percent) * most >= percent * (n[right] + n[i])) & (comp[right] != comp[i])].tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x == y:
+                    continue
+                both = np.concatenate([items[i], items[j]])
+                both.sort()
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * shared >= percent * (n[i] + n[j] - shared):
+                    parent[x] = y
+                    out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, found = [], None, []
+        for batch in batches:
+            for g, i, j, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (g, i, j) != key:
+                    found += links(held) if held else []
+                    held, key = [], (g, i, j)
+                held.append(row)
+        found += links(held) if held else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], ["a", "b"])
+
+    return run
+
+
 def _hopeful(least: float):
     """Keeps pairs whose estimate is at most six standard errors short."""
 
@@ -208,25 +273,28 @@ def near_duplicates(
     found = classes.select("doc_id", "regs").mapInArrow(deal, "part int, payload binary").repartitionById(groups, "part")
     found = scratch.save(found.mapInArrow(pair, "kind int, a long, b long, key long"), "found")
 
+    def build(batches):
+        for batch in batches:
+            values = [s.tobytes() for s in shingle_sets(batch.column(1), shingle_words)]
+            keep = pa.array([hashlib.blake2b(v, digest_size=16).digest() == s for v, s in zip(values, batch.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(values, pa.binary()).filter(keep)], ["doc_id", "items"])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(doc_id, items): the full shingle sets of these classes."""
+        wanted = scratch.save(wanted, "wanted")
+        if wanted.count() <= BROADCAST_IDS:  # else a shuffle join, of all texts
+            wanted = F.broadcast(wanted)
+        texts = docs.join(wanted, "doc_id")
+        sets = texts.join(classes.select("doc_id", "sig").join(wanted, "doc_id"), "doc_id").select("doc_id", "text", "sig")
+        return scratch.save(sets.mapInArrow(build, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of the pairs whose estimate leaves hope, on full sets."""
         side = classes.select("doc_id", "regs", "n_shingles")
         left, right = (side.select(F.col("doc_id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
         hope = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_hopeful(least), "a long, b long")
         hope = scratch.save(hope, "hope")
-        wanted = scratch.save(hope.select(F.col("a").alias("doc_id")).union(hope.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-        if wanted.count() <= BROADCAST_IDS:  # else a shuffle join, of all texts
-            wanted = F.broadcast(wanted)
-        texts = docs.join(wanted, "doc_id")
-        sets = texts.join(classes.select("doc_id", "sig").join(wanted, "doc_id"), "doc_id").select("doc_id", "text", "sig")
-
-        def build(batches):
-            for batch in batches:
-                values = [s.tobytes() for s in shingle_sets(batch.column(1), shingle_words)]
-                keep = pa.array([hashlib.blake2b(v, digest_size=16).digest() == s for v, s in zip(values, batch.column(2).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(values, pa.binary()).filter(keep)], ["doc_id", "items"])
-
-        sets = scratch.save(sets.mapInArrow(build, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
+        sets = sets_of(hope.select(F.col("a").alias("doc_id")).union(hope.select(F.col("b").alias("doc_id"))).distinct())
         done = hope.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
         done = scratch.save(done.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "done")
         scratch.drop(hope, sets)
@@ -241,10 +309,20 @@ def near_duplicates(
     members = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     torn = scratch.save(members.join(torn, "key"), "torn")
-    x, y = (torn.select("key", F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-    across = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = confirm(across.join(tried, ["a", "b"], "left_anti"))
-    every = tried.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    # The members of such groups, and of groups that share members, meet in blocks.
+    tied = connected_components(torn.withColumn("lead", F.min("id").over(Window.partitionBy("key"))).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), scratch)
+    members = torn.select("id", F.col("component").alias("comp")).distinct().join(tied.withColumnRenamed("component", "tie"), "id")
+    count = members.groupBy("tie").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = scratch.save(members.join(count, "tie").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
+    sets = sets_of(members.select(F.col("id").alias("doc_id")))
+    rows = members.join(sets, F.col("id") == F.col("doc_id"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("tie", "own", other, "id", "comp", "items")
+    first = F.least("own", "other")  # each pair of blocks once: the lower block's rows on side 0
+    rows = rows.select("tie", first.alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > first).cast("int").alias("side"), "id", "comp", "items")
+    rows = rows.repartition(groups, "tie", "i", "j").sortWithinPartitions("tie", "i", "j")
+    more = scratch.save(rows.mapInArrow(_meet(percent), "a long, b long"), "more")
+    every = tried.where("linked").select("a", "b").union(more)
     parts = connected_components(every, scratch)
 
     labels = leaders.join(parts, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
