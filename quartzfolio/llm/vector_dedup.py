@@ -6,10 +6,17 @@ random-hyperplane signs, orders all classes by key and compares each with the ne
 meet in a second step. Verified pairs of all passes are united to components; a
 pass hands on only a spanning forest of what it found, never all pairs of a group.
 
+The passes alone may miss links, the more the denser the vectors lie. So a sweep
+compares all classes, tile against tile of ``TILE_VALUES`` numbers, and adds each
+link between components that no pass found: the result is exact for any ``passes``,
+``window`` and number of partitions. Products are taken in single precision; what is
+within their rounding error of ``least`` is taken again in double precision. The
+sweep's products grow with the square of the classes, its rows only with the square
+of the tiles.
+
 Links are then counted exactly within components: members are split into blocks of
 ``BLOCK`` vectors and each pair of blocks is one matrix product, so no group is in
-one task and no pair is a row. A link between components that no pass found is the
-only thing that can be missing; see the README for the measured recall.
+one task and no pair is a row.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; so do vectors of different lengths with each other. Rows without an id
@@ -20,6 +27,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, configure, partitions
+from .common import Scratch, configure, pack, partitions, unpack
 from .components import connected_components
 
 KEY_BITS, BLOCK = 63, 512
+#: Numbers in a tile of the sweep, its rows compared at once, right tiles of a chunk.
+TILE_VALUES, STRIP, CHUNK = 1 << 18, 512, 16
 _PAIR = "a long, b long"
 
 
@@ -48,8 +58,9 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def _unit(vectors: list[bytes], d: int | None = None) -> np.ndarray:
+    """Unit vectors, one a piece, or of length ``d`` from pieces of any size."""
+    v = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, d or len(vectors[0]) // 8)
     v = v / np.abs(v).max(1, keepdims=True)  # neither overflow nor underflow in the lengths
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
@@ -84,6 +95,90 @@ def _close(unit: np.ndarray, window: int, least: float, split: int | None = None
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of one length in tiles, with their ids' components; floats where no bit is lost."""
+    held: dict[int, list[tuple[bytes, int]]] = {}
+    count, part = 0, TaskContext.get().partitionId()
+
+    def tile(d: int) -> pa.RecordBatch:
+        nonlocal count
+        vec, label = zip(*held.pop(d), strict=True)
+        values = np.frombuffer(b"".join(vec), np.float64)
+        with np.errstate(over="ignore", under="ignore"):
+            short = values.astype("<f4")
+        values = short if (short == values).all() else values
+        count += 1
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([part << 32 | count], pa.int64()), pa.array([pack(np.array(label, "<i8"), values)], pa.binary())], ["d", "tile", "payload"])
+
+    for batch in batches:
+        for v, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            d = len(v) // 8
+            held.setdefault(d, []).append((v, label))
+            if len(held[d]) * d >= TILE_VALUES:
+                yield tile(d)
+    for d in list(held):
+        yield tile(d)
+
+
+def _joining(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join different labels of two tiles, each (labels, unit vectors)."""
+    names, own = np.unique(np.r_[left[0], right[0]], return_inverse=True)
+    a, b = own[: len(left[0])], own[len(left[0]) :]
+    d = left[1].shape[1]
+    slack = (d + 4) * 2.0**-23  # what single precision may be off, twice over
+    x, y = left[1].astype(np.float32), right[1].astype(np.float32).T
+    root, out = np.arange(len(names)), []
+    for lo in range(0, len(a), STRIP):
+        near = x[lo : lo + STRIP] @ y
+        hit = near >= least - slack
+        if not hit.any():
+            continue
+        hit &= root[a[lo : lo + STRIP]][:, None] != root[b][None, :]
+        i, j = np.nonzero(hit)
+        sure = near[i, j] >= least + slack
+        unsure, step = np.flatnonzero(~sure), max(1, (1 << 22) // d)
+        for k in range(0, len(unsure), step):
+            at = unsure[k : k + step]
+            sure[at] = np.einsum("ij,ij->i", left[1][lo + i[at]], right[1][j[at]]) >= least
+        pairs = np.unique(np.stack([root[a[lo + i[sure]]], root[b[j[sure]]]], 1), axis=0)
+        links = _forest(np.arange(len(names)), pairs)
+        for u, v in links:
+            u, v = root[u], root[v]
+            out.append((int(names[u]), int(names[v])))
+            root[root == max(u, v)] = min(u, v)
+    return out
+
+
+def _missed(tiles: DataFrame, parts: int, least: float) -> DataFrame:
+    """Links (a, b) between components, from all tiles of one length compared with each other."""
+    size = tiles.groupBy("d").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    names = tiles.select(F.col("d").alias("e"), F.col("tile").alias("own"))
+    chunked = tiles.join(F.broadcast(size), "d")
+    left = chunked.select("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "payload", "d").withColumnRenamed("tile", "own")
+    # Either tile of a pair may come to the other one: a hash decides, so all get alike many.
+    low, high = F.least("tile", "own"), F.greatest("tile", "own")
+    goes_to = F.when(F.pmod(F.xxhash64(low, high), F.lit(2)) == 0, low).otherwise(high)
+    met = chunked.join(F.broadcast(names), (F.col("d") == F.col("e")) & (F.col("tile") != F.col("own")) & (goes_to == F.col("own")))
+    right = met.select("own", F.pmod(F.xxhash64("tile"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "payload", "d")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            for chunk, side, payload, d in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                label, values = unpack(payload)
+                tile = label, _unit([values.astype(np.float64).tobytes()], d)
+                if not side:
+                    own = tile
+                    if chunk:
+                        continue
+                links = _joining(own, tile, least)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], ["a", "b"])
+
+    dealt = left.union(right).repartition(parts, "own", "chunk").sortWithinPartitions("own", "chunk", "side")
+    return dealt.mapInArrow(sweep, _PAIR).distinct()
+
+
 def near_vectors(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int = 40, window: int = 40, passes_at_once: int = 8, seed: int = 11
 ) -> DataFrame:
@@ -162,6 +257,15 @@ def near_vectors(
         every = every.union(x)
     components = scratch.save(connected_components(every.distinct(), scratch), "components")
 
+    # All tiles meet: links between components that no window held.
+    labelled = classes.join(components, "id", "left").select("vec", F.coalesce("component", "id").alias("label"))
+    values = classes.agg(F.sum(F.length("vec") / 8)).collect()[0][0] or 0
+    tiles = scratch.save(labelled.repartition(max(1, math.ceil(values / TILE_VALUES))).mapInArrow(_tiles, "d int, tile long, payload binary"), "tiles", "none")
+    missed = scratch.save(_missed(tiles, parts, least), "missed")
+    scratch.drop(tiles)
+    if missed.limit(1).count():
+        components = scratch.save(connected_components(every.union(missed).distinct(), scratch), "components")
+
     # Exact counts: every pair of blocks of a component is one matrix product.
     members = classes.join(components, "id")
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -71,5 +71,46 @@ def test_recall_of_single_pairs_near_the_threshold(spark):
     assert linked >= 0.95 * 600
 
 
+def dense(n=1800, pairs=300, inside=0.87, least=0.905, d=64):
+    """One topic, a third of the rows, of alike vectors with planted pairs above 0.9."""
+    rng = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    topic = unit(rng.standard_normal(d))
+    spread = lambda k: rng.standard_normal((k, d)) / math.sqrt(d)
+    x = unit(math.sqrt(inside) * topic + math.sqrt(1 - inside) * spread(n))
+    side = spread(pairs)
+    a = x[:pairs]
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    x = np.concatenate([x, least * a + math.sqrt(1 - least**2) * side, unit(spread(2 * n))])
+    return [(i, v) for i, v in enumerate(np.float32(x).tolist())]
+
+
+def whole(rows, least=0.9):
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(1))
+        if (new == label).all():
+            return sorted(((i, int(k), int(c), int(c) == i) for i, (k, c) in enumerate(zip(near.sum(1), label))), key=str)
+        label = new
+
+
+def test_dense_topic_misses_no_link(spark):
+    rows = dense(inside=0.7)
+    assert got(spark, rows, passes=2, window=4) == whole(rows)
+
+
+def test_tiles_of_any_size_meet(spark, monkeypatch):
+    import quartzfolio.llm.vector_dedup as m
+
+    monkeypatch.setattr(m, "TILE_VALUES", 16 * 50)
+    monkeypatch.setattr(m, "CHUNK", 3)
+    rows = corpus()
+    assert got(spark, rows, passes=1, window=1) == brute(rows)
+
+
 def test_empty(spark):
     assert got(spark, []) == []
