@@ -112,5 +112,15 @@ def test_tiles_of_any_size_meet(spark, monkeypatch):
     assert got(spark, rows, passes=1, window=1) == brute(rows)
 
 
+def test_links_do_not_depend_on_partitions(spark):
+    rows = dense(n=20, pairs=20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert got(spark, rows, passes=1) == whole(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_empty(spark):
     assert got(spark, []) == []
