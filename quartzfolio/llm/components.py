@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every id that a link names; the component is its least id.
 
     ``links`` has columns a and b (long). Large-star and small-star steps alternate
-    until no link changes; each round is a written table, so lineage stays short,
-    and only a count and a checksum of the links go to the driver.
+    until no link changes, which a number of rounds that grows with the logarithm of
+    the links settles; each round is a written table, so lineage stays short, and only
+    a count and a checksum of the links go to the driver.
     """
     ordered = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = scratch.save(ordered.distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         # Large star: larger neighbours of each node go to its least neighbour.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -35,7 +36,5 @@ def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int =
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -8,8 +8,8 @@ registers still agree with the Jaccard similarity's probability. ``BANDS`` bands
 four registers give candidates; at similarity 0.75 a pair shares none with
 probability (1 - 0.75**4)**64 < 3e-11.
 
-Texts with one shingle set are one class first, so exact copies of any number are
-one row from there on. A band's group of classes gives each class with the group's
+Texts with one shingle set are one class first, numbered apart from any doc_id, so
+exact copies of any number are one row from there on. A band's group of classes gives each class with the group's
 first one and with its near neighbours in the order of their sketches, never all
 pairs. Pairs whose collision-corrected estimate is six standard errors short are
 dropped, the rest are confirmed on full shingle sets, and connected. The members of
@@ -21,8 +21,8 @@ makes no pairs; it costs comparisons within the group, spread over its blocks.
 
 Null text has no words: an empty set, linked with nothing. Rows without an id stand
 alone and are kept. Rows that share an id and a text are copies; rows that share an
-id but not a text each get the component of their own text. One output row per
-input row; an empty table gives an empty result.
+id but not a text belong to the classes of their own texts, and no link of any of
+them is lost. One output row per input row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,8 +97,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         regs = [registers(s)[0].tobytes() if len(s) else None for s in sets]
         sigs = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(regs, pa.binary())],
-            ["doc_id", "n_shingles", "sig", "regs"],
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(regs, pa.binary())],
+            ["doc_id", "row", "n_shingles", "sig", "regs"],
         )
 
 
@@ -256,46 +256,48 @@ def _confirm(percent: int):
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 75
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id reachable), kept."""
+    """Per row: doc_id, row (xxhash64 of the text), n_shingles, component_id (least
+    id reachable), kept."""
     if not 75 <= percent <= 100:
         raise ValueError("the bands are laid out for similarities of 75 percent or more")
     spark = documents.sparkSession
     configure(spark)
     scratch, groups, least = Scratch(spark, "minhash"), partitions(spark), percent / 100
-    docs = id_text(documents, id_col, text_col)
+    docs = id_text(documents, id_col, text_col).withColumn("row", F.xxhash64("text"))
     deal, pair = _candidates(groups)
 
-    sketch = scratch.save(docs.mapInArrow(lambda b: _sketch(b, shingle_words), "doc_id long, n_shingles long, sig binary, regs binary"), "sketch")
+    schema = "doc_id long, row long, n_shingles long, sig binary, regs binary"
+    sketch = scratch.save(docs.mapInArrow(lambda b: _sketch(b, shingle_words), schema), "sketch")
     own = sketch.where("doc_id is not null and sig is not null")
-    leaders = own.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    classes = own.join(leaders.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"]).dropDuplicates(["sig"])
-    classes = scratch.save(classes.select("doc_id", "n_shingles", "sig", "regs"), "classes")
-    found = classes.select("doc_id", "regs").mapInArrow(deal, "part int, payload binary").repartitionById(groups, "part")
+    # One row a class: its number, its least row, and its sketch.
+    first = own.groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    first = first.select(F.monotonically_increasing_id().alias("id"), F.col("least.doc_id").alias("rep"), F.col("least.row").alias("row"), "n_shingles", "sig", "regs")
+    classes = scratch.save(first, "classes")
+    found = classes.select("id", "regs").mapInArrow(deal, "part int, payload binary").repartitionById(groups, "part")
     found = scratch.save(found.mapInArrow(pair, "kind int, a long, b long, key long"), "found")
 
     def build(batches):
         for batch in batches:
             values = [s.tobytes() for s in shingle_sets(batch.column(1), shingle_words)]
             keep = pa.array([hashlib.blake2b(v, digest_size=16).digest() == s for v, s in zip(values, batch.column(2).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(values, pa.binary()).filter(keep)], ["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(values, pa.binary()).filter(keep)], ["id", "items"])
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """(doc_id, items): the full shingle sets of these classes."""
-        wanted = scratch.save(wanted, "wanted")
+        """(id, items): the full shingle sets of these classes, from their least rows' texts."""
+        wanted = scratch.save(classes.select("id", F.col("rep").alias("doc_id"), "row", "sig").join(wanted, "id", "left_semi"), "wanted")
         if wanted.count() <= BROADCAST_IDS:  # else a shuffle join, of all texts
             wanted = F.broadcast(wanted)
-        texts = docs.join(wanted, "doc_id")
-        sets = texts.join(classes.select("doc_id", "sig").join(wanted, "doc_id"), "doc_id").select("doc_id", "text", "sig")
-        return scratch.save(sets.mapInArrow(build, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
+        texts = docs.join(wanted, ["doc_id", "row"]).select("id", "text", "sig")
+        return scratch.save(texts.mapInArrow(build, "id long, items binary").dropDuplicates(["id"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of the pairs whose estimate leaves hope, on full sets."""
-        side = classes.select("doc_id", "regs", "n_shingles")
-        left, right = (side.select(F.col("doc_id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
+        side = classes.select("id", "regs", "n_shingles")
+        left, right = (side.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
         hope = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_hopeful(least), "a long, b long")
         hope = scratch.save(hope, "hope")
-        sets = sets_of(hope.select(F.col("a").alias("doc_id")).union(hope.select(F.col("b").alias("doc_id"))).distinct())
-        done = hope.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+        sets = sets_of(hope.select(F.col("a").alias("id")).union(hope.select(F.col("b").alias("id"))).distinct())
+        done = hope.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         done = scratch.save(done.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "done")
         scratch.drop(hope, sets)
         return done
@@ -314,18 +316,20 @@ def near_duplicates(
     members = torn.select("id", F.col("component").alias("comp")).distinct().join(tied.withColumnRenamed("component", "tie"), "id")
     count = members.groupBy("tie").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = scratch.save(members.join(count, "tie").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
-    sets = sets_of(members.select(F.col("id").alias("doc_id")))
-    rows = members.join(sets, F.col("id") == F.col("doc_id"))
+    rows = members.join(sets_of(members.select("id")), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("tie", "own", other, "id", "comp", "items")
-    first = F.least("own", "other")  # each pair of blocks once: the lower block's rows on side 0
-    rows = rows.select("tie", first.alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > first).cast("int").alias("side"), "id", "comp", "items")
+    low = F.least("own", "other")  # each pair of blocks once: the lower block's rows on side 0
+    rows = rows.select("tie", low.alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > low).cast("int").alias("side"), "id", "comp", "items")
     rows = rows.repartition(groups, "tie", "i", "j").sortWithinPartitions("tie", "i", "j")
     more = scratch.save(rows.mapInArrow(_meet(percent), "a long, b long"), "more")
     every = tried.where("linked").select("a", "b").union(more)
     parts = connected_components(every, scratch)
 
-    labels = leaders.join(parts, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "sig").join(labels, "sig", "left")
+    # A component's name is the least id among its classes'.
+    named = classes.select("id", "sig", "rep").join(parts, "id", "left")
+    names = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("name"))
+    labels = named.join(names, "component", "left").select("sig", F.coalesce("name", "rep").alias("component_id"))
+    out = sketch.select("doc_id", "row", "n_shingles", "sig").join(labels, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

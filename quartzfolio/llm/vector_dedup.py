@@ -1,9 +1,10 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Equal vectors are one class first. A pass gives every class a key of ``KEY_BITS``
+Equal vectors are one class first, numbered apart from any id. A pass gives every class a key of ``KEY_BITS``
 random-hyperplane signs, orders all classes by key and compares each with the next
 ``window`` ones; at a border between partitions the last and first ``window`` rows
-meet in a second step. Verified pairs of all passes are united to components; a
+meet in a second step. What travels is a unit vector in single precision: a pair is
+taken where its product clears ``least`` by more than the rounding. Verified pairs of all passes are united to components; a
 pass hands on only a spanning forest of what it found, never all pairs of a group.
 
 The passes alone may miss links, the more the denser the vectors lie. So a sweep
@@ -21,8 +22,8 @@ one task and no pair is a row.
 Vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; so do vectors of different lengths with each other. Rows without an id
 stand alone and are kept. Rows that share an id and a vector count as copies; rows
-that share an id but not a vector each get their own vector's links. An empty table
-gives an empty result.
+that share an id but not a vector each get their own vector's links and component.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,10 +84,16 @@ def _forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _close(unit: np.ndarray, window: int, least: float, split: int | None = None) -> np.ndarray:
-    """Positions of neighbours at most ``window`` apart that are alike; with
+def _slack(d: int) -> float:
+    """What a product in single precision may be off, twice over."""
+    return (d + 4) * 2.0**-23
+
+
+def _close(vectors: list[bytes], window: int, least: float, split: int | None = None) -> np.ndarray:
+    """Positions of neighbours at most ``window`` apart that are surely alike; with
     ``split``, only those on different sides of it."""
-    found = []
+    unit, found = np.frombuffer(b"".join(vectors), "<f4").reshape(len(vectors), -1), []
+    least += _slack(unit.shape[1])
     for step in range(1, min(window, len(unit) - 1) + 1):
         lo, hi = (0, len(unit) - step) if split is None else (max(0, split - step), min(split, len(unit) - step))
         if hi > lo:
@@ -125,7 +132,7 @@ def _joining(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
     names, own = np.unique(np.r_[left[0], right[0]], return_inverse=True)
     a, b = own[: len(left[0])], own[len(left[0]) :]
     d = left[1].shape[1]
-    slack = (d + 4) * 2.0**-23  # what single precision may be off, twice over
+    slack = _slack(d)
     x, y = left[1].astype(np.float32), right[1].astype(np.float32).T
     root, out = np.arange(len(names)), []
     for lo in range(0, len(a), STRIP):
@@ -189,7 +196,8 @@ def near_vectors(
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = scratch.save(rows.mapInArrow(_valid, "vec_id long, vec binary"), "rows")
     known = rows.where("vec_id is not null and vec is not null")
-    classes = scratch.save(known.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
+    classes = known.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("id"), "rep", "n", "vec"), "classes")
 
     def keyed(first: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +207,7 @@ def near_vectors(
                 for d in np.unique(size):
                     own = np.flatnonzero(size == d)
                     unit = _unit([vec[i] for i in own])
-                    column = pa.array([vec[i] for i in own], pa.binary())
+                    column = pa.array([x.tobytes() for x in unit.astype("<f4")], pa.binary())
                     for p in range(first, min(first + passes_at_once, passes)):
                         bits = (unit @ _planes(d, p, seed) > 0).astype(np.int64)
                         key = (bits << np.arange(KEY_BITS - 1, -1, -1)).sum(1)
@@ -218,7 +226,7 @@ def near_vectors(
         cuts = np.flatnonzero(np.r_[True, np.diff(lane) != 0, True])
         links, edges = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            links += _forest(ids[a:b], _close(_unit(vec[a:b]), window, least))
+            links += _forest(ids[a:b], _close(vec[a:b], window, least))
             if a == 0 and own:
                 edges += [(own - 1, 1, i, int(lane[i]), int(ids[i]), vec[i]) for i in range(min(window, b))]
             if b == len(lane):
@@ -240,7 +248,7 @@ def near_vectors(
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             split = int((side[a:b] == 0).sum())
             if 0 < split < b - a and lane[a] == lane[b - 1]:
-                links += _forest(ids[a:b], _close(_unit(vec[a:b]), window, least, split))
+                links += _forest(ids[a:b], _close(vec[a:b], window, least, split))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], ["a", "b"])
 
@@ -300,8 +308,11 @@ def near_vectors(
 
     dealt = left.union(right).repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "side")
     counts = dealt.mapInArrow(products, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    labels = classes.join(components, "id", "left").join(counts, "id", "left")
-    labels = labels.select("vec", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    out = rows.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("vec"))).join(labels.withColumnRenamed("vec", "key"), "key", "left")
+    # A component's name is the least id among its classes'.
+    named = classes.join(components, "id", "left")
+    names = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("name"))
+    labels = named.join(names, "component", "left").join(counts, "id", "left")
+    labels = labels.select(F.col("vec").alias("key"), F.coalesce("name", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    out = rows.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("vec"))).join(labels, "key", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

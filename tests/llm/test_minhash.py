@@ -81,6 +81,19 @@ def test_hot_groups(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_repeated_ids_lose_no_link(spark):
+    """An id with two texts: each text keeps the links of its own."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(5, x), (5, y), (7, x.rsplit(" ", 1)[0]), (8, y.rsplit(" ", 1)[0]), (3, x + " more"), (9, "else a b c d e f")]
+    assert got(spark, rows) == brute(rows)
+    assert (8, 55, 5, False) in got(spark, rows) and (7, 55, 3, False) in got(spark, rows)
+
+
+def test_one_id_for_all_texts(spark):
+    rows = [(4, t) for _, t in corpus(3, 60)]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 

@@ -55,6 +55,16 @@ def test_against_brute_force(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_repeated_ids_keep_vectors_apart(spark):
+    """An id with two unlike vectors: neither gets the other's links."""
+    x, y, z = np.eye(16)[:3].tolist()
+    rows = [(1, x), (1, y), (2, [1.0, 0.1] + [0.0] * 14), (3, [0.1, 1.0] + [0.0] * 14), (4, y), (5, z)]
+    assert got(spark, rows) == brute(rows)
+    assert {r[:3] for r in got(spark, rows)} >= {(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1)}
+    rows = [(7, v) for _, v in corpus()[:200]]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_recall_of_single_pairs_near_the_threshold(spark):
     rng = np.random.default_rng(1)
     rows = []
