@@ -35,56 +35,68 @@ END = "</w>"
 
 
 class WordTrie:
-    """A trie of words; a node, named by its prefix, holds the prefix's last token.
+    """The trie of a set of words, walked depth first.
 
-    ``add`` inserts distinct words in sorted order, which is the depth-first order
-    of their paths: each word goes down from the deepest node that is there already.
-    It gives every word's ids as little-endian unsigned 32-bit integers.
+    Words in sorted order are the trie's leaves in depth-first order. The walk keeps
+    one path only: the last token and its size for every node from the root to where
+    it stands. The next word backs up to the prefix it shares with the word before
+    and goes on from there, so a shared prefix is worked out once, and memory is the
+    length of the longest word, not its square.
     """
 
     def __init__(self, vocabulary: TokenTable):
-        self.vocabulary, self.last = vocabulary, {}
+        self.vocabulary = vocabulary
 
-    def add(self, words: set[str]) -> dict[str, bytes]:
-        table, last, four = self.vocabulary, self.last, self.vocabulary.bytes_of
-        ids, sizes, size_of, known, follows = table.ids, table.sizes, table.size_of, table.known, table.follows
+    def encode(self, words: set[str]) -> dict[str, bytes]:
+        """Every word's ids as little-endian unsigned 32-bit integers."""
+        table, four = self.vocabulary, self.vocabulary.bytes_of
+        ids, sizes, known, follows = table.ids, table.sizes, table.known, table.follows
         out: dict[str, bytes] = {}
+        before, path, steps = "", [-1], [0]  # [d]: last token of the first d letters, and its size
         for word in sorted(words):
-            n = len(word)
-            depth = n - 1
-            while depth and word[:depth] not in last:
-                depth -= 1
-            for d in range(depth + 1, n):  # new nodes
+            n, shared = len(word), 0
+            most = min(n, len(path)) - 1
+            if most > 0 and word[:most] == before[:most]:
+                shared = most
+            else:
+                while shared < most and word[shared] == before[shared]:
+                    shared += 1
+            del path[shared + 1 :], steps[shared + 1 :]
+            for d in range(shared + 1, n):  # new nodes
                 for size in sizes.get(word[max(d - 3, 0) : d], (2, 1)):
                     if size <= d:
                         token = ids.get(word[d - size : d])
                         if token is not None:
                             if size == d:
                                 break
-                            key = (last[word[: d - size]], token)
+                            key = (path[d - size], token)
                             if known[key] if key in known else follows(key):
                                 break
                 else:
-                    raise ValueError(f"no encoding for {word!r}")
-                last[word[:d]] = token
-            text = word + END
-            for size in sizes.get(text[max(n - 3, 0) :], (2, 1)):
+                    raise ValueError(f"no encoding for {word[:d]!r}")
+                path.append(token)
+                steps.append(size)
+            for size in sizes.get(word[max(n - 3, 0) :] + END, (2, 1)):
                 if size <= n:
-                    token = ids.get(text[n - size :])
+                    token = ids.get(word[n - size :] + END)
                     if token is not None:
                         if size == n:
                             break
-                        key = (last[word[: n - size]], token)
+                        key = (path[n - size], token)
                         if known[key] if key in known else follows(key):
                             break
             else:
                 raise ValueError(f"no encoding for {word!r}")
-            found, at = four[token], n - size
+            before = word
+            if size == n:
+                out[word] = four[token]
+                continue
+            found, at = [four[token]], n - size
             while at:
-                token = last[word[:at]]
-                found = four[token] + found
-                at -= size_of[token]
-            out[word] = found
+                found.append(four[path[at]])
+                at -= steps[at]
+            found.reverse()
+            out[word] = b"".join(found)
         return out
 
 
@@ -217,7 +229,7 @@ class Encoder:
             words, tokenize = list(fresh), self.library.model.tokenize
             known = {w: b"".join([four[t.id] for t in tokenize(w)]) for w in words}
         else:
-            known = WordTrie(self.table).add(fresh)
+            known = WordTrie(self.table).encode(fresh)
         return [known[row] if row.__class__ is str else b"".join([four[w] if w.__class__ is int else known[w] for w in row]) for row in rows]
 
     def _remembered(self, keys: list[int], chunks) -> list[bytes]:

@@ -49,6 +49,24 @@ def test_every_token_alone():
     same([t.removesuffix("</w>") for t in list(MINE.table.ids)[::7]])
 
 
+def test_very_long_words():
+    """Memory and time stay in proportion to the letters of a word."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = ["a" * 1_000_000, "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "the" * 100_000 + " x" + "é" * 50_000]
+    ids, _ = MINE.encode([t.encode() for t in texts])
+    for t, i in zip(texts, ids):
+        assert list(struct.unpack(f"<{len(i) // 4}I", i)) == LIB.encode(t, add_special_tokens=False).ids
+    MINE.forget()
+    tracemalloc.start()
+    MINE.encode([texts[1][:300_000].encode()])
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    MINE.forget()
+
+
 def test_memory_starts_anew(monkeypatch):
     import quartzfolio.llm.bpe as m
 
