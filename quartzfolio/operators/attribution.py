@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calendar import numbered
+
 
 def quotient(top: Column, bottom: Column, limit: Column) -> Column:
     return F.when(F.abs(bottom) > 1e-12, top / bottom).otherwise(limit)
@@ -70,6 +72,22 @@ def covariance(rows: DataFrame, keys: list[str], value: str, name: str = "instru
     return a.join(b, [*keys, month]).groupBy(*keys, "i", "j").agg(F.covar_samp("x", "y").alias("value"))
 
 
+def window_covariance(rows: DataFrame, months: DataFrame, size: int = 60, value: str = "excess", name: str = "instrument") -> DataFrame:
+    """Sample covariances of every pair over each traded month's windows: protocol,
+    traded, i, j, value.
+
+    A pair's products of a month are joined once; the windows are frames over the
+    calendar's places, so no month is repeated for the windows that hold it.
+    """
+    placed = rows.join(F.broadcast(numbered(months)), "period_month").select("period_month", "pos", F.col(name).alias("i"), F.col(value).alias("x"))
+    pairs = placed.join(placed.select("period_month", F.col("i").alias("j"), F.col("x").alias("y")), "period_month")
+    order = Window.partitionBy("i", "j").orderBy("pos")
+    frames = {"rolling": order.rangeBetween(-size, -1), "expanding": order.rangeBetween(Window.unboundedPreceding, -1)}
+    cells = F.array(*[F.struct(F.lit(k).alias("protocol"), F.covar_samp("x", "y").over(frame).alias("value")) for k, frame in frames.items()])
+    found = pairs.select(F.col("period_month").alias("traded"), "i", "j", "pos", cells.alias("cells")).where(F.col("pos") >= size)
+    return found.select("traded", "i", "j", F.explode("cells").alias("c")).select("c.protocol", "traded", "i", "j", "c.value")
+
+
 def contributions(weights: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
     """Euler contributions: marginal, contribution and share per instrument."""
     w, v = weights.select(*keys, F.col("instrument").alias("i"), F.col("weight").alias("wi")), weights.select(*keys, F.col("instrument").alias("j"), F.col("weight").alias("wj"))

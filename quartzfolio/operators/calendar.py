@@ -79,7 +79,7 @@ def steps(months: DataFrame, protocol: str = "rolling", size: int = 60, column:
 
 def blocks(rows: DataFrame, steps_: DataFrame, column: str = "period_month") -> DataFrame:
     """The rows every step may read: an equi-join on the exploded window."""
-    wanted = steps_.select("protocol", "traded", F.explode("window").alias(column))
+    wanted = steps_.select("protocol", "traded", "window_start", "months", F.explode("window").alias(column))
     return wanted.join(rows, column)
 
 

@@ -86,10 +86,21 @@ def currency_split(prices: DataFrame, fx: DataFrame, base: str = "EUR") -> DataF
 
 
 def excess_table(prices: DataFrame, fx: DataFrame, cash: DataFrame, months: DataFrame) -> DataFrame:
-    """The return table: currency split, cash and excess on the joined months."""
-    split = currency_split(prices.join(months, "period_month", "left_semi"), fx)
+    """The return table: currency split, cash and excess on the joined months.
+
+    The panel's first month has no return and is left out. Any other month that an
+    instrument, a rate or a quote lacks raises when it is read: a return across a hole
+    would be an invented one.
+    """
+    held = prices.join(months, "period_month", "left_semi")
+    split = currency_split(held, fx)
+    size = F.broadcast(months.agg(F.countDistinct("period_month").alias("_months")))  # one row
     rows = split.join(cash, "period_month", "left").withColumn("excess", F.col("euro") - F.col("rf"))
-    return rows.where("excess is not null").select("period_month", "instrument", "currency", "local", "translation", "euro", "rf", "excess")
+    rows = rows.withColumn("_held", F.count("*").over(Window.partitionBy("instrument"))).crossJoin(size)
+    refuse = lambda why: F.raise_error(F.concat("instrument", F.lit(" "), F.col("period_month").cast("string"), F.lit(why))).cast("double")
+    excess = F.when(F.col("_held") != F.col("_months") - 1, refuse(": the instrument's months are not the panel's")).when(F.col("excess").isNull(), refuse(": no return can be computed"))
+    rows = rows.withColumn("excess", excess.otherwise(F.col("excess")))
+    return rows.select("period_month", "instrument", "currency", "local", "translation", "euro", "rf", "excess")
 
 
 def wide(rows: DataFrame, names: list[str], value: str, name: str = "instrument") -> DataFrame:

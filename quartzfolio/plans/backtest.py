@@ -75,8 +75,19 @@ def window_rows(returns: DataFrame, steps: DataFrame, universe: DataFrame) -> Da
     return C.blocks(rows.select("period_month", "ord", "instrument", "excess", "policy"), steps)
 
 
-def _matrix(frame: pd.DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
+def require_observations(frame: pd.DataFrame, held: pd.Index, least: int = 59) -> None:
+    """Refuses a window with a hole: only its first month may be absent, and ``least``
+    months are needed."""
+    months, start = int(frame["months"].iloc[0]), frame["window_start"].iloc[0]
+    if len(held) < least:
+        raise Refusal(f"the window from {start} holds {len(held)} months of {least} at least")
+    if months - len(held) > 1 or (months - len(held) == 1 and held[0] == start):
+        raise Refusal(f"the window from {start} holds {len(held)} of its {months} months: a hole")
+
+
+def _matrix(frame: pd.DataFrame, size: int = 60) -> tuple[np.ndarray, list[str], np.ndarray]:
     wide = frame.pivot(index="period_month", columns="ord", values="excess").sort_index().dropna()
+    require_observations(frame, wide.index, size - 1)
     names = frame.drop_duplicates("ord").sort_values("ord")
     return wide.to_numpy(), names["instrument"].tolist(), names["policy"].to_numpy()
 
@@ -95,24 +106,25 @@ TARGETS = "run_id string, protocol string, traded date, instrument string, ord i
 def targets(rows: DataFrame, runs: DataFrame, size: int = 60) -> DataFrame:
     """Phase one: a target vector, or the refusal, per run and traded month."""
     specs = [tuple(r) for r in runs.collect()]  # the declared runs
+    columns = [c.split()[0] for c in TARGETS.split(", ")]
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         protocol, traded, estimator = frame["protocol"].iloc[0], frame["traded"].iloc[0], frame["estimator"].iloc[0]
+        own_specs = [r for r in specs if r[3] == estimator and r[6] == protocol]
+        try:
+            x, names, policy = _matrix(frame, size)
+            cov, intensity = K.ESTIMATORS[estimator](x)
+        except (Refusal, np.linalg.LinAlgError) as e:
+            return pd.DataFrame([(r[0], protocol, traded, None, None, None, None, str(e)) for r in own_specs], columns=columns)
         out = []
-        x, names, policy = _matrix(frame)
-        for run_id, _, family, wanted, mean, cap, own in specs:
-            if wanted != estimator or own != protocol:
-                continue
+        for run_id, _, family, _, mean, cap, _ in own_specs:
             try:
-                if len(x) < size - 1:
-                    raise Refusal(f"{len(x)} rows in the window")
-                cov, intensity = K.ESTIMATORS[estimator](x)
                 options = {"norm": len(names) ** -0.5} if mean == "none" else {}
                 w = K.FAMILIES[family](cov, _mean(mean, x, cov, policy), x, cap, policy, **options)
                 out += [(run_id, protocol, traded, n, k, float(v), intensity, None) for k, (n, v) in enumerate(zip(names, w, strict=True))]
             except (Refusal, np.linalg.LinAlgError) as e:
                 out.append((run_id, protocol, traded, None, None, None, None, str(e)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TARGETS.split(", ")])
+        return pd.DataFrame(out, columns=columns)
 
     kinds = runs.select("estimator", "protocol").distinct()
     return rows.join(F.broadcast(kinds), "protocol").groupBy("estimator", "protocol", "traded").applyInPandas(solve, TARGETS)
@@ -183,17 +195,14 @@ def write_manifests(records: DataFrame, path: str) -> None:
 
 
 def grouped(rows: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
-    """A kernel over each window's matrix: ``kernel(x, names)`` gives rows of tuples."""
+    """A kernel over each window's matrix: ``kernel(x, names)`` gives rows of tuples.
+    A window with a hole, or one the kernel refuses, raises."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x, instruments, _ = _matrix(frame)
         head = tuple(frame[k].iloc[0] for k in keys)
-        try:
-            found = [(*head, *row) for row in kernel(x, instruments)]
-        except (Refusal, np.linalg.LinAlgError):
-            found = []
-        return pd.DataFrame(found, columns=names)
+        return pd.DataFrame([(*head, *row) for row in kernel(x, instruments)], columns=names)
 
     return rows.groupBy(*keys).applyInPandas(run, schema)
 

@@ -6,9 +6,10 @@ since sums depend on their order.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import kernels as K
@@ -22,6 +23,7 @@ from .plans import backtest as B
 from .plans import factors as X
 from .plans import study as S
 from .sources import panel as P
+from .sources.scratch import once, scope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,10 +101,15 @@ def _sql(body: str) -> str:
 
 def register(sql: str | None = None):
     def add(function):
-        QUERIES[function.__name__] = function
+        @functools.wraps(function)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with scope():
+                return function(spark, sf_dir)
+
+        QUERIES[function.__name__] = query
         if sql:
             ORACLE_SQL[function.__name__] = _sql(sql)
-        return function
+        return query
 
     return add
 
@@ -152,8 +159,7 @@ def month_span(spark, d):
 
 @register("SELECT period_month FROM months")
 def joined_months(spark, d):
-    p = P.load(spark, d)
-    return R.joined_months(p.prices, p.fx, R.splice(p.rates, P.SPLICE).select(C.month("day").alias("period_month")))
+    return P.load(spark, d).months
 
 
 @register("SELECT instrument, period_month FROM prices WHERE period_month BETWEEN DATE '1996-01-01' AND DATE '2000-12-01'")
@@ -169,8 +175,7 @@ def window_dropped(spark, d):
 @register(f"SELECT instrument, period_month, currency, {_round('local, translation, euro')} FROM split")
 def currency_split(spark, d):
     p = P.load(spark, d)
-    months = R.joined_months(p.prices, p.fx, R.splice(p.rates, P.SPLICE).select(C.month("day").alias("period_month")))
-    return rounded(R.currency_split(p.prices.join(months, "period_month", "left_semi"), p.fx))
+    return rounded(R.currency_split(p.prices.join(p.months, "period_month", "left_semi"), p.fx))
 
 
 @register(f"SELECT day, {_round('pct')} FROM spliced")
@@ -215,7 +220,7 @@ def returns_agreement(spark, d):
     p = P.load(spark, d)
     p.prices.createOrReplaceTempView("qf_prices")
     p.fx.createOrReplaceTempView("qf_fx")
-    R.accrue_monthly(R.splice(p.rates, P.SPLICE)).createOrReplaceTempView("qf_cash")
+    p.cash.createOrReplaceTempView("qf_cash")
     other = spark.sql("""
         WITH months AS (SELECT DISTINCT period_month FROM qf_prices INTERSECT SELECT period_month FROM qf_fx INTERSECT SELECT period_month FROM qf_cash),
         fxret AS (SELECT currency, period_month, close / lag(close) OVER (PARTITION BY currency ORDER BY period_month) - 1 AS fx FROM qf_fx),
@@ -243,17 +248,18 @@ def named_set(spark, d):
 
 @register("SELECT protocol, traded, window_start, window_end, CAST(months AS INTEGER) AS months, CAST(window_end + INTERVAL 1 MONTH AS DATE) AS available_from, window_end AS gated_by, 'monthly' AS refit FROM steps")
 def walk_forward_steps(spark, d):
-    return B.all_steps(P.load(spark, d).returns.select("period_month").distinct().transform(lambda x: _calendar(spark, d))).drop("window")
+    return B.all_steps(P.load(spark, d).months).drop("window")
 
 
-def _calendar(spark, d):
+def _windows(spark, d):
     p = P.load(spark, d)
-    return R.joined_months(p.prices, p.fx, R.splice(p.rates, P.SPLICE).select(C.month("day").alias("period_month")))
+    return p, once(spark, ("windows", d), lambda: B.window_rows(p.returns, B.all_steps(p.months), P.universe(spark)))
 
 
-def _windows(spark, d):
+def _covariance(spark, d):
+    """protocol, traded, i, j, value of every window, by running frames over the months."""
     p = P.load(spark, d)
-    return p, B.window_rows(p.returns, B.all_steps(_calendar(spark, d)), P.universe(spark))
+    return once(spark, ("covariance", d), lambda: A.window_covariance(p.returns, p.months))
 
 
 @register("SELECT protocol, traded, count(DISTINCT period_month) AS observations, count(*) AS cells, max(period_month) AS newest FROM windows GROUP BY 1, 2")
@@ -263,7 +269,7 @@ def window_block(spark, d):
 
 @register("SELECT protocol, traded, 'row at or after the traded month' AS rule FROM windows WHERE period_month >= traded")
 def no_look_ahead(spark, d):
-    months = _calendar(spark, d)
+    months = P.load(spark, d).months
     return C.look_ahead(B.all_steps(months), _windows(spark, d)[1], months)
 
 
@@ -311,7 +317,7 @@ def premiums(spark, d):
 
 @register(f"SELECT protocol, traded, i, j, {_round('value', 10)} FROM cov")
 def rolling_covariance(spark, d):
-    return rounded(A.covariance(_windows(spark, d)[1], ["protocol", "traded"], "excess"), 10)
+    return rounded(_covariance(spark, d), 10)
 
 
 @register("SELECT a.instrument AS i, b.instrument AS j, round(corr(a.excess, b.excess), 8) AS value FROM returns a JOIN returns b ON a.period_month = b.period_month GROUP BY 1, 2")
@@ -323,27 +329,31 @@ def correlation_matrix(spark, d):
 
 def _books(spark, d):
     p, windows = _windows(spark, d)
+    return p, windows, once(spark, ("books", d), lambda: _simple_books(spark, windows))
+
+
+def _simple_books(spark, windows):
     dim = P.universe(spark)
     months = windows.select("traded").distinct()
     equal = months.crossJoin(F.broadcast(dim)).select(F.lit("equal_weight").alias("run_id"), "traded", "instrument", F.lit(1.0 / len(P.UNIVERSE)).alias("weight"))
     policy = months.crossJoin(F.broadcast(dim)).select(F.lit("policy").alias("run_id"), "traded", "instrument", F.col("policy").alias("weight"))
     sd = windows.where("protocol = 'rolling'").groupBy("traded", "instrument").agg((1 / F.stddev_samp("excess")).alias("x"))
-    from pyspark.sql import Window
-
     inverse = sd.select(F.lit("inverse_volatility").alias("run_id"), "traded", "instrument", (F.col("x") / F.sum("x").over(Window.partitionBy("traded"))).alias("weight"))
-    return p, windows, equal.unionByName(policy).unionByName(inverse)
+    return equal.unionByName(policy).unionByName(inverse)
 
 
 def _series(spark, d):
-    from pyspark.sql import Window
-
     p, windows, books = _books(spark, d)
+    return p, windows, books, once(spark, ("series", d), lambda: _simple_series(p, books))
+
+
+def _simple_series(p, books):
     before = F.lag("weight").over(Window.partitionBy("run_id", "instrument").orderBy("traded"))
     moved = books.withColumn("move", F.abs(F.col("weight") - before))
     rows = moved.join(p.returns.withColumnRenamed("period_month", "traded"), ["traded", "instrument"])
     out = rows.groupBy("run_id", "traded").agg(F.sum(F.col("weight") * F.col("excess")).alias("gross"), F.coalesce(F.sum("move") / 2, F.lit(0.0)).alias("turnover"))
     out = out.withColumn("net", F.col("gross") - M.cost(F.col("turnover")))
-    return p, windows, books, M.active(out, out.where("run_id = 'policy'").select("traded", F.col("gross").alias("net")))
+    return M.active(out, out.where("run_id = 'policy'").select("traded", F.col("gross").alias("net")))
 
 
 @register(f"SELECT run_id, traded, instrument, {_round('weight')} FROM books")
@@ -438,7 +448,7 @@ _EULER = """SELECT run_id, w.traded, w.i AS instrument, weight, sqrt(variance) A
 
 def _euler(spark, d):
     p, windows, books = _books(spark, d)
-    cov = A.covariance(windows.where("protocol = 'rolling'"), ["traded"], "excess")
+    cov = _covariance(spark, d).where("protocol = 'rolling'").drop("protocol")
     return p, A.contributions(books, cov, ["run_id", "traded"])
 
 
@@ -463,7 +473,7 @@ def euler_additivity(spark, d):
     JOIN (SELECT run_id, stddev_samp(active) * sqrt(12.0) AS ex_post FROM active GROUP BY 1) USING (run_id) WHERE run_id <> 'policy' GROUP BY 1""")
 def forecast_quality(spark, d):
     _, windows, books, series = _series(spark, d)
-    cov = A.covariance(windows.where("protocol = 'rolling'"), ["traded"], "excess")
+    cov = _covariance(spark, d).where("protocol = 'rolling'").drop("protocol")
     gap = books.where("run_id <> 'policy'").join(F.broadcast(P.universe(spark).select("instrument", "policy")), "instrument").withColumn("a", F.col("weight") - F.col("policy"))
     x, y = (gap.select("run_id", "traded", F.col("instrument").alias(k), F.col("a").alias(f"a{k}")) for k in "ij")
     before = x.join(cov, ["traded", "i"]).join(y, ["run_id", "traded", "j"]).groupBy("run_id", "traded").agg(F.sqrt(12 * F.greatest(F.sum(F.col("ai") * F.col("value") * F.col("aj")), F.lit(0.0))).alias("ex_ante"))
@@ -560,11 +570,21 @@ def grs_spanning(spark, d):
 
 
 def _grid(spark, d):
+    """The panel, the runs, and their targets: each window solved once."""
     p, windows = _windows(spark, d)
     B.validate()
     runs = B.registry(spark)
-    found = B.targets(windows, runs)
-    return p, runs, found
+    return p, runs, once(spark, ("targets", d), lambda: B.targets(windows, runs))
+
+
+def _path(spark, d):
+    p, runs, found = _grid(spark, d)
+    return p, once(spark, ("path", d), lambda: B.books(found, runs))
+
+
+def _grid_series(spark, d):
+    p, path = _path(spark, d)
+    return p, once(spark, ("grid_series", d), lambda: B.series(path, p.returns))
 
 
 @register()
@@ -579,22 +599,19 @@ def grid_cuts(spark, d):
 
 @register()
 def grid_books(spark, d):
-    _, runs, found = _grid(spark, d)
-    return B.books(found, runs)
+    return _path(spark, d)[1]
 
 
 @register()
 def grid_summary(spark, d):
-    p, runs, found = _grid(spark, d)
-    path = B.books(found, runs)
-    return B.summary(B.series(path, p.returns)).join(B.establishment(path).select("run_id", F.col("cost").alias("establishment_cost")), "run_id")
+    funded = B.establishment(_path(spark, d)[1]).select("run_id", F.col("cost").alias("establishment_cost"))
+    return B.summary(_grid_series(spark, d)[1]).join(funded, "run_id")
 
 
 @register()
 def grid_metrics(spark, d):
     """The metric rows of all runs, active against the costless policy book."""
-    p, runs, found = _grid(spark, d)
-    rows = B.series(B.books(found, runs), p.returns)
+    rows = _grid_series(spark, d)[1]
     bench = rows.where("run_id = 'policy'").select("traded", F.col("gross").alias("net"))
     return M.block(M.active(rows, bench), "run_id")
 
@@ -610,11 +627,6 @@ def factor_attribution(spark, d):
     return X.decomposition(gap.withColumn("a", F.col("weight") - F.col("policy")), X.rolling(rows, names), X.design(rows, at, names))
 
 
-def _grid_series(spark, d):
-    p, runs, found = _grid(spark, d)
-    return p, B.series(B.books(found, runs), p.returns)
-
-
 @register()
 def study_rows(spark, d):
     return S.rows(_grid_series(spark, d)[1]).drop("claim")
@@ -697,8 +709,7 @@ def path_contributions(spark, d):
 
 @register("SELECT i AS instrument, traded, round(sum(policy * value), 10) AS covariance_with_policy FROM cov JOIN universe ON instrument = j WHERE protocol = 'rolling' GROUP BY 1, 2")
 def policy_betas(spark, d):
-    windows = _windows(spark, d)[1].where("protocol = 'rolling'")
-    cov = A.covariance(windows, ["traded"], "excess")
+    cov = _covariance(spark, d).where("protocol = 'rolling'").drop("protocol")
     rows = cov.join(F.broadcast(P.universe(spark).select(F.col("instrument").alias("j"), "policy")), "j")
     return rounded(rows.groupBy(F.col("i").alias("instrument"), "traded").agg(F.sum(F.col("policy") * F.col("value")).alias("covariance_with_policy")), 10)
 
@@ -706,7 +717,7 @@ def policy_betas(spark, d):
 @register("SELECT run_id, traded, round(sum(weight * sqrt(value)) / max(vol), 8) AS ratio FROM books JOIN cov c USING (traded) JOIN (SELECT b.run_id, b.traded, sqrt(sum(b.weight * c.value * x.weight)) AS vol FROM books b JOIN cov c ON c.protocol = 'rolling' AND c.traded = b.traded AND c.i = b.instrument JOIN books x ON x.run_id = b.run_id AND x.traded = b.traded AND x.instrument = c.j GROUP BY 1, 2) v USING (run_id, traded) WHERE c.protocol = 'rolling' AND c.i = c.j AND c.i = books.instrument GROUP BY 1, 2")
 def diversification_ratio(spark, d):
     _, windows, books = _books(spark, d)
-    cov = A.covariance(windows.where("protocol = 'rolling'"), ["traded"], "excess")
+    cov = _covariance(spark, d).where("protocol = 'rolling'").drop("protocol")
     sd = cov.where("i = j").select("traded", F.col("i").alias("instrument"), F.sqrt("value").alias("sd"))
     rows = A.contributions(books, cov, ["run_id", "traded"]).join(sd, ["traded", "instrument"])
     return rounded(rows.groupBy("run_id", "traded").agg((F.sum(F.col("weight") * F.col("sd")) / F.max("volatility")).alias("ratio")))
@@ -714,8 +725,6 @@ def diversification_ratio(spark, d):
 
 @register("SELECT run_id, traded, instrument, round(CASE WHEN abs(target - held) > 0.01 THEN target ELSE held END, 8) AS aim, round(sum(abs(target - held)) OVER (PARTITION BY run_id, traded) / 2, 8) AS one_way FROM (SELECT *, weight AS target, lag(weight) OVER (PARTITION BY run_id, instrument ORDER BY traded) AS held FROM books) WHERE held IS NOT NULL")
 def no_trade_band(spark, d):
-    from pyspark.sql import Window
-
     books = _books(spark, d)[2]
     held = F.lag("weight").over(Window.partitionBy("run_id", "instrument").orderBy("traded"))
     rows = books.withColumn("held", held).where("held is not null").withColumn("gap", F.abs(F.col("weight") - F.col("held")))

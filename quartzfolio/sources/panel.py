@@ -1,8 +1,11 @@
 """The star-schema tables as a monthly panel: the long-table contract.
 
-One aggregation of each fact table gives everything that follows; its result is a
-few rows per instrument and month, so only the scans grow with the data. Filters on
-dates stand on the plain columns, so they reach the Parquet readers.
+One scan and one aggregation of each fact table give everything that follows: line
+items by instrument and month and by rate leg and day at once (grouping sets, so the
+map side already reduces to a few rows per instrument, month and day), orders by
+segment and month. Both results are written tables, so no plan behind them scans a
+fact table again. Filters on dates stand on the plain columns and reach the Parquet
+readers; a dimension is broadcast only where Spark measures it as small.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calendar import add_availability, month
+from .scratch import once
 
 #: The panel's declared window and splice date, and the universe in its fixed order:
 #: instrument, sleeve currency, group, policy weight (all fixed values).
@@ -50,18 +54,29 @@ def facts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FACTS), "instrument string, income string, size string")
 
 
+def line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the line items: totals per (instrument, period_month), with a null
+    leg and day, and mean tax per (leg, day), with a null instrument and month."""
+
+    def build() -> DataFrame:
+        line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(PRICE_END).cast("timestamp_ntz"))
+        leg = F.when(F.col("l_linestatus") == "F", "A").when(F.col("l_linestatus") == "O", "B")
+        line = line.select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", month("l_shipdate").alias("period_month"), F.to_date("l_shipdate").alias("day"), leg.alias("leg"))
+        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("instrument"))
+        keys = [F.col(c) for c in ("instrument", "period_month", "leg", "day")]
+        sums = line.join(part, "l_partkey", "left").groupingSets([keys[:2], keys[2:]], *keys).agg(
+            F.grouping("day").alias("of_month"), F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"),
+            F.avg("l_discount").alias("cut"), F.avg("l_tax").alias("tax"),
+        )
+        return sums
+
+    return once(spark, ("lines", sf_dir), build)
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """instrument, period_month, available_from, close, adj_close, dividend, currency, kind."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(PRICE_END).cast("timestamp_ntz"))
-    line = line.select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
-    # Pre-aggregated by part before the join: what is shuffled is parts x months.
-    by_part = line.groupBy("l_partkey", month("l_shipdate").alias("period_month")).agg(
-        F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"), F.sum("l_discount").alias("discount"), F.count("l_discount").alias("n")
-    )
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("instrument"))
-    level = by_part.join(part, "l_partkey").groupBy("instrument", "period_month").agg(
-        (F.sum("amount") / F.sum("quantity")).alias("level"), (F.sum("discount") / F.sum("n")).alias("cut")
-    )
+    level = line_totals(spark, sf_dir).where("of_month = 1 and instrument is not null")
+    level = level.select("instrument", "period_month", (F.col("amount") / F.col("quantity")).alias("level"), "cut")
     out = level.select(
         "instrument", "period_month", (F.col("level") * (1 - F.col("cut"))).alias("close"), F.col("level").alias("adj_close"),
         F.when(F.month("period_month") % 3 == 0, F.col("level") * F.col("cut")).otherwise(0.0).alias("dividend"),
@@ -72,27 +87,31 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """factor (market segment), period_month, level: the mean order total."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(ORDER_END).cast("timestamp_ntz"))
-    by_customer = orders.groupBy("o_custkey", month("o_orderdate").alias("period_month")).agg(F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("n"))
-    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("factor"))
-    return by_customer.join(customer, "o_custkey").groupBy("factor", "period_month").agg((F.sum("s") / F.sum("n")).alias("level"))
+
+    def build() -> DataFrame:
+        orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(ORDER_END).cast("timestamp_ntz"))
+        orders = orders.select("o_custkey", month("o_orderdate").alias("period_month"), "o_totalprice")
+        customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("factor"))
+        return orders.join(customer, "o_custkey").groupBy("factor", "period_month").agg(F.avg("o_totalprice").alias("level"))
+
+    return once(spark, ("orders", sf_dir), build)
 
 
 def overnight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """leg (A or B), day, pct: the daily overnight rate of either leg."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(PRICE_END).cast("timestamp_ntz"))
-    leg = F.when(F.col("l_linestatus") == "F", "A").when(F.col("l_linestatus") == "O", "B")
-    return line.groupBy(leg.alias("leg"), F.to_date("l_shipdate").alias("day")).agg((F.avg("l_tax") * 100).alias("pct")).where("leg is not null")
+    return line_totals(spark, sf_dir).where("of_month = 0 and leg is not null").select("leg", "day", (F.col("tax") * 100).alias("pct"))
 
 
 @dataclass(frozen=True)
 class Panel:
-    """The lazy relations of one panel."""
+    """The relations of one panel; ``months`` is the joined calendar."""
 
     prices: DataFrame
     fx: DataFrame
     factors: DataFrame
     rates: DataFrame
+    cash: DataFrame
+    months: DataFrame
     returns: DataFrame
 
 
@@ -103,5 +122,6 @@ def load(spark: SparkSession, sf_dir: str) -> Panel:
     fx = levels.where("factor = 'BUILDING'").select(F.lit("SEK").alias("currency"), "period_month", (F.col("level") / 10000).alias("close"))
     factors = R.monthly_returns(levels, "factor", "level")
     cash = R.accrue_monthly(R.splice(rates, SPLICE))
-    months = R.joined_months(price, fx, cash)
-    return Panel(price, fx, factors, rates, R.excess_table(price, fx, cash, months))
+    months = once(spark, ("months", sf_dir), lambda: R.joined_months(price, fx, levels, cash).coalesce(1))
+    returns = once(spark, ("returns", sf_dir), lambda: R.excess_table(price, fx, cash, months).coalesce(1))
+    return Panel(price, fx, factors, rates, cash, months, returns)
