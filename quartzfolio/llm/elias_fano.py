@@ -1,4 +1,4 @@
-"""Monotone sequences and a two-level n-gram trie in memory-mapped files."""
+"""Monotone sequences and an n-gram trie of any number of levels in memory-mapped files."""
 
 from __future__ import annotations
 
@@ -52,6 +52,15 @@ class EliasFano:
                 out |= low[:, i].astype(np.uint64) << np.uint64(i)
         return out
 
+    def get(self, wanted: np.ndarray) -> np.ndarray:
+        """Elements at ascending places; each chunk that holds one is decoded once."""
+        out = np.zeros(len(wanted), np.uint64)
+        edges = np.searchsorted(wanted, np.arange(0, self.n + CHUNK, CHUNK))
+        for k in np.flatnonzero(np.diff(edges)):
+            a, b = int(edges[k]), int(edges[k + 1])
+            out[a:b] = self.chunk(int(k))[wanted[a:b] - int(k) * CHUNK]
+        return out
+
     def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a strictly increasing sequence, for sorted values: place of the first
         element not below each, and whether it is equal. Each chunk that holds answers
@@ -69,8 +78,9 @@ class EliasFano:
         return place, equal
 
 
-#: Logarithms to base 10 from -LOWEST to 0 in 255 steps; 0 stands for "none".
-LOWEST = 9.0
+#: Logarithms to base 10 from -LOWEST to 0 in 255 steps; 0 stands for "none". A value
+#: is off by 5.6 percent at most, and no count below 10**11 reaches the lowest one.
+LOWEST = 12.0
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -86,43 +96,95 @@ def restore(code: np.ndarray) -> np.ndarray:
     return _VALUES[code]
 
 
+class Level:
+    """The successors of every node of the level above, in order of their nodes.
+
+    ``pointers`` (Elias-Fano) says where a node's successors start. A successor's value
+    is relative to its node: its word number, from 1, plus the last value stored before
+    the node's first successor, which keeps the whole level one monotone sequence. So a
+    search reads the node's two pointers and the value before the first, and only then
+    can look for its word between them.
+    """
+
+    def __init__(self, path: str, nodes: int, parent: np.ndarray, word: np.ndarray):
+        """``parent`` and ``word`` sorted by both, without repeats."""
+        count = np.bincount(parent, minlength=nodes) if len(parent) else np.zeros(nodes, np.int64)
+        ends = np.cumsum(count)
+        last = np.zeros(nodes, np.uint64)
+        full = count > 0
+        last[full] = word[ends[full] - 1] + np.uint64(1)
+        before = np.cumsum(last) - last
+        self.pointers = EliasFano.write(f"{path}.pointers", np.r_[0, ends])
+        self.values = EliasFano.write(f"{path}.values", word + np.uint64(1) + before[parent])
+
+    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each (node, word), sorted by both; -1 where it is not there."""
+        out = np.full(len(parent), -1, np.int64)
+        if not len(parent) or not self.values.n:
+            return out
+        nodes, of = np.unique(parent, return_inverse=True)
+        low, high = self.pointers.get(nodes).astype(np.int64), self.pointers.get(nodes + 1).astype(np.int64)
+        base = np.where(low > 0, self.values.get(np.maximum(low - 1, 0)), np.uint64(0))
+        top = np.where(high > low, self.values.get(np.maximum(high - 1, 0)), np.uint64(0))
+        target = base[of] + word + np.uint64(1)
+        maybe = np.flatnonzero((high > low)[of] & (target <= top[of]))
+        place, equal = self.values.successor(target[maybe])
+        hit = equal & (place >= low[of[maybe]]) & (place < high[of[maybe]])
+        out[maybe[hit]] = place[hit]
+        return out
+
+
 class NgramTrie:
-    """Contexts and their successors with quantised discounted probabilities.
+    """Words, their successors, and the successors of word pairs, with quantised
+    discounted probabilities.
 
-    Level one: context numbers with counts, back-off weights and pointers. Level
-    two: successors, relative to their context: a successor's value is its word plus
-    its context's rank times 2**40, which makes the whole level one monotone sequence.
+    Level one holds context words with counts and back-off weights, level two their
+    successors with probabilities and, as contexts, back-off weights and counts, level
+    three the successors of those. What a level knows of its elements is an array in a
+    file, one 8-bit code or count an element, mapped when it is asked.
     """
 
-    def __init__(self, folder: str, contexts: np.ndarray, rank: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float):
-        """``contexts`` sorted; (rank, word) sorted, counts above 0."""
-        n = len(contexts)
-        total = np.bincount(rank, count, n) if len(rank) else np.zeros(n)
-        kinds = np.bincount(rank, minlength=n)
-        self.words = EliasFano.write(f"{folder}/words", contexts)
-        self.pointers = EliasFano.write(f"{folder}/pointers", np.r_[0, np.cumsum(kinds)])
-        self.successors = EliasFano.write(f"{folder}/successors", rank.astype(np.uint64) << np.uint64(40) | word)
-        for name, data in (("count", total.astype("<u4")), ("weight", quantise(np.divide(discount * kinds, total, out=np.zeros(n), where=total > 0)))):
-            data.tofile(f"{folder}/{name}")
-        chance = (count - discount) / total[rank] if len(rank) else np.zeros(0)
-        quantise(chance).tofile(f"{folder}/chance")
-        self.folder = folder
-
-    def _map(self, name: str, kind: str) -> np.ndarray:
+    def __init__(self, folder: str, words: np.ndarray, pairs: tuple, triples: tuple, discount: float):
+        """``words`` sorted; ``pairs`` (word's place, next word, count, ...) and ``triples``
+        (pair's place, next word, count) sorted by the first two. A pair may have count 0
+        and still be the context of triples."""
+        self.folder, self.discount = folder, discount
+        first, second, count = pairs
+        self.words = EliasFano.write(f"{folder}/words", words)
+        self.second = Level(f"{folder}/second", len(words), first, second)
+        self.third = Level(f"{folder}/third", len(first), *triples[:2])
+        self._write("1", len(words), first, count)
+        self._write("2", len(first), triples[0], triples[2])
+
+    def _write(self, name: str, nodes: int, parent: np.ndarray, count: np.ndarray) -> None:
+        seen = count > 0
+        total = np.bincount(parent, count, nodes) if len(parent) else np.zeros(nodes)
+        kinds = np.bincount(parent[seen], minlength=nodes) if len(parent) else np.zeros(nodes)
+        chance = np.maximum(count - self.discount, 0) / np.maximum(total[parent], 1) if len(parent) else np.zeros(0)
+        weight = np.divide(self.discount * kinds, total, out=np.zeros(nodes), where=total > 0)
+        for kind, data in (("total", total.astype("<i8")), ("weight", quantise(weight)), ("chance", quantise(chance))):
+            data.tofile(f"{self.folder}/{kind}{name}")
+
+    def _map(self, name: str, kind: str = "u1") -> np.ndarray:
         path = f"{self.folder}/{name}"
         return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
-    def context(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rank, count and weight code of sorted context numbers (count 0: unknown)."""
+    def _pick(self, name: str, place: np.ndarray, kind: str = "u1") -> np.ndarray:
+        data = self._map(name, kind)
+        return np.where(place >= 0, data[np.maximum(place, 0)], 0).astype(kind) if len(data) else np.zeros(len(place), kind)
+
+    def word(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, counts and weight codes of sorted context words (place -1: not there)."""
         place, known = self.words.successor(wanted)
-        place = np.where(known, place, 0)
-        count, weight = self._map("count", "<u4"), self._map("weight", "u1")
-        if not len(count):
-            return place, np.zeros(len(wanted), "<u4"), np.zeros(len(wanted), "u1")
-        return place, np.where(known, count[place], 0), np.where(known, weight[place], 0).astype("u1")
-
-    def chance(self, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of the probabilities of sorted (context rank, word) pairs; 0: not seen."""
-        place, known = self.successors.successor(rank.astype(np.uint64) << np.uint64(40) | word)
-        codes = self._map("chance", "u1")
-        return np.where(known, codes[np.where(known, place, 0)], 0).astype("u1") if len(codes) else np.zeros(len(rank), "u1")
+        place = np.where(known, place, -1)
+        return place, self._pick("total1", place, "<i8"), self._pick("weight1", place)
+
+    def pair(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted (word's place, next word): places, probability codes, and as a
+        context the weight codes and counts."""
+        place = self.second.find(first, second)
+        return place, self._pick("chance1", place), self._pick("weight2", place), self._pick("total2", place, "<i8")
+
+    def triple(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Probability codes of sorted (pair's place, next word)."""
+        return self._pick("chance2", self.third.find(pair, word))

@@ -1,24 +1,29 @@
 """Language-model scoring with an Elias-Fano n-gram trie, dealt over the cluster.
 
-The model is an interpolated bigram model with absolute discounting over smoothed
-unigrams: p(w | v) = max(c(v, w) - D, 0) / c(v) + D t(v) / c(v) p1(w), with t(v) the
-number of different successors of v and p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
-Order two, because nearly every longer n-gram of a corpus of open vocabulary occurs
-once. Discounted probabilities and back-off weights are held as 8-bit logarithms
-(error below 4 percent each), counts exactly.
-
-Documents are packed into blocks. A block sends its different contexts and word
-pairs, each once with its count, to the partition of the context, so what is
-gathered grows with the corpus and nothing goes to the driver but N, V and the list
-of contexts that hold at least ``HEAVY`` of all words (at most 1 / HEAVY of them).
-Those are split over all partitions by successor, so a word of any frequency loads
-all partitions alike. A partition builds its trie from the training counts, maps its
-files, answers the blocks' pairs by successor search, and the blocks add up scores.
-
-Words are told apart by 48-bit hashes within a partition and by 40 bits among one
-context's successors. Null text is empty text: its one token is the end. Rows with a
-null id are held out and scored; repeated ids count as often as they stand there. An
-empty table gives an empty result; without training rows all tokens are unknown.
+The model is an interpolated trigram model with absolute discounting over smoothed
+unigrams: p(w | u v) = max(c(u, v, w) - D, 0) / c(u, v) + D t(u, v) / c(u, v) p(w | v),
+with c(u, v) the times a word follows u v and t(u, v) the number of different words
+that do, p(w | v) alike one order lower, and p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+at the bottom; a context that was never seen leaves its order out. The first token of
+a document has no more context than the document's start, the second one word more.
+Discounted probabilities and back-off weights are held as 8-bit logarithms, counts
+exactly and in 64 bits; the back-off weights of often contexts come from whole counts.
+
+Documents are packed into blocks. A block sends its different contexts, word pairs
+and triples, each once with its count, to the partition of the first word, so what is
+gathered grows with the corpus and nothing goes to the driver but N, V and the lists
+of words and of word pairs that hold a share of at least ``HEAVY`` of all places (at
+most 2 / HEAVY each). Successors of those are split over all partitions, so a word or
+pair of any frequency loads all partitions alike; their whole counts are added up and
+known to every block. A partition builds its trie from the
+training counts, maps its files, answers the blocks' pairs and triples by successor
+search between a context's pointers, and the blocks add up scores.
+
+Words are told apart by 48-bit hashes within a partition, by 40 bits among one word's
+successors and by 32 bits among one pair's. Null text is empty text: its one token is
+the end. Rows with a null id are held out and scored; repeated ids count as often as
+they stand there. An empty table gives an empty result; without training rows all
+tokens are unknown.
 """
 
 from __future__ import annotations
@@ -40,59 +45,236 @@ from .suffix_dedup import _blocks, _rows
 DISCOUNT, HEAVY = 0.75, 0.002
 START, END = np.uint64(1), np.uint64(2)
 _NO_ID = -(1 << 63)
-_MASK40, _MASK48 = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1)
+_MASK32, _MASK40, _MASK48 = (np.uint64((1 << k) - 1) for k in (32, 40, 48))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _tokens(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens to predict, the token before each, and whether one is its text's first."""
+    opens = np.zeros(len(h) + len(first) - 1, bool)
+    opens[first[:-1] + np.arange(len(first) - 1)] = True
+    return np.insert(h, first[1:], END), np.insert(h, first[:-1], START), opens
+
+
+def _pair_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(context ^ (token * _ODD))
+
+
+def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
 
 
 class _Block:
-    """Tokens of a block and its different contexts and pairs, by partition."""
+    """Tokens of a block and its different contexts, pairs and triples, by partition.
+
+    ``row_*``: contexts of a partition; ``node_*``: pairs of a partition, as successors
+    of its contexts and as contexts of its triples; ``leaf_*``: triples.
+    """
 
-    def __init__(self, payload: bytes, shards: int, heavy: np.ndarray, folds: int):
+    def __init__(self, payload: bytes, shards: int, heavy: np.ndarray, heavy_pairs: np.ndarray, folds: int):
         self.ids, lens, text = unpack(payload)
         off = np.r_[0, np.cumsum(lens)].astype(np.int64)
         h, first = word_hashes(text, off)
         self.words = np.diff(first)
-        token = np.insert(h, first[1:], END)
-        context = np.insert(h, first[:-1], START)
+        self.token, self.context, self.opens = token, context, opens = _tokens(h, first)
         self.cuts = first + np.arange(len(first))
-        held = [i == _NO_ID or zlib.crc32(str(i).encode()) % folds == 0 for i in self.ids.tolist()]
-        self.held = np.array(held, bool)
-        train = np.repeat(~self.held, self.words + 1)
-        shard = context % np.uint64(shards)
-        if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
-            own = heavy[at] == context
-            shard[own] = mix(context[own] ^ (token[own] * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(shards)
-        shard = shard.astype(np.int64)
+        self.held = np.array([i == _NO_ID or zlib.crc32(str(i).encode()) % folds == 0 for i in self.ids.tolist()], bool)
+        train = np.repeat(~self.held, self.words + 1).astype(np.int64)
+        spread = _pair_key(context, token)
+        shard = (np.where(np.isin(context, heavy), spread, context) % np.uint64(shards)).astype(np.int64)
+        # Different pairs, each at home in one partition.
         word40 = token & _MASK40
-        # Different contexts of each partition, the heavy ones in all of them.
         by = np.lexsort((word40, context, shard))
         s, c, w = shard[by], context[by], word40[by]
-        new_context = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]
-        new_pair = new_context.copy()
-        new_pair[1:] |= w[1:] != w[:-1]
-        pair_first = np.flatnonzero(new_pair)
+        new = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])]
+        at = np.flatnonzero(new)
         self.pair_of = np.empty(len(by), np.int64)
-        self.pair_of[by] = np.cumsum(new_pair) - 1
-        self.pair_count = np.add.reduceat(train[by].astype(np.int64), pair_first)
-        self.pair_shard, self.pair_word, pair_context = s[pair_first], w[pair_first], c[pair_first]
-        known = np.unique(context)
-        mine = known[np.isin(known, heavy, assume_unique=True)]
-        rows_s = np.r_[s[new_context], np.tile(np.arange(shards), len(mine))]
-        rows_c = np.r_[c[new_context], np.repeat(mine, shards)]
-        by = np.lexsort((rows_c, rows_s))
-        rows_s, rows_c = rows_s[by], rows_c[by]
-        keep = np.r_[True, (rows_s[1:] != rows_s[:-1]) | (rows_c[1:] != rows_c[:-1])]
-        self.row_shard, self.row_context = rows_s[keep], rows_c[keep]
-        self.row_cuts = np.searchsorted(self.row_shard, np.arange(shards + 1))
-        self.pair_cuts = np.searchsorted(self.pair_shard, np.arange(shards + 1))
-        self.pair_row = np.empty(len(pair_first), np.int64)
-        for k in range(shards):
-            a, b = self.row_cuts[k], self.row_cuts[k + 1]
-            x, y = self.pair_cuts[k], self.pair_cuts[k + 1]
-            self.pair_row[x:y] = np.searchsorted(self.row_context[a:b], pair_context[x:y]) + a
+        self.pair_of[by] = np.cumsum(new) - 1
+        home, of_pair, word, count = s[at], c[at], w[at], np.add.reduceat(train[by], at)
+        split = _place_in(heavy_pairs, spread[by][at])  # -1: not heavy
+        # Triples go where their pair is, those of a heavy pair anywhere.
+        self.inner = np.flatnonzero(~opens)
+        pair, last = self.pair_of[self.inner - 1], token[self.inner]
+        to = home[pair]
+        far = np.flatnonzero(split[pair] >= 0)
+        to[far] = (mix(spread[self.inner[far] - 1] ^ (last[far] * _ODD)) % np.uint64(shards)).astype(np.int64)
+        away = np.unique(to[far] * len(at) + pair[far]) if len(far) else np.zeros(0, np.int64)
+        away = away[home[away % len(at)] != away // len(at)]
+        # Pairs of each partition: those at home, and heavy ones whose triples come there.
+        node_s, node_p = np.r_[home, away // len(at)], np.r_[np.arange(len(at)), away % len(at)]
+        by = np.lexsort((word[node_p], of_pair[node_p], node_s))
+        self.node_shard, self.node_pair = node_s[by], node_p[by]
+        self.node_word, self.node_split, node_context = word[self.node_pair], split[self.node_pair], of_pair[self.node_pair]
+        self.node_count = np.where(home[self.node_pair] == self.node_shard, count[self.node_pair], 0)
+        self.node_cuts = np.searchsorted(self.node_shard, np.arange(shards + 1))
+        code = self.node_shard * len(at) + self.node_pair
+        by = np.argsort(code)
+        place = by[np.searchsorted(code[by], to * len(at) + pair)].astype(np.uint64)
+        key = place << np.uint64(32) | last & _MASK32
+        by = np.argsort(key)
+        key = key[by]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        self.leaf_of = np.empty(len(by), np.int64)
+        self.leaf_of[by] = np.cumsum(new) - 1
+        self.leaf_node, self.leaf_word = (key[new] >> np.uint64(32)).astype(np.int64), key[new] & _MASK32
+        self.leaf_count = np.add.reduceat(train[self.inner][by], np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
+        self.leaf_cuts = np.searchsorted(self.leaf_node, self.node_cuts)
+        # Contexts of each partition.
+        self.known = np.unique(context)
+        s, c = self.node_shard, node_context
+        new = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]
+        self.node_row, row_shard, self.row_context = np.cumsum(new) - 1, s[new], c[new]
+        self.row_cuts = np.searchsorted(row_shard, np.arange(shards + 1))
+        self.row_split = _place_in(heavy, self.row_context)
+        self.known_split = _place_in(heavy, self.known)
         self.row48 = self.row_context // np.uint64(shards) & _MASK48
-        self.known = known
-        self.token, self.context = token, context
+
+    def part(self, k: int) -> bytes | None:
+        """What partition ``k`` has to know, or nothing."""
+        a, b, c, d, e, f = *self.row_cuts[k : k + 2], *self.node_cuts[k : k + 2], *self.leaf_cuts[k : k + 2]
+        if a == b:
+            return None
+        row48, word, rows, nodes = self.row48[a:b], self.node_word[c:d], self.row_split[a:b], self.node_split[c:d]
+        return pack(
+            (row48 & _MASK32).astype("<u4"), (row48 >> np.uint64(32)).astype("<u2"), np.bincount(self.node_row[c:d] - a, minlength=b - a).astype("<u4"),
+            (word & _MASK32).astype("<u4"), (word >> np.uint64(32)).astype("u1"), self.node_count[c:d].astype("<u4"), np.bincount(self.leaf_node[e:f] - c, minlength=d - c).astype("<u4"),
+            self.leaf_word[e:f].astype("<u4"), self.leaf_count[e:f].astype("<u4"),
+            np.flatnonzero(rows >= 0).astype("<u4"), rows[rows >= 0].astype("<u4"), np.flatnonzero(nodes >= 0).astype("<u4"), nodes[nodes >= 0].astype("<u4"),
+        )
+
+    def scores(self, got: list, n: int, v: int, often: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: known tokens, base score and score, from the partitions' answers
+        and the whole (counts, successors) of heavy words and of heavy pairs."""
+        counts, weights = np.zeros(len(self.row_context), np.int64), np.zeros(len(self.row_context))
+        chance, deep, held = (np.zeros(len(self.node_pair)) for _ in range(3))
+        leaf = np.zeros(len(self.leaf_node))
+        for r in got:
+            k = r["part"]
+            c, w, p, q, t, x = unpack(r["payload"])
+            rows, nodes = slice(*self.row_cuts[k : k + 2]), slice(*self.node_cuts[k : k + 2])
+            counts[rows], weights[rows], chance[nodes], deep[nodes] = c, restore(w), restore(p), restore(q)
+            held[nodes] = q > 0
+            held[self.node_cuts[k] + np.flatnonzero(self.node_split[nodes] >= 0)] = t
+            leaf[self.leaf_cuts[k] : self.leaf_cuts[k + 1]] = restore(x)
+        # A context is in one part; of a heavy one this block may know few, so its whole counts say.
+        spot = np.searchsorted(self.known, self.row_context)
+        total, weight = np.zeros(len(self.known), np.int64), np.zeros(len(self.known))
+        np.maximum.at(total, spot, counts)
+        np.maximum.at(weight, spot, weights)
+        (total, weight), (after, deeper) = _whole(total, weight, self.known_split, often[0]), _whole(*self._by_pair(held, deep), often[1])
+        pairs = len(after)
+        part = counts[self.node_row] / np.maximum(total[spot[self.node_row]], 1)
+        pair = np.bincount(self.node_pair, chance * part, pairs)
+        c = total[np.searchsorted(self.known, np.where(self.token == END, START, self.token))]
+        p1 = (c + 0.1) / (n + 0.1 * (v + 1))
+        context = np.searchsorted(self.known, self.context)
+        p = np.where(total[context] > 0, pair[self.pair_of] + weight[context] * p1, p1)
+        leaf *= (held / np.maximum(after[self.node_pair], 1))[self.leaf_node]
+        before = self.pair_of[self.inner - 1]
+        p[self.inner] = np.where(after[before] > 0, leaf[self.leaf_of] + deeper[before] * p[self.inner], p[self.inner])
+        at = self.cuts[:-1]
+        return np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(np.log10(p1), at), np.add.reduceat(np.log10(p), at)
+
+    def _by_pair(self, held: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair: times it was seen as a context (light: 1 or 0), weight, place in the heavy list."""
+        n = int(self.node_pair.max()) + 1
+        after, weight, split = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        np.maximum.at(after, self.node_pair, held)
+        np.maximum.at(weight, self.node_pair, deep)
+        split[self.node_pair] = self.node_split
+        return after, weight, split
+
+
+def _whole(total: np.ndarray, weight: np.ndarray, split: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and back-off weights, those of heavy contexts from their whole counts."""
+    at = np.flatnonzero(split >= 0)
+    if len(at):
+        count, kinds = (x[split[at]] for x in often)
+        total[at], weight[at] = count, DISCOUNT * kinds / np.maximum(count, 1)
+    return total, weight
+
+
+def _place_in(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each in sorted values; -1 where it is not there."""
+    if not len(values):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[at] == wanted, at, -1)
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (kind 0) and pairs (kind 1) that are often in a block, and its places (kind 2)."""
+    for batch in batches:
+        for payload in batch.column(1).to_pylist():
+            _, lens, text = unpack(payload)
+            token, context, _ = _tokens(*word_hashes(text, np.r_[0, np.cumsum(lens)].astype(np.int64)))
+            out = [(2, 0, len(token))]
+            for kind, x in enumerate((context, _pair_key(context, token))):
+                x = np.sort(x)
+                new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                size = np.diff(np.r_[new, len(x)])
+                keep = size >= HEAVY / 2 * len(x)
+                out += [(kind, int(w), int(k)) for w, k in zip(x[new][keep].view(np.int64), size[keep], strict=True)]
+            yield _rows(out, [pa.int32(), pa.int64(), pa.int64()], ["kind", "word", "n"])
+
+
+def _merged(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different keys with summed counts; the order of the keys, and each one's place."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    total = np.add.reduceat(count[order], np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return key[new], total, order, place
+
+
+def _answers(parts: list[list[np.ndarray]]) -> tuple[list[tuple[int, int, int, int]], Iterator[bytes]]:
+    """Builds the trie of a partition from all blocks' parts and answers each of them:
+    sums (kind, heavy place, count, successors), and one payload a part. Kind 0 and 1 are
+    heavy words and pairs, kind 2 all tokens and the different words that are not heavy."""
+    row48 = np.concatenate([_wide(p[0], p[1]) for p in parts])
+    contexts, rank = np.unique(row48, return_inverse=True)
+    node_rank = np.repeat(rank, np.concatenate([p[2] for p in parts]))
+    word = np.concatenate([_wide(p[3], p[4]) for p in parts])
+    key, total, order, node = _merged(node_rank.astype(np.uint64) << np.uint64(40) | word, np.concatenate([p[5] for p in parts]).astype(np.int64))
+    leaf_node = np.repeat(node, np.concatenate([p[6] for p in parts]))
+    last = np.concatenate([p[7] for p in parts]).astype(np.uint64)
+    deep, deep_total, deep_order, leaf = _merged(leaf_node.astype(np.uint64) << np.uint64(32) | last, np.concatenate([p[8] for p in parts]).astype(np.int64))
+    seen = deep_total > 0
+    parent = (deep[seen] >> np.uint64(32)).astype(np.int64)
+    kept = total > 0  # what no training text holds is not in the trie
+    kept[parent] = True
+    moved = np.cumsum(kept) - 1
+    first, second = (key[kept] >> np.uint64(40)).astype(np.int64), key[kept] & _MASK40
+    with tempfile.TemporaryDirectory() as folder:
+        trie = NgramTrie(folder, contexts, (first, second, total[kept]), (moved[parent], deep[seen] & _MASK32, deep_total[seen]), DISCOUNT)
+        _, counts, weights = trie.word(contexts)
+        at, chance, deep_weight, after = trie.pair((key >> np.uint64(40)).astype(np.int64), key & _MASK40)
+        there = np.flatnonzero(at[(deep >> np.uint64(32)).astype(np.int64)] >= 0)
+        deep_chance = np.zeros(len(deep), "u1")
+        deep_chance[there] = trie.triple(at[(deep[there] >> np.uint64(32)).astype(np.int64)], deep[there] & _MASK32)
+        del trie
+    rows, nodes = np.cumsum([0] + [len(p[0]) for p in parts]), np.cumsum([0] + [len(p[3]) for p in parts])
+    split = np.concatenate([rank[a + p[9]] for a, p in zip(rows, parts)]), np.concatenate([p[10] for p in parts])
+    split_pairs = np.concatenate([node[a + p[11]] for a, p in zip(nodes, parts)]), np.concatenate([p[12] for p in parts])
+    kinds = np.bincount((key[total > 0] >> np.uint64(40)).astype(np.int64), minlength=len(contexts))
+    deep_kinds = np.bincount(parent, minlength=len(key))
+    light = np.ones(len(contexts), bool)
+    light[split[0]] = False
+    sums = [(2, 0, int(counts.sum()), int(np.count_nonzero(light & (counts > 0))))]
+    for kind, (at, place), count, different in ((0, split, counts, kinds), (1, split_pairs, after, deep_kinds)):
+        place, own = np.unique(place, return_index=True)
+        sums += [(kind, int(i), int(count[j]), int(different[j])) for i, j in zip(place, at[own])]
+
+    def payloads() -> Iterator[bytes]:
+        a = b = c = 0
+        for p in parts:
+            own, nodes, leaves = rank[a : a + len(p[0])], node[b : b + len(p[3])], leaf[c : c + len(p[7])]
+            yield pack(counts[own], weights[own], chance[nodes], deep_weight[nodes], after[nodes[p[11]]], deep_chance[leaves])
+            a, b, c = a + len(p[0]), b + len(p[3]), c + len(p[7])
+
+    return sums, payloads()
 
 
 def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -103,36 +285,17 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = id_text(documents, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     blocks = scratch.save(docs.mapInArrow(_blocks, "block long, payload binary"), "blocks", "none")
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(1).to_pylist():
-                _, lens, text = unpack(payload)
-                h, first = word_hashes(text, np.r_[0, np.cumsum(lens)].astype(np.int64))
-                context = np.sort(np.insert(h, first[:-1], START))
-                new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-                size = np.diff(np.r_[new, len(context)])
-                keep = size >= HEAVY * len(context)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[context[new][keep].view(np.int64), np.int64(0)]), pa.array(np.r_[size[keep], len(context)])], ["word", "n"])
-
-    counted = blocks.mapInArrow(often, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    every = counted.where("word = 0").agg(F.sum("n")).collect()[0][0] or 0
-    top = counted.where((F.col("word") != 0) & (F.col("n") >= HEAVY * every)).select("word").collect()  # 1 / HEAVY words at most
-    heavy = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+    counted = scratch.save(blocks.mapInArrow(_often, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "often")
+    every = counted.where("kind = 2").agg(F.sum("n")).collect()[0][0] or 0
+    # A share of HEAVY over all blocks is at least half of it over those that count it.
+    top = counted.where((F.col("kind") < 2) & (F.col("n") >= HEAVY / 2 * every)).select("kind", "word").collect()  # 2 / HEAVY of a kind at most
+    heavy, heavy_pairs = (np.sort(np.array([r.word for r in top if r.kind == k], np.int64).view(np.uint64)) for k in (0, 1))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                x = _Block(payload, shards, heavy, folds)
-                found = []
-                for k in range(shards):
-                    a, b, c, d = x.row_cuts[k], x.row_cuts[k + 1], x.pair_cuts[k], x.pair_cuts[k + 1]
-                    if b > a:
-                        row48, word = x.row48[a:b], x.pair_word[c:d]
-                        pairs = np.bincount(x.pair_row[c:d] - a, minlength=b - a)
-                        found.append((k, name, pack(
-                            (row48 & np.uint64(0xFFFFFFFF)).astype("<u4"), (row48 >> np.uint64(32)).astype("<u2"), pairs.astype("<u4"),
-                            (word & np.uint64(0xFFFFFFFF)).astype("<u4"), (word >> np.uint64(32)).astype("u1"), x.pair_count[c:d].astype("<u4"),
-                        )))
+                x = _Block(payload, shards, heavy, heavy_pairs, folds)
+                found = [(k, name, p) for k in range(shards) if (p := x.part(k)) is not None]
                 yield _rows(found, [pa.int32(), pa.int64(), pa.binary()], ["part", "block", "payload"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,73 +306,40 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
                 parts.append(unpack(payload))
         if not names:
             return
-        row48 = np.concatenate([p[0].astype(np.uint64) | p[1].astype(np.uint64) << np.uint64(32) for p in parts])
-        contexts, rank = np.unique(row48, return_inverse=True)
-        pair_rank = np.repeat(rank, np.concatenate([p[2] for p in parts]))
-        word = np.concatenate([p[3].astype(np.uint64) | p[4].astype(np.uint64) << np.uint64(32) for p in parts])
-        count = np.concatenate([p[5] for p in parts]).astype(np.int64)
-        key = pair_rank.astype(np.uint64) << np.uint64(40) | word
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        total = np.add.reduceat(count[order], first) if len(key) else np.zeros(0, np.int64)
-        kept, total = key[first][total > 0], total[total > 0]
-        with tempfile.TemporaryDirectory() as folder:
-            trie = NgramTrie(folder, contexts, (kept >> np.uint64(40)).astype(np.int64), kept & _MASK40, total, DISCOUNT)
-            _, counts, weights = trie.context(contexts)
-            chance = np.empty(len(key), "u1")
-            chance[order] = trie.chance(key >> np.uint64(40), key & _MASK40)
-            del trie
-        heavy48 = np.unique(heavy // np.uint64(shards) & _MASK48)
-        light = ~np.isin(contexts, heavy48)
-        seen = np.isin(heavy48, contexts[counts > 0])
-        stats = pack(np.array([counts.sum(dtype=np.int64), np.count_nonzero(light & (counts > 0))], "<i8"), seen)
-        out = [(-1, names[0][0], stats)]
-        a = b = 0
-        for (part, block), p in zip(names, parts, strict=True):
-            own = rank[a : a + len(p[0])]
-            out.append((block, part, pack(counts[own].astype("<u4"), weights[own], chance[b : b + len(p[3])])))
-            a, b = a + len(p[0]), b + len(p[3])
-        yield _rows(out, [pa.int64(), pa.int32(), pa.binary()], ["block", "part", "payload"])
+        sums, payloads = _answers(parts)
+        kinds, columns = [pa.int64(), pa.int32(), pa.binary()], ["block", "part", "payload"]
+        yield _rows([(-1, names[0][0], pack(*np.array(sums, "<i8").T))], kinds, columns)
+        for (part, block), payload in zip(names, payloads, strict=True):
+            yield _rows([(block, part, payload)], kinds, columns)
 
     sent = blocks.mapInArrow(send, "part int, block long, payload binary").repartitionById(shards, "part")
     answers = scratch.save(sent.mapInArrow(answer, "block long, part int, payload binary"), "answers", "none")
     del sent
     sweep(spark)
-    n, v, seen = 0, 0, None
-    for r in answers.where("block = -1").select("payload").collect():  # one short row a partition
-        sums, flags = unpack(r.payload)
-        n, v, seen = n + int(sums[0]), v + int(sums[1]), flags if seen is None else seen | flags
-    v += int(seen.sum()) if seen is not None else 0
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(payload)], ["kind", "place", "n", "different"])
+
+    sums = answers.where("block = -1").select("payload").mapInArrow(spread, "kind long, place long, n long, different long")
+    sums = sums.groupBy("kind", "place").agg(F.sum("n").alias("n"), F.sum("different").alias("different")).collect()  # one row a heavy word or pair, and one
+    n, v, often = 0, 0, tuple((np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)) for x in (heavy, heavy_pairs))
+    for r in sums:
+        if r.kind == 2:
+            n, v = n + r.n, v + r.different
+        else:
+            often[r.kind][0][r.place], often[r.kind][1][r.place] = r.n, r.different
+    v += int(np.count_nonzero(often[0][0]))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, got in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                x = _Block(payload, shards, heavy, folds)
-                counts, weights = np.zeros(len(x.row_context)), np.zeros(len(x.row_context))
-                chance = np.zeros(len(x.pair_word))
-                for r in got:
-                    k = r["part"]
-                    c, w, p = unpack(r["payload"])
-                    counts[x.row_cuts[k] : x.row_cuts[k + 1]] = c
-                    weights[x.row_cuts[k] : x.row_cuts[k + 1]] = restore(w)
-                    chance[x.pair_cuts[k] : x.pair_cuts[k + 1]] = restore(p)
-                # Parts of a split context: counts add up, weights and chances by count.
-                spot = np.searchsorted(x.known, x.row_context)
-                total = np.bincount(spot, counts, len(x.known))
-                safe = np.maximum(total, 1)
-                weight = np.bincount(spot, weights * counts, len(x.known)) / safe
-                pair = chance * counts[x.pair_row] / safe[spot[x.pair_row]]
-                word = np.where(x.token == END, START, x.token)
-                c = total[np.searchsorted(x.known, word)]
-                p1 = (c + 0.1) / (n + 0.1 * (v + 1))
-                context = np.searchsorted(x.known, x.context)
-                p = np.where(total[context] > 0, pair[x.pair_of] + weight[context] * p1, p1)
-                at = x.cuts[:-1]
-                known = np.add.reduceat((c > 0).astype(np.int64), at)
+                x = _Block(payload, shards, heavy, heavy_pairs, folds)
+                known, base, score = x.scores(got, n, v, often)
                 ids = pa.array(x.ids, pa.int64(), mask=x.ids == _NO_ID)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(x.held), pa.array(x.words + 1, pa.int64()), pa.array(known), pa.array(np.full(len(at), n), pa.int64()), pa.array(np.add.reduceat(np.log10(p1), at)), pa.array(np.add.reduceat(np.log10(p), at))],
+                    [ids, pa.array(x.held), pa.array(x.words + 1, pa.int64()), pa.array(known), pa.array(np.full(len(known), n), pa.int64()), pa.array(base), pa.array(score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
