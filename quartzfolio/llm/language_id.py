@@ -4,9 +4,10 @@ A text becomes the mean of the embeddings of its words' byte 3-grams and 4-grams
 (words carry a border mark on both sides; texts are lower-cased, all but letters
 are borders). Embeddings and the softmax are trained together by stochastic
 gradient descent in numpy, on the driver, on a bounded sample: about
-``per_language`` labelled texts of each language, chosen by a hash of their id.
-A fifth of the sample sets the softmax temperature (calibration) and the score
-below which a prediction is rejected. Prediction folds embeddings and softmax into
+``per_language`` labelled texts of each language, chosen by a hash of their id and
+text, and twice as many rows in all at most. A fifth of the sample sets the softmax
+temperature (calibration) and the score below which a prediction is rejected: the one
+that a stated share, ``false_rejections``, of its right predictions falls short of. Prediction folds embeddings and softmax into
 one table of a few hundred kilobytes, which every task gets.
 
 ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter, or
@@ -110,7 +111,7 @@ def _clipped(step: np.ndarray) -> np.ndarray:
 
 
 def train(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, per_language: int = 600, epochs: int = 8, seed: int = 7
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, per_language: int = 600, epochs: int = 8, seed: int = 7, false_rejections: float = 0.002
 ) -> LanguageModel:
     """Learns from rows outside fold 0; about ``per_language`` texts a language."""
     configure(documents.sparkSession)
@@ -119,11 +120,12 @@ def train(
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     wanted = F.lit(0)
     for lang, n in counts.items():
         wanted = F.when(F.col("lang") == lang, F.lit(int((1 << 20) * min(1.0, per_language / n)))).otherwise(wanted)
-    sample = rows.where(spot < wanted).select("text", "lang", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(5)).cast("int").alias("pick"))
+    sample = rows.where(spot < wanted).select("text", "lang", F.pmod(F.xxhash64("text", "doc_id"), F.lit(5)).cast("int").alias("pick"))
+    sample = sample.limit(2 * per_language * len(counts))  # one row repeated very often hashes alike
     got = sample.mapInArrow(_counts, "lang string, pick int, at binary, share binary").toArrow()
     order = np.argsort([zlib.crc32(a) for a in got["at"].to_pylist()], kind="stable")  # not by arrival
     langs = sorted(counts)
@@ -167,9 +169,8 @@ def train(
         model.temperature = best[1]
         s = z / model.temperature
         top = np.exp(s.max(1) - np.logaddexp.reduce(s, 1))
-        # Between the least sure good prediction and chance: only what is unlike all of them goes.
         right = top[s.argmax(1) == label[check]]
-        model.limit = 0.5 * (float(right.min()) if len(right) else 0.0)
+        model.limit = float(np.quantile(right, false_rejections, method="lower")) if len(right) else 0.0
     return model
 
 

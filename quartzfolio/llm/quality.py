@@ -91,17 +91,18 @@ def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 @dataclass
 class Discriminant:
-    """Two Gaussians with Cholesky factors; ``share`` stands in when one is missing."""
+    """Two Gaussians with inverse Cholesky factors, worked out once; ``share`` stands in
+    when one is missing."""
 
     means: np.ndarray | None
-    factors: list[np.ndarray]
+    whiten: list[np.ndarray]
     offset: float
     share: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), self.share)
-        lengths = [(np.linalg.solve(c, (x - m).T) ** 2).sum(0) for m, c in zip(self.means, self.factors, strict=True)]
+        lengths = [(((x - m) @ c.T) ** 2).sum(1) for m, c in zip(self.means, self.whiten, strict=True)]
         z = 0.5 * (lengths[0] - lengths[1]) + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
@@ -135,7 +136,7 @@ def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     shrunk = [(1 - pooled - identity) * c + pooled * both + identity * scale for c in cov]
     factors = [np.linalg.cholesky(c) for c in shrunk]
     logs = [np.log(np.diag(c)).sum() for c in factors]
-    return Discriminant(means, factors, float(logs[0] - logs[1] + np.log(n[1] / n[0])), float(n[1] / n.sum()))
+    return Discriminant(means, [np.linalg.inv(c) for c in factors], float(logs[0] - logs[1] + np.log(n[1] / n[0])), float(n[1] / n.sum()))
 
 
 def score(table: DataFrame, model: Discriminant, threshold: float = 0.3, folds: int = 5) -> DataFrame:

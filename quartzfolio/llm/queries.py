@@ -41,7 +41,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return identify(documents, train(documents)).drop("rejected")
+    return identify(documents, train(documents))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,9 +60,10 @@ def write_tokens(
                 ["doc_id", "n_tokens", "ids"],
             )
 
-    docs = id_text(documents, id_col, text_col)
-    sorted_docs = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    out = sorted_docs.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
+    docs = id_text(documents, id_col, text_col).withColumn("head", F.substring("text", 1, 64))
+    # Rows that share an id, or have none, are split by how their texts begin.
+    sorted_docs = docs.repartitionByRange(partitions(spark), "doc_id", "head").sortWithinPartitions("doc_id", "text")
+    out = sorted_docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
     options = ENCODINGS[encoding] | {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "compression": compression}
     out.write.mode("overwrite").options(**options).parquet(path)
     return path

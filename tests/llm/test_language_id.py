@@ -39,6 +39,35 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert by_id[903][0].lang_pred == "aa" and not by_id[903][0].rejected
 
 
+def test_unlike_texts_are_rejected_and_clean_ones_stay(spark):
+    """Letters unlike every learnt language fall under the calibrated limit; of the
+    clean held-out texts, short ones included, few do."""
+    rows = corpus(900)
+    rng = random.Random(5)
+    strange = [(5000 + i, "".join(rng.choice(["щука ", "жёлт", "ъезд ", "ωψφ ", "ξρδ "]) for _ in range(rng.randrange(5, 40))), None, "") for i in range(60)]
+    df = frame(spark, rows + strange)
+    got = {r.doc_id: r for r in identify(df, train(df)).collect()}
+    held = [got[i] for i, *_ in rows if got[i].held_out]
+    assert np.mean([r.rejected for r in held]) <= 0.02
+    assert np.mean([got[i].rejected for i, *_ in strange]) >= 0.9
+    assert all(got[i].lang_pred in ALPHABETS for i, *_ in strange)
+
+
+def test_prediction_against_plain_sums(spark):
+    """Scores from the folded table equal a plain softmax over each text's subwords."""
+    import math
+
+    rows = corpus(150)
+    model = train(frame(spark, rows), per_language=40)
+    for _, text, *_ in rows[:40]:
+        h, first, _ = subwords(pa.array([text]))
+        z = [(sum(float(model.table[x, j]) for x in h) / len(h) + model.bias[j]) / model.temperature for j in range(3)]
+        p = [math.exp(v - max(z)) for v in z]
+        best, score, rejected = model.predict(pa.array([text]))
+        assert best[0] == p.index(max(p)) and math.isclose(score[0], max(p) / sum(p), rel_tol=1e-6)
+        assert rejected[0] == (score[0] < model.limit)
+
+
 def test_nothing_to_learn(spark):
     df = frame(spark, [(1, "some text", None, "")])
     assert [r.lang_pred for r in identify(df, train(df)).collect()] == ["und"]

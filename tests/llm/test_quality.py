@@ -36,6 +36,29 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_scores_against_plain_densities(spark):
+    """Log densities of both classes by inverses and determinants, from all training rows."""
+    rows, labels = corpus(200)
+    truth = {i: y for i, y, _ in labels}
+    x = {}
+    for i, t, _ in rows:
+        raw = t.encode()
+        x[i] = statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    train = [i for i in x if zlib.crc32(str(i).encode()) % 5]
+    by = [np.array([x[i] for i in train if truth[i] == k]) for k in (0, 1)]
+    cov = [np.cov(b, rowvar=False) for b in by]
+    both = sum(c * (len(b) - 1) for c, b in zip(cov, by)) / (len(train) - 2)
+    shrunk = [0.88 * c + 0.1 * both + 0.02 * np.diag(np.maximum(np.diag(both), 1e-8)) for c in cov]
+
+    def density(v, k):
+        r = v - by[k].mean(0)
+        return -0.5 * r @ np.linalg.inv(shrunk[k]) @ r - 0.5 * np.linalg.slogdet(shrunk[k])[1] + np.log(len(by[k]))
+
+    for r in run(spark, rows, labels):
+        z = density(x[r.doc_id], 1) - density(x[r.doc_id], 0)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.clip(z, -700, 700))), rtol=1e-6, atol=1e-9)
+
+
 def test_without_labels(spark):
     assert [(r.score, r.predicted) for r in run(spark, [(1, "a b", "")], [])] == [(0.5, 1)]
     assert run(spark, [], []) == []
