@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,16 @@ def _clipped(step: np.ndarray) -> np.ndarray:
     return step / max(1.0, float(np.linalg.norm(step)))
 
 
+def _low_quantile(scores: np.ndarray, rate: float) -> float:
+    """The score that a ``rate`` of them falls short of: the lower of the empirical
+    quantile and a normal one of the log-odds, for samples too small to hold it."""
+    if not len(scores):
+        return 0.0
+    odds = np.log(scores) - np.log(np.maximum(1 - scores, 1e-12))
+    normal = odds.mean() + NormalDist().inv_cdf(rate) * odds.std()
+    return float(min(np.quantile(scores, rate, method="lower"), 1 / (1 + np.exp(-normal))))
+
+
 def train(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, per_language: int = 600, epochs: int = 8, seed: int = 7, false_rejections: float = 0.002
 ) -> LanguageModel:
@@ -170,7 +181,7 @@ def train(
         s = z / model.temperature
         top = np.exp(s.max(1) - np.logaddexp.reduce(s, 1))
         right = top[s.argmax(1) == label[check]]
-        model.limit = float(np.quantile(right, false_rejections, method="lower")) if len(right) else 0.0
+        model.limit = _low_quantile(right, false_rejections)
     return model
 
 
