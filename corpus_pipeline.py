@@ -37,17 +37,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the one with the least id.
 
-    Rows without an id stay; of equal rows one stays; ids decide, not their rows.
+    Rows without an id stay; of equal rows one stays; of rows that share an id but not
+    a text, each stays or goes with its own text's class.
     """
     docs = docs.select(*COLUMNS)
     scratch = Scratch(spark, "near")
-    marks = scratch.save(near_duplicates(docs).select("doc_id", "kept"), "marks")
-    gone = marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    marks = scratch.save(near_duplicates(docs).select("doc_id", "row", "kept"), "marks")
+    gone = marks.where("doc_id is not null").groupBy("doc_id", "row").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = scratch.save(gone.where("not kept or n > 1"), "gone")
-    out = docs.join(_checked(gone.select("doc_id")), "doc_id", "left_anti")
+    keyed = docs.withColumn("row", F.xxhash64("text"))
+    out = keyed.join(_checked(gone.select("doc_id", "row")), ["doc_id", "row"], "left_anti")
     repeated = gone.where("kept")
     if repeated.limit(1).count():
-        again = docs.join(_checked(repeated.select("doc_id")), "doc_id", "left_semi")
+        again = keyed.join(_checked(repeated.select("doc_id", "row")), ["doc_id", "row"], "left_semi")
         out = out.unionByName(again.dropDuplicates(["doc_id", "text"]))
     return out.select(*COLUMNS)
 
@@ -62,7 +64,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; n_chars follows where it changed."""
+    """Secrets are masked in the text; n_chars follows where it changed. Null texts stay
+    null; rows without an id and repeated rows stay as they are."""
     docs = docs.select(*COLUMNS)
     found = scan(docs.withColumn("no_text", F.col("text").isNull()), train_models(docs), carry=("lang", "source", "n_chars", "no_text"))
     changed = F.size("found") > 0
@@ -72,6 +75,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every row as digests; null text is empty, repeated rows stay."""
     out = encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
