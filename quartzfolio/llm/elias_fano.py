@@ -35,8 +35,8 @@ class EliasFano:
             if low:
                 with open(f"{path}.low", "wb") as file:
                     for a in range(0, n, CHUNK):  # every chunk starts at a whole byte
-                        part = values[a : a + CHUNK, None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)
-                        np.packbits(part.astype(np.uint8).ravel()).tofile(file)
+                        part = np.unpackbits(values[a : a + CHUNK].astype(">u8").view("u1").reshape(-1, 8), axis=1)
+                        np.packbits(part[:, 64 - low :].ravel()).tofile(file)
         return cls(path, n, low, values[::CHUNK].copy(), np.r_[spots[::CHUNK], spots[-1:] + 1] if n else np.zeros(1, np.int64))
 
     def chunk(self, k: int) -> np.ndarray:
@@ -48,8 +48,9 @@ class EliasFano:
         if self.low:
             step = CHUNK * self.low // 8
             low = np.unpackbits(self.low_bits[k * step : k * step + -(-size * self.low // 8)])[: size * self.low].reshape(size, self.low)
-            for i in range(self.low):
-                out |= low[:, i].astype(np.uint64) << np.uint64(i)
+            bits = np.zeros((size, 64), np.uint8)
+            bits[:, 64 - self.low :] = low
+            out |= np.packbits(bits, axis=1).view(">u8").ravel()
         return out
 
     def get(self, wanted: np.ndarray) -> np.ndarray:

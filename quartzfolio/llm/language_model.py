@@ -19,8 +19,8 @@ known to every block. A partition builds its trie from the
 training counts, maps its files, answers the blocks' pairs and triples by successor
 search between a context's pointers, and the blocks add up scores.
 
-Words are told apart by 48-bit hashes within a partition, by 40 bits among one word's
-successors and by 32 bits among one pair's. Null text is empty text: its one token is
+Words are told apart by 48-bit hashes within a partition, by 32 bits among one
+context's successors, and pairs by 64 bits within a block. Null text is empty text: its one token is
 the end. Rows with a null id are held out and scored; repeated ids count as often as
 they stand there. An empty table gives an empty result; without training rows all
 tokens are unknown.
@@ -28,6 +28,7 @@ tokens are unknown.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ from .suffix_dedup import _blocks, _rows
 DISCOUNT, HEAVY = 0.75, 0.002
 START, END = np.uint64(1), np.uint64(2)
 _NO_ID = -(1 << 63)
-_MASK32, _MASK40, _MASK48 = (np.uint64((1 << k) - 1) for k in (32, 40, 48))
+_MASK32, _MASK48 = (np.uint64((1 << k) - 1) for k in (32, 48))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,8 +61,15 @@ def _pair_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context ^ (token * _ODD))
 
 
-def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+def _planes(x: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    """The numbers' lowest bytes, then the next ones: small numbers compress well so."""
+    x = x.astype(kind)
+    return x.view("u1").reshape(len(x), x.itemsize).T.ravel()
+
+
+def _joined(x: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(x.reshape(size, -1).T).view(kind).ravel()
 
 
 class _Block:
@@ -79,55 +87,61 @@ class _Block:
         self.token, self.context, self.opens = token, context, opens = _tokens(h, first)
         self.cuts = first + np.arange(len(first))
         self.held = np.array([i == _NO_ID or zlib.crc32(str(i).encode()) % folds == 0 for i in self.ids.tolist()], bool)
-        train = np.repeat(~self.held, self.words + 1).astype(np.int64)
-        spread = _pair_key(context, token)
-        shard = (np.where(np.isin(context, heavy), spread, context) % np.uint64(shards)).astype(np.int64)
+        train = np.repeat(~self.held, self.words + 1)
+        # Different contexts, and for each place which one it has, and its token would be.
+        order, new = _grouped(context)
+        self.known = context[order][new]
+        self.context_of = np.empty(len(context), np.int64)
+        self.context_of[order] = np.cumsum(new) - 1
+        self.known_split = _place_in(heavy, self.known)
+        self.token_of = np.r_[self.context_of[1:], 0]
+        self.token_of[self.cuts[1:] - 1] = np.searchsorted(self.known, START)
         # Different pairs, each at home in one partition.
-        word40 = token & _MASK40
-        by = np.lexsort((word40, context, shard))
-        s, c, w = shard[by], context[by], word40[by]
-        new = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])]
-        at = np.flatnonzero(new)
-        self.pair_of = np.empty(len(by), np.int64)
-        self.pair_of[by] = np.cumsum(new) - 1
-        home, of_pair, word, count = s[at], c[at], w[at], np.add.reduceat(train[by], at)
-        split = _place_in(heavy_pairs, spread[by][at])  # -1: not heavy
+        spread = _pair_key(context, token)
+        order, new = _grouped(spread)
+        at = order[new]
+        pair_of = np.empty(len(order), np.int64)
+        pair_of[order] = np.cumsum(new) - 1
+        count = np.add.reduceat(train[order], np.flatnonzero(new), dtype=np.int64)
+        key, of_pair, word = spread[at], self.context_of[at], token[at] & _MASK32
+        split = _place_in(heavy_pairs, key)  # -1: not heavy
+        home = (np.where(self.known_split[of_pair] >= 0, key, context[at]) % np.uint64(shards)).astype(np.int64)
         # Triples go where their pair is, those of a heavy pair anywhere.
         self.inner = np.flatnonzero(~opens)
-        pair, last = self.pair_of[self.inner - 1], token[self.inner]
-        to = home[pair]
+        pair, last = pair_of[self.inner - 1], token[self.inner]
         far = np.flatnonzero(split[pair] >= 0)
-        to[far] = (mix(spread[self.inner[far] - 1] ^ (last[far] * _ODD)) % np.uint64(shards)).astype(np.int64)
-        away = np.unique(to[far] * len(at) + pair[far]) if len(far) else np.zeros(0, np.int64)
-        away = away[home[away % len(at)] != away // len(at)]
+        to = (mix(key[pair[far]] ^ (last[far] * _ODD)) % np.uint64(shards)).astype(np.int64)
+        trip = to * len(at) + pair[far]
+        away, where = np.unique(np.where(to == home[pair[far]], -1, trip), return_inverse=True)
+        extra = away[away >= 0]
         # Pairs of each partition: those at home, and heavy ones whose triples come there.
-        node_s, node_p = np.r_[home, away // len(at)], np.r_[np.arange(len(at)), away % len(at)]
-        by = np.lexsort((word[node_p], of_pair[node_p], node_s))
-        self.node_shard, self.node_pair = node_s[by], node_p[by]
-        self.node_word, self.node_split, node_context = word[self.node_pair], split[self.node_pair], of_pair[self.node_pair]
-        self.node_count = np.where(home[self.node_pair] == self.node_shard, count[self.node_pair], 0)
+        node_s, node_p = np.r_[home, extra // len(at)], np.r_[np.arange(len(at)), extra % len(at)]
+        order = np.argsort(node_s.astype(np.uint64) << np.uint64(40) | of_pair[node_p].astype(np.uint64))
+        self.node_shard, self.node_pair = node_s[order], node_p[order]
+        self.node_word, self.node_split = word[self.node_pair], split[self.node_pair]
+        self.node_count = np.where(order < len(at), count[self.node_pair], 0)
         self.node_cuts = np.searchsorted(self.node_shard, np.arange(shards + 1))
-        code = self.node_shard * len(at) + self.node_pair
-        by = np.argsort(code)
-        place = by[np.searchsorted(code[by], to * len(at) + pair)].astype(np.uint64)
-        key = place << np.uint64(32) | last & _MASK32
-        by = np.argsort(key)
-        key = key[by]
-        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-        self.leaf_of = np.empty(len(by), np.int64)
-        self.leaf_of[by] = np.cumsum(new) - 1
-        self.leaf_node, self.leaf_word = (key[new] >> np.uint64(32)).astype(np.int64), key[new] & _MASK32
-        self.leaf_count = np.add.reduceat(train[self.inner][by], np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
+        spot = np.empty(len(order), np.int64)
+        spot[order] = np.arange(len(order))
+        node = spot[pair]
+        lost = away[where] >= 0
+        node[far[lost]] = spot[len(at) + where[lost] - (len(away) - len(extra))]
+        key = node.astype(np.uint64) << np.uint64(32) | last & _MASK32
+        order, new = _grouped(key)
+        self.leaf_of = np.empty(len(order), np.int64)
+        self.leaf_of[order] = np.cumsum(new) - 1
+        key = key[order][new]
+        self.leaf_node, self.leaf_word = (key >> np.uint64(32)).astype(np.int64), key & _MASK32
+        self.leaf_count = np.add.reduceat(train[self.inner][order], np.flatnonzero(new), dtype=np.int64) if len(key) else np.zeros(0, np.int64)
         self.leaf_cuts = np.searchsorted(self.leaf_node, self.node_cuts)
+        self.pair_of, self.before = pair_of, pair
         # Contexts of each partition.
-        self.known = np.unique(context)
-        s, c = self.node_shard, node_context
+        s, c = self.node_shard, of_pair[self.node_pair]
         new = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]
-        self.node_row, row_shard, self.row_context = np.cumsum(new) - 1, s[new], c[new]
-        self.row_cuts = np.searchsorted(row_shard, np.arange(shards + 1))
-        self.row_split = _place_in(heavy, self.row_context)
-        self.known_split = _place_in(heavy, self.known)
-        self.row48 = self.row_context // np.uint64(shards) & _MASK48
+        self.node_row, self.row_known = np.cumsum(new) - 1, c[new]
+        self.row_cuts = np.searchsorted(s[new], np.arange(shards + 1))
+        self.row_split = self.known_split[self.row_known]
+        self.row48 = self.known[self.row_known] // np.uint64(shards) & _MASK48
 
     def part(self, k: int) -> bytes | None:
         """What partition ``k`` has to know, or nothing."""
@@ -136,55 +150,61 @@ class _Block:
             return None
         row48, word, rows, nodes = self.row48[a:b], self.node_word[c:d], self.row_split[a:b], self.node_split[c:d]
         return pack(
-            (row48 & _MASK32).astype("<u4"), (row48 >> np.uint64(32)).astype("<u2"), np.bincount(self.node_row[c:d] - a, minlength=b - a).astype("<u4"),
-            (word & _MASK32).astype("<u4"), (word >> np.uint64(32)).astype("u1"), self.node_count[c:d].astype("<u4"), np.bincount(self.leaf_node[e:f] - c, minlength=d - c).astype("<u4"),
-            self.leaf_word[e:f].astype("<u4"), self.leaf_count[e:f].astype("<u4"),
+            (row48 & _MASK32).astype("<u4"), (row48 >> np.uint64(32)).astype("<u2"), _planes(np.bincount(self.node_row[c:d] - a, minlength=b - a)),
+            word.astype("<u4"), _planes(self.node_count[c:d]), _planes(np.bincount(self.leaf_node[e:f] - c, minlength=d - c)),
+            self.leaf_word[e:f].astype("<u4"), _planes(self.leaf_count[e:f]),
             np.flatnonzero(rows >= 0).astype("<u4"), rows[rows >= 0].astype("<u4"), np.flatnonzero(nodes >= 0).astype("<u4"), nodes[nodes >= 0].astype("<u4"),
         )
 
     def scores(self, got: list, n: int, v: int, often: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: known tokens, base score and score, from the partitions' answers
         and the whole (counts, successors) of heavy words and of heavy pairs."""
-        counts, weights = np.zeros(len(self.row_context), np.int64), np.zeros(len(self.row_context))
+        counts, weights = np.zeros(len(self.row_known), np.int64), np.zeros(len(self.row_known))
         chance, deep, held = (np.zeros(len(self.node_pair)) for _ in range(3))
         leaf = np.zeros(len(self.leaf_node))
         for r in got:
             k = r["part"]
             c, w, p, q, t, x = unpack(r["payload"])
             rows, nodes = slice(*self.row_cuts[k : k + 2]), slice(*self.node_cuts[k : k + 2])
-            counts[rows], weights[rows], chance[nodes], deep[nodes] = c, restore(w), restore(p), restore(q)
+            counts[rows], weights[rows], chance[nodes], deep[nodes] = _joined(c, "<i8"), restore(w), restore(p), restore(q)
             held[nodes] = q > 0
             held[self.node_cuts[k] + np.flatnonzero(self.node_split[nodes] >= 0)] = t
             leaf[self.leaf_cuts[k] : self.leaf_cuts[k + 1]] = restore(x)
         # A context is in one part; of a heavy one this block may know few, so its whole counts say.
-        spot = np.searchsorted(self.known, self.row_context)
         total, weight = np.zeros(len(self.known), np.int64), np.zeros(len(self.known))
-        np.maximum.at(total, spot, counts)
-        np.maximum.at(weight, spot, weights)
+        full = counts > 0
+        total[self.row_known[full]], weight[self.row_known[full]] = counts[full], weights[full]
         (total, weight), (after, deeper) = _whole(total, weight, self.known_split, often[0]), _whole(*self._by_pair(held, deep), often[1])
         pairs = len(after)
-        part = counts[self.node_row] / np.maximum(total[spot[self.node_row]], 1)
+        part = counts[self.node_row] / np.maximum(total[self.row_known[self.node_row]], 1)
         pair = np.bincount(self.node_pair, chance * part, pairs)
-        c = total[np.searchsorted(self.known, np.where(self.token == END, START, self.token))]
-        p1 = (c + 0.1) / (n + 0.1 * (v + 1))
-        context = np.searchsorted(self.known, self.context)
-        p = np.where(total[context] > 0, pair[self.pair_of] + weight[context] * p1, p1)
+        c = total[self.token_of]
+        base = np.log10(total + 0.1) - math.log10(n + 0.1 * (v + 1))
+        p1 = ((total + 0.1) / (n + 0.1 * (v + 1)))[self.token_of]
+        p = pair[self.pair_of] + np.where(total > 0, weight, 1)[self.context_of] * p1
         leaf *= (held / np.maximum(after[self.node_pair], 1))[self.leaf_node]
-        before = self.pair_of[self.inner - 1]
-        p[self.inner] = np.where(after[before] > 0, leaf[self.leaf_of] + deeper[before] * p[self.inner], p[self.inner])
+        p[self.inner] = leaf[self.leaf_of] + np.where(after > 0, deeper, 1)[self.before] * p[self.inner]
         at = self.cuts[:-1]
-        return np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(np.log10(p1), at), np.add.reduceat(np.log10(p), at)
+        return np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base[self.token_of], at), np.add.reduceat(np.log10(p), at)
 
     def _by_pair(self, held: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each pair: times it was seen as a context (light: 1 or 0), weight, place in the heavy list."""
         n = int(self.node_pair.max()) + 1
         after, weight, split = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-        np.maximum.at(after, self.node_pair, held)
-        np.maximum.at(weight, self.node_pair, deep)
-        split[self.node_pair] = self.node_split
+        full = held > 0
+        after[self.node_pair[full]], weight[self.node_pair[full]], split[self.node_pair] = held[full], deep[full], self.node_split
         return after, weight, split
 
 
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal numbers together, and where each starts in it."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(y[1:], y[:-1], out=new[1:])
+    return order, new
+
+
 def _whole(total: np.ndarray, weight: np.ndarray, split: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Counts and back-off weights, those of heavy contexts from their whole counts."""
     at = np.flatnonzero(split >= 0)
@@ -218,47 +238,44 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(out, [pa.int32(), pa.int64(), pa.int64()], ["kind", "word", "n"])
 
 
-def _merged(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted different keys with summed counts; the order of the keys, and each one's place."""
-    order = np.argsort(key, kind="stable")
+def _merged(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different keys with summed counts, and each one's place among them."""
+    order, new = _grouped(key)
     key = key[order]
-    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
     total = np.add.reduceat(count[order], np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
     place = np.empty(len(key), np.int64)
     place[order] = np.cumsum(new) - 1
-    return key[new], total, order, place
+    return key[new], total, place
 
 
 def _answers(parts: list[list[np.ndarray]]) -> tuple[list[tuple[int, int, int, int]], Iterator[bytes]]:
     """Builds the trie of a partition from all blocks' parts and answers each of them:
     sums (kind, heavy place, count, successors), and one payload a part. Kind 0 and 1 are
     heavy words and pairs, kind 2 all tokens and the different words that are not heavy."""
-    row48 = np.concatenate([_wide(p[0], p[1]) for p in parts])
+    row48 = np.concatenate([p[0].astype(np.uint64) | p[1].astype(np.uint64) << np.uint64(32) for p in parts])
+    whole = lambda i: np.concatenate([_joined(p[i]) for p in parts]).astype(np.int64)
     contexts, rank = np.unique(row48, return_inverse=True)
-    node_rank = np.repeat(rank, np.concatenate([p[2] for p in parts]))
-    word = np.concatenate([_wide(p[3], p[4]) for p in parts])
-    key, total, order, node = _merged(node_rank.astype(np.uint64) << np.uint64(40) | word, np.concatenate([p[5] for p in parts]).astype(np.int64))
-    leaf_node = np.repeat(node, np.concatenate([p[6] for p in parts]))
-    last = np.concatenate([p[7] for p in parts]).astype(np.uint64)
-    deep, deep_total, deep_order, leaf = _merged(leaf_node.astype(np.uint64) << np.uint64(32) | last, np.concatenate([p[8] for p in parts]).astype(np.int64))
+    word, last = (np.concatenate([p[i] for p in parts]).astype(np.uint64) for i in (3, 6))
+    key, total, node = _merged(np.repeat(rank, whole(2)).astype(np.uint64) << np.uint64(32) | word, whole(4))
+    deep, deep_total, leaf = _merged(np.repeat(node, whole(5)).astype(np.uint64) << np.uint64(32) | last, whole(7))
     seen = deep_total > 0
     parent = (deep[seen] >> np.uint64(32)).astype(np.int64)
     kept = total > 0  # what no training text holds is not in the trie
     kept[parent] = True
     moved = np.cumsum(kept) - 1
-    first, second = (key[kept] >> np.uint64(40)).astype(np.int64), key[kept] & _MASK40
+    first, second = (key[kept] >> np.uint64(32)).astype(np.int64), key[kept] & _MASK32
     with tempfile.TemporaryDirectory() as folder:
         trie = NgramTrie(folder, contexts, (first, second, total[kept]), (moved[parent], deep[seen] & _MASK32, deep_total[seen]), DISCOUNT)
         _, counts, weights = trie.word(contexts)
-        at, chance, deep_weight, after = trie.pair((key >> np.uint64(40)).astype(np.int64), key & _MASK40)
+        at, chance, deep_weight, after = trie.pair((key >> np.uint64(32)).astype(np.int64), key & _MASK32)
         there = np.flatnonzero(at[(deep >> np.uint64(32)).astype(np.int64)] >= 0)
         deep_chance = np.zeros(len(deep), "u1")
         deep_chance[there] = trie.triple(at[(deep[there] >> np.uint64(32)).astype(np.int64)], deep[there] & _MASK32)
         del trie
     rows, nodes = np.cumsum([0] + [len(p[0]) for p in parts]), np.cumsum([0] + [len(p[3]) for p in parts])
-    split = np.concatenate([rank[a + p[9]] for a, p in zip(rows, parts)]), np.concatenate([p[10] for p in parts])
-    split_pairs = np.concatenate([node[a + p[11]] for a, p in zip(nodes, parts)]), np.concatenate([p[12] for p in parts])
-    kinds = np.bincount((key[total > 0] >> np.uint64(40)).astype(np.int64), minlength=len(contexts))
+    split = np.concatenate([rank[a + p[8]] for a, p in zip(rows, parts)]), np.concatenate([p[9] for p in parts])
+    split_pairs = np.concatenate([node[a + p[10]] for a, p in zip(nodes, parts)]), np.concatenate([p[11] for p in parts])
+    kinds = np.bincount((key[total > 0] >> np.uint64(32)).astype(np.int64), minlength=len(contexts))
     deep_kinds = np.bincount(parent, minlength=len(key))
     light = np.ones(len(contexts), bool)
     light[split[0]] = False
@@ -270,9 +287,9 @@ def _answers(parts: list[list[np.ndarray]]) -> tuple[list[tuple[int, int, int, i
     def payloads() -> Iterator[bytes]:
         a = b = c = 0
         for p in parts:
-            own, nodes, leaves = rank[a : a + len(p[0])], node[b : b + len(p[3])], leaf[c : c + len(p[7])]
-            yield pack(counts[own], weights[own], chance[nodes], deep_weight[nodes], after[nodes[p[11]]], deep_chance[leaves])
-            a, b, c = a + len(p[0]), b + len(p[3]), c + len(p[7])
+            own, nodes, leaves = rank[a : a + len(p[0])], node[b : b + len(p[3])], leaf[c : c + len(p[6])]
+            yield pack(_planes(counts[own], "<i8"), weights[own], chance[nodes], deep_weight[nodes], after[nodes[p[10]]], deep_chance[leaves])
+            a, b, c = a + len(p[0]), b + len(p[3]), c + len(p[6])
 
     return sums, payloads()
 
