@@ -56,6 +56,11 @@ def regress(y: np.ndarray, x: np.ndarray) -> dict:
     }
 
 
+def identity_loadings(y: np.ndarray, x: np.ndarray, tolerance: float = 1e-9) -> np.ndarray | None:
+    """The loadings of ``y`` on ``x`` where ``x`` determines it, else nothing."""
+    return np.linalg.lstsq(x, y, rcond=None)[0] if within_span(y, x, tolerance) else None
+
+
 def variance_inflation(x: np.ndarray) -> float:
     if x.shape[1] < 2:
         return 1.0
@@ -126,7 +131,12 @@ def varimax(loadings: np.ndarray, rounds: int = 100, tolerance: float = 1e-9) ->
     return a @ r * scale
 
 
-def retain_or_fixed(counts: np.ndarray, fixed: int = 3, share: float = 0.25) -> bool:
+#: Retained counts that jump by more than one in over this share of the steps are given
+#: up for a fixed count (fixed values).
+MOVE_SHARE, FIXED_COUNT = 0.25, 3
+
+
+def retain_or_fixed(counts: np.ndarray, fixed: int = FIXED_COUNT, share: float = MOVE_SHARE) -> bool:
     """Whether the counts jump by more than one too often, so ``fixed`` is used."""
     return bool(len(counts) > 1 and (np.abs(np.diff(counts)) > 1).mean() > share)
 
@@ -429,8 +439,9 @@ def hierarchical_risk_parity(cov, mean, x, cap, policy, **_):
         if len(items) > 1:
             left, right = items[: len(items) // 2], items[len(items) // 2 :]
             a, b = variance(left), variance(right)
-            weights[left] *= b / (a + b)
-            weights[right] *= a / (a + b)
+            share = b / (a + b) if a + b > 0 else 0.5  # two halves without variance share alike
+            weights[left] *= share
+            weights[right] *= 1 - share
             todo += [left, right]
     return bounded_simplex(weights, cap)
 
@@ -548,3 +559,8 @@ def rank_retention(active: np.ndarray, draws: int = 2000, seed: int = SEED) -> d
     leader = int(actual.argmax())
     rank = (-ratio).argsort(1, kind="stable").argsort(1, kind="stable") + 1
     return {"leader": leader, "leader_share": float((rank[:, leader] == 1).mean()), "median_rank": np.median(rank, 0), "own_sign": (np.sign(ratio) == np.sign(actual)).mean(0)}
+
+
+def detection(bar: float, power: float = 0.8) -> float:
+    """Standard errors of the least difference that a test at ``bar`` finds with ``power``."""
+    return bar + NormalDist().inv_cdf(power)

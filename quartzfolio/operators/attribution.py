@@ -44,13 +44,44 @@ def allocation_lines(rows: DataFrame) -> DataFrame:
     )
 
 
+def sleeve_lines(rows: DataFrame) -> DataFrame:
+    """``allocation_lines`` before its sum: each instrument's effects, run and month."""
+    keys = Window.partitionBy("run_id", "period_month")
+    rows = rows.withColumn("local_b", F.sum(F.col("policy") * F.col("local")).over(keys)).withColumn("gap", F.col("book") - F.col("policy"))
+    return rows.select(
+        "run_id", "period_month", "instrument", (F.col("gap") * (F.col("local") - F.col("local_b"))).alias("allocation"),
+        (F.col("gap") * F.col("translation")).alias("currency"), (F.col("gap") * F.col("local") * F.col("translation")).alias("interaction"),
+    )
+
+
+def linked_by_sleeve(sleeves: DataFrame, lines: DataFrame, effects: tuple[str, ...] = ("allocation", "currency", "interaction")) -> DataFrame:
+    """Each instrument's effects linked over a run by the run's own Cariño coefficients."""
+    p, b = F.col("portfolio"), F.col("benchmark")
+    totals = lines.groupBy("run_id").agg((F.product(1 + p) - 1).alias("P"), (F.product(1 + b) - 1).alias("B"))
+    k = quotient(F.log1p(p) - F.log1p(b), p - b, 1 / (1 + p))
+    big_k = quotient(F.log1p("P") - F.log1p("B"), F.col("P") - F.col("B"), 1 / (1 + F.col("P")))
+    scale = lines.join(totals, "run_id").select("run_id", "period_month", (k / big_k).alias("scale"))
+    return sleeves.join(scale, ["run_id", "period_month"]).groupBy("run_id", "instrument").agg(*[F.sum(F.col(e) * F.col("scale")).alias(e) for e in effects])
+
+
+def cross_view(holding: DataFrame, factor_view: DataFrame, tolerance: float = 1e-9, floor: float = 1e-6) -> DataFrame:
+    """Per run, how far two views of one active return (run_id, traded, active) lie apart;
+    a month that only the first has raises when it is read."""
+    other = factor_view.select("run_id", "traded", F.col("active").alias("seen"))
+    known = F.coalesce(F.col("seen"), F.raise_error(F.lit("the factor view lacks a month")).cast("double"))
+    rows = holding.join(other, ["run_id", "traded"], "left").withColumn("gap", F.col("active") - known)
+    out = rows.groupBy("run_id").agg(F.max(F.abs("gap")).alias("worst"), F.avg("gap").alias("mean"), F.max(F.abs("active")).alias("scale"))
+    base = F.greatest("scale", F.lit(floor))
+    return out.select("run_id", "worst", "mean", "scale", (F.col("worst") / base).alias("relative"), (F.col("worst") <= tolerance * base).alias("reconciles"))
+
+
 def linking(lines: DataFrame, effects: tuple[str, ...] = ("allocation", "currency", "interaction")) -> DataFrame:
     """Cariño and Menchero sums of each effect over a run, and what is left over."""
     p, b = F.col("portfolio"), F.col("benchmark")
     totals = lines.groupBy("run_id").agg(
         (F.product(1 + p) - 1).alias("P"), (F.product(1 + b) - 1).alias("B"), F.count("*").cast("double").alias("n"), F.sum(p - b).alias("d1"), F.sum((p - b) * (p - b)).alias("d2")
     )
-    rows = lines.join(F.broadcast(totals), "run_id")
+    rows = lines.join(totals, "run_id")
     k = quotient(F.log1p(p) - F.log1p(b), p - b, 1 / (1 + p))
     big_k = quotient(F.log1p("P") - F.log1p("B"), F.col("P") - F.col("B"), 1 / (1 + F.col("P")))
     root = F.pow(1 + F.col("P"), 1 / F.col("n")) - F.pow(1 + F.col("B"), 1 / F.col("n"))

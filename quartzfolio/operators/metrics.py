@@ -28,7 +28,16 @@ def annualised_sd(value: str | Column) -> Column:
 def active(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Adds active; a month without a benchmark raises when it is read."""
     known = F.coalesce(F.col("bench"), F.raise_error(F.lit("a traded month has no benchmark")).cast("double"))
-    return rows.join(F.broadcast(benchmark.select("traded", F.col("net").alias("bench"))), "traded", "left").withColumn("active", F.col("net") - known)
+    return rows.join(benchmark.select("traded", F.col("net").alias("bench")), "traded", "left").withColumn("active", F.col("net") - known)
+
+
+def cost_line(rows: DataFrame, key: str) -> DataFrame:
+    """What the trades of (key, traded, gross, net) took: a month, a year, and from the
+    compounded return. A month without a net raises when it is read."""
+    paid = F.coalesce(F.col("net"), F.raise_error(F.lit("a month has no net return")).cast("double")) - F.col("gross")
+    return rows.groupBy(key).agg(
+        F.avg(paid).alias("mean_monthly"), (F.avg(paid) * PERIODS).alias("annualised"), (F.product(1 + F.col("net")) - F.product(1 + F.col("gross"))).alias("drag")
+    )
 
 
 def drawdown(rows: DataFrame, key: str, value: str = "net", order: str = "traded") -> DataFrame:

@@ -40,35 +40,38 @@ def fund_size_eur(size: Column, rate: Column) -> Column:
     return F.regexp_extract(text, form, 2).try_cast("double") * scale * rate
 
 
-def violations(prices: DataFrame, facts: DataFrame, window_start: str, snapshot: str, bounds: dict[str, float] | None = None) -> DataFrame:
-    """rule, instrument, detail of everything that stops a load, in one query."""
+def violations(prices: DataFrame, facts: DataFrame | None, window_start: str, snapshot: str, bounds: dict[str, float] | None = None) -> DataFrame:
+    """place, rule, instrument, detail of everything that stops a load, in one query;
+    ``place`` is the rule's place in the fixed order. Without ``facts`` (an exchange rate
+    has none) the rules that read them are left out."""
     bad = lambda rows, rule, detail: rows.select(F.lit(rule).alias("rule"), "instrument", detail.cast("string").alias("detail"))
     dated = F.col("period_month").isNull() | (F.col("period_month") != F.trunc("period_month", "MM"))
     per_month = prices.groupBy("instrument", "period_month").count().where("count > 1")
     starts = prices.groupBy("instrument").agg(F.min("period_month").alias("first")).where(F.col("first") > F.lit(window_start).cast("date"))
     fresh = prices.where(available_from(F.col("period_month")) > F.lit(snapshot).cast("date"))
     paid = prices.groupBy("instrument").agg(F.sum(F.coalesce("dividend", F.lit(0.0))).alias("paid"))
-    blind = paid.join(F.broadcast(facts), "instrument").where(distributing("income") & (F.col("paid") == 0))
     bound = reduce(lambda c, kv: F.when(F.col("instrument") == kv[0], kv[1]).otherwise(c), (bounds or {}).items(), F.lit(MOVE_DEFAULT))
     moved = total_return(prices).where(F.abs("local") > bound)
-    without = prices.select("instrument").distinct().join(F.broadcast(facts.where("income is not null and size is not null")), "instrument", "left_anti")
     parts = [
         bad(prices.where(dated), "malformed date", F.col("period_month")),
         bad(per_month, "missing bar", F.concat(F.lit("repeated "), F.col("period_month"))),
         bad(gaps(prices, ["instrument"]), "missing bar", F.col("period_month")),
         bad(starts, "line starting late", F.col("first")),
         bad(fresh, "too-fresh bar", F.col("period_month")),
-        bad(blind, "distributing line with no distribution", F.col("income")),
         bad(prices.where("adj_close <= 0 or close <= 0"), "implausible level", F.col("period_month")),
         bad(moved, "implausible move", F.col("period_month")),
-        bad(without, "issuer facts missing", F.lit("")),
     ]
-    return reduce(DataFrame.unionAll, parts)
+    if facts is not None:
+        blind = paid.join(facts, "instrument").where(distributing("income") & (F.col("paid") == 0))
+        without = prices.select("instrument").distinct().join(facts.where("income is not null and size is not null"), "instrument", "left_anti")
+        parts.insert(5, bad(blind, "distributing line with no distribution", F.col("income")))
+        parts.append(bad(without, "issuer facts missing", F.lit("")))
+    return reduce(DataFrame.unionAll, [p.select(F.lit(i).alias("place"), "*") for i, p in enumerate(parts)])
 
 
 def run_gate(found: DataFrame) -> None:
-    """Raises for the first violation; the one action of the gate."""
-    rows = found.limit(1).collect()
+    """Raises for the first violation in the order of the rules; the gate's one action."""
+    rows = found.orderBy("place", "instrument", "detail").limit(1).collect()
     if rows:
         raise DataStop(rows[0].rule, f"{rows[0].instrument}: {rows[0].detail}")
 
@@ -83,7 +86,7 @@ def warn_divergence(prices: DataFrame, tolerance: float = 0.02) -> DataFrame:
 def warn_liquidity(facts: DataFrame, rates: DataFrame, floor: float = LIQUIDITY_FLOOR_EUR) -> DataFrame:
     """instrument, eur, screened: thin lines and lines whose size can't be read."""
     code = F.substring(F.trim("size"), 1, 3)
-    known = facts.join(F.broadcast(rates.select(F.col("currency").alias("code"), "rate")), code == F.col("code"), "left")
+    known = facts.join(rates.select(F.col("currency").alias("code"), "rate"), code == F.col("code"), "left")
     eur = fund_size_eur(F.col("size"), F.when(code == "EUR", 1.0).otherwise(F.col("rate")))
     return known.select("instrument", eur.alias("eur"), eur.isNotNull().alias("screened")).where("eur is null or eur < " + str(floor))
 
@@ -104,5 +107,18 @@ def warn_distributions(prices: DataFrame, facts: DataFrame) -> DataFrame:
     for name, n in sorted(CADENCE.items(), key=lambda kv: kv[1]):  # 'annual' is part of 'semi-annual'
         allowed = F.when(F.lower("income").contains(name), n).otherwise(allowed)
     allowed = F.when(~distributing("income"), 0).otherwise(allowed)
-    return events.join(F.broadcast(facts.select("instrument", "income")), "instrument").withColumn("allowed", allowed).where("events > allowed")
-
+    return events.join(facts.select("instrument", "income"), "instrument").withColumn("allowed", allowed).where("events > allowed")
+
+
+def warnings(prices: DataFrame, facts: DataFrame | None = None, rates: DataFrame | None = None, factors: DataFrame | None = None) -> DataFrame:
+    """rule, instrument, detail of everything that qualifies a load, in one query."""
+    said = lambda rows, rule, name, detail: rows.select(F.lit(rule).alias("rule"), name.alias("instrument"), detail.cast("string").alias("detail"))
+    line = F.col("instrument")
+    parts = [said(warn_divergence(prices), "total return differs", line, F.round("gap", 6))]
+    if facts is not None:
+        if rates is not None:
+            parts.append(said(warn_liquidity(facts, rates), "thin or unscreened size", line, F.round("eur", 0)))
+        parts.append(said(warn_distributions(prices, facts), "more distributions than the policy", line, F.concat_ws(" in ", "events", "year")))
+    if factors is not None:
+        parts.append(said(warn_factor_trim(prices, factors), "month without factors", F.lit(None).cast("string"), F.col("period_month")))
+    return reduce(DataFrame.unionAll, parts)

@@ -161,7 +161,7 @@ def cuts(found: DataFrame) -> DataFrame:
 
 def series(path: DataFrame, returns: DataFrame, value: str = "excess") -> DataFrame:
     """run_id, traded, gross, net, turnover and binding counts."""
-    rows = path.join(F.broadcast(returns.select(F.col("period_month").alias("traded"), "instrument", value)), ["traded", "instrument"])
+    rows = path.join(returns.select(F.col("period_month").alias("traded"), "instrument", value), ["traded", "instrument"])
     out = rows.groupBy("run_id", "traded").agg(
         F.sum(F.col("book") * F.col(value)).alias("gross"), F.first("turnover").alias("turnover"), F.nanvl(F.first("movement"), F.lit(None).cast("double")).alias("movement"),
         F.count_if(F.col("book") > F.col("cap") - 1e-9).alias("at_cap"), F.first("turnover_binding").alias("turnover_binding"),
@@ -189,6 +189,14 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def records(runs: DataFrame, found: DataFrame, stamp: dict[str, str]) -> DataFrame:
+    """What a rerun needs of every run: its settings, its months, why it was cut if it
+    was, the rules that all runs share, and the ``stamp`` of data and code."""
+    seen = found.groupBy("run_id").agg(F.min("traded").alias("first_traded"), F.max("traded").alias("last_traded"), F.countDistinct("traded").alias("steps"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("traded"))).alias("cut"))
+    rules = {"band": BAND, "turnover_cap": TURNOVER_CAP, "gamma": GAMMA, "cvar_level": CVAR_LEVEL, "cost_bp": COST_BP, "seed": K.SEED, "null_draws": K.NULL_DRAWS}
+    return runs.join(seen, "run_id", "left").select("*", *[F.lit(v).alias(k) for k, v in (rules | stamp).items()])
+
+
 def write_manifests(records: DataFrame, path: str) -> None:
     """One JSON line per run under a folder of its own."""
     records.write.mode("overwrite").partitionBy("run_id").json(path)

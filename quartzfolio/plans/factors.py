@@ -7,50 +7,71 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import Refusal
 from ..functions import kernels as K
+from .backtest import require_observations
 
 FIT = "protocol string, traded date, instrument string, quantity string, factor string, value double, determined boolean"
 
 
 def fit_rows(windows: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame:
-    """Window rows with the month's factor values as one array in the order of ``names``."""
+    """Window rows with the month's factor values as one array in the order of ``names``;
+    ``factors`` is long (factor, period_month, ret) and may stack several sets."""
     by_month = factors.groupBy("period_month").agg(*[F.sum(F.when(F.col("factor") == n, F.col("ret"))).alias(f"_{i}") for i, n in enumerate(names)])
     packed = by_month.select("period_month", F.array(*[F.col(f"_{i}") for i in range(len(names))]).alias("f"))
-    return windows.join(F.broadcast(packed), "period_month")
+    return windows.join(packed, "period_month")
 
 
-def _block(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _block(frame: pd.DataFrame, least: int = 59) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Returns, factor values and names of one window; a hole in either refuses it."""
     frame = frame.sort_values(["period_month", "ord"])
     wide = frame.pivot(index="period_month", columns="ord", values="excess").sort_index()
     f = np.stack(frame.drop_duplicates("period_month")["f"].to_list()).astype(float)
     ok = wide.notna().all(axis=1).to_numpy() & np.isfinite(f).all(1)
+    require_observations(frame, wide.index[ok], least)
     return wide.to_numpy()[ok], f[ok], frame.drop_duplicates("ord").sort_values("ord")["instrument"].tolist()
 
 
-def rolling(rows: DataFrame, names: list[str], least: int = 59) -> DataFrame:
-    """Every window's regressions on the orthogonalised factors, long: alpha, beta and
-    their t, residual and explained variance, R2, VIF. A sleeve the factors determine
-    is marked; its alpha and t are absent and its R2 is one."""
+def _basis(f: np.ndarray, constructed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spine, and the last ``constructed`` columns each net of those before it."""
+    spine, block = f[:, : f.shape[1] - constructed], f[:, f.shape[1] - constructed :]
+    return spine, block @ K.orthogonal_map(block) if constructed else block
+
+
+def rolling(rows: DataFrame, names: list[str], constructed: int = 0, least: int = 59) -> DataFrame:
+    """Every window's regressions, long: alpha, beta and their t, residual and explained
+    variance, R2, and the design's inflation.
+
+    The last ``constructed`` of ``names`` are built from sleeves. They are orthogonalised
+    in their order inside the window. A sleeve they determine is fitted on the others
+    alone: its loadings on them are identities, its alpha and their t are absent, its R2
+    is one, and what the others explain stands as ``spine_r2``. A window with a hole, too
+    few rows or dependent factors raises.
+    """
+    spine_names, block_names = names[: len(names) - constructed], names[len(names) - constructed :]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, f, sleeves = _block(frame)
+        x, f, sleeves = _block(frame, least)
         head, out = (frame["protocol"].iloc[0], frame["traded"].iloc[0]), []
-        if len(x) >= least - 1 and len(x) > f.shape[1] + 1:
-            basis = f @ K.orthogonal_map(f)
-            out += [(*head, None, q, None, v, None) for q, v in (("vif_declared", K.variance_inflation(f)), ("vif_orthogonal", K.variance_inflation(basis)))]
-            for j, sleeve in enumerate(sleeves):
-                fixed = K.within_span(x[:, j], basis)
-                try:
-                    r = K.regress(x[:, j], basis)
-                except Refusal:
-                    continue
-                one = [("resid_var", 0.0 if fixed else r["resid_var"]), ("explained_var", r["explained_var"]), ("r2", 1.0 if fixed else r["r2"])]
-                out += [(*head, sleeve, q, None, float(v), fixed) for q, v in one + ([] if fixed else [("alpha", r["alpha"]), ("alpha_t", r["alpha_t"])])]
-                for k, n in enumerate(names):
-                    out.append((*head, sleeve, "beta", n, float(r["beta"][k]), fixed))
-                    if not fixed:
-                        out.append((*head, sleeve, "beta_t", n, float(r["beta_t"][k]), fixed))
+        spine, turned = _basis(f, constructed)
+        whole = np.column_stack([spine, turned])
+        report = {"vif_spine": K.variance_inflation(spine), "vif_declared": K.variance_inflation(f), "vif_orthogonal": K.variance_inflation(whole)}
+        if constructed > 1:
+            report["block_correlation"] = float(np.corrcoef(f[:, -constructed], f[:, -constructed + 1])[0, 1])
+        out += [(*head, None, q, None, v, None) for q, v in report.items()]
+        for j, sleeve in enumerate(sleeves):
+            fixed = K.identity_loadings(x[:, j], f[:, -constructed:]) if constructed else None
+            r = K.regress(x[:, j], whole if fixed is None else spine)
+            put = lambda q, v, n=None, own=fixed is not None: out.append((*head, sleeve, q, n, float(v), own))  # noqa: E731, B023
+            for k, n in enumerate(names if fixed is None else spine_names):
+                put("beta", r["beta"][k], n), put("beta_t", r["beta_t"][k], n)
+            if fixed is None:
+                for q in ("alpha", "alpha_t", "resid_var", "explained_var", "r2"):
+                    put(q, r[q])
+                continue
+            for q, v in (("resid_var", 0.0), ("explained_var", np.var(x[:, j], ddof=1)), ("r2", 1.0), ("spine_r2", r["r2"])):
+                put(q, v)
+            for n, v in zip(block_names, fixed, strict=True):
+                put("beta", v, n)
         return pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
 
     return rows.groupBy("protocol", "traded").applyInPandas(run, FIT)
@@ -59,19 +80,20 @@ def rolling(rows: DataFrame, names: list[str], least: int = 59) -> DataFrame:
 DESIGN = "protocol string, traded date, factor string, value double, i int, covariance array<double>"
 
 
-def design(rows: DataFrame, factors_at: DataFrame, names: list[str]) -> DataFrame:
-    """The traded month's factor values on its window's orthogonal basis, and the
-    covariance of the regressors that were fitted. ``factors_at``: traded, now."""
+def design(rows: DataFrame, factors_at: DataFrame, names: list[str], constructed: int = 0) -> DataFrame:
+    """The traded month's factor values on its window's basis, and the covariance of the
+    regressors that were fitted. ``factors_at``: traded, now."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         _, f, _ = _block(frame)
         head, now = (frame["protocol"].iloc[0], frame["traded"].iloc[0]), np.array(frame["now"].iloc[0], float)
-        turn = K.orthogonal_map(f)
-        cov = np.atleast_2d(np.cov(f @ turn, rowvar=False))
-        value = now @ turn
+        spine, turned = _basis(f, constructed)
+        block = f[:, f.shape[1] - constructed :]
+        value = np.r_[now[: spine.shape[1]], now[spine.shape[1] :] @ K.orthogonal_map(block) if constructed else []]
+        cov = np.atleast_2d(np.cov(np.column_stack([spine, turned]), rowvar=False))
         return pd.DataFrame([(*head, n, float(value[i]), i, cov[i].tolist()) for i, n in enumerate(names)], columns=[c.split()[0] for c in DESIGN.split(", ")])
 
-    return rows.join(F.broadcast(factors_at), "traded").groupBy("protocol", "traded").applyInPandas(run, DESIGN)
+    return rows.join(factors_at, "traded").groupBy("protocol", "traded").applyInPandas(run, DESIGN)
 
 
 def decomposition(active_weights: DataFrame, fit: DataFrame, basis: DataFrame) -> DataFrame:
@@ -85,6 +107,68 @@ def decomposition(active_weights: DataFrame, fit: DataFrame, basis: DataFrame) -
     return rest.join(by_factor, ["run_id", "traded"]).withColumn("residual", F.col("active") - F.col("factors") - F.col("alpha"))
 
 
+def decomposition_by_factor(active_weights: DataFrame, fit: DataFrame, basis: DataFrame) -> DataFrame:
+    """run_id, traded, factor, value: each factor's part of the active return."""
+    beta = fit.where("quantity = 'beta' and protocol = 'rolling'").select("traded", "instrument", "factor", F.col("value").alias("beta"))
+    now = basis.where("protocol = 'rolling'").select("traded", "factor", F.col("value").alias("f"))
+    rows = active_weights.join(beta, ["traded", "instrument"]).join(now, ["traded", "factor"])
+    return rows.groupBy("run_id", "traded", "factor").agg(F.sum(F.col("a") * F.col("beta") * F.col("f")).alias("value"))
+
+
+def risk_attribution(active_weights: DataFrame, fit: DataFrame, basis: DataFrame) -> DataFrame:
+    """Per run and month the factor and idiosyncratic variance of the active weights:
+    exposures through the window's regressor covariance, residuals taken as uncorrelated."""
+    beta = fit.where("quantity = 'beta' and protocol = 'rolling'").select("traded", "instrument", "factor", F.col("value").alias("beta"))
+    load = active_weights.join(beta, ["traded", "instrument"]).groupBy("run_id", "traded", "factor").agg(F.sum(F.col("a") * F.col("beta")).alias("e"))
+    order = basis.where("protocol = 'rolling'").select("traded", "factor", "i", "covariance")
+    left = load.join(order, ["traded", "factor"])
+    right = load.join(order.select("traded", "factor", F.col("i").alias("j")), ["traded", "factor"]).select("run_id", "traded", "j", F.col("e").alias("g"))
+    factor = left.join(right, ["run_id", "traded"]).groupBy("run_id", "traded").agg(F.sum(F.col("e") * F.col("g") * F.get("covariance", F.col("j"))).alias("factor_part"))
+    rest = fit.where("quantity = 'resid_var' and protocol = 'rolling'").select("traded", "instrument", F.col("value").alias("v"))
+    own = active_weights.join(rest, ["traded", "instrument"]).groupBy("run_id", "traded").agg(F.sum(F.col("a") * F.col("a") * F.col("v")).alias("idio_part"))
+    return factor.join(own, ["run_id", "traded"]).withColumn("total", F.col("factor_part") + F.col("idio_part"))
+
+
+def risk_summary(variance: DataFrame, periods: int = 12) -> DataFrame:
+    """Per run: annualised tracking errors of both parts and of the whole, and the factor share."""
+    out = variance.groupBy("run_id").agg(*[F.avg(c).alias(c) for c in ("factor_part", "idio_part", "total")])
+    error = lambda c: F.sqrt(F.col(c) * periods)
+    share = F.when(F.col("total") > 0, F.col("factor_part") / F.col("total"))
+    return out.select("run_id", error("factor_part").alias("factor_tracking_error"), error("idio_part").alias("idio_tracking_error"), error("total").alias("total_tracking_error"), share.alias("factor_share"))
+
+
+FUND = "run_id string, months int, refused string, alpha_monthly double, alpha_annualised double, t_alpha double, residual_volatility_annualised double, r2 double, bar double, detectable_alpha_monthly double, clears boolean"
+
+
+def fund_example(series: DataFrame, factors: DataFrame, names: list[str], bar: float, detection: float, least: int = 59, periods: int = 12) -> DataFrame:
+    """Each run's net series read as a manager's record: its alpha on the factors against
+    the bar, and the least alpha its months could show (``detection`` standard errors). A record that can't be tested is
+    a row with the reason. ``series``: run_id, traded, net; ``factors``: long."""
+    columns = [c.split()[0] for c in FUND.split(", ")]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("traded")
+        y, head = frame["net"].to_numpy(float), (frame["run_id"].iloc[0], len(frame))
+        held = frame[frame["f"].notna()]
+        f = np.stack(held["f"].to_list()).astype(float) if len(held) else np.zeros((0, len(names)))
+        if np.std(y) == 0:
+            why = "the record does not vary"
+        elif len(held) < least:
+            why = f"{len(held)} months can't support {len(names)} factors"
+        elif not np.isfinite(f).all():
+            why = "a factor lacks a month of the record"
+        else:
+            r = K.regress(held["net"].to_numpy(float), f)
+            far = abs(r["alpha"] / r["alpha_t"]) if r["alpha_t"] else float("nan")
+            row = (*head, None, r["alpha"], r["alpha"] * periods, r["alpha_t"], float(np.sqrt(r["resid_var"] * periods)), r["r2"], bar, detection * far, bool(abs(r["alpha_t"]) >= bar))
+            return pd.DataFrame([row], columns=columns)
+        return pd.DataFrame([(*head, why, *[None] * 8)], columns=columns)
+
+    by_month = factors.groupBy("period_month").agg(*[F.sum(F.when(F.col("factor") == n, F.col("ret"))).alias(f"_{i}") for i, n in enumerate(names)])
+    packed = by_month.select(F.col("period_month").alias("traded"), F.array(*[F.col(f"_{i}") for i in range(len(names))]).alias("f"))
+    return series.select("run_id", "traded", "net").join(packed, "traded", "left").groupBy("run_id").applyInPandas(run, FUND)
+
+
 def loading_drift(fit: DataFrame) -> DataFrame:
     """Mean and largest month-to-month change of each beta."""
     from pyspark.sql import Window

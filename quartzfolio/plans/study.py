@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import metrics as M
 from ..operators import verdicts as V
-from .backtest import CELLS, RUNS
+from .backtest import CELLS, RUNS, summary
 
 
 def _retention(active: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def bars(active: DataFrame) -> DataFrame:
 
 
 def rows(series: DataFrame) -> DataFrame:
-    """One row a run with everything the ladder reads, and its verdict.
+    """One row a run with everything the ladder reads, and its verdict: the test against
+    the benchmark with its haircut and resolution, and the one against equal weight.
 
     ``series``: run_id, traded, gross, net, turnover, at_cap of every filled run.
     """
@@ -53,7 +54,12 @@ def rows(series: DataFrame) -> DataFrame:
     equal = series.where("run_id = 'equal_weight'").select("traded", F.col("net").alias("equal"))
     same = series.join(F.broadcast(equal), "traded").groupBy("run_id").agg((F.max(F.abs(F.col("net") - F.col("equal"))) <= 1e-6).alias("reproduces"))
     spec = series.sparkSession.createDataFrame([(r[0], r[1], r[6] == "expanding", r[0].removesuffix("_expanding")) for r in RUNS], "run_id string, stage string, is_repeat boolean, cell string")
-    out = block.join(F.broadcast(spec), "run_id").join(same, "run_id").join(_retention(active), "run_id", "left").crossJoin(F.broadcast(bar))
+    second = M.paired(active, "run_id", "equal_weight", 0.0, 1.0).select(
+        "run_id", F.col("difference").alias("difference_equal"), F.col("se").alias("se_equal"), F.col("z").alias("z_equal")
+    )
+    out = block.join(F.broadcast(spec), "run_id").join(same, "run_id").join(_retention(active), "run_id", "left").join(second, "run_id", "left").crossJoin(F.broadcast(bar))
+    out = out.withColumn("clears_bar", V.clears(F.col("z"), F.col("bar"))).withColumn("clears_equal", V.clears(F.col("z_equal"), F.col("bar")))
+    out = out.withColumn("resolution", (F.col("bar") + K.POWER_QUANTILE) * F.col("se")).withColumn("resolution_equal", (F.col("bar") + K.POWER_QUANTILE) * F.col("se_equal"))
     wide = out.where("is_repeat").select("cell", F.col("information_ratio").alias("expanding_ratio"))
     out = out.join(F.broadcast(wide), "cell", "left")
     out = out.withColumn("expanding_sign", F.when(~F.col("is_repeat"), V.sign_holds(F.col("information_ratio"), F.col("expanding_ratio"))))
@@ -61,6 +67,25 @@ def rows(series: DataFrame) -> DataFrame:
     return out.withColumn("verdict", V.verdict()).withColumn("claim", V.claimed())
 
 
+def cell_correlation(active: DataFrame) -> DataFrame:
+    """i, j, value: correlations of the cells' net returns, described and never tested."""
+    cells = active.where(F.col("run_id").isin(*CELLS))
+    a, b = (cells.select("traded", F.col("run_id").alias(k), F.col("net").alias(v)) for k, v in (("i", "x"), ("j", "y")))
+    return a.join(b, "traded").groupBy("i", "j").agg(F.corr("x", "y").alias("value"))
+
+
+def block_tables(sheet: DataFrame, active: DataFrame, bins: list[tuple[str, str, str]]) -> dict[str, DataFrame]:
+    """The tables a comparison shows: runs, negative results, correlations, sub-periods,
+    the paths' diagnostics and the cost sensitivity."""
+    out = {
+        "runs": sheet, "negative_results": V.negative_results(sheet).select("run_id", "verdict"), "correlation": cell_correlation(active),
+        "diagnostics": summary(active).join(M.drawdown(active, "run_id"), "run_id"), "cost_sensitivity": M.sensitivity(active, "run_id"),
+    }
+    if bins:
+        out["sub_periods"] = M.sub_periods(active, "run_id", bins)
+    return out
+
+
 def metric_table(table: DataFrame) -> DataFrame:
     """Long numbers of a row table, to hold two runs of the study against each other."""
     numbers = [c for c, t in table.dtypes if t in ("double", "bigint", "int")]

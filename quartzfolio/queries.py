@@ -7,7 +7,9 @@ since sums depend on their order.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +21,13 @@ from .operators import metrics as M
 from .operators import quality as Q
 from .operators import returns as R
 from .operators import verdicts as V
+from .plans import analysis as Y
 from .plans import backtest as B
 from .plans import factors as X
 from .plans import study as S
 from .sources import panel as P
 from .sources.scratch import once, scope
+from .sources.sqlviews import Views, coverage_agreement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,13 +85,64 @@ _CTES = {
         SELECT run_id, traded, sum(weight * excess) AS gross FROM traded_returns GROUP BY 1, 2) g JOIN turned t ON t.run_id = g.run_id AND t.traded = g.traded""",
     "active": "SELECT s.*, b.gross AS bench, s.net - b.gross AS active FROM series s JOIN (SELECT traded, gross FROM series WHERE run_id = 'policy') b ON b.traded = s.traded",
 }
+#: Sleeves that build the block, in the order long, short, credit, high yield.
+_BLOCK, _BUILT_FROM = ("level", "slope", "credit", "high_yield"), ("SMALL", "STANDARD", "MEDIUM", "LARGE")
+_NAMES = [*_SEGMENTS, *_BLOCK]
+_OVER = "OVER (PARTITION BY protocol, traded)"
+_Z = {"full": "[1.0, s1, s2, s3, s4, s5, b1, t2, t3, t4]", "spine": "[1.0, s1, s2, s3, s4, s5]", "declared": "[1.0, s1, s2, s3, s4, s5, b1, b2, b3, b4]"}
+_CELL = "max(excess) FILTER (WHERE instrument = '{}')"
+_L, _S, _C, _H = (_CELL.format(n) for n in _BUILT_FROM)
+#: Regressions of every window by Gauss-Jordan elimination of the normal equations.
+_CTES |= {
+    "spine": "SELECT period_month, " + ", ".join(f"max(ret) FILTER (WHERE factor = '{n}') AS s{i + 1}" for i, n in enumerate(_SEGMENTS)) + " FROM factors GROUP BY 1",
+    "built": f"SELECT period_month, ({_L} + {_S}) / 2 AS b1, {_L} - {_S} AS b2, {_C} - {_L} AS b3, {_H} - {_C} AS b4 FROM returns GROUP BY 1",
+    "named": "SELECT * FROM spine JOIN built USING (period_month)",
+    "held0": "SELECT protocol, traded, named.* FROM (SELECT DISTINCT protocol, traded, period_month FROM windows) w JOIN named ON named.period_month = w.period_month",
+    "held2": f"SELECT *, b2 - c21 * b1 AS t2 FROM (SELECT *, sum(b2 * b1) {_OVER} / sum(b1 * b1) {_OVER} AS c21, sum(b3 * b1) {_OVER} / sum(b1 * b1) {_OVER} AS c31, sum(b4 * b1) {_OVER} / sum(b1 * b1) {_OVER} AS c41 FROM held0)",
+    "held3": f"SELECT *, b3 - c31 * b1 - c32 * t2 AS t3 FROM (SELECT *, sum(b3 * t2) {_OVER} / sum(t2 * t2) {_OVER} AS c32, sum(b4 * t2) {_OVER} / sum(t2 * t2) {_OVER} AS c42 FROM held2)",
+    "held": f"SELECT *, b4 - c41 * b1 - c42 * t2 - c43 * t3 AS t4 FROM (SELECT *, sum(b4 * t3) {_OVER} / sum(t3 * t3) {_OVER} AS c43 FROM held3)",
+    "vectors": " UNION ALL ".join(f"SELECT '{k}' AS kind, protocol, traded, period_month, {z} AS z FROM held" for k, z in _Z.items()),
+    "gram": "SELECT kind, protocol, traded, i, j, sum(z[i] * z[j]) AS g FROM vectors, range(1, 11) a(i), range(1, 11) b(j) WHERE i <= len(z) AND j <= len(z) GROUP BY 1, 2, 3, 4, 5",
+    "grams": "SELECT kind, protocol, traded, list(r ORDER BY i) AS m FROM (SELECT kind, protocol, traded, i, list(g ORDER BY j) || list(CASE WHEN i = j THEN 1.0 ELSE 0.0 END ORDER BY j) AS r FROM gram GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
+    "swept": """SELECT kind, protocol, traded, CAST(1 AS BIGINT) AS k, m FROM grams UNION ALL SELECT kind, protocol, traded, k + 1,
+        list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k]) ELSE list_transform(range(1, 2 * len(m) + 1), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END)
+        FROM swept WHERE k <= len(m)""",
+    "inverse": "SELECT kind, protocol, traded, i, j, m[i][len(m) + j] AS v FROM swept, range(1, 11) a(i), range(1, 11) b(j) WHERE k = len(m) + 1 AND i <= len(m) AND j <= len(m)",
+    "answers": f"""SELECT kind, v.protocol, v.traded, instrument, i, sum(z[i] * excess) AS xy FROM vectors v JOIN windows w ON w.protocol = v.protocol AND w.traded = v.traded AND w.period_month = v.period_month, range(1, 11) a(i)
+        WHERE i <= len(z) AND kind = CASE WHEN instrument IN {_BUILT_FROM} THEN 'spine' ELSE 'full' END GROUP BY 1, 2, 3, 4, 5""",
+    "coefficients": "SELECT a.kind, a.protocol, a.traded, instrument, n.i, max(CASE WHEN n.i = n.j THEN n.v END) AS vii, sum(n.v * xy) AS b, sum(CASE WHEN n.i = n.j THEN xy END) AS own FROM answers a JOIN inverse n ON n.kind = a.kind AND n.protocol = a.protocol AND n.traded = a.traded AND n.j = a.i GROUP BY 1, 2, 3, 4, 5",
+    "totals": "SELECT protocol, traded, instrument, count(*) AS t, sum(excess * excess) AS yy, var_samp(excess) AS vary FROM windows GROUP BY 1, 2, 3",
+    "rests": "SELECT c.kind, protocol, traded, instrument, max(t) AS t, count(*) AS k, max(yy) - sum(b * own) AS ssr, max(vary) AS vary FROM coefficients c JOIN totals USING (protocol, traded, instrument) GROUP BY 1, 2, 3, 4",
+    "loadings": f"""SELECT kind, protocol, traded, instrument, i, {_NAMES}[i - 1] AS factor, b, b / sqrt(ssr / (t - k) * vii) AS t_value FROM coefficients JOIN rests USING (kind, protocol, traded, instrument)
+        UNION ALL SELECT 'identity', protocol, traded, instrument, 10, factor, b, NULL FROM (SELECT DISTINCT protocol, traded FROM windows),
+        (VALUES ('SMALL', 'level', 1.0), ('SMALL', 'slope', 0.5), ('SMALL', 'credit', 0.0), ('SMALL', 'high_yield', 0.0), ('STANDARD', 'level', 1.0), ('STANDARD', 'slope', -0.5), ('STANDARD', 'credit', 0.0), ('STANDARD', 'high_yield', 0.0),
+        ('MEDIUM', 'level', 1.0), ('MEDIUM', 'slope', 0.5), ('MEDIUM', 'credit', 1.0), ('MEDIUM', 'high_yield', 0.0), ('LARGE', 'level', 1.0), ('LARGE', 'slope', 0.5), ('LARGE', 'credit', 1.0), ('LARGE', 'high_yield', 1.0)) x(instrument, factor, b)""",
+    "inflation": """SELECT n.kind, n.protocol, n.traded, max(n.v * (g.g - o.g * o.g / c.g)) AS vif FROM inverse n JOIN gram g ON g.kind = n.kind AND g.protocol = n.protocol AND g.traded = n.traded AND g.i = n.i AND g.j = n.i
+        JOIN gram o ON o.kind = n.kind AND o.protocol = n.protocol AND o.traded = n.traded AND o.i = 1 AND o.j = n.i JOIN gram c ON c.kind = n.kind AND c.protocol = n.protocol AND c.traded = n.traded AND c.i = 1 AND c.j = 1
+        WHERE n.i = n.j AND n.i > 1 GROUP BY 1, 2, 3""",
+    "fits": """SELECT protocol, traded, NULL AS instrument, CASE kind WHEN 'full' THEN 'vif_orthogonal' WHEN 'spine' THEN 'vif_spine' ELSE 'vif_declared' END AS quantity, NULL AS factor, vif AS value, NULL AS determined FROM inflation
+        UNION ALL SELECT protocol, traded, NULL, 'block_correlation', NULL, corr(b1, b2), NULL FROM held GROUP BY 1, 2
+        UNION ALL SELECT protocol, traded, instrument, 'beta', factor, b, kind <> 'full' FROM loadings WHERE i > 1
+        UNION ALL SELECT protocol, traded, instrument, 'beta_t', factor, t_value, kind <> 'full' FROM loadings WHERE i > 1 AND kind <> 'identity'
+        UNION ALL SELECT protocol, traded, instrument, 'alpha', NULL, b, false FROM loadings WHERE i = 1 AND kind = 'full'
+        UNION ALL SELECT protocol, traded, instrument, 'alpha_t', NULL, t_value, false FROM loadings WHERE i = 1 AND kind = 'full'
+        UNION ALL SELECT protocol, traded, instrument, 'resid_var', NULL, CASE WHEN kind = 'full' THEN ssr / (t - 1) ELSE 0 END, kind <> 'full' FROM rests
+        UNION ALL SELECT protocol, traded, instrument, 'explained_var', NULL, CASE WHEN kind = 'full' THEN vary - ssr / (t - 1) ELSE vary END, kind <> 'full' FROM rests
+        UNION ALL SELECT protocol, traded, instrument, 'r2', NULL, CASE WHEN kind = 'full' THEN 1 - ssr / (t - 1) / vary ELSE 1 END, kind <> 'full' FROM rests
+        UNION ALL SELECT protocol, traded, instrument, 'spine_r2', NULL, 1 - ssr / (t - 1) / vary, true FROM rests WHERE kind = 'spine'""",
+    "projections": "SELECT protocol, traded, any_value(c21) AS c21, any_value(c31) AS c31, any_value(c32) AS c32, any_value(c41) AS c41, any_value(c42) AS c42, any_value(c43) AS c43 FROM held GROUP BY 1, 2",
+    "moved2": "SELECT p.*, n.* EXCLUDE (period_month), b2 - c21 * b1 AS u2 FROM projections p JOIN named n ON n.period_month = p.traded WHERE protocol = 'rolling'",
+    "moved3": "SELECT *, b3 - c31 * b1 - c32 * u2 AS u3 FROM moved2",
+    "moved": "SELECT *, b4 - c41 * b1 - c42 * u2 - c43 * u3 AS u4 FROM moved3",
+    "current": " UNION ALL ".join(f"SELECT traded, '{n}' AS factor, {c} AS f FROM moved" for n, c in zip(_NAMES, ("s1", "s2", "s3", "s4", "s5", "b1", "u2", "u3", "u4"), strict=True)),
+    "gaps": "SELECT run_id, traded, instrument, weight - policy AS a, excess, euro FROM traded_returns",
+    "parts": "SELECT run_id, g.traded, l.factor, sum(a * b * f) AS value, sum(a * b) AS e FROM gaps g JOIN loadings l ON l.protocol = 'rolling' AND l.traded = g.traded AND l.instrument = g.instrument AND l.i > 1 JOIN current c ON c.traded = g.traded AND c.factor = l.factor GROUP BY 1, 2, 3",
+}
 _RATIO = "CASE WHEN count({0}) < 2 THEN NULL WHEN stddev_samp({0}) <= 1e-12 THEN 0.0 ELSE avg({0}) / stddev_samp({0}) * sqrt(12.0) END"
 
 
 def _sql(body: str) -> str:
     """The body behind the named relations it needs."""
-    import re
-
     need, todo = set(), [body]
     while todo:
         text = todo.pop()
@@ -96,7 +151,7 @@ def _sql(body: str) -> str:
                 need.add(name)
                 todo.append(_CTES[name])
     head = ",\n".join(f"{n} AS ({_CTES[n]})" for n in _CTES if n in need)
-    return f"WITH {head}\n{body}" if head else body
+    return f"WITH RECURSIVE {head}\n{body}" if head else body
 
 
 def register(sql: str | None = None):
@@ -218,17 +273,7 @@ def total_returns(spark, d):
 def returns_agreement(spark, d):
     """The excess table against the same returns stated in SQL over views."""
     p = P.load(spark, d)
-    p.prices.createOrReplaceTempView("qf_prices")
-    p.fx.createOrReplaceTempView("qf_fx")
-    p.cash.createOrReplaceTempView("qf_cash")
-    other = spark.sql("""
-        WITH months AS (SELECT DISTINCT period_month FROM qf_prices INTERSECT SELECT period_month FROM qf_fx INTERSECT SELECT period_month FROM qf_cash),
-        fxret AS (SELECT currency, period_month, close / lag(close) OVER (PARTITION BY currency ORDER BY period_month) - 1 AS fx FROM qf_fx),
-        moved AS (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY instrument ORDER BY period_month) - 1 AS local FROM qf_prices
-            WHERE period_month IN (SELECT period_month FROM months))
-        SELECT m.period_month, m.instrument, (1 + local) * CASE WHEN m.currency = 'EUR' THEN 1.0 ELSE 1 / (1 + fx) END - 1 - rf AS excess
-        FROM moved m LEFT JOIN fxret f ON f.currency = m.currency AND f.period_month = m.period_month LEFT JOIN qf_cash c ON c.period_month = m.period_month
-        WHERE local IS NOT NULL""").where("excess is not null")
+    other = Views(prices=p.prices, fx=p.fx, cash=p.cash).returns()
     out = R.agreement(p.returns, other, ["period_month", "instrument"], "excess")
     return rounded(out.withColumn("mismatches", F.col("mismatches").cast("int")))
 
@@ -273,6 +318,22 @@ def no_look_ahead(spark, d):
     return C.look_ahead(B.all_steps(months), _windows(spark, d)[1], months)
 
 
+@register(f"SELECT instrument, period_month, {_round('adj_close', 6)} FROM prices WHERE available_from <= DATE '1999-06-15'")
+def as_of_view(spark, d):
+    """The as-of rule stated in SQL over the panel's views."""
+    p = P.load(spark, d)
+    return rounded(Views(prices=p.prices, fx=p.fx, cash=p.cash).as_of("1999-06-15T23:30:00+02:00").select("instrument", "period_month", "adj_close"), 6)
+
+
+@register("SELECT count(DISTINCT instrument) AS instruments, count(DISTINCT (instrument, period_month)) AS months, 0 AS differences, true AS agrees FROM prices")
+def coverage_views(spark, d):
+    """Coverage in DataFrame functions against coverage stated in SQL."""
+    p = P.load(spark, d)
+    seen = p.prices.groupBy("instrument").agg(F.min("period_month").alias("first"), F.max("period_month").alias("last"), F.countDistinct("period_month").alias("months"))
+    out = coverage_agreement(seen, Views(prices=p.prices, fx=p.fx, cash=p.cash).coverage("2001-08-15"))
+    return out.withColumn("differences", F.col("differences").cast("int"))
+
+
 # Quality gate
 
 
@@ -372,6 +433,11 @@ def metric_block(spark, d):
     return rounded(out.withColumn("information_ratio", F.round("information_ratio", 6)))
 
 
+@register("SELECT run_id, round(avg(net - gross), 8) AS mean_monthly, round(avg(net - gross) * 12, 8) AS annualised, round(product(1 + net) - product(1 + gross), 8) AS drag FROM series GROUP BY 1")
+def cost_line(spark, d):
+    return rounded(M.cost_line(_series(spark, d)[3], "run_id"))
+
+
 @register(f"SELECT run_id, bp, round(avg(paid) * 12, 8) AS cost_per_year, round(product(1 + kept) - 1, 8) AS cumulative, round({_RATIO.format('(kept - bench)')}, 6) AS information_ratio FROM (SELECT *, 2 * turnover * bp / 1e4 AS paid, gross - 2 * turnover * bp / 1e4 AS kept FROM active, (VALUES (5.0::DOUBLE), (20.0), (40.0)) r(bp)) GROUP BY 1, 2")
 def cost_sensitivity(spark, d):
     out = M.sensitivity(_series(spark, d)[3], "run_id")
@@ -441,6 +507,15 @@ def linked_effects(spark, d):
     return rounded(A.linking(A.allocation_lines(rows)).drop("residual_carino", "residual_menchero"))
 
 
+@register(f"""SELECT run_id, instrument, {', '.join(f'round(sum({e} * k / big), 8) AS {e}' for e in ('allocation', 'currency', 'interaction'))} FROM (
+    SELECT r.run_id, r.traded, instrument, (weight - policy) * (local - local_b) AS allocation, (weight - policy) * translation AS currency, (weight - policy) * local * translation AS interaction, {_linked('k')} AS k,
+    CASE WHEN abs(p - b) > 1e-12 THEN (ln(1 + p) - ln(1 + b)) / (p - b) ELSE 1 / (1 + p) END AS big FROM (SELECT *, sum(policy * local) OVER (PARTITION BY run_id, traded) AS local_b FROM traded_returns) r
+    JOIN ({_LINES}) l ON l.run_id = r.run_id AND l.period_month = r.traded JOIN (SELECT run_id, product(1 + portfolio) - 1 AS p, product(1 + benchmark) - 1 AS b FROM ({_LINES}) GROUP BY 1) t ON t.run_id = r.run_id) GROUP BY 1, 2""")
+def linked_by_sleeve(spark, d):
+    rows = _members(spark, d)[2].withColumnRenamed("traded", "period_month").withColumnRenamed("weight", "book")
+    return rounded(A.linked_by_sleeve(A.sleeve_lines(rows), A.allocation_lines(rows)))
+
+
 _EULER = """SELECT run_id, w.traded, w.i AS instrument, weight, sqrt(variance) AS volatility, m / sqrt(variance) AS marginal, weight * m / sqrt(variance) AS contribution, weight * m / variance AS share FROM (
     SELECT *, sum(weight * m) OVER (PARTITION BY run_id, traded) AS variance FROM (SELECT b.run_id, b.traded, b.instrument AS i, max(b.weight) AS weight, sum(c.value * x.weight) AS m
     FROM books b JOIN cov c ON c.protocol = 'rolling' AND c.traded = b.traded AND c.i = b.instrument JOIN books x ON x.run_id = b.run_id AND x.traded = b.traded AND x.instrument = c.j GROUP BY 1, 2, 3)) w"""
@@ -520,15 +595,30 @@ def one_factor_fit(spark, d):
 # Kernels: rows without SQL, held to invariants and closed forms by the tests
 
 
-@register()
-def rolling_factor_fit(spark, d):
+def _named(p):
+    """The spine and the block built from sleeves, long, in the order of _NAMES."""
+    block = R.constructed_block(p.returns, *_BUILT_FROM)
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("ret")) for n in _BLOCK])).alias("x")
+    return p.factors.unionByName(block.select("period_month", pairs).select("x.factor", "period_month", "x.ret"))
+
+
+def _fit(spark, d):
     p, windows = _windows(spark, d)
-    return X.rolling(X.fit_rows(windows, p.factors, list(_SEGMENTS)), list(_SEGMENTS))
+    return once(spark, ("fit", d), lambda: X.rolling(X.fit_rows(windows, _named(p), _NAMES), _NAMES, len(_BLOCK)))
 
 
-@register()
+_FIT_SQL = "SELECT protocol, traded, instrument, quantity, factor, round(value, CASE WHEN quantity IN ('beta_t', 'alpha_t', 'vif_spine', 'vif_declared', 'vif_orthogonal') THEN 5 ELSE 7 END) AS value, determined FROM fits"
+
+
+@register(_FIT_SQL)
+def rolling_factor_fit(spark, d):
+    wide = F.col("quantity").isin("beta_t", "alpha_t", "vif_spine", "vif_declared", "vif_orthogonal")
+    return _fit(spark, d).withColumn("value", F.when(wide, F.round("value", 5)).otherwise(F.round("value", 7)))
+
+
+@register("SELECT protocol, instrument, factor, round(avg(move), 7) AS mean_move, round(max(move), 7) AS max_move FROM (SELECT *, abs(value - lag(value) OVER (PARTITION BY protocol, instrument, factor ORDER BY traded)) AS move FROM fits WHERE quantity = 'beta') GROUP BY 1, 2, 3")
 def loading_drift(spark, d):
-    return X.loading_drift(rolling_factor_fit(spark, d))
+    return rounded(X.loading_drift(_fit(spark, d)), 7)
 
 
 @register()
@@ -569,6 +659,35 @@ def grs_spanning(spark, d):
     return B.grouped(_windows(spark, d)[1], ["protocol", "traded"], kernel, "protocol string, traded date, components int, statistic double, p double")
 
 
+@register()
+def grs_directions(spark, d):
+    """Component portfolios against the named set, and the other way round."""
+
+    def kernel(frame):
+        x, f, _ = X._block(frame)
+        head, out = (frame["protocol"].iloc[0], frame["traded"].iloc[0]), []
+        for k in (1, 2):
+            _, made = K.component_portfolios(x, k)
+            for way, (assets, base) in {"headline": (made, f), "reverse": (f, made)}.items():
+                found = K.grs(assets, base)
+                out.append((*head, k, way, found["statistic"], found["p"]))
+        return X.pd.DataFrame(out, columns=["protocol", "traded", "components", "direction", "statistic", "p"])
+
+    p, windows = _windows(spark, d)
+    rows = X.fit_rows(windows, _named(p), _NAMES)
+    return rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, components int, direction string, statistic double, p double")
+
+
+@register()
+def component_decision(spark, d):
+    """The retained counts, how often they jump by more than one, and what the rule uses."""
+    counts = principal_components(spark, d).where("component = 0").select("traded", "retained")
+    moved = (F.abs(F.col("retained") - F.lag("retained").over(Window.orderBy("traded"))) > 1).cast("double")
+    share = counts.withColumn("moved", moved).agg(F.coalesce(F.avg("moved"), F.lit(0.0)).alias("move_share"))
+    out = counts.crossJoin(share).withColumn("falsified", F.col("move_share") > K.MOVE_SHARE)
+    return out.withColumn("used", F.when(F.col("falsified"), K.FIXED_COUNT).otherwise(F.col("retained")))
+
+
 def _grid(spark, d):
     """The panel, the runs, and their targets: each window solved once."""
     p, windows = _windows(spark, d)
@@ -616,15 +735,51 @@ def grid_metrics(spark, d):
     return M.block(M.active(rows, bench), "run_id")
 
 
-@register()
+def _views(spark, d):
+    """Active weights with returns, the fit, and the traded months on its basis."""
+    p, windows, books = _books(spark, d)
+    named = _named(p)
+    at = X.fit_rows(windows.select(F.col("traded").alias("period_month")).distinct(), named, _NAMES).select(F.col("period_month").alias("traded"), F.col("f").alias("now"))
+    basis = once(spark, ("basis", d), lambda: X.design(X.fit_rows(windows, named, _NAMES), at, _NAMES, len(_BLOCK)))
+    gap = books.join(P.universe(spark).select("instrument", "policy"), "instrument").join(p.returns.select(F.col("period_month").alias("traded"), "instrument", F.col("excess").alias("ret")), ["traded", "instrument"])
+    return gap.withColumn("a", F.col("weight") - F.col("policy")), _fit(spark, d), basis
+
+
+@register("""SELECT run_id, traded, round(alpha, 8) AS alpha, round(active, 8) AS active, round(factors, 8) AS factors, round(active - factors - alpha, 8) AS residual FROM
+    (SELECT run_id, g.traded, sum(a * coalesce(f.value, 0)) AS alpha, sum(a * excess) AS active FROM gaps g LEFT JOIN fits f ON f.protocol = 'rolling' AND f.traded = g.traded AND f.instrument = g.instrument AND f.quantity = 'alpha' GROUP BY 1, 2)
+    JOIN (SELECT run_id, traded, sum(value) AS factors FROM parts GROUP BY 1, 2) USING (run_id, traded)""")
 def factor_attribution(spark, d):
-    p, windows = _windows(spark, d)
-    names = list(_SEGMENTS)
-    rows = X.fit_rows(windows, p.factors, names)
-    at = X.fit_rows(windows.select(F.col("traded").alias("period_month")).distinct(), p.factors, names).select(F.col("period_month").alias("traded"), F.col("f").alias("now"))
-    _, _, books = _books(spark, d)
-    gap = books.join(F.broadcast(P.universe(spark).select("instrument", "policy")), "instrument").join(p.returns.select(F.col("period_month").alias("traded"), "instrument", F.col("excess").alias("ret")), ["traded", "instrument"])
-    return X.decomposition(gap.withColumn("a", F.col("weight") - F.col("policy")), X.rolling(rows, names), X.design(rows, at, names))
+    return rounded(X.decomposition(*_views(spark, d)))
+
+
+@register("SELECT run_id, traded, factor, round(value, 8) AS value FROM parts")
+def factor_contributions(spark, d):
+    return rounded(X.decomposition_by_factor(*_views(spark, d)))
+
+
+@register("""SELECT run_id, round(sqrt(avg(f) * 12), 8) AS factor_tracking_error, round(sqrt(avg(r) * 12), 8) AS idio_tracking_error, round(sqrt(avg(f + r) * 12), 8) AS total_tracking_error, round(CASE WHEN avg(f + r) > 0 THEN avg(f) / avg(f + r) END, 8) AS factor_share
+    FROM (SELECT run_id, traded, var_samp(x) AS f FROM (SELECT p.run_id, p.traded, h.period_month, sum(p.e * CASE p.factor WHEN 'AUTOMOBILE' THEN s1 WHEN 'BUILDING' THEN s2 WHEN 'FURNITURE' THEN s3 WHEN 'HOUSEHOLD' THEN s4 WHEN 'MACHINERY' THEN s5
+        WHEN 'level' THEN b1 WHEN 'slope' THEN t2 WHEN 'credit' THEN t3 ELSE t4 END) AS x FROM parts p JOIN held h ON h.protocol = 'rolling' AND h.traded = p.traded GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    JOIN (SELECT run_id, g.traded, sum(a * a * value) AS r FROM gaps g JOIN fits f ON f.protocol = 'rolling' AND f.traded = g.traded AND f.instrument = g.instrument AND f.quantity = 'resid_var' GROUP BY 1, 2) USING (run_id, traded) GROUP BY 1""")
+def risk_attribution(spark, d):
+    return rounded(X.risk_summary(X.risk_attribution(*_views(spark, d))))
+
+
+@register("SELECT run_id, 0.0::DOUBLE AS worst, 0.0::DOUBLE AS mean, round(max(abs(x)), 8) AS scale, true AS reconciles FROM (SELECT run_id, traded, sum(a * euro) AS x FROM gaps GROUP BY 1, 2) GROUP BY 1")
+def cross_view(spark, d):
+    """The holding view's active return against the factor view's, model and rest."""
+    rows = _members(spark, d)[2].withColumnRenamed("traded", "period_month").withColumnRenamed("weight", "book")
+    holding = A.allocation_lines(rows).select("run_id", F.col("period_month").alias("traded"), "active")
+    view = X.decomposition(*_views(spark, d)).select("run_id", "traded", (F.col("factors") + F.col("alpha") + F.col("residual")).alias("active"))
+    return rounded(A.cross_view(holding, view).drop("relative"))
+
+
+@register(f"""SELECT run_id, CAST(n AS INTEGER) AS months, NULL AS refused, round(alpha, 8) AS alpha_monthly, round(alpha * 12, 8) AS alpha_annualised, round(alpha / se, 5) AS t_alpha, round(sqrt(ssr / (n - 1) * 12), 8) AS residual_volatility_annualised, round(r2, 8) AS r2, round({K.family_wise_bar(16)!r}, 8) AS bar, round({K.detection(NormalDist().inv_cdf(0.975))!r} * se, 8) AS detectable_alpha_monthly, abs(alpha / se) >= {K.family_wise_bar(16)!r} AS clears
+    FROM (SELECT *, sqrt(ssr / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se FROM (SELECT run_id, count(*) AS n, regr_intercept(net, ret) AS alpha, regr_syy(net, ret) * (1 - regr_r2(net, ret)) AS ssr, regr_r2(net, ret) AS r2, avg(ret) AS mx, regr_sxx(net, ret) AS sxx FROM series s JOIN factors f ON f.period_month = s.traded AND factor = 'BUILDING' GROUP BY 1))""")
+def fund_example(spark, d):
+    p, _, _, series = _series(spark, d)
+    out = X.fund_example(series, p.factors, ["BUILDING"], K.family_wise_bar(16), K.detection(NormalDist().inv_cdf(0.975)), least=12)
+    return rounded(out.withColumn("t_alpha", F.round("t_alpha", 5)))
 
 
 @register()
@@ -637,6 +792,42 @@ def negative_results(spark, d):
     return V.negative_results(S.rows(_grid_series(spark, d)[1])).select("run_id", "verdict")
 
 
+@register()
+def grid_budgets(spark, d):
+    """Every run's use of the declared budget, and the policy book's."""
+    p, path = _path(spark, d)
+    series = _grid_series(spark, d)[1]
+    bench = series.where("run_id = 'policy'").select("traded", F.col("gross").alias("net"))
+    books = path.select("run_id", "traded", "instrument", F.col("book").alias("weight")).unionByName(Y.policy_book(Y.traded_months(series), P.universe(spark)))
+    return Y.risk_budgets(books, M.active(series, bench), p.returns, P.universe(spark), P.RISK_BUDGET, 0.1).budget
+
+
+_MEAN = "SELECT run_id, instrument, avg(weight) AS weight FROM books GROUP BY 1, 2"
+_HELD = "SELECT * FROM returns WHERE period_month IN (SELECT traded FROM steps)"
+_MEAN_SHARE = f"""SELECT run_id, i AS instrument, weight * m / sum(weight * m) OVER (PARTITION BY run_id) AS share FROM (SELECT b.run_id, b.instrument AS i, max(b.weight) AS weight, sum(c.value * x.weight) AS m FROM ({_MEAN}) b
+    JOIN (SELECT a.instrument AS i, b.instrument AS j, covar_samp(a.excess, b.excess) AS value FROM ({_HELD}) a JOIN ({_HELD}) b ON a.period_month = b.period_month GROUP BY 1, 2) c ON c.i = b.instrument
+    JOIN ({_MEAN}) x ON x.run_id = b.run_id AND x.instrument = c.j GROUP BY 1, 2)"""
+
+
+@register(f"SELECT run_id, grp, round(sum(share), 8) AS consumed, round(max(declared), 8) AS declared, round(sum(share) - max(declared), 8) AS gap, false AS undeclared FROM ({_MEAN_SHARE}) JOIN universe USING (instrument) JOIN (VALUES {', '.join(f'({g!r}, {v!r}::DOUBLE)' for g, v in P.RISK_BUDGET.items())}) t(grp, declared) USING (grp) GROUP BY 1, 2")
+def mean_budgets(spark, d):
+    """The budget of the simple books' mean weights under the traded months' covariance."""
+    p, _, books, series = _series(spark, d)
+    return rounded(Y.risk_budgets(books, series, p.returns, P.universe(spark), P.RISK_BUDGET, 0.1).budget)
+
+
+@register()
+def run_records(spark, d):
+    """What a rerun needs of each run."""
+    _, runs, found = _grid(spark, d)
+    return B.records(runs, found, {"window_end": P.PRICE_END, "splice": P.SPLICE})
+
+
+@register()
+def cell_correlation(spark, d):
+    return S.cell_correlation(_grid_series(spark, d)[1])
+
+
 @register()
 def multiple_testing_bars(spark, d):
     series = _grid_series(spark, d)[1]
@@ -647,16 +838,16 @@ def multiple_testing_bars(spark, d):
 @register()
 def fama_macbeth(spark, d):
     p, windows = _windows(spark, d)
-    names = list(_SEGMENTS)[:3]
+    names = list(_SEGMENTS)[:3]  # six sleeves identify four parameters
     rows = X.fit_rows(windows, p.factors, names)
 
     def kernel(frame):
         x, f, _ = X._block(frame)
-        out = K.fama_macbeth(x, f) if len(x) > 10 else None
-        found = [] if out is None else [(frame["protocol"].iloc[0], frame["traded"].iloc[0], n, float(out["premium"][i]), float(out["t"][i]), out["dof"]) for i, n in enumerate(["intercept", *names])]
-        return X.pd.DataFrame(found, columns=["protocol", "traded", "factor", "premium", "t", "dof"])
+        out = K.fama_macbeth(x, f)
+        found = [(frame["protocol"].iloc[0], frame["traded"].iloc[0], n, float(out["premium"][i]), float(out["t"][i]), out["dof"]) for i, n in enumerate(["intercept", *names])]
+        return X.pd.DataFrame(found, columns=["protocol", "traded", "factor", "premium", "t", "dof"]).assign(identified=out["dof"] <= 0)
 
-    return rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, factor string, premium double, t double, dof int")
+    return rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, factor string, premium double, t double, dof int, identified boolean")
 
 
 @register()
