@@ -607,13 +607,14 @@ def _fit(spark, d):
     return once(spark, ("fit", d), lambda: X.rolling(X.fit_rows(windows, _named(p), _NAMES), _NAMES, len(_BLOCK)))
 
 
-_FIT_SQL = "SELECT protocol, traded, instrument, quantity, factor, round(value, CASE WHEN quantity IN ('beta_t', 'alpha_t', 'vif_spine', 'vif_declared', 'vif_orthogonal') THEN 5 ELSE 7 END) AS value, determined FROM fits"
+_FIT_SQL = "SELECT protocol, traded, coalesce(instrument, '') AS instrument, quantity, coalesce(factor, '') AS factor, round(value, CASE WHEN quantity IN ('beta_t', 'alpha_t', 'vif_spine', 'vif_declared', 'vif_orthogonal') THEN 5 ELSE 7 END) AS value, coalesce(determined, false) AS determined FROM fits"
 
 
 @register(_FIT_SQL)
 def rolling_factor_fit(spark, d):
     wide = F.col("quantity").isin("beta_t", "alpha_t", "vif_spine", "vif_declared", "vif_orthogonal")
-    return _fit(spark, d).withColumn("value", F.when(wide, F.round("value", 5)).otherwise(F.round("value", 7)))
+    named = {c: F.coalesce(c, F.lit("")) for c in ("instrument", "factor")} | {"determined": F.coalesce("determined", F.lit(False))}
+    return _fit(spark, d).withColumns(named | {"value": F.when(wide, F.round("value", 5)).otherwise(F.round("value", 7))})
 
 
 @register("SELECT protocol, instrument, factor, round(avg(move), 7) AS mean_move, round(max(move), 7) AS max_move FROM (SELECT *, abs(value - lag(value) OVER (PARTITION BY protocol, instrument, factor ORDER BY traded)) AS move FROM fits WHERE quantity = 'beta') GROUP BY 1, 2, 3")
@@ -774,7 +775,7 @@ def cross_view(spark, d):
     return rounded(A.cross_view(holding, view).drop("relative"))
 
 
-@register(f"""SELECT run_id, CAST(n AS INTEGER) AS months, NULL AS refused, round(alpha, 8) AS alpha_monthly, round(alpha * 12, 8) AS alpha_annualised, round(alpha / se, 5) AS t_alpha, round(sqrt(ssr / (n - 1) * 12), 8) AS residual_volatility_annualised, round(r2, 8) AS r2, round({K.family_wise_bar(16)!r}, 8) AS bar, round({K.detection(NormalDist().inv_cdf(0.975))!r} * se, 8) AS detectable_alpha_monthly, abs(alpha / se) >= {K.family_wise_bar(16)!r} AS clears
+@register(f"""SELECT run_id, CAST(n AS INTEGER) AS months, CAST(NULL AS VARCHAR) AS refused, round(alpha, 8) AS alpha_monthly, round(alpha * 12, 8) AS alpha_annualised, round(alpha / se, 5) AS t_alpha, round(sqrt(ssr / (n - 1) * 12), 8) AS residual_volatility_annualised, round(r2, 8) AS r2, round({K.family_wise_bar(16)!r}, 8) AS bar, round({K.detection(NormalDist().inv_cdf(0.975))!r} * se, 8) AS detectable_alpha_monthly, abs(alpha / se) >= {K.family_wise_bar(16)!r} AS clears
     FROM (SELECT *, sqrt(ssr / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se FROM (SELECT run_id, count(*) AS n, regr_intercept(net, ret) AS alpha, regr_syy(net, ret) * (1 - regr_r2(net, ret)) AS ssr, regr_r2(net, ret) AS r2, avg(ret) AS mx, regr_sxx(net, ret) AS sxx FROM series s JOIN factors f ON f.period_month = s.traded AND factor = 'BUILDING' GROUP BY 1))""")
 def fund_example(spark, d):
     p, _, _, series = _series(spark, d)

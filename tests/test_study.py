@@ -5,6 +5,7 @@ import math
 from quartzfolio import queries as q
 from quartzfolio.functions import kernels as K
 from quartzfolio.operators import verdicts as V
+from quartzfolio.plans import factors as X
 from quartzfolio.plans import study as S
 
 D = "/root/testdata/sf0.01"
@@ -25,7 +26,7 @@ def test_rows_bars_and_reruns(spark):
 
 
 def test_fit_splits_the_variance(spark):
-    fit = q.rolling_factor_fit(spark, D).toPandas()
+    fit = q._fit(spark, D).toPandas()
     wide = fit[fit.quantity.isin(["resid_var", "explained_var", "r2"])].pivot_table(index=["protocol", "traded", "instrument"], columns="quantity", values="value")
     assert abs(wide.explained_var / (wide.explained_var + wide.resid_var) - wide.r2).max() < 1e-9
     vif = fit[fit.quantity == "vif_orthogonal"].value
@@ -33,7 +34,7 @@ def test_fit_splits_the_variance(spark):
 
 
 def test_attribution_adds_up(spark):
-    rows = q.factor_attribution(spark, D).toPandas()
+    rows = X.decomposition(*q._views(spark, D)).toPandas()
     assert abs(rows.factors + rows.alpha + rows.residual - rows.active).max() < 1e-12
 
 
