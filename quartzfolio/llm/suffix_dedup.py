@@ -38,6 +38,9 @@ from .common import Scratch, configure, id_text, pack, partitions, string_bytes,
 #: Bytes of text in a block and of windows hashed at once, and segments in one BWT:
 #: they bound memory, not results.
 BLOCK_BYTES, PIECE, BWT_SEGMENTS = 4 << 20, 1 << 17, 4_000
+#: Different segments of one anchor beyond which their windows go into collections by
+#: content, so that a phrase in very many contexts needs no more memory than others.
+HOT_SEGMENTS = 32_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -181,6 +184,43 @@ def window_minima(segments: np.ndarray, lengths: np.ndarray, owner: np.ndarray,
     return out
 
 
+def bounded_minima(segments: np.ndarray, lengths: np.ndarray, owner: np.ndarray, match: int) -> np.ndarray:
+    """``window_minima`` for any number of segments: beyond ``HOT_SEGMENTS`` each window is
+    a text of its own, and equal ones, whose hash is one, share a collection."""
+    m, width = segments.shape
+    if m <= HOT_SEGMENTS:
+        return window_minima(segments, lengths, owner, match)
+    columns = width - match + 1
+    windows = lengths.astype(np.int64) - match + 1
+    groups = -(-int(windows.sum()) // HOT_SEGMENTS)
+    padded = np.concatenate([segments, np.zeros((m, -match % 8), np.uint8)], axis=1)
+
+    def cut(seg: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        data = padded[seg[:, None], col[:, None] + np.arange(match + -match % 8)]
+        data[:, match:] = 0
+        return data[:, :match], _pair_hash(data, np.full(len(seg), match))
+
+    group = np.full((m, columns), groups, np.uint32)
+    for c in range(columns):
+        for lo in range(0, m, PIECE):
+            own = lo + np.flatnonzero(windows[lo : lo + PIECE] > c)
+            if len(own):
+                group[own, c] = cut(own, np.full(len(own), c))[1][0] % np.uint64(groups)
+    order = np.argsort(group, axis=None, kind="stable")
+    edges = np.searchsorted(group.ravel()[order], np.arange(groups + 1))
+    out = np.full((m, columns), np.iinfo(np.int64).max, np.int64)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        seg, col = np.divmod(order[a:b], columns)
+        data, key = cut(seg, col)
+        by = np.lexsort((key[1], key[0]))
+        new = np.r_[True, (key[0][by][1:] != key[0][by][:-1]) | (key[1][by][1:] != key[1][by][:-1])] if len(by) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        if len(first):
+            least = window_minima(data[by[first]], np.full(len(first), match), np.minimum.reduceat(owner[seg][by], first), match)[:, 0]
+            out[seg[by], col[by]] = least[np.cumsum(new) - 1]
+    return out
+
+
 def runs_of(text: np.ndarray, off: np.ndarray, match: int, gram: int):
     """Runs of windows with one anchor: (document, first window, windows, hash)."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -404,7 +444,7 @@ def remove_repeats(
             segment = np.empty(len(own), np.int64)
             segment[order] = np.cumsum(new) - 1
             rep = order[first]
-            least = window_minima(data[rep], sizes[own][rep], np.minimum.reduceat(low[own][order], first), match_bytes)
+            least = bounded_minima(data[rep], sizes[own][rep], np.minimum.reduceat(low[own][order], first), match_bytes)
             mine = least[segment]
             useful = mine < high[own][:, None]  # a later document of the block loses bytes
             begin = useful.copy()

@@ -87,3 +87,20 @@ def test_window_minima_is_the_class_minimum():
             best[w] = min(best.get(w, 9999), o)
     for i, (s, n) in enumerate(zip(segs, lens)):
         assert [best[s[q : q + 8].tobytes()] for q in range(n - 7)] == out[i, : n - 7].tolist()
+
+
+def test_an_anchor_in_very_many_contexts(monkeypatch):
+    """Windows dealt by content give the same minima as whole segments do."""
+    import quartzfolio.llm.suffix_dedup as m
+
+    rng = np.random.default_rng(1)
+    segs = rng.integers(97, 99, (900, 56)).astype(np.uint8)
+    segs[:, 18:38] = 122  # the anchor
+    segs[::3, :40] = segs[0, :40]  # and a passage that many contexts hold
+    lens = rng.integers(30, 57, 900)
+    segs[np.arange(56) >= lens[:, None]] = 0
+    owner = rng.permutation(900)
+    whole = window_minima(segs, lens, owner, 30)
+    monkeypatch.setattr(m, "HOT_SEGMENTS", 64)
+    monkeypatch.setattr(m, "PIECE", 100)
+    assert (m.bounded_minima(segs, lens, owner, 30) == whole).all()
