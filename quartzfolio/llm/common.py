@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -85,6 +86,25 @@ def sweep(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def released(run):
+    """``run`` over batches, and at a task's end its memory goes back to the system: the
+    worker lives on and waits beside whatever the executor does next."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            from .shingles import forget
+
+            forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

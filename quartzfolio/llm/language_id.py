@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, fold, id_text, string_bytes
+from .common import configure, fold, id_text, released, string_bytes
 
 BITS, WIDTH = 15, 16
 _LETTER = np.full(256, 0x20, np.uint8)
@@ -137,7 +137,7 @@ def train(
         wanted = F.when(F.col("lang") == lang, F.lit(int((1 << 20) * min(1.0, per_language / n)))).otherwise(wanted)
     sample = rows.where(spot < wanted).select("text", "lang", F.pmod(F.xxhash64("text", "doc_id"), F.lit(5)).cast("int").alias("pick"))
     sample = sample.limit(2 * per_language * len(counts))  # one row repeated very often hashes alike
-    got = sample.mapInArrow(_counts, "lang string, pick int, at binary, share binary").toArrow()
+    got = sample.mapInArrow(released(_counts), "lang string, pick int, at binary, share binary").toArrow()
     order = np.argsort([zlib.crc32(a) for a in got["at"].to_pylist()], kind="stable")  # not by arrival
     langs = sorted(counts)
     label = np.array([langs.index(x) for x in got["lang"].to_pylist()])[order]
@@ -195,7 +195,7 @@ def identify(documents: DataFrame, model: LanguageModel, folds: int = 5, id_col:
             best, score, rejected = model.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    out = id_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = id_text(documents, id_col, text_col).mapInArrow(released(run), "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
@@ -208,4 +208,4 @@ def keep_identified(documents: DataFrame, model: LanguageModel, text_col: str =
         for batch in batches:
             yield batch.filter(pa.array(~model.predict(batch.column(place))[2]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run), documents.schema)

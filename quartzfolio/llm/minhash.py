@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, configure, id_text, pack, partitions, sweep, unpack
+from .common import Scratch, configure, id_text, pack, partitions, released, sweep, unpack
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -267,14 +267,14 @@ def near_duplicates(
     deal, pair = _candidates(groups)
 
     schema = "doc_id long, row long, n_shingles long, sig binary, regs binary"
-    sketch = scratch.save(docs.mapInArrow(lambda b: _sketch(b, shingle_words), schema), "sketch")
+    sketch = scratch.save(docs.mapInArrow(released(lambda b: _sketch(b, shingle_words)), schema), "sketch")
     own = sketch.where("doc_id is not null and sig is not null")
     # One row a class: its number, its least row, and its sketch.
     first = own.groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     first = first.select(F.monotonically_increasing_id().alias("id"), F.col("least.doc_id").alias("rep"), F.col("least.row").alias("row"), "n_shingles", "sig", "regs")
     classes = scratch.save(first, "classes")
-    found = classes.select("id", "regs").mapInArrow(deal, "part int, payload binary").repartitionById(groups, "part")
-    found = scratch.save(found.mapInArrow(pair, "kind int, a long, b long, key long"), "found")
+    found = classes.select("id", "regs").mapInArrow(released(deal), "part int, payload binary").repartitionById(groups, "part")
+    found = scratch.save(found.mapInArrow(released(pair), "kind int, a long, b long, key long"), "found")
 
     def build(batches):
         for batch in batches:
@@ -288,17 +288,17 @@ def near_duplicates(
         if wanted.count() <= BROADCAST_IDS:  # else a shuffle join, of all texts
             wanted = F.broadcast(wanted)
         texts = docs.join(wanted, ["doc_id", "row"]).select("id", "text", "sig")
-        return scratch.save(texts.mapInArrow(build, "id long, items binary").dropDuplicates(["id"]), "sets")
+        return scratch.save(texts.mapInArrow(released(build), "id long, items binary").dropDuplicates(["id"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of the pairs whose estimate leaves hope, on full sets."""
         side = classes.select("id", "regs", "n_shingles")
         left, right = (side.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
-        hope = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_hopeful(least), "a long, b long")
+        hope = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(released(_hopeful(least)), "a long, b long")
         hope = scratch.save(hope, "hope")
         sets = sets_of(hope.select(F.col("a").alias("id")).union(hope.select(F.col("b").alias("id"))).distinct())
         done = hope.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        done = scratch.save(done.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "done")
+        done = scratch.save(done.select("a", "b", "x", "y").mapInArrow(released(_confirm(percent)), "a long, b long, linked boolean"), "done")
         scratch.drop(hope, sets)
         return done
 
@@ -322,7 +322,7 @@ def near_duplicates(
     low = F.least("own", "other")  # each pair of blocks once: the lower block's rows on side 0
     rows = rows.select("tie", low.alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > low).cast("int").alias("side"), "id", "comp", "items")
     rows = rows.repartition(groups, "tie", "i", "j").sortWithinPartitions("tie", "i", "j")
-    more = scratch.save(rows.mapInArrow(_meet(percent), "a long, b long"), "more")
+    more = scratch.save(rows.mapInArrow(released(_meet(percent)), "a long, b long"), "more")
     every = tried.where("linked").select("a", "b").union(more)
     parts = connected_components(every, scratch)
 

@@ -31,6 +31,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _TABLE = _powers(1 << 16)
 
 
+def forget() -> None:
+    """Gives up the powers of long batches; they are worked out again when needed."""
+    global _TABLE
+    if len(_TABLE[0]) > 1 << 17:
+        _TABLE = _powers(1 << 16)
+
+
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words: runs without space, tab, line feed, vertical tab,
     form feed or return, within one text."""
