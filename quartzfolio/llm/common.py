@@ -97,7 +97,6 @@ def released(run):
             from .shingles import forget
 
             forget()
-            gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)
