@@ -7,9 +7,13 @@ hashes of falling length (running Karp-Rabin greedy string tiling, Wise, 1993).
 covered share of the item's words decides, so a passage whose parts stand in another
 order, or between other text, counts as fully as an unchanged one.
 
-The benchmark is read in blocks of ``BLOCK_BYTES`` of text, so what every task gets
-has a fixed bound; each block meets all texts. Items with fewer words than a seed
-are compared as one run of all their words. Null texts and items without words match
+Seeds of items and of texts are tables that Spark joins; neither passes through the
+driver. Where the benchmark's different seeds are few (``BROADCAST_SEEDS``, 8 bytes
+each, counted first) every task gets them and hands on only the seeds of texts that an
+item has too; beyond that all seeds of the texts take part in the join. A text hands a
+seed on once, and pairs are made distinct before any text is read again, so a phrase
+that very many texts and items share costs one row a text and item. Items with fewer
+words than a seed are compared as one run of all their words. Null texts and items without words match
 nothing. Rows with null or repeated ids each give their own rows; empty tables give
 an empty result.
 """
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, string_bytes
+from .common import Scratch, configure, id_text, released, string_bytes
 from .shingles import mix, word_hashes
 
-BLOCK_BYTES = 16 << 20
+BROADCAST_SEEDS = 4_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -110,54 +114,68 @@ def _longest(text, item, free_t, free_i, least: int, most: int) -> int:
     return low if low >= least else 0
 
 
-class Items:
-    """A block of benchmark items: words, and seeds to find candidates by."""
-
-    def __init__(self, ids: list, texts: list, seed: int, least: int):
-        h, first = words(pa.array(texts, pa.string()))
-        self.ids, self.seed, self.least = ids, seed, least
-        self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        seeds: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for i, w in enumerate(self.words):
-            if len(w):
-                size = min(len(w), seed)
-                seeds.setdefault(size, []).append((np.unique(windows(w, size)), i))
-        self.seeds = {}
-        for size, rows in seeds.items():
-            key, item = np.concatenate([x for x, _ in rows]), np.repeat([i for _, i in rows], [len(x) for x, _ in rows])
-            order = np.argsort(key, kind="stable")
-            self.seeds[size] = (key[order], item[order])
-
-    def candidates(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a seed."""
-        out: set[tuple[int, int]] = set()
-        for size, (key, item) in self.seeds.items():
-            w = windows(h, size)
-            lo = np.searchsorted(key, w)
-            spots = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == w)
-            if len(spots):
-                doc = np.searchsorted(first, spots, "right") - 1
-                inside = spots + size <= first[doc + 1]
-                spots, doc = spots[inside], doc[inside]
-                a, b = lo[spots], np.searchsorted(key, w[spots], "right")
-                row = np.repeat(np.arange(len(spots)), b - a)
-                use = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-                out.update(zip(doc[row].tolist(), item[use].tolist(), strict=True))
-        return out
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """Items in blocks of bounded text, one block on the driver at a time."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        size += len(r[1])
-        if size >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _item_seeds(seed: int):
+    """item, size, seed: the different seeds of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = words(batch.column(1))
+            for item, a, b in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if b > a:
+                    found = np.unique(windows(h[a:b], min(b - a, seed)))
+                    yield _seeds([item] * len(found), min(b - a, seed), found)
+
+    return run
+
+
+def _seeds(owner: list, size: int, found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64))], ["item", "size", "seed"])
+
+
+def _text_seeds(sizes: list[int], keys: dict[int, np.ndarray] | None):
+    """doc_id, row, size, seed: the different seeds of every text, those in sorted
+    ``keys`` only where these are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = words(batch.column(1))
+            for size in sizes:
+                w = windows(h, size)
+                spot = np.arange(len(w))
+                if keys is not None:
+                    known = keys[size]
+                    spot = np.flatnonzero(known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w)
+                doc = np.searchsorted(first, spot, "right") - 1
+                inside = spot + size <= first[doc + 1]
+                pair = np.unique(np.stack([doc[inside].astype(np.uint64), w[spot[inside]]], 1), axis=0)
+                owner = pa.array(pair[:, 0].astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(owner), batch.column(2).take(owner), pa.array(np.full(len(pair), size, np.int32)), pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64))], ["doc_id", "row", "size", "seed"]
+                )
+
+    return run
+
+
+def _tiles(coverage: float, least_words: int, schema: str):
+    """Rows of one text and one item each, those of a text in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
+        for batch in batches:
+            rows = []
+            for doc_id, text, row, item_id, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text != last:
+                    last, known = text, words(pa.array([text]))[0]
+                item = words(pa.array([item_text]))[0]
+                tiles = tile(known, item, min(least_words, len(item)))
+                covered = sum(n for *_, n in tiles)
+                if covered >= coverage * len(item):
+                    rows.append((doc_id, item_id, len(item), covered, len(tiles), covered / len(item), row))
+            if rows:
+                kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+
+    return run
 
 
 def find_contamination(
@@ -169,29 +187,23 @@ def find_contamination(
     place among rows with its id: a hash of the text)."""
     spark = documents.sparkSession
     configure(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("row"))
-    docs = docs.where("text is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    scratch = Scratch(spark, "leaks")
+    docs = id_text(documents, id_col, text_col).withColumn("row", F.xxhash64("text")).where("text is not null")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text"))
+    items = scratch.save(items.where("item_text is not null"), "items")
+    seeds = scratch.save(items.select("item", "item_text").mapInArrow(_item_seeds(seed_words), "item long, size int, seed long"), "seeds")
+    distinct = scratch.save(seeds.select("size", "seed").distinct(), "distinct")
+    counts = {r["size"]: r["count"] for r in distinct.groupBy("size").count().collect()}  # seed_words rows at most
     schema = "doc_id long, item_id long, n_words long, n_covered long, n_tiles long, coverage double, row long"
-    out = spark.createDataFrame([], schema)
-    for ids, texts in _blocks(items):
-        block = spark.sparkContext.broadcast((ids, texts))  # at most BLOCK_BYTES of text
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            known = Items(*block.value, seed_words, least_words)
-            for batch in batches:
-                h, first = words(batch.column(1))
-                rows = []
-                doc_ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                for d, i in sorted(known.candidates(h, first)):
-                    item = known.words[i]
-                    tiles = tile(h[first[d] : first[d + 1]], item, min(least_words, len(item)))
-                    covered = sum(n for *_, n in tiles)
-                    if covered >= coverage * len(item):
-                        rows.append((doc_ids[d], known.ids[i], len(item), covered, len(tiles), covered / len(item), marks[d]))
-                if rows:
-                    kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
-
-        out = out.unionByName(docs.mapInArrow(run, schema))
-    return out
+    if not counts:
+        return spark.createDataFrame([], schema)
+    keys = None
+    if sum(counts.values()) <= BROADCAST_SEEDS:
+        known = distinct.toArrow()
+        size, seed = known["size"].to_numpy(), known["seed"].to_numpy().view(np.uint64)
+        keys = {n: np.sort(seed[size == n]) for n in counts}
+    hits = docs.select("doc_id", "text", "row").mapInArrow(released(_text_seeds(sorted(counts), keys)), "doc_id long, row long, size int, seed long")
+    pairs = scratch.save(hits.join(seeds, ["size", "seed"]).select(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row"), "item").distinct(), "pairs")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row") == F.col("own_row"))
+    met = docs.join(pairs, same).join(items, "item").select("doc_id", "text", "row", "item_id", "item_text")
+    return met.mapInArrow(released(_tiles(coverage, least_words, schema)), schema)

@@ -88,18 +88,28 @@ def test_pairs_against_brute_force(spark):
     assert len({r[0] for r in got if r[0] is not None and r[0] < 120 and r[0] % 4 < 2}) == 60
 
 
-def test_small_blocks_and_empty_tables(spark, monkeypatch):
+def test_seeds_of_any_number_and_empty_tables(spark, monkeypatch):
     import quartzfolio.llm.decontamination as m
 
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string, coverage string")
     b = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, find_contamination(d, b).collect()), key=str)
-    monkeypatch.setattr(m, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(m, "BROADCAST_SEEDS", 10)
     assert sorted(map(tuple, find_contamination(d, b).collect()), key=str) == whole
     assert find_contamination(d.limit(0), b).collect() == [] == find_contamination(d, b.limit(0)).collect()
 
 
+def test_a_phrase_that_all_share(spark):
+    """One seed in every text and item: each pair once, and only covered ones stay."""
+    phrase = "one very common phrase here"
+    docs = [(i, f"a{i} b{i} {phrase} c{i}", "") for i in range(60)] + [(7, f"a7 b7 {phrase} c7", "")]
+    items = [(i, f"{phrase} " + " ".join(f"k{i}x{j}" for j in range(i))) for i in range(1, 9)]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string, row string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = sorted((r.doc_id, r.item_id, r.n_covered) for r in got.collect())
+    assert found == sorted((d, i, 5) for d, _, _ in docs for i in range(1, 6))
+
+
 def test_words_by_hand():
     h, first = words(pa.array(["Ab, ab!", "x-y É"]))
     assert h[0] == h[1] and first.tolist() == [0, 2, 5]
