@@ -90,6 +90,11 @@ _BLOCK, _BUILT_FROM = ("level", "slope", "credit", "high_yield"), ("SMALL", "STA
 _NAMES = [*_SEGMENTS, *_BLOCK]
 _OVER = "OVER (PARTITION BY protocol, traded)"
 _Z = {"full": "[1.0, s1, s2, s3, s4, s5, b1, t2, t3, t4]", "spine": "[1.0, s1, s2, s3, s4, s5]", "declared": "[1.0, s1, s2, s3, s4, s5, b1, b2, b3, b4]"}
+_SWEEP = """SELECT protocol, traded, CAST(1 AS BIGINT) AS k, m FROM {0} UNION ALL SELECT protocol, traded, k + 1,
+        list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k]) ELSE list_transform(range(1, 2 * len(m) + 1), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END)
+        FROM {1} WHERE k <= len(m)"""
+_ROWS_OF = "SELECT protocol, traded, list(r ORDER BY i) AS m FROM (SELECT protocol, traded, i, list(g ORDER BY j) || list(CASE WHEN i = j THEN 1.0 ELSE 0.0 END ORDER BY j) AS r FROM {0} GROUP BY 1, 2, 3) GROUP BY 1, 2"
+_INVERSE_OF = "SELECT protocol, traded, i, j, m[i][len(m) + j] AS v FROM {0}, range(1, 5) a(i), range(1, 5) b(j) WHERE k = len(m) + 1"
 _CELL = "max(excess) FILTER (WHERE instrument = '{}')"
 _L, _S, _C, _H = (_CELL.format(n) for n in _BUILT_FROM)
 #: Regressions of every window by Gauss-Jordan elimination of the normal equations.
@@ -130,6 +135,19 @@ _CTES |= {
         UNION ALL SELECT protocol, traded, instrument, 'explained_var', NULL, CASE WHEN kind = 'full' THEN vary - ssr / (t - 1) ELSE vary END, kind <> 'full' FROM rests
         UNION ALL SELECT protocol, traded, instrument, 'r2', NULL, CASE WHEN kind = 'full' THEN 1 - ssr / (t - 1) / vary ELSE 1 END, kind <> 'full' FROM rests
         UNION ALL SELECT protocol, traded, instrument, 'spine_r2', NULL, 1 - ssr / (t - 1) / vary, true FROM rests WHERE kind = 'spine'""",
+    "short": "SELECT protocol, traded, period_month, [1.0, s1, s2, s3] AS z FROM held0",
+    "first_gram": "SELECT protocol, traded, i, j, sum(z[i] * z[j]) AS g FROM short, range(1, 5) a(i), range(1, 5) b(j) GROUP BY 1, 2, 3, 4",
+    "first_rows": _ROWS_OF.format("first_gram"),
+    "first_swept": _SWEEP.format("first_rows", "first_swept"),
+    "first_inverse": _INVERSE_OF.format("first_swept"),
+    "first_answers": "SELECT v.protocol, v.traded, instrument, i, sum(z[i] * excess) AS xy FROM short v JOIN windows w ON w.protocol = v.protocol AND w.traded = v.traded AND w.period_month = v.period_month, range(1, 5) a(i) GROUP BY 1, 2, 3, 4",
+    "slopes": "SELECT a.protocol, a.traded, instrument, n.i, CASE WHEN n.i = 1 THEN 1.0 ELSE sum(n.v * xy) END AS b FROM first_answers a JOIN first_inverse n ON n.protocol = a.protocol AND n.traded = a.traded AND n.j = a.i GROUP BY 1, 2, 3, 4",
+    "second_gram": "SELECT x.protocol, x.traded, x.i, y.i AS j, sum(x.b * y.b) AS g FROM slopes x JOIN slopes y ON y.protocol = x.protocol AND y.traded = x.traded AND y.instrument = x.instrument GROUP BY 1, 2, 3, 4",
+    "second_rows": _ROWS_OF.format("second_gram"),
+    "second_swept": _SWEEP.format("second_rows", "second_swept"),
+    "second_inverse": _INVERSE_OF.format("second_swept"),
+    "pricing": "SELECT n.protocol, n.traded, n.i, s.instrument, sum(n.v * s.b) AS w FROM second_inverse n JOIN slopes s ON s.protocol = n.protocol AND s.traded = n.traded AND s.i = n.j GROUP BY 1, 2, 3, 4",
+    "prices_of_risk": "SELECT p.protocol, p.traded, p.i, r.period_month, sum(p.w * r.excess) AS x FROM pricing p JOIN windows r ON r.protocol = p.protocol AND r.traded = p.traded AND r.instrument = p.instrument GROUP BY 1, 2, 3, 4",
     "projections": "SELECT protocol, traded, any_value(c21) AS c21, any_value(c31) AS c31, any_value(c32) AS c32, any_value(c41) AS c41, any_value(c42) AS c42, any_value(c43) AS c43 FROM held GROUP BY 1, 2",
     "moved2": "SELECT p.*, n.* EXCLUDE (period_month), b2 - c21 * b1 AS u2 FROM projections p JOIN named n ON n.period_month = p.traded WHERE protocol = 'rolling'",
     "moved3": "SELECT *, b3 - c31 * b1 - c32 * u2 AS u3 FROM moved2",
@@ -836,8 +854,9 @@ def multiple_testing_bars(spark, d):
     return S.bars(M.active(series, bench))
 
 
-@register()
+@register(f"SELECT protocol, traded, {['intercept', *_SEGMENTS[:3]]}[i] AS factor, round(avg(x), 8) AS premium, round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 5) AS t, 2 AS dof, false AS identified FROM prices_of_risk GROUP BY protocol, traded, i")
 def fama_macbeth(spark, d):
+    """Two passes: loadings on three factors, then six sleeves priced by four parameters."""
     p, windows = _windows(spark, d)
     names = list(_SEGMENTS)[:3]  # six sleeves identify four parameters
     rows = X.fit_rows(windows, p.factors, names)
@@ -848,7 +867,8 @@ def fama_macbeth(spark, d):
         found = [(frame["protocol"].iloc[0], frame["traded"].iloc[0], n, float(out["premium"][i]), float(out["t"][i]), out["dof"]) for i, n in enumerate(["intercept", *names])]
         return X.pd.DataFrame(found, columns=["protocol", "traded", "factor", "premium", "t", "dof"]).assign(identified=out["dof"] <= 0)
 
-    return rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, factor string, premium double, t double, dof int, identified boolean")
+    out = rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, factor string, premium double, t double, dof int, identified boolean")
+    return rounded(out.withColumn("t", F.round("t", 5)))
 
 
 @register()
