@@ -1,4 +1,4 @@
-"""The availability rule on a stream: month rows that close once they are readable."""
+"""The availability rule on a stream: days that close, with the month they count for."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def closed_months(stream: DataFrame, stamp: str, key: str, value: str, late: str = "5 days") -> DataFrame:
-    """key, period_month, available_from, total, n per calendar month of ``stamp``.
+    """key, period_month, available_from, day, total, n per key and day of ``stamp``, with
+    the month that the day counts for and the day that month becomes readable.
 
-    Rows are summed by day windows under a watermark, so state stays bounded and a
-    row later than ``late`` is dropped; a batch frame gives the same totals.
+    A month has no fixed length, so windows are days, under a watermark: state stays
+    bounded and a row later than ``late`` is dropped; a batch frame gives the same
+    totals. The sum of a month's days is one more grouping where the rows are read.
     """
     days = stream.withWatermark(stamp, late).groupBy(F.window(stamp, "1 day").alias("day"), F.col(key))
     out = days.agg(F.sum(value).alias("total"), F.count(value).alias("n"))
