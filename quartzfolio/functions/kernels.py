@@ -530,11 +530,6 @@ def euler(weights: np.ndarray, cov: np.ndarray) -> dict:
     return {"volatility": math.sqrt(variance), "marginal": marginal, "contribution": weights * marginal, "share": weights * marginal / math.sqrt(variance)}
 
 
-def effective_tests(corr: np.ndarray) -> float:
-    n = len(corr)
-    return float(1 + (n - 1) * (1 - np.var(np.linalg.eigvalsh(corr)) / n))
-
-
 def family_wise_bar(n: float, alpha: float = 0.05) -> float:
     return NormalDist().inv_cdf(1 - alpha / (2 * n))
 
@@ -542,25 +537,6 @@ def family_wise_bar(n: float, alpha: float = 0.05) -> float:
 POWER_QUANTILE = NormalDist().inv_cdf(0.8)
 
 
-def rank_retention(active: np.ndarray, draws: int = 2000, seed: int = SEED) -> dict:
-    """Shared month resamples of active returns (month x cell)."""
-    t, _ = active.shape
-    pick = np.random.default_rng(seed).integers(0, t, size=(draws, t))
-    sums, squares = np.zeros((draws, active.shape[1])), np.zeros((draws, active.shape[1]))
-    for j in range(t):
-        rows = active[pick[:, j]]
-        sums += rows
-        squares += rows**2
-    mean = sums / t
-    sd = np.sqrt(np.maximum(squares - t * mean**2, 0) / (t - 1))
-    ratio = np.divide(mean, sd, out=np.zeros_like(mean), where=sd > 1e-15)
-    full = active.std(0, ddof=1)
-    actual = np.divide(active.mean(0), full, out=np.zeros(len(full)), where=full > 1e-15)
-    leader = int(actual.argmax())
-    rank = (-ratio).argsort(1, kind="stable").argsort(1, kind="stable") + 1
-    return {"leader": leader, "leader_share": float((rank[:, leader] == 1).mean()), "median_rank": np.median(rank, 0), "own_sign": (np.sign(ratio) == np.sign(actual)).mean(0)}
-
-
 def detection(bar: float, power: float = 0.8) -> float:
     """Standard errors of the least difference that a test at ``bar`` finds with ``power``."""
     return bar + NormalDist().inv_cdf(power)

@@ -95,14 +95,43 @@ def paired(rows: DataFrame, key: str, base: str, bar: float, power: float) -> Da
 
 
 def retention(rows: DataFrame, key: str, draws: DataFrame) -> DataFrame:
-    """Bootstrap over a given draw table (draw, pos, month_index): leader and rank."""
+    """Series of (key, traded, active) under shared resamples of their months.
+
+    ``draws``: draw, pos, month_index (places in the months' order from 0), the same
+    months for every series, so their correlation survives. Per series: how often it
+    leads a draw, its median rank, how often its ratio keeps its sign, its ratio over all
+    months, and whether it leads there. A series that does not vary, in a draw or at
+    all, has no ratio: it ranks last, never leads and keeps no sign. Ties go to the
+    smaller key.
+    """
+    sd = F.stddev_samp("active")
+    bare = F.when(sd > 1e-12, F.avg("active") / sd * F.sqrt(F.lit(float(PERIODS))))
     place = Window.partitionBy(key).orderBy("traded")
     months = rows.select(key, "active", (F.row_number().over(place) - 1).alias("month_index"))
-    by_draw = draws.join(months, "month_index").groupBy("draw", key).agg(ratio("active").alias("ir"))
-    ranked = by_draw.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("ir"), key)))
-    full = rows.groupBy(key).agg(ratio("active").alias("actual"))
+    drawn = draws.join(months, "month_index").groupBy("draw", key).agg(bare.alias("ir"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc_nulls_last("ir"), key)))
+    full = rows.groupBy(key).agg(bare.alias("actual"))
+    leader = full.where("actual is not null").agg(F.min_by(key, F.struct(-F.col("actual"), F.col(key))).alias("leader"))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     out = ranked.join(full, key).groupBy(key).agg(
-        F.avg((F.col("rank") == 1).cast("double")).alias("first_share"), F.percentile("rank", 0.5).alias("median_rank"),
-        F.avg((F.signum("ir") == F.signum("actual")).cast("double")).alias("own_sign"), F.first("actual").alias("actual"),
+        share((F.col("rank") == 1) & F.col("ir").isNotNull()).alias("first_share"), F.percentile("rank", 0.5).alias("median_rank"),
+        share(F.signum("ir") == F.signum("actual")).alias("own_sign"), F.first("actual").alias("actual"),
     )
-    return out
+    return out.crossJoin(F.broadcast(leader)).withColumn("leads", F.coalesce(F.col(key) == F.col("leader"), F.lit(False))).drop("leader")
+
+
+def effective_tests(correlation: DataFrame, bars: list[float]) -> DataFrame:
+    """filled, effective, bar, adjusted_bar of long correlations (i, j, value), every pair
+    both ways and each series with itself.
+
+    Eigenvalues of a correlation matrix average one and their squares add up to those of
+    its cells, so their variance is sum(value**2) / n - 1, and Nyholt's number of
+    independent tests is 1 + (n - 1) (1 - variance / n). ``bars``: the bar for 1, 2, ... tests.
+    """
+    square = F.col("value") * F.col("value")
+    out = correlation.groupBy().agg(F.countDistinct("i").cast("int").alias("filled"), F.sum(square).alias("squares")).where("filled > 0")
+    n = F.col("filled")
+    spread = F.col("squares") / n - 1
+    out = out.withColumn("effective", F.when(n > 1, F.greatest(F.lit(1.0), 1 + (n - 1) * (1 - spread / n))).otherwise(1.0))
+    bar = lambda k: F.get(F.array(*map(F.lit, bars)), k.cast("int") - 1)
+    return out.select("filled", "effective", bar(n).alias("bar"), bar(F.greatest(F.bround("effective"), F.lit(1.0))).alias("adjusted_bar"))

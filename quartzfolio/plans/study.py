@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,32 +9,25 @@ from ..functions import kernels as K
 from ..operators import metrics as M
 from ..operators import verdicts as V
 from .backtest import CELLS, RUNS, summary
+from .draws import resampled_months
 
 
-def _retention(active: DataFrame) -> DataFrame:
-    """The seeded bootstrap over the filled cells: one group, runs x months numbers."""
+def _cells(active: DataFrame) -> DataFrame:
+    return active.where(F.col("run_id").isin(*CELLS))
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="traded", columns="run_id", values="active").sort_index()
-        out = K.rank_retention(wide.to_numpy())
-        names = list(wide.columns)
-        rows = [(n, float(out["own_sign"][i]), float(out["median_rank"][i]), names[out["leader"]], out["leader_share"]) for i, n in enumerate(names)]
-        return pd.DataFrame(rows, columns=["run_id", "retention", "median_rank", "leader", "leader_retention"])
 
-    cells = active.where(F.col("run_id").isin(*CELLS)).withColumn("one", F.lit(1))
-    return cells.groupBy("one").applyInPandas(kernel, "run_id string, retention double, median_rank double, leader string, leader_retention double")
+def _retention(active: DataFrame) -> DataFrame:
+    """The seeded bootstrap over the filled cells, each row with the leader's share."""
+    cells = _cells(active)
+    months = cells.select("traded").distinct().count()
+    out = M.retention(cells, "run_id", resampled_months(active.sparkSession, months))
+    leader = out.where("leads").select(F.col("run_id").alias("leader"), F.col("first_share").alias("leader_retention"))
+    return out.crossJoin(F.broadcast(leader)).select("run_id", F.col("own_sign").alias("retention"), "median_rank", "leader", "leader_retention")
 
 
 def bars(active: DataFrame) -> DataFrame:
-    """filled, bar, effective, adjusted_bar: the declared and the correlation-adjusted bar."""
-
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="traded", columns="run_id", values="net").sort_index().to_numpy()
-        effective = K.effective_tests(K.np.corrcoef(wide, rowvar=False)) if wide.shape[1] > 1 else 1.0
-        return pd.DataFrame([(wide.shape[1], K.family_wise_bar(wide.shape[1]), effective, K.family_wise_bar(max(1, round(effective))))], columns=["filled", "bar", "effective", "adjusted_bar"])
-
-    cells = active.where(F.col("run_id").isin(*CELLS)).withColumn("one", F.lit(1))
-    return cells.groupBy("one").applyInPandas(kernel, "filled int, bar double, effective double, adjusted_bar double")
+    """filled, effective, bar, adjusted_bar: the declared and the correlation-adjusted bar."""
+    return M.effective_tests(cell_correlation(active), [K.family_wise_bar(k) for k in range(1, len(CELLS) + 1)])
 
 
 def rows(series: DataFrame) -> DataFrame:
@@ -69,7 +61,7 @@ def rows(series: DataFrame) -> DataFrame:
 
 def cell_correlation(active: DataFrame) -> DataFrame:
     """i, j, value: correlations of the cells' net returns, described and never tested."""
-    cells = active.where(F.col("run_id").isin(*CELLS))
+    cells = _cells(active)
     a, b = (cells.select("traded", F.col("run_id").alias(k), F.col("net").alias(v)) for k, v in (("i", "x"), ("j", "y")))
     return a.join(b, "traded").groupBy("i", "j").agg(F.corr("x", "y").alias("value"))
 

@@ -23,6 +23,7 @@ from .operators import returns as R
 from .operators import verdicts as V
 from .plans import analysis as Y
 from .plans import backtest as B
+from .plans import draws as D
 from .plans import factors as X
 from .plans import study as S
 from .sources import panel as P
@@ -473,16 +474,37 @@ def paired_test(spark, d):
     return rounded(M.paired(rows, "run_id", "equal_weight", K.family_wise_bar(16), K.POWER_QUANTILE), 6)
 
 
-@register(f"SELECT run_id, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 8) AS first_share, round(quantile_cont(rank, 0.5), 8) AS median_rank, round(avg(CASE WHEN sign(ir) = sign(actual) THEN 1.0 ELSE 0.0 END), 8) AS own_sign, round(max(actual), 6) AS actual FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY ir DESC, run_id) AS rank FROM (SELECT draw, run_id, {_RATIO.format('active')} AS ir FROM (SELECT i.range AS draw, p.range AS pos, (17 * i.range + 5 * p.range * p.range + 3 * i.range * p.range + 1) % 19 AS k FROM range(200) i, range(19) p) JOIN (SELECT run_id, active, row_number() OVER (PARTITION BY run_id ORDER BY traded) - 1 AS month_index FROM active WHERE run_id <> 'policy') m ON m.month_index = k GROUP BY 1, 2)) JOIN (SELECT run_id, {_RATIO.format('active')} AS actual FROM active GROUP BY 1) USING (run_id) GROUP BY 1")
+_BARE = "CASE WHEN stddev_samp({0}) > 1e-12 THEN avg({0}) / stddev_samp({0}) * sqrt(12.0) END"
+_CTES |= D.pcg_sql("picks", "(SELECT count(DISTINCT traded) FROM active)", f"(SELECT {D.RESAMPLES} * count(DISTINCT traded) FROM active)") | {
+    "placed_active": "SELECT run_id, active, row_number() OVER (PARTITION BY run_id ORDER BY traded) - 1 AS month_index FROM active",
+    "drawn": f"SELECT k // (SELECT count(DISTINCT traded) FROM active) AS draw, run_id, {_BARE.format('active')} AS ir FROM picks JOIN placed_active ON month_index = v GROUP BY 1, 2",
+    "ranked": "SELECT *, row_number() OVER (PARTITION BY draw ORDER BY ir DESC NULLS LAST, run_id) AS rank FROM drawn",
+    "actual": f"SELECT run_id, {_BARE.format('active')} AS actual FROM active GROUP BY 1",
+}
+
+
+@register("SELECT run_id, round(avg(CASE WHEN rank = 1 AND ir IS NOT NULL THEN 1.0 ELSE 0.0 END), 8) AS first_share, round(quantile_cont(rank, 0.5), 8) AS median_rank, round(avg(CASE WHEN sign(ir) = sign(actual) THEN 1.0 ELSE 0.0 END), 8) AS own_sign, round(max(actual), 6) AS actual, run_id = (SELECT run_id FROM actual WHERE actual IS NOT NULL ORDER BY actual DESC, run_id LIMIT 1) AS leads FROM ranked JOIN actual USING (run_id) GROUP BY 1")
 def rank_retention_table(spark, d):
-    """The bootstrap over a draw table of fixed arithmetic, shared with the oracle."""
-    i, p = spark.range(200).select(F.col("id").alias("draw")), spark.range(19).select(F.col("id").alias("pos"))
-    k = (17 * F.col("draw") + 5 * F.col("pos") * F.col("pos") + 3 * F.col("draw") * F.col("pos") + 1) % 19
-    draws = i.crossJoin(F.broadcast(p)).select("draw", "pos", k.alias("month_index"))
-    out = M.retention(_series(spark, d)[3].where("run_id <> 'policy'"), "run_id", draws)
+    """The seeded bootstrap of 2,000 resamples over the simple books, the benchmark among
+    them: it does not vary, so it ranks last and keeps no sign."""
+    rows = _series(spark, d)[3]
+    months = rows.select("traded").distinct().count()
+    out = M.retention(rows, "run_id", D.resampled_months(spark, months))
     return rounded(out.withColumn("actual", F.round("actual", 6)))
 
 
+_PAIRS = "SELECT a.run_id AS i, b.run_id AS j, corr(a.net, b.net) AS r FROM active a JOIN active b ON a.traded = b.traded GROUP BY 1, 2"
+
+
+@register(f"SELECT filled, round(effective, 8) AS effective, round(bars[filled], 8) AS bar, round(bars[greatest(round_even(effective, 0), 1)::INT], 8) AS adjusted_bar FROM (SELECT n::INTEGER AS filled, greatest(1.0, 1 + (n - 1) * (1 - (s / n - 1) / n)) AS effective, {[K.family_wise_bar(k) for k in range(1, 17)]} AS bars FROM (SELECT count(DISTINCT i) AS n, sum(r * r) AS s FROM ({_PAIRS})))")
+def effective_tests(spark, d):
+    """Nyholt's number of independent tests among the simple books, and both bars."""
+    rows = _series(spark, d)[3].select("traded", "run_id", "net")
+    a, b = (rows.select("traded", F.col("run_id").alias(k), F.col("net").alias(v)) for k, v in (("i", "x"), ("j", "y")))
+    pairs = a.join(b, "traded").groupBy("i", "j").agg(F.corr("x", "y").alias("value"))
+    return rounded(M.effective_tests(pairs, [K.family_wise_bar(k) for k in range(1, 17)]))
+
+
 # Attribution and budget
 
 
