@@ -112,9 +112,10 @@ def eigen(m: Column, n: int, sweeps: int = 10) -> Column:
     return F.aggregate(pairs, start, step, listed)
 
 
-def capped_simplex(v: Column, cap: Column, n: int, tolerance: float = 1e-12) -> Column:
-    """Clipped to [0, cap] and brought to sum one in ``n`` + 1 rounds: what is missing is
-    shared by room, what is over is taken by holding."""
+def capped_simplex(v: Column, cap: Column, tolerance: float = 1e-12) -> Column:
+    """Clipped to [0, cap] and brought to sum one in a round more than it has numbers: what
+    is missing is shared by room, what is over is taken by holding. Raises where that is
+    no vector of sum one."""
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), cap)
 
     def round_(w: Column) -> Column:
@@ -124,7 +125,10 @@ def capped_simplex(v: Column, cap: Column, n: int, tolerance: float = 1e-12) ->
 
         return let(1 - total(w), shared)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.transform(v, clip).cast(VECTOR), lambda w, _: round_(w))
+    def whole(w: Column) -> Column:
+        return F.when(F.abs(1 - total(w)) <= 1e-9, w).otherwise(F.raise_error(F.lit("the cap leaves no full investment")).cast(VECTOR))
+
+    return let(F.transform(v, clip).cast(VECTOR), lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c)), c, lambda w, _: round_(w), whole))
 
 
 # Distributions

@@ -506,19 +506,6 @@ FAMILIES = {
 }
 
 
-# Trading rules
-
-
-def rebalance(target: np.ndarray, current: np.ndarray, cap: float, band: float = 0.01, most: float = 0.05) -> tuple[np.ndarray, float, bool]:
-    """No-trade band, constraint set, one-way turnover cap: book, turnover, binding."""
-    aim = bounded_simplex(np.where(np.abs(target - current) > band, target, current), cap)
-    move = aim - current
-    turnover = float(np.abs(move).sum() / 2)
-    if turnover > most:
-        return current + move * (most / turnover), most, True
-    return aim, turnover, False
-
-
 # Attribution and budget
 
 

@@ -2,7 +2,7 @@
 
 A target depends on its own window alone, so phase one is one grouped map over
 (estimator, protocol, traded month): each group estimates once and solves every run
-that reads it. Phase two folds a run's targets in month order. A run with any
+that reads it. Phase two folds a run's targets in month order, in column functions. A run with any
 refusal becomes a cut and has no book.
 """
 
@@ -17,8 +17,9 @@ from ..errors import Refusal
 from ..functions import kernels as K
 from ..operators import calendar as C
 from ..operators.metrics import COST_BP, PERIODS
+from ..operators.rebalance import BAND, TURNOVER_CAP, fold
 
-CAP, UNCAPPED, BAND, TURNOVER_CAP, GAMMA, CVAR_LEVEL = 0.35, 1.0, 0.01, 0.05, 1 / 3, 0.05
+CAP, UNCAPPED, GAMMA, CVAR_LEVEL = 0.35, 1.0, 1 / 3, 0.05
 
 #: The pre-registered runs: id, stage, family, estimator, mean, cap, protocol (fixed values).
 RUNS = (
@@ -130,29 +131,11 @@ def targets(rows: DataFrame, runs: DataFrame, size: int = 60) -> DataFrame:
     return rows.join(F.broadcast(kinds), "protocol").groupBy("estimator", "protocol", "traded").applyInPandas(solve, TARGETS)
 
 
-PATH = "run_id string, traded date, instrument string, ord int, target double, book double, turnover double, movement double, turnover_binding boolean, cap double"
-
-
 def books(found: DataFrame, runs: DataFrame) -> DataFrame:
     """Phase two: the traded book of every uncut run, month after month."""
     cut = found.where("error is not null").select("run_id").distinct()
     rows = found.join(F.broadcast(cut), "run_id", "left_anti").join(F.broadcast(runs.select("run_id", "cap")), "run_id")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        cap, held, out = float(frame["cap"].iloc[0]), None, []
-        for traded, part in frame.sort_values(["traded", "ord"]).groupby("traded", sort=True):
-            target = part["target"].to_numpy()
-            if held is None:
-                book, turnover, movement, binding = target, 0.0, float("nan"), False
-            else:
-                book, turnover, binding = K.rebalance(target, held, cap, BAND, TURNOVER_CAP)
-                movement = float(np.abs(book - held).sum() / 2)
-            held = book
-            part = part.assign(book=book, turnover=turnover, movement=movement, turnover_binding=binding, traded=traded)
-            out.append(part[["run_id", "traded", "instrument", "ord", "target", "book", "turnover", "movement", "turnover_binding", "cap"]])
-        return pd.concat(out)
-
-    return rows.select("run_id", "traded", "instrument", "ord", "target", "cap").groupBy("run_id").applyInPandas(fold, PATH)
+    return fold(rows.select("run_id", "traded", "instrument", "ord", "target", "cap"), BAND, TURNOVER_CAP)
 
 
 def cuts(found: DataFrame) -> DataFrame:
@@ -163,7 +146,7 @@ def series(path: DataFrame, returns: DataFrame, value: str = "excess") -> DataFr
     """run_id, traded, gross, net, turnover and binding counts."""
     rows = path.join(returns.select(F.col("period_month").alias("traded"), "instrument", value), ["traded", "instrument"])
     out = rows.groupBy("run_id", "traded").agg(
-        F.sum(F.col("book") * F.col(value)).alias("gross"), F.first("turnover").alias("turnover"), F.nanvl(F.first("movement"), F.lit(None).cast("double")).alias("movement"),
+        F.sum(F.col("book") * F.col(value)).alias("gross"), F.first("turnover").alias("turnover"), F.first("movement").alias("movement"),
         F.count_if(F.col("book") > F.col("cap") - 1e-9).alias("at_cap"), F.first("turnover_binding").alias("turnover_binding"),
         (1 / F.sum(F.col("target") * F.col("target"))).alias("concentration"), (1 / F.sum(F.col("book") * F.col("book"))).alias("concentration_traded"),
         F.max("target").alias("largest"), F.max("book").alias("largest_traded"),

@@ -964,3 +964,37 @@ def no_trade_band(spark, d):
     rows = books.withColumn("held", held).where("held is not null").withColumn("gap", F.abs(F.col("weight") - F.col("held")))
     one_way = F.sum("gap").over(Window.partitionBy("run_id", "traded")) / 2
     return rounded(rows.select("run_id", "traded", "instrument", F.when(F.col("gap") > B.BAND, F.col("weight")).otherwise(F.col("held")).alias("aim"), one_way.alias("one_way")))
+
+
+_AIMED = f"""SELECT run_id, traded, row_number() OVER (PARTITION BY run_id ORDER BY traded) AS step, names, w FROM (SELECT run_id, traded, list(instrument ORDER BY ord) AS names, list(weight ORDER BY ord) AS w FROM (
+    SELECT * FROM books UNION ALL SELECT 'winner', traded, instrument, CASE WHEN row_number() OVER (PARTITION BY traded ORDER BY mean DESC, instrument) = 1 THEN {B.CAP} ELSE {(1 - B.CAP) / 5!r} END::DOUBLE
+    FROM (SELECT traded, instrument, avg(excess) AS mean FROM windows WHERE protocol = 'rolling' GROUP BY 1, 2)) JOIN universe USING (instrument) GROUP BY 1, 2)"""
+_GAP = "(1 - list_sum(x))"
+_ROUND = f"CASE WHEN abs{_GAP} <= 1e-12 THEN x ELSE list_transform(x, lambda v: least(greatest(v + {_GAP} * CASE WHEN {_GAP} > 0 THEN ({B.CAP} - v) / ({B.CAP} * len(x) - list_sum(x)) ELSE v / list_sum(x) END, 0), {B.CAP})) END"
+_MOVED = "list_sum(list_transform(list_zip({0}, {1}), lambda p: abs(p[1] - p[2]))) / 2"
+#: Books by recursion over a run's months: band, projection, cap on the turnover.
+_CTES |= {
+    "aimed": _AIMED,
+    "walked": f"""SELECT run_id, traded, step, names, w, w AS book, 0.0::DOUBLE AS turnover, NULL::DOUBLE AS movement, false AS turnover_binding, 0.0::DOUBLE AS untaken, 0.0::DOUBLE AS funding FROM aimed WHERE step = 1
+        UNION ALL SELECT run_id, traded, step, names, w, CASE WHEN wanted > {B.TURNOVER_CAP} THEN list_transform(list_zip(aim, held), lambda p: p[2] + (p[1] - p[2]) * {B.TURNOVER_CAP} / wanted) ELSE aim END,
+        least(wanted, {B.TURNOVER_CAP}), least(wanted, {B.TURNOVER_CAP}), wanted > {B.TURNOVER_CAP}, wanted - least(wanted, {B.TURNOVER_CAP}), funding
+        FROM (SELECT *, {_MOVED.format('aim', 'held')} AS wanted, 2 * {_MOVED.format('aim', 'banded')} AS funding
+        FROM (SELECT *, list_reduce(list_transform(range(len(banded) + 2), lambda i: list_transform(banded, lambda v: least(greatest(v, 0), {B.CAP}))), lambda x, y: {_ROUND}) AS aim
+        FROM (SELECT a.*, b.book AS held, list_transform(list_zip(a.w, b.book), lambda p: CASE WHEN abs(p[1] - p[2]) > {B.BAND} THEN p[1] ELSE p[2] END) AS banded FROM walked b JOIN aimed a ON a.run_id = b.run_id AND a.step = b.step + 1)))""",
+}
+
+
+def _aimed(spark, d):
+    """Targets without an optimiser: the simple books, and one that bets on the best mean."""
+    _, windows, books = _books(spark, d)
+    mean = windows.where("protocol = 'rolling'").groupBy("traded", "instrument").agg(F.avg("excess").alias("mean"))
+    best = F.row_number().over(Window.partitionBy("traded").orderBy(F.desc("mean"), "instrument")) == 1
+    winner = mean.select(F.lit("winner").alias("run_id"), "traded", "instrument", F.when(best, B.CAP).otherwise((1 - B.CAP) / 5).alias("weight"))
+    rows = books.unionByName(winner).join(F.broadcast(P.universe(spark).select("instrument", "ord")), "instrument")
+    return rows.select("run_id", "traded", "instrument", "ord", F.col("weight").alias("target"), F.lit(B.CAP).alias("cap"))
+
+
+@register(f"SELECT run_id, traded, unnest(names) AS instrument, round(unnest(w), 8) AS target, round(unnest(book), 8) AS book, {_round('turnover, movement, untaken, funding')}, turnover_binding FROM walked")
+def rebalanced_books(spark, d):
+    """The traded path of given targets: no-trade band, constraint set, turnover cap."""
+    return rounded(B.fold(_aimed(spark, d)).drop("ord", "cap"))

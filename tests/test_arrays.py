@@ -48,10 +48,16 @@ def test_projection(spark):
     rng = np.random.default_rng(3)
     rows = [(rng.normal(0.2, 0.4, 6).tolist(), c) for c in (0.2, 0.35, 1.0) for _ in range(40)] + [([0.0] * 6, 0.35), ([1.0] + [0.0] * 5, 0.35), ([1.0] * 6, 1 / 6)]
     df = spark.createDataFrame(rows, "v array<double>, cap double")
-    for r in df.select("v", "cap", L.capped_simplex(F.col("v"), F.col("cap"), 6).alias("w")).collect():
+    for r in df.select("v", "cap", L.capped_simplex(F.col("v"), F.col("cap")).alias("w")).collect():
         assert np.allclose(r.w, K.bounded_simplex(np.array(r.v), r.cap), atol=1e-12)
 
 
+def test_an_impossible_cap_raises(spark):
+    df = spark.createDataFrame([([0.5, 0.5], 0.4)], "v array<double>, cap double")
+    with pytest.raises(Exception, match="full investment"):
+        df.select(L.capped_simplex(F.col("v"), F.col("cap"))).collect()
+
+
 def test_f_tail(spark):
     rows = [(x, a, b) for x in (0.0, 0.01, 0.5, 1.0, 3.0, 12.0) for a in (1, 2, 5, 9) for b in (1, 2, 24, 53, 400)]
     df = spark.createDataFrame(rows, "x double, a int, b int")

@@ -93,13 +93,6 @@ def test_covariances():
     assert np.allclose(np.diag(k.factor_covariance(X)[0]), np.diag(COV))
 
 
-def test_trading_rules():
-    a, b = np.array([0.5, 0.5]), np.array([0.505, 0.495])
-    assert np.allclose(k.rebalance(b, a, 1.0)[0], a)
-    book, turnover, binding = k.rebalance(np.array([0.9, 0.1]), a, 1.0)
-    assert binding and np.allclose(book, [0.55, 0.45]) and math.isclose(turnover, 0.05)
-
-
 def test_means_and_spanning():
     cov = np.array([[0.04, 0.0], [0.0, 0.04]])
     p = k.posterior(np.array([0.02, 0.02]), cov, 1.0, np.array([0.04, 0.02]), cov)
