@@ -1,16 +1,131 @@
-"""Rolling factor fits and what reads them: one grouped map a window."""
+"""Rolling factor fits from sums of products, in column functions.
+
+A month is one vector: a one, the factors, the sleeves' returns. Every pair's products
+are summed by frames over the months, so no month is repeated for the windows that hold
+it; the sums of a window are a matrix of a few rows, and regressions, inflation and the
+traded month's basis are algebra on it.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as L
 from ..functions import kernels as K
+from ..operators.calendar import numbered
 from .backtest import require_observations
 
-FIT = "protocol string, traded date, instrument string, quantity string, factor string, value double, determined boolean"
+
+def monthly(returns: DataFrame, factors: DataFrame, names: list[str], sleeves: list[str]) -> DataFrame:
+    """period_month, z: a one, the factors in the order of ``names`` (long: factor,
+    period_month, ret; several sets may be stacked) and the excess of ``sleeves``."""
+    wide = lambda rows, key, value, wanted: rows.groupBy("period_month").agg(*[F.sum(F.when(F.col(key) == n, F.col(value))).alias(f"{key}_{i}") for i, n in enumerate(wanted)])
+    f, x = wide(factors, "factor", "ret", names), wide(returns, "instrument", "excess", sleeves)
+    z = [F.lit(1.0), *[F.col(f"factor_{i}") for i in range(len(names))], *[F.col(f"instrument_{i}") for i in range(len(sleeves))]]
+    return x.join(f, "period_month").select("period_month", F.array(*z).alias("z"))
+
+
+def moments(rows: DataFrame, months: DataFrame, width: int, size: int = 60) -> DataFrame:
+    """protocol, traded, n, gram: sums of products of (period_month, z) over each traded
+    month's windows. A window with a hole raises; only its first month may be absent."""
+    whole = F.when(~F.exists("z", lambda v: v.isNull() | F.isnan(v)), F.col("z"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.transform(F.sequence(i, F.lit(width - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    placed = numbered(months).join(rows, "period_month", "left").select("period_month", "pos", whole.alias("z"), F.explode(pairs).alias("p"))
+    cells = placed.select(F.col("period_month").alias("traded"), "pos", "p.i", "p.j", (F.get("z", F.col("p.i")) * F.get("z", F.col("p.j"))).alias("x"))
+    order = Window.partitionBy("i", "j").orderBy("pos")
+    frames = {"rolling": order.rangeBetween(-size, -1), "expanding": order.rangeBetween(Window.unboundedPreceding, -1)}
+    start = {"rolling": F.col("pos") - size, "expanding": F.lit(0)}
+    sums = [F.struct(F.lit(k).alias("protocol"), F.sum("x").over(w).alias("x"), F.count("x").over(w).alias("n"), F.min(F.when(F.col("x").isNotNull(), F.col("pos"))).over(w).alias("oldest"), start[k].alias("start"), (F.col("pos") - start[k]).alias("months")) for k, w in frames.items()]
+    found = cells.select("traded", "pos", "i", "j", F.array(*sums).alias("s")).where(F.col("pos") >= size).select("traded", "i", "j", F.explode("s").alias("s"))
+    found = found.groupBy("s.protocol", "traded").agg(F.array_sort(F.collect_list(F.struct("i", "j", "s.x"))).alias("u"), *[F.min(f"s.{c}").alias(c) for c in ("n", "oldest", "start", "months")])
+    missing = F.col("months") - F.col("n")
+    hole = (missing > 1) | ((missing == 1) & (F.col("oldest") == F.col("start"))) | (F.col("n") < size - 1)
+    place = lambda i, j: (F.least(i, j) * (2 * width - F.least(i, j) - 1) / 2).cast("int") + F.greatest(i, j)
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+    gram = F.transform(every, lambda i: F.transform(every, lambda j: F.get("u", place(i, j))["x"]))
+    said = F.concat(F.lit("a hole: the window before "), F.col("traded").cast("string"), F.lit(" holds "), F.col("n").cast("string"), F.lit(" months"))
+    return found.select("protocol", "traded", "n", F.when(hole, F.raise_error(said).cast(L.MATRIX)).otherwise(gram).alias("gram"))
+
+
+def _turned(names: int, constructed: int, sleeves: int) -> Column:
+    """The map that leaves all but the last ``constructed`` factors, each of those net of
+    the ones before it."""
+    width, first = 1 + names + sleeves, 1 + names - constructed
+    if not constructed:
+        return L.identity(width)
+    block = list(range(first, 1 + names))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    turned = lambda t, i: F.concat(zeros(first), F.get(t, i - first), zeros(sleeves))
+    return L.let(L.orthogonaliser(L.part(F.col("gram"), block, block), constructed), lambda t: F.transform(L.identity(width), lambda row, i: F.when(i.between(first, names), turned(t, i)).otherwise(row)))
+
+
+def rolling(windows: DataFrame, names: list[str], sleeves: list[str], constructed: int = 0) -> DataFrame:
+    """Every window's regressions of its ``moments``, long (protocol, traded, instrument,
+    quantity, factor, value, determined): alpha, beta and their t, residual and explained
+    variance, R2, F, and the design's inflation.
+
+    The last ``constructed`` of ``names`` are built from sleeves. They are orthogonalised
+    in their order inside the window. A sleeve they determine is fitted on the others
+    alone: its loadings on them are identities, its alpha and their t are absent, its R2
+    is one, and what the others explain stands as ``spine_r2``. A window with a hole, too
+    few rows or dependent factors raises.
+    """
+    k, first = len(names), 1 + len(names) - constructed
+    spine, block, every = list(range(1, first)), list(range(first, 1 + k)), list(range(1, 1 + k))
+    n, raw, gram, y = F.col("n"), F.col("gram"), F.col("turned"), F.col("y")
+    rows = windows.withColumn("turned", L.sandwich(_turned(k, constructed, len(sleeves)), raw))
+    text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
+    entry = lambda q, v, name=None, own=None: F.struct(F.lit(q).alias("quantity"), text(name).alias("factor"), v.cast("double").alias("value"), F.lit(own).cast("boolean").alias("determined"))
+    inflation = lambda g, columns: L.let(L.covariance(g, n, columns), lambda c: L.variance_inflation(c, len(columns)))
+    report = [entry("vif_spine", inflation(raw, spine)), entry("vif_declared", inflation(raw, every)), entry("vif_orthogonal", inflation(gram, every))]
+    if constructed > 1:
+        at = lambda m, i, j: L.cell(m, F.lit(i), F.lit(j))
+        report.append(entry("block_correlation", L.let(L.covariance(raw, n, block[:2]), lambda m: at(m, 0, 1) / F.sqrt(at(m, 0, 0) * at(m, 1, 1)))))
+    whole = rows.select("protocol", "traded", F.lit(None).cast("string").alias("instrument"), F.explode(F.array(*report)).alias("e"))
+
+    labels = F.lit(names)
+    number = F.posexplode(F.lit(sleeves)).alias("k", "instrument")
+    each = rows.select("protocol", "traded", "n", "gram", "turned", number).withColumn("y", F.col("k") + 1 + k).drop("k")
+    if constructed:
+        to_y, sums = F.transform(L.numbers(block), lambda i: L.cell(raw, i, y)), F.transform(L.numbers(block), lambda i: L.cell(raw, F.lit(0), i))
+        rest = lambda c, b: (L.cell(raw, y, y) - L.dot(c, b)) / n - F.pow((L.cell(raw, F.lit(0), y) - L.dot(c, sums)) / n, 2)
+        spread = L.cell(raw, y, y) / n - F.pow(L.cell(raw, F.lit(0), y) / n, 2)
+        each = each.withColumn("fixed", L.let(to_y, lambda b: L.let(L.solve(L.part(raw, block, block), b, constructed), lambda c: F.when(rest(c, b) <= 1e-9 * spread, c))))
+
+    def loadings(r: Column, count: int, own: bool) -> Column:
+        pair = lambda name, i: F.array(entry("beta", F.get(r["beta"], i + 1), name, own), entry("beta_t", F.get(r["t"], i + 1), name, own))
+        return F.flatten(F.transform(F.slice(labels, 1, count), pair))
+
+    def free(r: Column) -> Column:
+        numbers = {"alpha": F.get(r["beta"], F.lit(0)), "alpha_t": F.get(r["t"], F.lit(0)), "resid_var": r["resid_var"], "explained_var": r["var"] - r["resid_var"], "r2": 1 - r["resid_var"] / r["var"], "f": r["f"]}
+        return F.concat(loadings(r, k, False), F.array(*[entry(q, v, None, False) for q, v in numbers.items()]))
+
+    def determined(r: Column) -> Column:
+        numbers = {"resid_var": F.lit(0.0), "explained_var": r["var"], "r2": F.lit(1.0), "spine_r2": 1 - r["resid_var"] / r["var"]}
+        fixed = F.zip_with(F.slice(labels, first, constructed), F.col("fixed"), lambda name, v: entry("beta", v, name, True))
+        return F.concat(loadings(r, first - 1, True), F.array(*[entry(q, v, None, True) for q, v in numbers.items()]), fixed)
+
+    found = L.let(L.regression(gram, n, [0, *every], y), free)
+    if constructed:
+        found = F.when(F.col("fixed").isNull(), found).otherwise(L.let(L.regression(gram, n, [0, *spine], y), determined))
+    rows = each.select("protocol", "traded", "instrument", F.explode(found).alias("e")).unionByName(whole)
+    return rows.select("protocol", "traded", "instrument", "e.quantity", "e.factor", "e.value", "e.determined")
+
+
+def design(windows: DataFrame, rows: DataFrame, names: list[str], sleeves: int, constructed: int = 0) -> DataFrame:
+    """protocol, traded, factor, value, i, covariance: the traded month's factor values
+    (``rows``: period_month, z) on its window's basis, and the covariance of the
+    regressors that were fitted."""
+    k, every = len(names), list(range(1, 1 + len(names)))
+    met = windows.join(rows.select(F.col("period_month").alias("traded"), "z"), "traded")
+    turned = met.select("protocol", "traded", "n", "gram", "z", _turned(k, constructed, sleeves).alias("map"))
+    now = F.slice(L.times(F.col("map"), F.col("z")), 2, k)
+    shared = turned.select("protocol", "traded", now.alias("now"), L.let(L.sandwich(F.col("map"), F.col("gram")), lambda g: L.covariance(g, F.col("n"), every)).alias("cov"))
+    listed = F.posexplode(F.lit(names)).alias("i", "factor")
+    return shared.select("protocol", "traded", "now", "cov", listed).select("protocol", "traded", "factor", F.get("now", F.col("i")).alias("value"), "i", F.get("cov", F.col("i")).alias("covariance"))
 
 
 def fit_rows(windows: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame:
@@ -31,71 +146,6 @@ def _block(frame: pd.DataFrame, least: int = 59) -> tuple[np.ndarray, np.ndarray
     return wide.to_numpy()[ok], f[ok], frame.drop_duplicates("ord").sort_values("ord")["instrument"].tolist()
 
 
-def _basis(f: np.ndarray, constructed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spine, and the last ``constructed`` columns each net of those before it."""
-    spine, block = f[:, : f.shape[1] - constructed], f[:, f.shape[1] - constructed :]
-    return spine, block @ K.orthogonal_map(block) if constructed else block
-
-
-def rolling(rows: DataFrame, names: list[str], constructed: int = 0, least: int = 59) -> DataFrame:
-    """Every window's regressions, long: alpha, beta and their t, residual and explained
-    variance, R2, and the design's inflation.
-
-    The last ``constructed`` of ``names`` are built from sleeves. They are orthogonalised
-    in their order inside the window. A sleeve they determine is fitted on the others
-    alone: its loadings on them are identities, its alpha and their t are absent, its R2
-    is one, and what the others explain stands as ``spine_r2``. A window with a hole, too
-    few rows or dependent factors raises.
-    """
-    spine_names, block_names = names[: len(names) - constructed], names[len(names) - constructed :]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, f, sleeves = _block(frame, least)
-        head, out = (frame["protocol"].iloc[0], frame["traded"].iloc[0]), []
-        spine, turned = _basis(f, constructed)
-        whole = np.column_stack([spine, turned])
-        report = {"vif_spine": K.variance_inflation(spine), "vif_declared": K.variance_inflation(f), "vif_orthogonal": K.variance_inflation(whole)}
-        if constructed > 1:
-            report["block_correlation"] = float(np.corrcoef(f[:, -constructed], f[:, -constructed + 1])[0, 1])
-        out += [(*head, None, q, None, v, None) for q, v in report.items()]
-        for j, sleeve in enumerate(sleeves):
-            fixed = K.identity_loadings(x[:, j], f[:, -constructed:]) if constructed else None
-            r = K.regress(x[:, j], whole if fixed is None else spine)
-            put = lambda q, v, n=None, own=fixed is not None: out.append((*head, sleeve, q, n, float(v), own))  # noqa: E731, B023
-            for k, n in enumerate(names if fixed is None else spine_names):
-                put("beta", r["beta"][k], n), put("beta_t", r["beta_t"][k], n)
-            if fixed is None:
-                for q in ("alpha", "alpha_t", "resid_var", "explained_var", "r2"):
-                    put(q, r[q])
-                continue
-            for q, v in (("resid_var", 0.0), ("explained_var", np.var(x[:, j], ddof=1)), ("r2", 1.0), ("spine_r2", r["r2"])):
-                put(q, v)
-            for n, v in zip(block_names, fixed, strict=True):
-                put("beta", v, n)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
-
-    return rows.groupBy("protocol", "traded").applyInPandas(run, FIT)
-
-
-DESIGN = "protocol string, traded date, factor string, value double, i int, covariance array<double>"
-
-
-def design(rows: DataFrame, factors_at: DataFrame, names: list[str], constructed: int = 0) -> DataFrame:
-    """The traded month's factor values on its window's basis, and the covariance of the
-    regressors that were fitted. ``factors_at``: traded, now."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        _, f, _ = _block(frame)
-        head, now = (frame["protocol"].iloc[0], frame["traded"].iloc[0]), np.array(frame["now"].iloc[0], float)
-        spine, turned = _basis(f, constructed)
-        block = f[:, f.shape[1] - constructed :]
-        value = np.r_[now[: spine.shape[1]], now[spine.shape[1] :] @ K.orthogonal_map(block) if constructed else []]
-        cov = np.atleast_2d(np.cov(np.column_stack([spine, turned]), rowvar=False))
-        return pd.DataFrame([(*head, n, float(value[i]), i, cov[i].tolist()) for i, n in enumerate(names)], columns=[c.split()[0] for c in DESIGN.split(", ")])
-
-    return rows.join(factors_at, "traded").groupBy("protocol", "traded").applyInPandas(run, DESIGN)
-
-
 def decomposition(active_weights: DataFrame, fit: DataFrame, basis: DataFrame) -> DataFrame:
     """Per run and month: active return by factor, alpha, and the rest.
     ``active_weights``: run_id, traded, instrument, a, active."""
@@ -171,8 +221,6 @@ def fund_example(series: DataFrame, factors: DataFrame, names: list[str], bar: f
 
 def loading_drift(fit: DataFrame) -> DataFrame:
     """Mean and largest month-to-month change of each beta."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("protocol", "instrument", "factor").orderBy("traded")
     rows = fit.where("quantity = 'beta'").withColumn("move", F.abs(F.col("value") - F.lag("value").over(order)))
     return rows.groupBy("protocol", "instrument", "factor").agg(F.avg("move").alias("mean_move"), F.max("move").alias("max_move"))

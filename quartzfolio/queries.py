@@ -135,6 +135,7 @@ _CTES |= {
         UNION ALL SELECT protocol, traded, instrument, 'resid_var', NULL, CASE WHEN kind = 'full' THEN ssr / (t - 1) ELSE 0 END, kind <> 'full' FROM rests
         UNION ALL SELECT protocol, traded, instrument, 'explained_var', NULL, CASE WHEN kind = 'full' THEN vary - ssr / (t - 1) ELSE vary END, kind <> 'full' FROM rests
         UNION ALL SELECT protocol, traded, instrument, 'r2', NULL, CASE WHEN kind = 'full' THEN 1 - ssr / (t - 1) / vary ELSE 1 END, kind <> 'full' FROM rests
+        UNION ALL SELECT protocol, traded, instrument, 'f', NULL, (vary * (t - 1) - ssr) / (k - 1) / (ssr / (t - k)), false FROM rests WHERE kind = 'full'
         UNION ALL SELECT protocol, traded, instrument, 'spine_r2', NULL, 1 - ssr / (t - 1) / vary, true FROM rests WHERE kind = 'spine'""",
     "short": "SELECT protocol, traded, period_month, [1.0, s1, s2, s3] AS z FROM held0",
     "first_gram": "SELECT protocol, traded, i, j, sum(z[i] * z[j]) AS g FROM short, range(1, 5) a(i), range(1, 5) b(j) GROUP BY 1, 2, 3, 4",
@@ -642,17 +643,26 @@ def _named(p):
     return p.factors.unionByName(block.select("period_month", pairs).select("x.factor", "period_month", "x.ret"))
 
 
+_SLEEVES = [n for n, *_ in P.UNIVERSE]
+
+
+def _moments(spark, d):
+    """The months' vectors (one, factors, sleeves) and the sums of their products in every window."""
+    p = P.load(spark, d)
+    rows = once(spark, ("monthly", d), lambda: X.monthly(p.returns, _named(p), _NAMES, _SLEEVES).coalesce(1))
+    return rows, once(spark, ("moments", d), lambda: X.moments(rows, p.months, 1 + len(_NAMES) + len(_SLEEVES)))
+
+
 def _fit(spark, d):
-    p, windows = _windows(spark, d)
-    return once(spark, ("fit", d), lambda: X.rolling(X.fit_rows(windows, _named(p), _NAMES), _NAMES, len(_BLOCK)))
+    return once(spark, ("fit", d), lambda: X.rolling(_moments(spark, d)[1], _NAMES, _SLEEVES, len(_BLOCK)))
 
 
-_FIT_SQL = "SELECT protocol, traded, coalesce(instrument, '') AS instrument, quantity, coalesce(factor, '') AS factor, round(value, CASE WHEN quantity IN ('beta_t', 'alpha_t', 'vif_spine', 'vif_declared', 'vif_orthogonal') THEN 5 ELSE 7 END) AS value, coalesce(determined, false) AS determined FROM fits"
+_FIT_SQL = "SELECT protocol, traded, coalesce(instrument, '') AS instrument, quantity, coalesce(factor, '') AS factor, round(value, CASE WHEN quantity IN ('beta_t', 'alpha_t', 'f', 'vif_spine', 'vif_declared', 'vif_orthogonal') THEN 5 ELSE 7 END) AS value, coalesce(determined, false) AS determined FROM fits"
 
 
 @register(_FIT_SQL)
 def rolling_factor_fit(spark, d):
-    wide = F.col("quantity").isin("beta_t", "alpha_t", "vif_spine", "vif_declared", "vif_orthogonal")
+    wide = F.col("quantity").isin("beta_t", "alpha_t", "f", "vif_spine", "vif_declared", "vif_orthogonal")
     named = {c: F.coalesce(c, F.lit("")) for c in ("instrument", "factor")} | {"determined": F.coalesce("determined", F.lit(False))}
     return _fit(spark, d).withColumns(named | {"value": F.when(wide, F.round("value", 5)).otherwise(F.round("value", 7))})
 
@@ -779,9 +789,8 @@ def grid_metrics(spark, d):
 def _views(spark, d):
     """Active weights with returns, the fit, and the traded months on its basis."""
     p, windows, books = _books(spark, d)
-    named = _named(p)
-    at = X.fit_rows(windows.select(F.col("traded").alias("period_month")).distinct(), named, _NAMES).select(F.col("period_month").alias("traded"), F.col("f").alias("now"))
-    basis = once(spark, ("basis", d), lambda: X.design(X.fit_rows(windows, named, _NAMES), at, _NAMES, len(_BLOCK)))
+    rows, sums = _moments(spark, d)
+    basis = once(spark, ("basis", d), lambda: X.design(sums, rows, _NAMES, len(_SLEEVES), len(_BLOCK)))
     gap = books.join(P.universe(spark).select("instrument", "policy"), "instrument").join(p.returns.select(F.col("period_month").alias("traded"), "instrument", F.col("excess").alias("ret")), ["traded", "instrument"])
     return gap.withColumn("a", F.col("weight") - F.col("policy")), _fit(spark, d), basis
 

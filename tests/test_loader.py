@@ -125,10 +125,11 @@ def test_windows_with_holes_are_refused(spark, document):
     assert {r.run_id for r in cut.collect()} == {"policy", "minimum_variance", "minimum_variance_expanding"}
     assert B.cuts(B.targets(holed, runs)).count() == 3
     factors = document.factors.eur.where("factor <> 'RF'")
-    rows = X.fit_rows(good, factors, ["Mkt-RF", "SMB", "MOM"])
-    assert X.rolling(rows, ["Mkt-RF", "SMB", "MOM"]).where("quantity = 'alpha'").count() == 11 * 2 * 4
-    with pytest.raises(Exception, match="a hole|holds"):
-        X.rolling(rows.where("period_month <> date'2016-03-01'"), ["Mkt-RF", "SMB", "MOM"]).collect()
+    names = ["Mkt-RF", "SMB", "MOM"]
+    rows = X.monthly(document.returns, factors, names, list(NAMES))
+    assert X.rolling(X.moments(rows, document.months, 8), names, list(NAMES)).where("quantity = 'alpha'").count() == 11 * 2 * 4
+    with pytest.raises(Exception, match="a hole"):
+        X.rolling(X.moments(rows.where("period_month <> date'2016-03-01'"), document.months, 8), names, list(NAMES)).collect()
 
 
 def test_study(spark, document, tmp_path):
