@@ -19,13 +19,15 @@ from ..operators.calendar import numbered
 from .backtest import require_observations
 
 
-def monthly(returns: DataFrame, factors: DataFrame, names: list[str], sleeves: list[str]) -> DataFrame:
+def monthly(returns: DataFrame, factors: DataFrame | None, names: list[str], sleeves: list[str]) -> DataFrame:
     """period_month, z: a one, the factors in the order of ``names`` (long: factor,
     period_month, ret; several sets may be stacked) and the excess of ``sleeves``."""
     wide = lambda rows, key, value, wanted: rows.groupBy("period_month").agg(*[F.sum(F.when(F.col(key) == n, F.col(value))).alias(f"{key}_{i}") for i, n in enumerate(wanted)])
-    f, x = wide(factors, "factor", "ret", names), wide(returns, "instrument", "excess", sleeves)
+    x = wide(returns, "instrument", "excess", sleeves)
     z = [F.lit(1.0), *[F.col(f"factor_{i}") for i in range(len(names))], *[F.col(f"instrument_{i}") for i in range(len(sleeves))]]
-    return x.join(f, "period_month").select("period_month", F.array(*z).alias("z"))
+    if names:
+        x = x.join(wide(factors, "factor", "ret", names), "period_month")
+    return x.select("period_month", F.array(*z).alias("z"))
 
 
 def moments(rows: DataFrame, months: DataFrame, width: int, size: int = 60) -> DataFrame:

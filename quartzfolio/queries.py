@@ -23,6 +23,7 @@ from .operators import returns as R
 from .operators import verdicts as V
 from .plans import analysis as Y
 from .plans import backtest as B
+from .plans import components as E
 from .plans import draws as D
 from .plans import factors as X
 from .plans import study as S
@@ -672,61 +673,154 @@ def loading_drift(spark, d):
     return rounded(X.loading_drift(_fit(spark, d)), 7)
 
 
-@register()
+def _own_moments(spark, d):
+    """As ``_moments``, of the sleeves alone."""
+    p = P.load(spark, d)
+    rows = once(spark, ("sleeves", d), lambda: X.monthly(p.returns, None, [], _SLEEVES).coalesce(1))
+    return p, rows, once(spark, ("own_moments", d), lambda: X.moments(rows, p.months, 1 + len(_SLEEVES)))
+
+
+def _parts(spark, d):
+    """Eigenvalues and vectors of every rolling window, and the null's bars."""
+    p, rows, sums = _own_moments(spark, d)
+    parts = once(spark, ("parts", d), lambda: E.structure(sums, len(_SLEEVES)).coalesce(1))
+    return parts, once(spark, ("null", d), lambda: E.null(rows, p.months, sums, len(_SLEEVES)))
+
+
+_SIX = range(1, len(_SLEEVES) + 1)
+_TURNS = [[i, j] for i in _SIX for j in _SIX if i < j]
+_NTH = "list_transform(range(1, 7), lambda {0}: {1})"
+
+
+def _jacobi(name: str, start: str, sweeps: int) -> dict[str, str]:
+    """Relations that turn the matrices ``a`` of ``start`` (id, a) until ``name`` (id, e)
+    holds their eigenvalues and vectors, largest first: cyclic Jacobi rotations by recursion."""
+    one = _NTH.format("i", _NTH.format("j", "CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END"))
+    rows = lambda m: _NTH.format("i", _NTH.format("j", f"CASE i WHEN p THEN c * {m}[p][j] - s * {m}[q][j] WHEN q THEN s * {m}[p][j] + c * {m}[q][j] ELSE {m}[i][j] END"))
+    columns = _NTH.format("i", _NTH.format("j", "CASE j WHEN p THEN c * b[i][p] - s * b[i][q] WHEN q THEN s * b[i][p] + c * b[i][q] ELSE b[i][j] END"))
+    facing = "list_transform(v[i], lambda x: x * sign(list_filter(v[i], lambda y: abs(y) >= list_max(list_transform(v[i], lambda z: abs(z))) * (1 - 1e-9))[1]))"
+    return {
+        f"{name}_turned": f"""SELECT id, 0 AS k, a, {one} AS v FROM {start} UNION ALL SELECT id, k + 1, {columns}, w FROM (SELECT id, k, p, q, c, s, {rows('a')} AS b, {rows('v')} AS w
+            FROM (SELECT *, t * c AS s FROM (SELECT *, 1 / sqrt(t * t + 1) AS c FROM (SELECT *, CASE WHEN abs(a[p][q]) > 1e-300 THEN (CASE WHEN h >= 0 THEN 1.0 ELSE -1.0 END) / (abs(h) + sqrt(h * h + 1)) ELSE 0.0 END AS t
+            FROM (SELECT *, CASE WHEN abs(a[p][q]) > 1e-300 THEN (a[q][q] - a[p][p]) / (2 * a[p][q]) ELSE 0 END AS h FROM (SELECT *, {_TURNS}[k % {len(_TURNS)} + 1][1] AS p, {_TURNS}[k % {len(_TURNS)} + 1][2] AS q FROM {name}_turned WHERE k < {sweeps * len(_TURNS)}))))))""",
+        name: f"SELECT id, list_reverse_sort({_NTH.format('i', 'struct_pack(value := a[i][i], vector := ' + facing + ')')}) AS e FROM {name}_turned WHERE k = {sweeps * len(_TURNS)}",
+    }
+
+
+_LENGTHS = (59, 60)
+for _t in _LENGTHS:
+    _CTES |= D.pcg_sql(f"turns{_t}", f"{_t - 1}", f"{D.SHIFTS * len(_SLEEVES)}")
+_CTES |= {
+    "shifted": " UNION ALL ".join(f"SELECT {t} AS t, k // 6 AS draw, list(1 + v ORDER BY k) AS s FROM turns{t} GROUP BY 2" for t in _LENGTHS),
+    "standard": """SELECT traded, t, list(z ORDER BY ord) AS z FROM (SELECT traded, ord, any_value(t) AS t, list((excess - m) / sd ORDER BY period_month) AS z
+        FROM (SELECT *, count(*) OVER w AS t, avg(excess) OVER w AS m, stddev_samp(excess) OVER w * sqrt(count(*) OVER w - 1) AS sd FROM windows WHERE protocol = 'rolling' WINDOW w AS (PARTITION BY traded, ord)) GROUP BY 1, 2) GROUP BY 1, 2""",
+    "begun": f"""SELECT traded || ':' || draw AS id, {_NTH.format('i', _NTH.format('j', 'list_dot_product(x[i], x[j])'))} AS a FROM (SELECT traded, draw, {_NTH.format('i', 'list_concat(z[i][t - s[i] + 1:], z[i][:t - s[i]])')} AS x FROM standard JOIN shifted USING (t))
+        UNION ALL SELECT CAST(traded AS VARCHAR), {_NTH.format('i', _NTH.format('j', 'list_dot_product(z[i], z[j])'))} FROM standard""",
+} | _jacobi("spun", "begun", 8) | {
+    "placed_values": "SELECT CAST(split_part(id, ':', 1) AS DATE) AS traded, id LIKE '%:%' AS drawn, unnest(range(6)) AS component, unnest(e) AS p FROM spun",
+    "bars": "SELECT traded, component, quantile_cont(p.value, 0.95) AS bar, quantile_cont(p.value, 0.5) AS middle FROM placed_values WHERE drawn GROUP BY 1, 2",
+    "components": "SELECT *, sum((p.value > bar)::INT) OVER (PARTITION BY traded)::INTEGER AS retained FROM placed_values JOIN bars USING (traded, component) WHERE NOT drawn",
+    "centred": "SELECT traded, period_month, instrument, excess - avg(excess) OVER (PARTITION BY traded, instrument) AS z FROM windows WHERE protocol = 'rolling'",
+    "moved_pairs": "SELECT traded, i, j, avg(x * y) AS s, avg(x * x * y * y) AS q, count(*) AS n FROM (SELECT a.traded, a.instrument AS i, b.instrument AS j, a.z AS x, b.z AS y FROM centred a JOIN centred b ON a.traded = b.traded AND a.period_month = b.period_month) GROUP BY 1, 2, 3",
+    "shrinkage": """SELECT traded, i, j, ((1 - d) * s + CASE WHEN i = j THEN d * trace / 6 ELSE 0 END) * n / (n - 1) AS value, d FROM (SELECT *, CASE WHEN spread > 0 THEN least(noise, spread) / spread ELSE 1 END AS d FROM (
+        SELECT *, (squares - trace * trace / 6) / 6 AS spread, (fourth - squares) / (6 * n) AS noise FROM (SELECT *, sum(CASE WHEN i = j THEN s END) OVER w AS trace, sum(s * s) OVER w AS squares, sum(q) OVER w AS fourth FROM moved_pairs WINDOW w AS (PARTITION BY traded))))""",
+    "common": "SELECT traded, greatest(any_value(retained), 1) AS k, a.ord AS i, b.ord AS j, sum(CASE WHEN component < greatest(retained, 1) THEN greatest(p.value, 0) * p.vector[a.ord + 1] * p.vector[b.ord + 1] ELSE 0 END) AS c FROM components, universe a, universe b GROUP BY traded, a.ord, b.ord",
+    "estimates": """SELECT traded, 'sample' AS estimator, i, j, value, NULL::DOUBLE AS report FROM cov WHERE protocol = 'rolling' UNION ALL SELECT traded, 'shrinkage', i, j, value, d FROM shrinkage
+        UNION ALL SELECT m.traded, 'factor', a.instrument, b.instrument, sqrt(x.value * y.value) * CASE WHEN m.i = m.j THEN 1 ELSE c END, k FROM common m JOIN universe a ON a.ord = m.i JOIN universe b ON b.ord = m.j
+        JOIN cov x ON x.protocol = 'rolling' AND x.traded = m.traded AND x.i = a.instrument AND x.j = a.instrument JOIN cov y ON y.protocol = 'rolling' AND y.traded = m.traded AND y.i = b.instrument AND y.j = b.instrument""",
+    "estimated": "SELECT estimator || ':' || traded AS id, list(r ORDER BY ord) AS a FROM (SELECT estimator, traded, u.ord, list(value ORDER BY w.ord) AS r FROM estimates JOIN universe u ON u.instrument = i JOIN universe w ON w.instrument = j GROUP BY 1, 2, 3) GROUP BY 1",
+} | _jacobi("solved", "estimated", 10)
+
+
+@register("SELECT traded, component::INTEGER AS component, round(p.value, 7) AS eigenvalue, round(bar, 7) AS bar, retained, round(p.value / 6, 7) AS share, round(middle / 6, 7) AS noise_share, round(pow(1 + sqrt(6.0 / t), 2), 7) AS mp_edge, list_aggregate(list_transform(list_sort(list_transform(list_zip(p.vector, (SELECT list(instrument ORDER BY ord) FROM universe)), lambda x: struct_pack(x := -abs(x[1]), n := x[2])))[:3], lambda x: x.n), 'string_agg', ', ') AS top FROM components JOIN standard USING (traded)")
 def principal_components(spark, d):
     """Eigenvalues, the shifted null's bar, the retained count and the edge."""
+    parts, bars = _parts(spark, d)
+    return rounded(E.report(parts, bars, _SLEEVES), 7)
 
-    def kernel(x, names):
-        found = K.decompose(x)
-        for i, v in enumerate(found["values"]):
-            top = sorted(range(len(names)), key=lambda j: -abs(found["vectors"][j, i]))[:3]
-            yield i, float(v), float(found["bar"][i]), found["count"], float(found["share"][i]), float(found["noise_share"][i]), K.mp_edge(x.shape[1], x.shape[0]), ", ".join(names[j] for j in top)
 
-    rows = _windows(spark, d)[1].where("protocol = 'rolling'")
-    return B.grouped(rows, ["traded"], kernel, "traded date, component int, eigenvalue double, bar double, retained int, share double, noise_share double, mp_edge double, top string")
+def _estimates(spark, d):
+    """traded, estimator, cov, report of every rolling window."""
+    p = P.load(spark, d)
+    parts, bars = _parts(spark, d)
+    return once(spark, ("estimates", d), lambda: E.estimators(parts, E.shrunk(p.returns, p.months), E.retained(parts, bars), _SLEEVES))
 
 
-@register()
+@register("SELECT traded, estimator, i, j, round(value, 9) AS value, round(report, 7) AS report, round(abs(e[1].value / e[6].value), 4) AS condition FROM estimates JOIN solved ON id = estimator || ':' || traded")
 def covariance_estimators(spark, d):
-    def kernel(x, names):
-        for estimator, function in K.ESTIMATORS.items():
-            cov, report = function(x)
-            for i, a in enumerate(names):
-                for j, b in enumerate(names):
-                    yield estimator, a, b, float(cov[i, j]), None if report is None else float(report), float(K.np.linalg.cond(cov))
+    rows = _estimates(spark, d).withColumn("condition", F.round(E.condition(F.col("cov"), len(_SLEEVES)), 4))
+    cells = rows.select("traded", "estimator", "report", "condition", F.posexplode("cov").alias("a", "row")).select("*", F.posexplode("row").alias("b", "value"))
+    name = lambda c: F.get(F.lit(_SLEEVES), F.col(c))
+    return cells.select("traded", "estimator", name("a").alias("i"), name("b").alias("j"), F.round("value", 9).alias("value"), F.round("report", 7).alias("report"), "condition")
+
+
+#: Series of a window for the spanning tests, sums of their products, and determinants by
+#: elimination: the statistic is (T - N - K) / N (det R / det U - 1), residual covariances
+#: without and with intercepts, each a ratio of determinants of sums of products.
+_CTES |= {
+    "window_corr": "SELECT protocol || ':' || traded AS id, list(r ORDER BY ord) AS a FROM (SELECT x.protocol, x.traded, u.ord, list(x.value / sqrt(y.value * z.value) ORDER BY w.ord) AS r FROM cov x JOIN cov y ON y.protocol = x.protocol AND y.traded = x.traded AND y.i = x.i AND y.j = x.i JOIN cov z ON z.protocol = x.protocol AND z.traded = x.traded AND z.i = x.j AND z.j = x.j JOIN universe u ON u.instrument = x.i JOIN universe w ON w.instrument = x.j GROUP BY 1, 2, 3) GROUP BY protocol, traded",
+} | _jacobi("window_parts", "window_corr", 10) | {
+    "part_weights": "SELECT protocol, traded, part, instrument, w / sum(w) OVER (PARTITION BY protocol, traded, part) AS w FROM (SELECT protocol, traded, part, instrument, e[part].vector[ord + 1] / sqrt(value) AS w FROM (SELECT split_part(id, ':', 1) AS protocol, CAST(split_part(id, ':', 2) AS DATE) AS traded, e, unnest([1, 2]) AS part FROM window_parts) JOIN cov USING (protocol, traded) JOIN universe ON instrument = i WHERE i = j)",
+    "spanned": f"""SELECT protocol, traded, period_month, 'one' AS name, 1.0 AS v FROM (SELECT DISTINCT protocol, traded, period_month FROM windows)
+        UNION ALL SELECT protocol, traded, period_month, 'sleeve' || ord, excess FROM windows
+        UNION ALL SELECT protocol, traded, period_month, 'made' || part, sum(w * excess) FROM windows JOIN part_weights USING (protocol, traded, instrument) GROUP BY protocol, traded, period_month, part
+        UNION ALL SELECT protocol, traded, period_month, 'named' || k, [{', '.join([f's{i}' for i in range(1, 6)] + [f'b{i}' for i in range(1, 5)])}][k + 1] FROM held0, range(9) t(k)""",
+    "spanned_products": "SELECT a.protocol, a.traded, a.name AS i, b.name AS j, sum(a.v * b.v) AS g, count(*) AS n FROM spanned a JOIN spanned b USING (protocol, traded, period_month) GROUP BY 1, 2, 3, 4",
+    "trials": """SELECT 'spanning' AS direction, k, list_transform(range(1, k + 1), lambda i: 'made' || i) AS f, list_transform(range(6 - k), lambda i: 'sleeve' || i) AS y FROM range(1, 3) t(k)
+        UNION ALL SELECT 'headline', k, list_transform(range(9), lambda i: 'named' || i), list_transform(range(1, k + 1), lambda i: 'made' || i) FROM range(1, 3) t(k) UNION ALL SELECT 'reverse', k, list_transform(range(1, k + 1), lambda i: 'made' || i), list_transform(range(9), lambda i: 'named' || i) FROM range(1, 3) t(k)""",
+    "minors": "SELECT direction, k, part, names FROM trials, (SELECT unnest(['fy', '1f', 'f', '1fy']) AS part) p, LATERAL (SELECT CASE part WHEN 'fy' THEN f || y WHEN '1f' THEN ['one'] || f WHEN 'f' THEN f ELSE ['one'] || f || y END AS names)",
+    "minor_rows": "SELECT direction, k, part, protocol, traded, 1 AS step, 0.0::DOUBLE AS logdet, list(r ORDER BY place) AS m FROM (SELECT direction, k, part, protocol, traded, list_position(names, i) AS place, list(g ORDER BY list_position(names, j)) AS r FROM minors JOIN spanned_products ON list_contains(names, i) AND list_contains(names, j) GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4, 5",
+    "eliminated": "SELECT * FROM minor_rows UNION ALL SELECT direction, k, part, protocol, traded, step + 1, logdet + ln(m[step][step]), list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i > step THEN list_transform(range(1, len(m) + 1), lambda j: m[i][j] - m[i][step] * m[step][j] / m[step][step]) ELSE m[i] END) FROM eliminated WHERE step <= len(m)",
+    "determinants": "SELECT direction, k, part, protocol, traded, logdet FROM eliminated WHERE step = len(m) + 1",
+    "grs": """SELECT direction, k, protocol, traded, len(y) AS d1, n - len(y) - len(f) AS d2, (n - len(y) - len(f))::DOUBLE / len(y) * (exp(ratio) - 1) AS x FROM (SELECT direction, k, protocol, traded, sum(CASE WHEN part IN ('fy', '1f') THEN logdet ELSE -logdet END) AS ratio FROM determinants GROUP BY 1, 2, 3, 4)
+        JOIN trials USING (direction, k) JOIN (SELECT protocol, traded, max(n) AS n FROM spanned_products GROUP BY 1, 2) USING (protocol, traded)""",
+    "tail_start": "SELECT direction || ':' || k || ':' || protocol || ':' || traded AS id, d1, d2, x FROM grs",
+}
 
-    rows = _windows(spark, d)[1].where("protocol = 'rolling'")
-    return B.grouped(rows, ["traded"], kernel, "traded date, estimator string, i string, j string, value double, report double, condition double")
 
+def _tail(name: str, start: str) -> dict[str, str]:
+    """P(F > x) of ``start`` (id, d1, d2, x) in ``name`` (id, p): Lentz's continued fraction by recursion."""
+    tiny = lambda v: f"CASE WHEN abs({v}) < 1e-300 THEN 1e-300 ELSE {v} END"
+    half = lambda num: f"SELECT * REPLACE (1 / ({tiny(f'1 + {num} * d')}) AS d, {tiny(f'1 + {num} / c')} AS c)"
+    even, odd = "i * (b - i) * y / ((a + 2 * i - 1) * (a + 2 * i))", "(-(a + i) * (a + b + i) * y / ((a + 2 * i) * (a + 2 * i + 1)))"
+    return {
+        f"{name}_begun": f"SELECT id, CASE WHEN swap THEN d1 ELSE d2 END / 2.0 AS a, CASE WHEN swap THEN d2 ELSE d1 END / 2.0 AS b, CASE WHEN swap THEN 1 - z ELSE z END AS y, swap, lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0) AS g FROM (SELECT *, d2 / (d2 + d1 * x) AS z, d2 / (d2 + d1 * x) > (d2 / 2.0 + 1) / ((d1 + d2) / 2.0 + 2) AS swap FROM {start})",
+        f"{name}_steps": f"""SELECT id, a, b, y, swap, g, 1 AS i, 1.0::DOUBLE AS c, (1 / (1 - (a + b) * y / (a + 1)))::DOUBLE AS d, (1 / (1 - (a + b) * y / (a + 1)))::DOUBLE AS o FROM {name}_begun
+            UNION ALL SELECT id, a, b, y, swap, g, i + 1, c, d, o * c * d FROM (SELECT * REPLACE (1 / ({tiny(f'1 + {odd} * d')}) AS d, {tiny(f'1 + {odd} / c')} AS c) FROM (SELECT * REPLACE (o * c * d AS o) FROM ({half(even)} FROM {name}_steps WHERE i < 200)))""",
+        name: f"SELECT id, CASE WHEN swap THEN 1 - v ELSE v END AS p FROM (SELECT *, exp(g + a * ln(y) + b * ln(1 - y)) / a * o AS v FROM {name}_steps WHERE i = 200)",
+    }
 
-@register()
+
+_CTES |= _tail("tails", "tail_start")
+
+
+@register("SELECT protocol, traded, k::INTEGER AS components, round(x, 6) AS statistic, round(p, 7) AS p FROM grs JOIN tails ON id = direction || ':' || k || ':' || protocol || ':' || traded WHERE direction = 'spanning'")
 def grs_spanning(spark, d):
-    def kernel(x, names):
+    """All sleeves but the last one or two on as many component portfolios."""
+    _, _, sums = _own_moments(spark, d)
+    out = None
+    for protocol in ("rolling", "expanding"):
+        parts = E.structure(sums, len(_SLEEVES), protocol)
         for k in (1, 2):
-            weights, made = K.component_portfolios(x, k)
-            out = K.grs(x[:, : x.shape[1] - k], made)
-            yield k, out["statistic"], out["p"]
+            part = E.spanning(sums.where(F.col("protocol") == protocol).drop("protocol"), parts.drop("n"), len(_SLEEVES), k)
+            part = part.select(F.lit(protocol).alias("protocol"), "traded", F.lit(k).alias("components"), F.round("statistic", 6).alias("statistic"), F.round("p", 7).alias("p"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
-    return B.grouped(_windows(spark, d)[1], ["protocol", "traded"], kernel, "protocol string, traded date, components int, statistic double, p double")
 
-
-@register()
+@register("SELECT protocol, traded, k::INTEGER AS components, direction, round(x, 6) AS statistic, round(p, 7) AS p FROM grs JOIN tails ON id = direction || ':' || k || ':' || protocol || ':' || traded WHERE direction <> 'spanning'")
 def grs_directions(spark, d):
     """Component portfolios against the named set, and the other way round."""
-
-    def kernel(frame):
-        x, f, _ = X._block(frame)
-        head, out = (frame["protocol"].iloc[0], frame["traded"].iloc[0]), []
+    _, _, own = _own_moments(spark, d)
+    sums = _moments(spark, d)[1]
+    out = None
+    for protocol in ("rolling", "expanding"):
+        parts = E.structure(own, len(_SLEEVES), protocol)
         for k in (1, 2):
-            _, made = K.component_portfolios(x, k)
-            for way, (assets, base) in {"headline": (made, f), "reverse": (f, made)}.items():
-                found = K.grs(assets, base)
-                out.append((*head, k, way, found["statistic"], found["p"]))
-        return X.pd.DataFrame(out, columns=["protocol", "traded", "components", "direction", "statistic", "p"])
-
-    p, windows = _windows(spark, d)
-    rows = X.fit_rows(windows, _named(p), _NAMES)
-    return rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, components int, direction string, statistic double, p double")
+            part = E.directions(sums.where(F.col("protocol") == protocol).drop("protocol"), parts.drop("n"), len(_NAMES), len(_SLEEVES), k)
+            part = part.select(F.lit(protocol).alias("protocol"), "traded", F.lit(k).alias("components"), "direction", F.round("statistic", 6).alias("statistic"), F.round("p", 7).alias("p"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register()
@@ -917,14 +1011,12 @@ def varimax_loadings(spark, d):
 @register()
 def component_stability(spark, d):
     """The retained count of the last window under five seeds."""
-
-    def kernel(x, names):
-        for k in range(5):
-            yield k, K.decompose(x, seed=K.SEED + k)["count"]
-
-    rows = _windows(spark, d)[1].where("protocol = 'rolling'")
-    last = rows.agg(F.max("traded").alias("traded"))
-    return B.grouped(rows.join(F.broadcast(last), "traded"), ["traded"], kernel, "traded date, seed int, retained int")
+    p, rows, sums = _own_moments(spark, d)
+    last = sums.where("protocol = 'rolling'").agg(F.max("traded").alias("traded"))
+    parts = _parts(spark, d)[0].join(F.broadcast(last), "traded")
+    seeds = tuple(D.SEED + k for k in range(5))
+    counts = E.retained(parts, E.null(rows, p.months, sums.join(F.broadcast(last), "traded"), len(_SLEEVES), seeds=seeds))
+    return counts.select("traded", (F.col("seed") - D.SEED).cast("int").alias("seed"), "retained")
 
 
 @register()
