@@ -8,15 +8,11 @@ traded month's basis are algebra on it.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as L
-from ..functions import kernels as K
 from ..operators.calendar import numbered
-from .backtest import require_observations
 
 
 def monthly(returns: DataFrame, factors: DataFrame | None, names: list[str], sleeves: list[str]) -> DataFrame:
@@ -30,12 +26,33 @@ def monthly(returns: DataFrame, factors: DataFrame | None, names: list[str], sle
     return x.select("period_month", F.array(*z).alias("z"))
 
 
-def moments(rows: DataFrame, months: DataFrame, width: int, size: int = 60) -> DataFrame:
+def _pairs(width: int) -> Column:
+    """Each pair of places once."""
+    last = F.lit(width - 1)
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def _matrix(width: int) -> Column:
+    """The symmetric matrix of ``u``: (i, j, x) for each pair once, in order."""
+    place = lambda i, j: (F.least(i, j) * (2 * width - F.least(i, j) - 1) / 2).cast("int") + F.greatest(i, j)
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+    return F.transform(every, lambda i: F.transform(every, lambda j: F.get("u", place(i, j))["x"]))
+
+
+def grams(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """key, n, gram: sums of products of (key, z) over all rows of a key."""
+    cells = rows.select(key, "z", F.explode(_pairs(width)).alias("p")).select(key, "p.i", "p.j", (F.get("z", F.col("p.i")) * F.get("z", F.col("p.j"))).alias("x"))
+    sums = cells.groupBy(key, "i", "j").agg(F.sum("x").alias("x"), F.count("x").alias("n"))
+    found = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "j", "x"))).alias("u"), F.min("n").alias("n"))
+    return found.select(key, "n", _matrix(width).alias("gram"))
+
+
+def moments(rows: DataFrame, months: DataFrame, width: int, size: int = 60, strict: bool = True) -> DataFrame:
     """protocol, traded, n, gram: sums of products of (period_month, z) over each traded
-    month's windows. A window with a hole raises; only its first month may be absent."""
+    month's windows. A window with a hole raises, or if not ``strict`` has no sums; only
+    its first month may be absent."""
     whole = F.when(~F.exists("z", lambda v: v.isNull() | F.isnan(v)), F.col("z"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.transform(F.sequence(i, F.lit(width - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    placed = numbered(months).join(rows, "period_month", "left").select("period_month", "pos", whole.alias("z"), F.explode(pairs).alias("p"))
+    placed = numbered(months).join(rows, "period_month", "left").select("period_month", "pos", whole.alias("z"), F.explode(_pairs(width)).alias("p"))
     cells = placed.select(F.col("period_month").alias("traded"), "pos", "p.i", "p.j", (F.get("z", F.col("p.i")) * F.get("z", F.col("p.j"))).alias("x"))
     order = Window.partitionBy("i", "j").orderBy("pos")
     frames = {"rolling": order.rangeBetween(-size, -1), "expanding": order.rangeBetween(Window.unboundedPreceding, -1)}
@@ -45,11 +62,8 @@ def moments(rows: DataFrame, months: DataFrame, width: int, size: int = 60) -> D
     found = found.groupBy("s.protocol", "traded").agg(F.array_sort(F.collect_list(F.struct("i", "j", "s.x"))).alias("u"), *[F.min(f"s.{c}").alias(c) for c in ("n", "oldest", "start", "months")])
     missing = F.col("months") - F.col("n")
     hole = (missing > 1) | ((missing == 1) & (F.col("oldest") == F.col("start"))) | (F.col("n") < size - 1)
-    place = lambda i, j: (F.least(i, j) * (2 * width - F.least(i, j) - 1) / 2).cast("int") + F.greatest(i, j)
-    every = F.sequence(F.lit(0), F.lit(width - 1))
-    gram = F.transform(every, lambda i: F.transform(every, lambda j: F.get("u", place(i, j))["x"]))
     said = F.concat(F.lit("a hole: the window before "), F.col("traded").cast("string"), F.lit(" holds "), F.col("n").cast("string"), F.lit(" months"))
-    return found.select("protocol", "traded", "n", F.when(hole, F.raise_error(said).cast(L.MATRIX)).otherwise(gram).alias("gram"))
+    return found.select("protocol", "traded", "n", F.when(hole, F.raise_error(said).cast(L.MATRIX) if strict else F.lit(None).cast(L.MATRIX)).otherwise(_matrix(width)).alias("gram"))
 
 
 def _turned(names: int, constructed: int, sleeves: int) -> Column:
@@ -130,22 +144,23 @@ def design(windows: DataFrame, rows: DataFrame, names: list[str], sleeves: int,
     return shared.select("protocol", "traded", "now", "cov", listed).select("protocol", "traded", "factor", F.get("now", F.col("i")).alias("value"), "i", F.get("cov", F.col("i")).alias("covariance"))
 
 
-def fit_rows(windows: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame:
-    """Window rows with the month's factor values as one array in the order of ``names``;
-    ``factors`` is long (factor, period_month, ret) and may stack several sets."""
-    by_month = factors.groupBy("period_month").agg(*[F.sum(F.when(F.col("factor") == n, F.col("ret"))).alias(f"_{i}") for i, n in enumerate(names)])
-    packed = by_month.select("period_month", F.array(*[F.col(f"_{i}") for i in range(len(names))]).alias("f"))
-    return windows.join(packed, "period_month")
-
-
-def _block(frame: pd.DataFrame, least: int = 59) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Returns, factor values and names of one window; a hole in either refuses it."""
-    frame = frame.sort_values(["period_month", "ord"])
-    wide = frame.pivot(index="period_month", columns="ord", values="excess").sort_index()
-    f = np.stack(frame.drop_duplicates("period_month")["f"].to_list()).astype(float)
-    ok = wide.notna().all(axis=1).to_numpy() & np.isfinite(f).all(1)
-    require_observations(frame, wide.index[ok], least)
-    return wide.to_numpy()[ok], f[ok], frame.drop_duplicates("ord").sort_values("ord")["instrument"].tolist()
+def two_pass(windows: DataFrame, names: list[str], priced: int, sleeves: int) -> DataFrame:
+    """Fama and MacBeth (1973) from the ``moments`` of ones, ``names`` and ``sleeves``:
+    protocol, traded, factor, premium, t, dof, identified. Loadings on the first
+    ``priced`` names, then each month's returns on the loadings; the prices are a fixed
+    map of the returns, so their mean and variance are those of the sums."""
+    k, ys = priced + 1, L.numbers(list(range(1 + len(names), 1 + len(names) + sleeves)))
+    n, gram = F.col("n"), F.col("gram")
+    loads = F.transform(ys, lambda y: L.let(L.regression(gram, n, list(range(k)), y), lambda r: F.concat(F.expr("array(1D)"), F.slice(r["beta"], 2, priced))))
+    rows = windows.select("protocol", "traded", "n", "gram", loads.alias("d"), L.covariance(gram, n, list(range(1 + len(names), 1 + len(names) + sleeves))).alias("c"))
+    flipped = L.transposed(F.col("d"), k)
+    gram2 = F.transform(flipped, lambda a: F.transform(flipped, lambda b: L.dot(a, b)))
+    pricing = L.let(L.inverse(gram2, k), lambda v: F.transform(v, lambda row: F.transform("d", lambda d: L.dot(row, d))))
+    rows = rows.withColumn("map", pricing)
+    mean = F.transform(ys, lambda y: L.cell(gram, F.lit(0), y) / n)
+    found = F.transform("map", lambda row, i: F.struct(F.get(F.lit(["intercept", *names[:priced]]), i).alias("factor"), L.dot(row, mean).alias("premium"), L.dot(row, L.times(F.col("c"), row)).alias("v")))
+    rows = rows.select("protocol", "traded", "n", F.explode(found).alias("f"))
+    return rows.select("protocol", "traded", "f.factor", "f.premium", (F.col("f.premium") / F.sqrt(F.col("f.v") / F.col("n"))).alias("t"), F.lit(sleeves - k).alias("dof"), F.lit(sleeves - k <= 0).alias("identified"))
 
 
 def decomposition(active_weights: DataFrame, fit: DataFrame, basis: DataFrame) -> DataFrame:
@@ -189,36 +204,28 @@ def risk_summary(variance: DataFrame, periods: int = 12) -> DataFrame:
     return out.select("run_id", error("factor_part").alias("factor_tracking_error"), error("idio_part").alias("idio_tracking_error"), error("total").alias("total_tracking_error"), share.alias("factor_share"))
 
 
-FUND = "run_id string, months int, refused string, alpha_monthly double, alpha_annualised double, t_alpha double, residual_volatility_annualised double, r2 double, bar double, detectable_alpha_monthly double, clears boolean"
-
-
 def fund_example(series: DataFrame, factors: DataFrame, names: list[str], bar: float, detection: float, least: int = 59, periods: int = 12) -> DataFrame:
     """Each run's net series read as a manager's record: its alpha on the factors against
-    the bar, and the least alpha its months could show (``detection`` standard errors). A record that can't be tested is
-    a row with the reason. ``series``: run_id, traded, net; ``factors``: long."""
-    columns = [c.split()[0] for c in FUND.split(", ")]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("traded")
-        y, head = frame["net"].to_numpy(float), (frame["run_id"].iloc[0], len(frame))
-        held = frame[frame["f"].notna()]
-        f = np.stack(held["f"].to_list()).astype(float) if len(held) else np.zeros((0, len(names)))
-        if np.std(y) == 0:
-            why = "the record does not vary"
-        elif len(held) < least:
-            why = f"{len(held)} months can't support {len(names)} factors"
-        elif not np.isfinite(f).all():
-            why = "a factor lacks a month of the record"
-        else:
-            r = K.regress(held["net"].to_numpy(float), f)
-            far = abs(r["alpha"] / r["alpha_t"]) if r["alpha_t"] else float("nan")
-            row = (*head, None, r["alpha"], r["alpha"] * periods, r["alpha_t"], float(np.sqrt(r["resid_var"] * periods)), r["r2"], bar, detection * far, bool(abs(r["alpha_t"]) >= bar))
-            return pd.DataFrame([row], columns=columns)
-        return pd.DataFrame([(*head, why, *[None] * 8)], columns=columns)
-
+    the bar, and the least alpha its months could show (``detection`` standard errors). A
+    record that can't be tested is a row with the reason. ``series``: run_id, traded,
+    net; ``factors``: long."""
+    k = len(names)
     by_month = factors.groupBy("period_month").agg(*[F.sum(F.when(F.col("factor") == n, F.col("ret"))).alias(f"_{i}") for i, n in enumerate(names)])
-    packed = by_month.select(F.col("period_month").alias("traded"), F.array(*[F.col(f"_{i}") for i in range(len(names))]).alias("f"))
-    return series.select("run_id", "traded", "net").join(packed, "traded", "left").groupBy("run_id").applyInPandas(run, FUND)
+    packed = by_month.select(F.col("period_month").alias("traded"), F.array(F.lit(1.0), *[F.col(f"_{i}") for i in range(k)]).alias("f"))
+    rows = series.select("run_id", "traded", "net").join(packed, "traded", "left")
+    rows = rows.withColumn("z", F.when(F.col("f").isNotNull(), F.concat("f", F.array("net"))))
+    gap = F.exists("z", lambda v: v.isNull() | F.isnan(v))
+    seen = rows.groupBy("run_id").agg(F.count("*").cast("int").alias("months"), F.count("f").alias("held"), F.count_if(gap).alias("gaps"), F.coalesce(F.var_pop("net"), F.lit(0.0)).alias("spread"))
+    why = F.when(F.col("spread") <= 1e-24, "the record does not vary").when(F.col("held") < least, F.concat(F.col("held").cast("string"), F.lit(f" months can't support {k} factors")))
+    seen = seen.select("run_id", "months", why.when(F.col("gaps") > 0, "a factor lacks a month of the record").alias("refused"))
+    tested = rows.join(seen.where("refused is null").select("run_id"), "run_id", "left_semi").where("z is not null")
+    fits = grams(tested, "run_id", k + 2).select("run_id", L.regression(F.col("gram"), F.col("n"), list(range(k + 1)), F.lit(k + 1)).alias("r"))
+    alpha, t = F.get("r.beta", F.lit(0)), F.get("r.t", F.lit(0))
+    fits = fits.select(
+        "run_id", alpha.alias("alpha_monthly"), (alpha * periods).alias("alpha_annualised"), t.alias("t_alpha"), F.sqrt(F.col("r.resid_var") * periods).alias("residual_volatility_annualised"),
+        (1 - F.col("r.resid_var") / F.col("r.var")).alias("r2"), F.lit(bar).alias("bar"), (detection * F.abs(alpha / t)).alias("detectable_alpha_monthly"), (F.abs(t) >= bar).alias("clears"),
+    )
+    return seen.join(fits, "run_id", "left")
 
 
 def loading_drift(fit: DataFrame) -> DataFrame:

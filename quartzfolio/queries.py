@@ -14,6 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import arrays as L
 from .functions import kernels as K
 from .operators import attribution as A
 from .operators import calendar as C
@@ -823,14 +824,17 @@ def grs_directions(spark, d):
     return out
 
 
-@register()
+_DECISION = "SELECT traded, retained, avg(moved::DOUBLE) OVER () AS move_share FROM (SELECT traded, retained, (abs(retained - lag(retained) OVER (ORDER BY traded)) > 1)::INT AS moved FROM components WHERE component = 0)"
+
+
+@register(f"SELECT traded, retained, round(coalesce(move_share, 0), 8) AS move_share, coalesce(move_share, 0) > {E.MOVE_SHARE} AS falsified, CASE WHEN coalesce(move_share, 0) > {E.MOVE_SHARE} THEN {E.FIXED_COUNT} ELSE retained END AS used FROM ({_DECISION})")
 def component_decision(spark, d):
     """The retained counts, how often they jump by more than one, and what the rule uses."""
-    counts = principal_components(spark, d).where("component = 0").select("traded", "retained")
+    counts = E.retained(*_parts(spark, d)).drop("seed")
     moved = (F.abs(F.col("retained") - F.lag("retained").over(Window.orderBy("traded"))) > 1).cast("double")
     share = counts.withColumn("moved", moved).agg(F.coalesce(F.avg("moved"), F.lit(0.0)).alias("move_share"))
-    out = counts.crossJoin(share).withColumn("falsified", F.col("move_share") > K.MOVE_SHARE)
-    return out.withColumn("used", F.when(F.col("falsified"), K.FIXED_COUNT).otherwise(F.col("retained")))
+    out = counts.crossJoin(share).withColumn("falsified", F.col("move_share") > E.MOVE_SHARE)
+    return rounded(out.withColumn("used", F.when(F.col("falsified"), E.FIXED_COUNT).otherwise(F.col("retained"))))
 
 
 def _grid(spark, d):
@@ -918,11 +922,25 @@ def cross_view(spark, d):
     return rounded(A.cross_view(holding, view).drop("relative"))
 
 
-@register(f"""SELECT run_id, CAST(n AS INTEGER) AS months, CAST(NULL AS VARCHAR) AS refused, round(alpha, 8) AS alpha_monthly, round(alpha * 12, 8) AS alpha_annualised, round(alpha / se, 5) AS t_alpha, round(sqrt(ssr / (n - 1) * 12), 8) AS residual_volatility_annualised, round(r2, 8) AS r2, round({K.family_wise_bar(16)!r}, 8) AS bar, round({K.detection(NormalDist().inv_cdf(0.975))!r} * se, 8) AS detectable_alpha_monthly, abs(alpha / se) >= {K.family_wise_bar(16)!r} AS clears
-    FROM (SELECT *, sqrt(ssr / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se FROM (SELECT run_id, count(*) AS n, regr_intercept(net, ret) AS alpha, regr_syy(net, ret) * (1 - regr_r2(net, ret)) AS ssr, regr_r2(net, ret) AS r2, avg(ret) AS mx, regr_sxx(net, ret) AS sxx FROM series s JOIN factors f ON f.period_month = s.traded AND factor = 'BUILDING' GROUP BY 1))""")
+_RECORDS = """SELECT run_id, traded, net FROM series UNION ALL SELECT 'flat', traded, 0.001 FROM series WHERE run_id = 'policy' UNION ALL SELECT 'short', traded, net FROM series WHERE run_id = 'equal_weight' AND traded < DATE '2000-09-01'
+    UNION ALL SELECT 'gap', traded, CASE WHEN traded <> DATE '2000-05-01' THEN net END FROM series WHERE run_id = 'equal_weight'"""
+
+
+@register(f"""SELECT run_id, CAST(n AS INTEGER) AS months, refused, CASE WHEN refused IS NULL THEN round(alpha, 8) END AS alpha_monthly, CASE WHEN refused IS NULL THEN round(alpha * 12, 8) END AS alpha_annualised, CASE WHEN refused IS NULL THEN round(alpha / se, 5) END AS t_alpha,
+    CASE WHEN refused IS NULL THEN round(sqrt(ssr / (n - 1) * 12), 8) END AS residual_volatility_annualised, CASE WHEN refused IS NULL THEN round(r2, 8) END AS r2, CASE WHEN refused IS NULL THEN round({K.family_wise_bar(16)!r}, 8) END AS bar,
+    CASE WHEN refused IS NULL THEN round({K.detection(NormalDist().inv_cdf(0.975))!r} * se, 8) END AS detectable_alpha_monthly, CASE WHEN refused IS NULL THEN abs(alpha / se) >= {K.family_wise_bar(16)!r} END AS clears
+    FROM (SELECT *, sqrt(ssr / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se, CASE WHEN spread < 1e-24 THEN 'the record does not vary' WHEN n < 12 THEN n || ' months can''t support 1 factors' WHEN gaps > 0 THEN 'a factor lacks a month of the record' END AS refused
+    FROM (SELECT run_id, count(*) AS n, count(*) FILTER (net IS NULL) AS gaps, var_pop(net) AS spread, regr_intercept(net, ret) AS alpha, regr_syy(net, ret) * (1 - regr_r2(net, ret)) AS ssr, regr_r2(net, ret) AS r2, avg(ret) AS mx, regr_sxx(net, ret) AS sxx FROM ({_RECORDS}) s JOIN factors f ON f.period_month = s.traded AND factor = 'BUILDING' GROUP BY 1))""")
 def fund_example(spark, d):
+    """The simple books as records, and three that are refused: one that does not vary, one
+    too short, one with a gap."""
     p, _, _, series = _series(spark, d)
-    out = X.fund_example(series, p.factors, ["BUILDING"], K.family_wise_bar(16), K.detection(NormalDist().inv_cdf(0.975)), least=12)
+    rows = series.select("run_id", "traded", "net")
+    equal = rows.where("run_id = 'equal_weight'")
+    rows = rows.unionByName(rows.where("run_id = 'policy'").select(F.lit("flat").alias("run_id"), "traded", F.lit(0.001).alias("net")))
+    rows = rows.unionByName(equal.where("traded < '2000-09-01'").withColumn("run_id", F.lit("short")))
+    rows = rows.unionByName(equal.select(F.lit("gap").alias("run_id"), "traded", F.when(F.col("traded") != F.lit("2000-05-01").cast("date"), F.col("net")).alias("net")))
+    out = X.fund_example(rows, p.factors, ["BUILDING"], K.family_wise_bar(16), K.detection(NormalDist().inv_cdf(0.975)), least=12)
     return rounded(out.withColumn("t_alpha", F.round("t_alpha", 5)))
 
 
@@ -982,18 +1000,19 @@ def multiple_testing_bars(spark, d):
 @register(f"SELECT protocol, traded, {['intercept', *_SEGMENTS[:3]]}[i] AS factor, round(avg(x), 8) AS premium, round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 5) AS t, 2 AS dof, false AS identified FROM prices_of_risk GROUP BY protocol, traded, i")
 def fama_macbeth(spark, d):
     """Two passes: loadings on three factors, then six sleeves priced by four parameters."""
-    p, windows = _windows(spark, d)
-    names = list(_SEGMENTS)[:3]  # six sleeves identify four parameters
-    rows = X.fit_rows(windows, p.factors, names)
+    out = X.two_pass(_moments(spark, d)[1], _NAMES, 3, len(_SLEEVES))
+    return rounded(out.withColumn("t", F.round("t", 5)))
 
-    def kernel(frame):
-        x, f, _ = X._block(frame)
-        out = K.fama_macbeth(x, f)
-        found = [(frame["protocol"].iloc[0], frame["traded"].iloc[0], n, float(out["premium"][i]), float(out["t"][i]), out["dof"]) for i, n in enumerate(["intercept", *names])]
-        return X.pd.DataFrame(found, columns=["protocol", "traded", "factor", "premium", "t", "dof"]).assign(identified=out["dof"] <= 0)
 
-    out = rows.groupBy("protocol", "traded").applyInPandas(kernel, "protocol string, traded date, factor string, premium double, t double, dof int, identified boolean")
-    return rounded(out.withColumn("t", F.round("t", 5)))
+_CTES |= {"fit_tests": "SELECT protocol || ':' || traded || ':' || instrument AS id, k - 1 AS d1, t - k AS d2, (vary * (t - 1) - ssr) / (k - 1) / (ssr / (t - k)) AS x FROM rests WHERE kind = 'full'"} | _tail("fit_tails", "fit_tests")
+
+
+@register("SELECT split_part(id, ':', 1) AS protocol, CAST(split_part(id, ':', 2) AS DATE) AS traded, split_part(id, ':', 3) AS instrument, round(x, 5) AS f, round(p, 8) AS p FROM fit_tests JOIN fit_tails USING (id)")
+def regression_f_tests(spark, d):
+    """Whether all slopes of a regression are nothing: F and its tail."""
+    sums, k = _moments(spark, d)[1].select("protocol", "traded", "n"), len(_NAMES)
+    rows = _fit(spark, d).where("quantity = 'f'").join(sums, ["protocol", "traded"])
+    return rows.select("protocol", "traded", "instrument", F.round("value", 5).alias("f"), F.round(L.f_survival(F.col("value"), F.lit(k), (F.col("n") - k - 1).cast("int")), 8).alias("p"))
 
 
 @register()
@@ -1008,7 +1027,17 @@ def varimax_loadings(spark, d):
     return B.grouped(_windows(spark, d)[1].where("protocol = 'rolling'"), ["traded"], kernel, "traded date, instrument string, component int, loading double")
 
 
-@register()
+for _k in range(5):
+    _CTES |= D.pcg_sql(f"again{_k}", "59", f"{D.SHIFTS * len(_SLEEVES)}", D.SEED + _k)
+_CTES |= {
+    "shifted_again": " UNION ALL ".join(f"SELECT {k} AS seed, k // 6 AS draw, list(1 + v ORDER BY k) AS s FROM again{k} GROUP BY 2" for k in range(5)),
+    "begun_again": f"SELECT seed || ':' || draw AS id, {_NTH.format('i', _NTH.format('j', 'list_dot_product(x[i], x[j])'))} AS a FROM (SELECT seed, draw, {_NTH.format('i', 'list_concat(z[i][t - s[i] + 1:], z[i][:t - s[i]])')} AS x FROM standard, shifted_again WHERE traded = (SELECT max(traded) FROM standard))",
+} | _jacobi("spun_again", "begun_again", 8) | {
+    "bars_again": "SELECT seed, component, quantile_cont(p.value, 0.95) AS bar FROM (SELECT CAST(split_part(id, ':', 1) AS INTEGER) AS seed, unnest(range(6)) AS component, unnest(e) AS p FROM spun_again) GROUP BY 1, 2",
+}
+
+
+@register("SELECT traded, seed, sum((p.value > a.bar)::INT)::INTEGER AS retained FROM components JOIN bars_again a USING (component) WHERE traded = (SELECT max(traded) FROM standard) GROUP BY 1, 2")
 def component_stability(spark, d):
     """The retained count of the last window under five seeds."""
     p, rows, sums = _own_moments(spark, d)
