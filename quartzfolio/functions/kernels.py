@@ -13,65 +13,6 @@ import numpy as np
 
 from ..errors import Refusal
 
-SEED, NULL_DRAWS = 20260912, 200
-
-
-# Regressions
-
-
-def orthogonal_map(block: np.ndarray) -> np.ndarray:
-    """Upper unit-triangular map whose image of ``block`` has orthogonal columns."""
-    gram, k = block.T @ block, block.shape[1]
-    out = np.eye(k)
-    for j in range(1, k):
-        basis = out[:, :j]
-        out[:, j] -= basis @ np.linalg.solve(basis.T @ gram @ basis, basis.T @ gram[:, j])
-    return out
-
-
-def within_span(y: np.ndarray, x: np.ndarray, tolerance: float = 1e-9) -> bool:
-    """Whether the columns of ``x`` determine ``y``."""
-    rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    return bool(np.var(rest) <= tolerance * np.var(y))
-
-
-def regress(y: np.ndarray, x: np.ndarray) -> dict:
-    """Least squares with an intercept; residual variance with ddof 1."""
-    t, k = x.shape
-    if not (np.isfinite(y).all() and np.isfinite(x).all()):
-        raise Refusal("a regression holds a gap")
-    design = np.column_stack([np.ones(t), x])
-    if t - k - 1 <= 0 or np.linalg.matrix_rank(design) < k + 1:
-        raise Refusal("a regression has too few rows or dependent factors")
-    inverse = np.linalg.inv(design.T @ design)
-    beta = inverse @ (design.T @ y)
-    rest = y - design @ beta
-    sigma2 = rest @ rest / (t - k - 1)
-    se = np.sqrt(np.maximum(sigma2 * np.diag(inverse), 0))
-    total = float(np.var(y, ddof=1))
-    f = np.atleast_2d(np.cov(x, rowvar=False))
-    return {
-        "alpha": beta[0], "alpha_t": beta[0] / se[0] if se[0] else math.inf, "beta": beta[1:], "beta_t": np.divide(beta[1:], se[1:], out=np.full(k, math.inf), where=se[1:] > 0),
-        "resid_var": float(np.var(rest, ddof=1)), "explained_var": float(beta[1:] @ f @ beta[1:]), "r2": 1 - float(np.var(rest, ddof=1)) / total if total else 0.0, "dof": t - k - 1, "alpha_se": se[0],
-    }
-
-
-def identity_loadings(y: np.ndarray, x: np.ndarray, tolerance: float = 1e-9) -> np.ndarray | None:
-    """The loadings of ``y`` on ``x`` where ``x`` determines it, else nothing."""
-    return np.linalg.lstsq(x, y, rcond=None)[0] if within_span(y, x, tolerance) else None
-
-
-def variance_inflation(x: np.ndarray) -> float:
-    if x.shape[1] < 2:
-        return 1.0
-    return float(np.diag(np.linalg.inv(np.corrcoef(x, rowvar=False))).max())
-
-
-def factor_split(beta: np.ndarray, weights: np.ndarray, cov: np.ndarray, resid_var: np.ndarray) -> tuple[float, float]:
-    load = beta.T @ weights
-    return float(load @ cov @ load), float((weights**2) @ resid_var)
-
-
 # Components
 
 
@@ -88,36 +29,6 @@ def eigen(corr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, vectors * np.where(vectors[top, range(len(values))] < 0, -1.0, 1.0)
 
 
-def permutation_null(x: np.ndarray, draws: int = NULL_DRAWS, seed: int = SEED) -> np.ndarray:
-    """Eigenvalues under independent circular shifts of each series."""
-    rng, (t, n) = np.random.default_rng(seed), x.shape
-    out = np.empty((draws, n))
-    for d in range(draws):
-        moved = np.column_stack([np.roll(x[:, j], int(rng.integers(1, t))) for j in range(n)])
-        out[d] = np.linalg.eigvalsh(np.corrcoef(moved, rowvar=False))[::-1]
-    return out
-
-
-def mp_edge(n: int, t: int) -> float:
-    return (1 + math.sqrt(n / t)) ** 2
-
-
-def decompose(x: np.ndarray, draws: int = NULL_DRAWS, seed: int = SEED) -> dict:
-    values, vectors = eigen(correlation(x))
-    null = permutation_null(x, draws, seed)
-    bar = np.percentile(null, 95, axis=0)
-    return {"values": values, "vectors": vectors, "bar": bar, "count": int((values > bar).sum()), "share": values / values.sum(), "noise_share": np.median(null, 0) / values.sum()}
-
-
-def component_portfolios(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    _, vectors = eigen(correlation(x))
-    weights = vectors[:, :count] / x.std(0, ddof=1)[:, None]
-    total = weights.sum(0)
-    if (np.abs(total) < 1e-8).any():
-        raise Refusal("a component portfolio sums to nothing")
-    return weights / total, x @ (weights / total)
-
-
 def varimax(loadings: np.ndarray, rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
     scale = np.sqrt((loadings**2).sum(1, keepdims=True))
     a, r, last = loadings / np.where(scale > 0, scale, 1), np.eye(loadings.shape[1]), 0.0
@@ -131,102 +42,6 @@ def varimax(loadings: np.ndarray, rounds: int = 100, tolerance: float = 1e-9) ->
     return a @ r * scale
 
 
-#: Retained counts that jump by more than one in over this share of the steps are given
-#: up for a fixed count (fixed values).
-MOVE_SHARE, FIXED_COUNT = 0.25, 3
-
-
-def retain_or_fixed(counts: np.ndarray, fixed: int = FIXED_COUNT, share: float = MOVE_SHARE) -> bool:
-    """Whether the counts jump by more than one too often, so ``fixed`` is used."""
-    return bool(len(counts) > 1 and (np.abs(np.diff(counts)) > 1).mean() > share)
-
-
-# Spanning tests
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by Lentz's continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_fraction(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    out = d
-    for m in range(1, 500):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or 1e-300)
-            c = 1 + num / c or 1e-300
-            out *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * out
-
-
-def f_survival(x: float, d1: float, d2: float) -> float:
-    return _beta_fraction(d2 / 2, d1 / 2, d2 / (d2 + d1 * x)) if x > 0 else 1.0
-
-
-def grs(assets: np.ndarray, factors: np.ndarray) -> dict:
-    """Gibbons-Ross-Shanken statistic (maximum-likelihood covariances) and p-value."""
-    t, n = assets.shape
-    k = factors.shape[1]
-    fits = [regress(assets[:, j], factors) for j in range(n)]
-    alpha, beta = np.array([f["alpha"] for f in fits]), np.stack([f["beta"] for f in fits])
-    rest = assets - alpha - factors @ beta.T
-    sigma, mean = rest.T @ rest / t, factors.mean(0)
-    omega = np.atleast_2d(np.cov(factors, rowvar=False, ddof=0))
-    if np.linalg.cond(sigma) > 1e10 or t - n - k <= 0:
-        raise Refusal("the residual covariance can't be inverted")
-    stat = (t - n - k) / n * float(alpha @ np.linalg.solve(sigma, alpha)) / (1 + float(mean @ np.linalg.solve(omega, mean)))
-    return {"statistic": stat, "p": f_survival(stat, n, t - n - k), "row_sums": beta.sum(1)}
-
-
-def fama_macbeth(assets: np.ndarray, factors: np.ndarray) -> dict:
-    beta = np.stack([regress(assets[:, j], factors)["beta"] for j in range(assets.shape[1])])
-    design = np.column_stack([np.ones(len(beta)), beta])
-    price = np.linalg.lstsq(design, assets.T, rcond=None)[0].T
-    t = len(price)
-    return {"premium": price.mean(0), "t": price.mean(0) / (price.std(0, ddof=1) / math.sqrt(t)), "dof": design.shape[0] - design.shape[1]}
-
-
-# Covariances
-
-
-def sample_covariance(x: np.ndarray) -> tuple[np.ndarray, float | None]:
-    if len(x) < 2:
-        raise Refusal("a covariance needs two rows")
-    return np.atleast_2d(np.cov(x, rowvar=False)), None
-
-
-def shrunk_covariance(x: np.ndarray) -> tuple[np.ndarray, float | None]:
-    """Ledoit and Wolf (2004), scaled identity target, rescaled to ddof 1."""
-    t, p = x.shape
-    z = x - x.mean(0)
-    s = z.T @ z / t
-    mu = np.trace(s) / p
-    spread = ((s**2).sum() - 2 * mu * np.trace(s) + p * mu**2) / p
-    noise = (((z**2).T @ (z**2)).sum() / t - (s**2).sum()) / (p * t)
-    share = float(min(noise, spread) / spread) if spread > 0 else 1.0
-    return ((1 - share) * s + share * mu * np.eye(p)) * t / (t - 1), share
-
-
-def factor_covariance(x: np.ndarray, draws: int = NULL_DRAWS) -> tuple[np.ndarray, float | None]:
-    """Retained components of the correlation plus a diagonal rest."""
-    found = decompose(x, draws)
-    k = max(found["count"], 1)
-    load = found["vectors"][:, :k] * np.sqrt(np.maximum(found["values"][:k], 0))
-    common = load @ load.T
-    rest = 1 - np.diag(common)
-    if abs(rest.sum() - found["values"][k:].sum()) > 1e-10:
-        raise Refusal("the discarded eigenvalues do not add up")
-    sd = x.std(0, ddof=1)
-    return (common + np.diag(rest)) * np.outer(sd, sd), float(k)
-
-
-ESTIMATORS = {"sample": sample_covariance, "shrinkage": shrunk_covariance, "factor": factor_covariance}
-
-
 # Means
 
 

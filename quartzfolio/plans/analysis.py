@@ -13,6 +13,7 @@ from ..operators import attribution as A
 from ..operators import metrics as M
 from ..sources.scratch import once, scope
 from . import backtest as B
+from . import components as E
 from . import study as S
 
 POLICY_BOOK = "policy book"
@@ -97,7 +98,9 @@ def analyse(returns: DataFrame, months: DataFrame, universe: DataFrame, target:
     runs, key = B.registry(spark), (uuid.uuid4().hex,)
     with scope():
         windows = B.window_rows(returns, B.all_steps(months, size), universe)
-        found = once(spark, ("targets", *key), lambda: B.targets(windows, runs, size))
+        names = [r.instrument for r in universe.orderBy("ord").select("instrument").collect()]  # the sleeves
+        estimates = once(spark, ("estimates", *key), lambda: E.window_estimates(returns, months, names, size))
+        found = once(spark, ("targets", *key), lambda: B.targets(windows, estimates, runs, size))
         path = once(spark, ("path", *key), lambda: B.books(found, runs))
         series = once(spark, ("series", *key), lambda: B.series(path, returns))
         traded = once(spark, ("traded", *key), lambda: traded_months(series))

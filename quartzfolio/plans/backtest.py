@@ -1,8 +1,8 @@
 """The pre-registered grid as two Spark phases: parallel targets, ordered books.
 
 A target depends on its own window alone, so phase one is one grouped map over
-(estimator, protocol, traded month): each group estimates once and solves every run
-that reads it. Phase two folds a run's targets in month order, in column functions. A run with any
+(estimator, protocol, traded month): each group takes its covariance from a table and
+solves every run that reads it. Phase two folds a run's targets in month order, in column functions. A run with any
 refusal becomes a cut and has no book.
 """
 
@@ -18,6 +18,7 @@ from ..functions import kernels as K
 from ..operators import calendar as C
 from ..operators.metrics import COST_BP, PERIODS
 from ..operators.rebalance import BAND, TURNOVER_CAP, fold
+from .draws import SEED, SHIFTS
 
 CAP, UNCAPPED, GAMMA, CVAR_LEVEL = 0.35, 1.0, 1 / 3, 0.05
 
@@ -46,6 +47,7 @@ RUNS = (
 )
 CELLS = tuple(r[0] for r in RUNS[:16])
 PAIRS = {"minimum_variance": "minimum_variance_uncapped", "maximum_diversification": "maximum_diversification_uncapped", "erc_bounded": "erc_unbounded"}
+ESTIMATORS = ("sample", "shrinkage", "factor")
 SPEC = "run_id string, stage string, family string, estimator string, mean string, cap double, protocol string"
 
 
@@ -59,7 +61,7 @@ def validate(runs: tuple = RUNS) -> None:
         raise Refusal("the registry needs 20 runs with different ids")
     by_id = {r[0]: r for r in runs}
     for r in runs:
-        if r[2] not in K.FAMILIES or r[3] not in K.ESTIMATORS or r[4] not in (None, "none", "sample", "jorion", "black_litterman") or r[6] not in ("rolling", "expanding"):
+        if r[2] not in K.FAMILIES or r[3] not in ESTIMATORS or r[4] not in (None, "none", "sample", "jorion", "black_litterman") or r[6] not in ("rolling", "expanding"):
             raise Refusal(f"{r[0]} names an axis value that does not exist")
     for a, b in PAIRS.items():
         if [x for k, x in enumerate(by_id[a]) if k not in (0, 5)] != [x for k, x in enumerate(by_id[b]) if k not in (0, 5)]:
@@ -104,8 +106,9 @@ def _mean(kind: str | None, x: np.ndarray, cov: np.ndarray, policy: np.ndarray)
 TARGETS = "run_id string, protocol string, traded date, instrument string, ord int, target double, intensity double, error string"
 
 
-def targets(rows: DataFrame, runs: DataFrame, size: int = 60) -> DataFrame:
-    """Phase one: a target vector, or the refusal, per run and traded month."""
+def targets(rows: DataFrame, estimates: DataFrame, runs: DataFrame, size: int = 60) -> DataFrame:
+    """Phase one: a target vector, or the refusal, per run and traded month.
+    ``estimates``: protocol, traded, estimator, cov, report of every window without a hole."""
     specs = [tuple(r) for r in runs.collect()]  # the declared runs
     columns = [c.split()[0] for c in TARGETS.split(", ")]
 
@@ -114,7 +117,9 @@ def targets(rows: DataFrame, runs: DataFrame, size: int = 60) -> DataFrame:
         own_specs = [r for r in specs if r[3] == estimator and r[6] == protocol]
         try:
             x, names, policy = _matrix(frame, size)
-            cov, intensity = K.ESTIMATORS[estimator](x)
+            if frame["cov"].iloc[0] is None:
+                raise Refusal("the window has no covariance")
+            cov, intensity = np.stack(frame["cov"].iloc[0]).astype(float), frame["report"].iloc[0]
         except (Refusal, np.linalg.LinAlgError) as e:
             return pd.DataFrame([(r[0], protocol, traded, None, None, None, None, str(e)) for r in own_specs], columns=columns)
         out = []
@@ -128,7 +133,8 @@ def targets(rows: DataFrame, runs: DataFrame, size: int = 60) -> DataFrame:
         return pd.DataFrame(out, columns=columns)
 
     kinds = runs.select("estimator", "protocol").distinct()
-    return rows.join(F.broadcast(kinds), "protocol").groupBy("estimator", "protocol", "traded").applyInPandas(solve, TARGETS)
+    met = rows.join(F.broadcast(kinds), "protocol").join(estimates, ["protocol", "traded", "estimator"], "left")
+    return met.groupBy("estimator", "protocol", "traded").applyInPandas(solve, TARGETS)
 
 
 def books(found: DataFrame, runs: DataFrame) -> DataFrame:
@@ -176,7 +182,7 @@ def records(runs: DataFrame, found: DataFrame, stamp: dict[str, str]) -> DataFra
     """What a rerun needs of every run: its settings, its months, why it was cut if it
     was, the rules that all runs share, and the ``stamp`` of data and code."""
     seen = found.groupBy("run_id").agg(F.min("traded").alias("first_traded"), F.max("traded").alias("last_traded"), F.countDistinct("traded").alias("steps"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("traded"))).alias("cut"))
-    rules = {"band": BAND, "turnover_cap": TURNOVER_CAP, "gamma": GAMMA, "cvar_level": CVAR_LEVEL, "cost_bp": COST_BP, "seed": K.SEED, "null_draws": K.NULL_DRAWS}
+    rules = {"band": BAND, "turnover_cap": TURNOVER_CAP, "gamma": GAMMA, "cvar_level": CVAR_LEVEL, "cost_bp": COST_BP, "seed": SEED, "null_draws": SHIFTS}
     return runs.join(seen, "run_id", "left").select("*", *[F.lit(v).alias(k) for k, v in (rules | stamp).items()])
 
 

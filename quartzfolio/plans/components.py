@@ -8,12 +8,16 @@ all windows of a length.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as L
 from ..operators.calendar import numbered
+from ..sources.scratch import once
 from . import draws as D
+from .factors import moments, monthly
 
 #: Percentile of the null that a component has to pass (fixed value).
 PERCENTILE = 0.95
@@ -148,6 +152,21 @@ def estimators(parts: DataFrame, shrinkage: DataFrame, counts: DataFrame, names:
     return sample.unionByName(drawn.select("traded", F.lit("shrinkage").alias("estimator"), "cov", "report")).unionByName(model)
 
 
+def window_estimates(returns: DataFrame, months: DataFrame, names: list[str], size: int = 60) -> DataFrame:
+    """protocol, traded, estimator, cov, report: every estimate of every window without a
+    hole; expanding windows have the sample covariance only."""
+    spark, width, key = returns.sparkSession, len(names), uuid.uuid4().hex
+    rows = once(spark, ("sleeves", key), lambda: monthly(returns, None, [], names).coalesce(1))
+    sums = once(spark, ("own_moments", key), lambda: moments(rows, months, 1 + width, size, strict=False))
+    whole = sums.where("gram is not null")
+    parts = once(spark, ("parts", key), lambda: structure(whole, width).coalesce(1))
+    bars = once(spark, ("null", key), lambda: null(rows, months, whole, width, size=size))
+    held = shrunk(returns, months, size).join(whole.select("protocol", "traded"), ["protocol", "traded"], "left_semi")
+    rolling = estimators(parts, held, retained(parts, bars), names).select(F.lit("rolling").alias("protocol"), "traded", "estimator", "cov", "report")
+    grown = whole.where("protocol = 'expanding'").select("protocol", "traded", F.lit("sample").alias("estimator"), L.covariance(F.col("gram"), F.col("n"), list(range(1, width + 1))).alias("cov"), F.lit(None).cast("double").alias("report"))
+    return rolling.unionByName(grown)
+
+
 def portfolios(parts: DataFrame, width: int, count: int) -> DataFrame:
     """traded, map: rows of weights of the first ``count`` components, each summing to one;
     raises where a component's weights sum to nothing."""

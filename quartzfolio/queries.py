@@ -837,12 +837,20 @@ def component_decision(spark, d):
     return rounded(out.withColumn("used", F.when(F.col("falsified"), E.FIXED_COUNT).otherwise(F.col("retained"))))
 
 
+def _covariances(spark, d):
+    """protocol, traded, cov: sample covariances of every window as matrices."""
+    sums = _own_moments(spark, d)[2]
+    return sums.select("protocol", "traded", L.covariance(F.col("gram"), F.col("n"), list(range(1, len(_SLEEVES) + 1))).alias("cov"))
+
+
 def _grid(spark, d):
     """The panel, the runs, and their targets: each window solved once."""
     p, windows = _windows(spark, d)
     B.validate()
     runs = B.registry(spark)
-    return p, runs, once(spark, ("targets", d), lambda: B.targets(windows, runs))
+    grown = _covariances(spark, d).where("protocol = 'expanding'")
+    estimates = _estimates(spark, d).withColumn("protocol", F.lit("rolling")).unionByName(grown.withColumns({"estimator": F.lit("sample"), "report": F.lit(None).cast("double")}))
+    return p, runs, once(spark, ("targets", d), lambda: B.targets(windows, estimates, runs))
 
 
 def _path(spark, d):

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import plain_math
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def test_f_tail(spark):
     rows = [(x, a, b) for x in (0.0, 0.01, 0.5, 1.0, 3.0, 12.0) for a in (1, 2, 5, 9) for b in (1, 2, 24, 53, 400)]
     df = spark.createDataFrame(rows, "x double, a int, b int")
     for r in df.select("x", "a", "b", L.f_survival(F.col("x"), F.col("a"), F.col("b")).alias("p")).collect():
-        assert math.isclose(r.p, K.f_survival(r.x, r.a, r.b), rel_tol=1e-10, abs_tol=1e-14)
+        assert math.isclose(r.p, plain_math.f_survival(r.x, r.a, r.b), rel_tol=1e-10, abs_tol=1e-14)
 
 
 def test_gamma_of_halves(spark):

@@ -12,6 +12,7 @@ from quartzfolio.operators import metrics as M
 from quartzfolio.operators import returns as R
 from quartzfolio.plans import analysis as Y
 from quartzfolio.plans import backtest as B
+from quartzfolio.plans import components as E
 from quartzfolio.plans import factors as X
 from quartzfolio.sources import loader as L
 from quartzfolio.sources import snapshot as S
@@ -119,11 +120,14 @@ def test_windows_with_holes_are_refused(spark, document):
     steps = B.all_steps(document.months)
     good = B.window_rows(document.returns, steps, universe)
     runs = B.registry(spark).where("run_id in ('policy', 'minimum_variance', 'minimum_variance_expanding')")
-    assert B.targets(good, runs).where("error is not null").count() == 0
+    estimates = E.window_estimates(document.returns, document.months, list(NAMES))
+    assert B.targets(good, estimates, runs).where("error is not null").count() == 0
     holed = good.where("period_month <> date'2016-03-01'")
-    cut = B.targets(holed, runs).where("error is not null")
+    few = E.window_estimates(document.returns.where("period_month <> date'2016-03-01'"), document.months, list(NAMES))
+    assert few.count() < estimates.count()
+    cut = B.targets(holed, few, runs).where("error is not null")
     assert {r.run_id for r in cut.collect()} == {"policy", "minimum_variance", "minimum_variance_expanding"}
-    assert B.cuts(B.targets(holed, runs)).count() == 3
+    assert B.cuts(B.targets(good, few, runs)).count() == 3
     factors = document.factors.eur.where("factor <> 'RF'")
     names = ["Mkt-RF", "SMB", "MOM"]
     rows = X.monthly(document.returns, factors, names, list(NAMES))
