@@ -50,14 +50,14 @@ _CTES = {
         CASE WHEN instrument = 'PROMO' THEN 'SEK' ELSE 'EUR' END AS currency
         FROM (SELECT p_type AS instrument, CAST(date_trunc('month', l_shipdate) AS DATE) AS period_month,
             sum(l_extendedprice) / sum(l_quantity) AS level, avg(l_discount) AS cut
-            FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '{P.PRICE_END}' GROUP BY 1, 2)""",
+            FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < (SELECT date_trunc('month', max(l_shipdate) + INTERVAL 1 DAY) FROM lineitem) GROUP BY 1, 2)""",
     "levels": f"""SELECT c_mktsegment AS factor, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_month, avg(o_totalprice) AS level
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '{P.ORDER_END}' GROUP BY 1, 2""",
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < (SELECT date_trunc('month', max(o_orderdate) + INTERVAL 1 DAY) FROM orders) GROUP BY 1, 2""",
     "fx": "SELECT 'SEK' AS currency, period_month, level / 10000 AS close FROM levels WHERE factor = 'BUILDING'",
     "fxret": "SELECT currency, period_month, close / lag(close) OVER (ORDER BY period_month) - 1 AS fx FROM fx",
     "factors": "SELECT * FROM (SELECT factor, period_month, level / lag(level) OVER (PARTITION BY factor ORDER BY period_month) - 1 AS ret FROM levels) WHERE ret IS NOT NULL",
     "rates": f"""SELECT CASE l_linestatus WHEN 'F' THEN 'A' ELSE 'B' END AS leg, CAST(l_shipdate AS DATE) AS day, avg(l_tax) * 100 AS pct
-        FROM lineitem WHERE l_shipdate < TIMESTAMP '{P.PRICE_END}' AND l_linestatus IN ('F', 'O') GROUP BY 1, 2""",
+        FROM lineitem WHERE l_shipdate < (SELECT date_trunc('month', max(l_shipdate) + INTERVAL 1 DAY) FROM lineitem) AND l_linestatus IN ('F', 'O') GROUP BY 1, 2""",
     "spliced": f"SELECT day, pct FROM rates WHERE (leg = 'A' AND day < DATE '{P.SPLICE}') OR (leg = 'B' AND day >= DATE '{P.SPLICE}')",
     "cash": "SELECT CAST(date_trunc('month', day) AS DATE) AS period_month, product(1 + pct / 100 / 360) - 1 AS rf FROM spliced GROUP BY 1",
     "months": "SELECT DISTINCT period_month FROM prices INTERSECT SELECT period_month FROM fx INTERSECT SELECT period_month FROM cash",
@@ -990,7 +990,7 @@ def mean_budgets(spark, d):
 def run_records(spark, d):
     """What a rerun needs of each run."""
     _, runs, found = _grid(spark, d)
-    return B.records(runs, found, {"window_end": P.PRICE_END, "splice": P.SPLICE})
+    return B.records(runs, found, {"splice": P.SPLICE})
 
 
 @register()

@@ -1,11 +1,13 @@
 """The star-schema tables as a monthly panel: the long-table contract.
 
-One scan and one aggregation of each fact table give everything that follows: line
-items by instrument and month and by rate leg and day at once (grouping sets, so the
-map side already reduces to a few rows per instrument, month and day), orders by
-segment and month. Both results are written tables, so no plan behind them scans a
-fact table again. Filters on dates stand on the plain columns and reach the Parquet
-readers; a dimension is broadcast only where Spark measures it as small.
+Fact tables are reduced where they are read, and only what is left is joined: line items
+to a row for each part and month before they meet the parts, orders to one for each
+customer and month before they meet the customers, the overnight rates to one for each
+leg and day without a join. Each reduction reads its own columns and is a written table,
+so no plan behind it scans a fact table again; a query that needs prices alone does not
+read the rates. Means travel as sums and counts. The last month counts if the table
+reaches its last day; that day comes with the reduction itself, not from a scan of its
+own. A dimension is broadcast only where Spark measures it as small.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calendar import add_availability, month
-from .scratch import once
+from .scratch import once, scope
 
-#: The panel's declared window and splice date, and the universe in its fixed order:
-#: instrument, sleeve currency, group, policy weight (all fixed values).
-PRICE_END, ORDER_END, SPLICE = "2001-11-01", "2001-08-01", "1998-01-01"
+#: The panel's declared splice date, and the universe in its fixed order: instrument,
+#: sleeve currency, group, policy weight (all fixed values).
+SPLICE = "1998-01-01"
 UNIVERSE = (
     ("ECONOMY", "EUR", "equity", 0.30),
     ("PROMO", "SEK", "equity", 0.20),
@@ -54,30 +56,43 @@ def facts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FACTS), "instrument string, income string, size string")
 
 
-def line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over the line items: totals per (instrument, period_month), with a null
-    leg and day, and mean tax per (leg, day), with a null instrument and month."""
+def whole_months(rows: DataFrame, newest: str, column: str) -> DataFrame:
+    """Rows whose ``column`` lies before the first month that ``newest``, over all rows,
+    does not complete."""
+    end = rows.agg(F.trunc(F.date_add(F.max(newest), 1), "MM").alias("_end"))
+    return rows.join(F.broadcast(end), F.col(column) < F.col("_end")).drop("_end", newest)
+
+
+def price_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """instrument, period_month, level (mean price of a unit), cut (mean discount)."""
 
     def build() -> DataFrame:
-        line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(PRICE_END).cast("timestamp_ntz"))
-        leg = F.when(F.col("l_linestatus") == "F", "A").when(F.col("l_linestatus") == "O", "B")
-        line = line.select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", month("l_shipdate").alias("period_month"), F.to_date("l_shipdate").alias("day"), leg.alias("leg"))
-        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("instrument"))
-        keys = [F.col(c) for c in ("instrument", "period_month", "leg", "day")]
-        sums = line.join(part, "l_partkey", "left").groupingSets([keys[:2], keys[2:]], *keys).agg(
-            F.grouping("day").alias("of_month"), F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"),
-            F.avg("l_discount").alias("cut"), F.avg("l_tax").alias("tax"),
+        line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", F.to_date("l_shipdate").alias("day"))
+        sums = line.groupBy("l_partkey", month("day").alias("period_month")).agg(
+            F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"), F.sum("l_discount").alias("cut"), F.count("l_discount").alias("n"), F.max("day").alias("newest")
         )
-        return sums
+        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("instrument"))
+        totals = sums.join(part, "l_partkey", "left").groupBy("instrument", "period_month").agg(*[F.sum(c).alias(c) for c in ("amount", "quantity", "cut", "n")], F.max("newest").alias("newest"))
+        return totals.select("instrument", "period_month", (F.col("amount") / F.col("quantity")).alias("level"), (F.col("cut") / F.col("n")).alias("cut"), "newest")
+
+    held = once(spark, ("prices", sf_dir), build)
+    return whole_months(held, "newest", "period_month").where("instrument is not null")
+
+
+def rate_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leg, day, tax: the mean tax rate of a line status and day."""
+
+    def build() -> DataFrame:
+        leg = F.when(F.col("l_linestatus") == "F", "A").when(F.col("l_linestatus") == "O", "B")
+        line = table(spark, sf_dir, "lineitem").select(leg.alias("leg"), F.to_date("l_shipdate").alias("day"), "l_tax")
+        return line.groupBy("leg", "day").agg(F.avg("l_tax").alias("tax"), F.max("day").alias("newest"))
 
-    return once(spark, ("lines", sf_dir), build)
+    return whole_months(once(spark, ("rates", sf_dir), build), "newest", "day").where("leg is not null")
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """instrument, period_month, available_from, close, adj_close, dividend, currency, kind."""
-    level = line_totals(spark, sf_dir).where("of_month = 1 and instrument is not null")
-    level = level.select("instrument", "period_month", (F.col("amount") / F.col("quantity")).alias("level"), "cut")
-    out = level.select(
+    out = price_sums(spark, sf_dir).select(
         "instrument", "period_month", (F.col("level") * (1 - F.col("cut"))).alias("close"), F.col("level").alias("adj_close"),
         F.when(F.month("period_month") % 3 == 0, F.col("level") * F.col("cut")).otherwise(0.0).alias("dividend"),
         F.when(F.col("instrument") == "PROMO", "SEK").otherwise("EUR").alias("currency"), F.lit("price").alias("kind"),
@@ -89,17 +104,18 @@ def segment_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """factor (market segment), period_month, level: the mean order total."""
 
     def build() -> DataFrame:
-        orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(ORDER_END).cast("timestamp_ntz"))
-        orders = orders.select("o_custkey", month("o_orderdate").alias("period_month"), "o_totalprice")
+        orders = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+        sums = orders.groupBy("o_custkey", month("day").alias("period_month")).agg(F.sum("o_totalprice").alias("total"), F.count("o_totalprice").alias("n"), F.max("day").alias("newest"))
         customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("factor"))
-        return orders.join(customer, "o_custkey").groupBy("factor", "period_month").agg(F.avg("o_totalprice").alias("level"))
+        totals = sums.join(customer, "o_custkey", "left").groupBy("factor", "period_month").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("newest").alias("newest"))
+        return totals.select("factor", "period_month", (F.col("total") / F.col("n")).alias("level"), "newest")
 
-    return once(spark, ("orders", sf_dir), build)
+    return whole_months(once(spark, ("orders", sf_dir), build), "newest", "period_month").where("factor is not null")
 
 
 def overnight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """leg (A or B), day, pct: the daily overnight rate of either leg."""
-    return line_totals(spark, sf_dir).where("of_month = 0 and leg is not null").select("leg", "day", (F.col("tax") * 100).alias("pct"))
+    return rate_sums(spark, sf_dir).select("leg", "day", (F.col("tax") * 100).alias("pct"))
 
 
 @dataclass(frozen=True)
@@ -118,10 +134,11 @@ class Panel:
 def load(spark: SparkSession, sf_dir: str) -> Panel:
     from ..operators import returns as R
 
-    price, levels, rates = prices(spark, sf_dir), segment_levels(spark, sf_dir), overnight(spark, sf_dir)
-    fx = levels.where("factor = 'BUILDING'").select(F.lit("SEK").alias("currency"), "period_month", (F.col("level") / 10000).alias("close"))
-    factors = R.monthly_returns(levels, "factor", "level")
-    cash = R.accrue_monthly(R.splice(rates, SPLICE))
-    months = once(spark, ("months", sf_dir), lambda: R.joined_months(price, fx, levels, cash).coalesce(1))
-    returns = once(spark, ("returns", sf_dir), lambda: R.excess_table(price, fx, cash, months).coalesce(1))
-    return Panel(price, fx, factors, rates, cash, months, returns)
+    with scope():
+        price, levels, rates = prices(spark, sf_dir), segment_levels(spark, sf_dir), overnight(spark, sf_dir)
+        fx = levels.where("factor = 'BUILDING'").select(F.lit("SEK").alias("currency"), "period_month", (F.col("level") / 10000).alias("close"))
+        factors = R.monthly_returns(levels, "factor", "level")
+        cash = R.accrue_monthly(R.splice(rates, SPLICE))
+        months = once(spark, ("months", sf_dir), lambda: R.joined_months(price, fx, levels, cash).coalesce(1))
+        returns = once(spark, ("returns", sf_dir), lambda: R.excess_table(price, fx, cash, months).coalesce(1))
+        return Panel(price, fx, factors, rates, cash, months, returns)

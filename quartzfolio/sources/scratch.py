@@ -18,6 +18,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _HELD: ContextVar[dict | None] = ContextVar("held", default=None)
+_WRITTEN: list[str] = []
 
 
 @contextlib.contextmanager
@@ -54,10 +55,24 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _WRITTEN.append(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Deletes every table written so far and says how many: for a long session, between
+    queries whose results have been read."""
+    gone = 0
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+        gone += 1
+    held = _HELD.get()
+    if held:
+        held.clear()
+    return gone
+
+
 def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """``build()`` as a written table, the same one for equal keys of a scope."""
     held = _HELD.get()
