@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calendar import numbered
+from .labels import covered
 
 
 def quotient(top: Column, bottom: Column, limit: Column) -> Column:
@@ -120,12 +121,14 @@ def window_covariance(rows: DataFrame, months: DataFrame, size: int = 60, value:
 
 
 def contributions(weights: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
-    """Euler contributions: marginal, contribution and share per instrument."""
+    """Euler contributions: marginal, contribution and share per instrument. A book and a
+    covariance that do not name the same sleeves raise."""
+    weights = covered(weights.select(*keys, "instrument", "weight"), cov, keys)
     w, v = weights.select(*keys, F.col("instrument").alias("i"), F.col("weight").alias("wi")), weights.select(*keys, F.col("instrument").alias("j"), F.col("weight").alias("wj"))
     cov_keys = [k for k in keys if k in cov.columns]
     rows = w.join(cov, [*cov_keys, "i"]).join(v, [*keys, "j"])
     cross = rows.groupBy(*keys, "i").agg(F.first("wi").alias("weight"), F.sum(F.col("value") * F.col("wj")).alias("m"))
-    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    over = Window.partitionBy(*keys)
     cross = cross.withColumn("variance", F.sum(F.col("weight") * F.col("m")).over(over))
     sd = F.sqrt(F.when(F.col("variance") > 0, F.col("variance")).otherwise(F.raise_error(F.lit("a book without variance")).cast("double")))
     return cross.select(

@@ -83,6 +83,16 @@ def blocks(rows: DataFrame, steps_: DataFrame, column: str = "period_month") ->
     return wanted.join(rows, column)
 
 
+def observed(steps_: DataFrame, read: DataFrame, components: DataFrame | None = None, column: str = "period_month") -> DataFrame:
+    """The step records completed with what only a run knows: how many months of rows its
+    window held, and the components its estimate kept (protocol, traded, retained)."""
+    taken = read.groupBy("protocol", "traded").agg(F.countDistinct(column).cast("int").alias("observations"))
+    out = steps_.drop("window").join(taken, ["protocol", "traded"], "left")
+    if components is None:
+        return out.withColumn("components", F.lit(None).cast("int"))
+    return out.join(components.select("protocol", "traded", F.col("retained").cast("int").alias("components")), ["protocol", "traded"], "left")
+
+
 def look_ahead(steps_: DataFrame, read: DataFrame, months: DataFrame, size: int = 60, column: str = "period_month") -> DataFrame:
     """Violations of the boundary, one row each: rule and traded month. Must be empty."""
     front = months.agg(F.min(column).alias("front"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refusal
+from .labels import one_value
 
 
 def total_return(prices: DataFrame, value: str | Column = "adj_close", key: str = "instrument") -> DataFrame:
@@ -110,8 +111,10 @@ def wide(rows: DataFrame, names: list[str], value: str, name: str = "instrument"
 
 
 def constructed_block(rows: DataFrame, long: str, short: str, credit: str, high_yield: str, value: str = "excess") -> DataFrame:
-    """level, slope, credit and high-yield combinations of four named sleeves."""
-    x = {k: F.sum(F.when(F.col("instrument") == n, F.col(value))) for k, n in (("l", long), ("s", short), ("c", credit), ("h", high_yield))}
+    """level, slope, credit and high-yield combinations of four named sleeves; a month
+    without one of them raises when it is read."""
+    lacks = lambda n: F.raise_error(F.concat(F.lit(f"the block needs {n} in "), F.first("period_month").cast("string"))).cast("double")
+    x = {k: F.coalesce(one_value(value, "instrument", n), lacks(n)) for k, n in (("l", long), ("s", short), ("c", credit), ("h", high_yield))}
     return rows.groupBy("period_month").agg(
         ((x["l"] + x["s"]) / 2).alias("level"), (x["l"] - x["s"]).alias("slope"), (x["c"] - x["l"]).alias("credit"), (x["h"] - x["c"]).alias("high_yield")
     )

@@ -54,6 +54,14 @@ def negative_results(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("verdict").isin(*NEGATIVE))
 
 
+#: What the bar rests on, carried with each claim.
+BAR_NOTE = "the bar is this study's own choice after the literature; no rule demands it"
+
+
 def claimed(cost_bp: float = 10.0) -> Column:
     """The ingredients of a recommendation; null for every other row."""
-    return F.when(F.col("verdict") == CANDIDATE, F.struct(F.col("z").alias("statistic"), "bar", F.col("information_ratio").alias("information_ratio_net"), F.lit(cost_bp).alias("cost_bp"), "cap_binding_steps"))
+    held = F.struct(
+        F.col("z").alias("statistic"), "bar", F.col("information_ratio").alias("information_ratio_net"), F.lit(cost_bp).alias("cost_bp"),
+        (F.col("cap_binding_steps") / F.col("months")).alias("cap_binding_frequency"), "cap_binding_steps", F.col("months").alias("steps"), F.lit(BAR_NOTE).alias("statement"),
+    )
+    return F.when(F.col("verdict") == CANDIDATE, held)

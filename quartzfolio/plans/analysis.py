@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import Refusal
 from ..operators import attribution as A
 from ..operators import metrics as M
+from ..operators.labels import covered, need
 from ..sources.scratch import once, scope
 from . import backtest as B
 from . import components as E
@@ -62,7 +63,7 @@ def risk_budgets(books: DataFrame, active: DataFrame, returns: DataFrame, univer
     sd = cov.where("i = j").select(F.col("i").alias("instrument"), F.sqrt("value").alias("sd"))
     ratio = shares.join(sd, "instrument").groupBy("run_id").agg((F.sum(F.col("weight") * F.col("sd")) / F.max("volatility")).alias("ratio"))
     adds = shares.groupBy("run_id").agg((F.sum("contribution") / F.max("volatility") - 1).alias("gap"))
-    gap = books.join(universe.select("instrument", "policy"), "instrument").withColumn("a", F.col("weight") - F.col("policy"))
+    gap = covered(books.select("run_id", "traded", "instrument", "weight"), cov, ["run_id", "traded"]).join(universe.select("instrument", "policy"), "instrument").withColumn("a", F.col("weight") - F.col("policy"))
     x, y = (gap.select("run_id", "traded", F.col("instrument").alias(k), F.col("a").alias(f"a{k}")) for k in "ij")
     variance = x.join(cov, "i").join(y, ["run_id", "traded", "j"]).groupBy("run_id", "traded").agg(F.sum(F.col("ai") * F.col("value") * F.col("aj")).alias("v"))
     before = variance.groupBy("run_id").agg(F.avg(F.sqrt(M.PERIODS * F.greatest("v", F.lit(0.0)))).alias("ex_ante"))
@@ -99,6 +100,7 @@ def analyse(returns: DataFrame, months: DataFrame, universe: DataFrame, target:
     with scope():
         windows = B.window_rows(returns, B.all_steps(months, size), universe)
         names = [r.instrument for r in universe.orderBy("ord").select("instrument").collect()]  # the sleeves
+        need(returns, names)
         estimates = once(spark, ("estimates", *key), lambda: E.window_estimates(returns, months, names, size))
         found = once(spark, ("targets", *key), lambda: B.targets(windows, estimates, runs, size))
         path = once(spark, ("path", *key), lambda: B.books(found, runs))

@@ -22,6 +22,8 @@ from .draws import SEED, SHIFTS
 
 CAP, UNCAPPED, GAMMA, CVAR_LEVEL = 0.35, 1.0, 1 / 3, 0.05
 
+#: Scale of the prior's uncertainty, and the scales of its sensitivity (fixed values).
+TAU_SCALE, TAU_SCALES = 1.0, (0.1, 1.0, 10.0)
 #: The pre-registered runs: id, stage, family, estimator, mean, cap, protocol (fixed values).
 RUNS = (
     ("equal_weight", "A", "equal_weight", "sample", None, CAP, "rolling"),
@@ -178,12 +180,18 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def records(runs: DataFrame, found: DataFrame, stamp: dict[str, str]) -> DataFrame:
+def records(runs: DataFrame, found: DataFrame, stamp: dict[str, str], size: int = 60) -> DataFrame:
     """What a rerun needs of every run: its settings, its months, why it was cut if it
-    was, the rules that all runs share, and the ``stamp`` of data and code."""
+    was, the rules that all runs share, what a Black-Litterman mean was made of, and the
+    ``stamp`` of data and code."""
     seen = found.groupBy("run_id").agg(F.min("traded").alias("first_traded"), F.max("traded").alias("last_traded"), F.countDistinct("traded").alias("steps"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("traded"))).alias("cut"))
     rules = {"band": BAND, "turnover_cap": TURNOVER_CAP, "gamma": GAMMA, "cvar_level": CVAR_LEVEL, "cost_bp": COST_BP, "seed": SEED, "null_draws": SHIFTS}
-    return runs.join(seen, "run_id", "left").select("*", *[F.lit(v).alias(k) for k, v in (rules | stamp).items()])
+    view = F.struct(
+        F.lit("returns that the policy weights imply, reversed at gamma").alias("prior"), F.lit("one a sleeve, at the window's mean").alias("view"), F.lit("the sleeve's variance over the months").alias("view_uncertainty"),
+        F.lit(TAU_SCALE / size).alias("tau"), F.lit(TAU_SCALE).alias("tau_scale"), F.lit(1.0).alias("omega_scale"), F.lit(list(TAU_SCALES)).alias("sensitivity_tau_scale"),
+    )
+    convention = F.when(F.col("mean") == "black_litterman", view).alias("black_litterman")
+    return runs.join(seen, "run_id", "left").select("*", convention, *[F.lit(v).alias(k) for k, v in (rules | stamp).items()])
 
 
 def write_manifests(records: DataFrame, path: str) -> None:

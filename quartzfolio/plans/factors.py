@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as L
 from ..operators.calendar import numbered
+from ..operators.labels import one_value
 
 
 def monthly(returns: DataFrame, factors: DataFrame | None, names: list[str], sleeves: list[str]) -> DataFrame:
     """period_month, z: a one, the factors in the order of ``names`` (long: factor,
-    period_month, ret; several sets may be stacked) and the excess of ``sleeves``."""
-    wide = lambda rows, key, value, wanted: rows.groupBy("period_month").agg(*[F.sum(F.when(F.col(key) == n, F.col(value))).alias(f"{key}_{i}") for i, n in enumerate(wanted)])
+    period_month, ret; several sets may be stacked) and the excess of ``sleeves``. Two values of a name in a month raise."""
+    wide = lambda rows, key, value, wanted: rows.groupBy("period_month").agg(*[one_value(value, key, n).alias(f"{key}_{i}") for i, n in enumerate(wanted)])
     x = wide(returns, "instrument", "excess", sleeves)
     z = [F.lit(1.0), *[F.col(f"factor_{i}") for i in range(len(names))], *[F.col(f"instrument_{i}") for i in range(len(sleeves))]]
     if names:

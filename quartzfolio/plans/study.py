@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import metrics as M
 from ..operators import verdicts as V
-from .backtest import CELLS, RUNS, summary
-from .draws import resampled_months
+from .backtest import CELLS, PAIRS, RUNS, summary
+from .draws import RESAMPLES, SEED, resampled_months
 
 
 def _cells(active: DataFrame) -> DataFrame:
@@ -90,3 +90,31 @@ def reproduces(left: DataFrame, right: DataFrame, tolerance: float = 1e-6, floor
     a, b = left.withColumnRenamed("value", "a"), right.withColumnRenamed("value", "b")
     far = F.abs(F.col("a") - F.col("b")) > tolerance * F.greatest(F.abs("a"), F.abs("b"), F.lit(floor))
     return a.join(b, ["run_id", "metric"], "full_outer").where((F.col("a").isNull() != F.col("b").isNull()) | far)
+
+
+def cap_pairs(series: DataFrame) -> DataFrame:
+    """Each run that a pair holds to the cap beside the run without it: turnover, effective
+    sleeves, largest weight and volatility of both, and what lifting the cap changed."""
+    spark = series.sparkSession
+    seen = summary(series).join(series.groupBy("run_id").agg(M.annualised_sd("net").alias("volatility")), "run_id")
+    numbers = {"turnover": "turnover_annualised", "sleeves": "concentration", "largest": "largest_weight", "volatility": "volatility"}
+    pairs = spark.createDataFrame(list(PAIRS.items()), "run_id string, lifted string")
+    held = seen.select("run_id", *[F.col(c).alias(n) for n, c in numbers.items()])
+    free = seen.select(F.col("run_id").alias("lifted"), *[F.col(c).alias(f"{n}_lifted") for n, c in numbers.items()])
+    out = held.join(F.broadcast(pairs), "run_id").join(free, "lifted")
+    return out.select("run_id", "lifted", *[c for n in numbers for c in (n, f"{n}_lifted", (F.col(f"{n}_lifted") - F.col(n)).alias(f"{n}_change"))])
+
+
+def provenance(sheet: DataFrame, snapshot: str, size: int = 60, rates: tuple[float, ...] = M.SENSITIVITY_BP) -> DataFrame:
+    """What the numbers of a comparison travel with: a row for each key and its text."""
+    one = sheet.agg(F.count("*").alias("runs"), F.count_if(F.col("run_id").isin(*CELLS)).alias("cells"), F.max("months").alias("months"), *[F.max(c).alias(c) for c in ("bar", "effective", "adjusted_bar")])
+    text = {
+        "snapshot": F.lit(snapshot),
+        "protocol": F.lit(f"rolling {size}-month windows, refit every month, traded months out of sample"),
+        "runs": F.format_string("%d runs of %d cells", "runs", "cells"),
+        "months traded": F.format_string("%d out-of-sample months", "months"),
+        "cost multiple": F.lit(f"{M.COST_BP:.0f} bp a side on traded notional; also at " + ", ".join(f"{r:.0f}" for r in rates) + " bp"),
+        "bootstrap": F.lit(f"{RESAMPLES} resamples, seed {SEED}"),
+        "bar": F.format_string("|z| >= %.4f for %d cells; %.1f effective tests would give %.4f", "bar", "cells", "effective", "adjusted_bar"),
+    }
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in text.items()])).alias("p")).select("p.key", "p.value")

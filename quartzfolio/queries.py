@@ -30,7 +30,7 @@ from .plans import factors as X
 from .plans import study as S
 from .sources import panel as P
 from .sources.scratch import once, scope
-from .sources.sqlviews import Views, coverage_agreement
+from .sources.sqlviews import RETURNS, Views, coverage_agreement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -291,12 +291,28 @@ def total_returns(spark, d):
     return rounded(R.recomputed_total_return(R.total_return(P.prices(spark, d))).select("instrument", "period_month", "local", "rebuilt"))
 
 
-@register("SELECT count(*) AS cells, 0 AS mismatches, 0.0 AS worst FROM returns")
+_RAW = {"prices": "prices", "fx": "fx", "leg_a": "(SELECT day, pct FROM rates WHERE leg = 'A')", "leg_b": "(SELECT day, pct FROM rates WHERE leg = 'B')"}
+_WHEN = {"splice": P.SPLICE, "when": "2000-12-15", "start": "1995-06-01", "end": "2000-12-01"}
+
+
+def _views_of(spark, d):
+    p, rates = P.load(spark, d), P.overnight(spark, d)
+    return p, Views(prices=p.prices, fx=p.fx, cash=p.cash, leg_a=rates.where("leg = 'A'").select("day", "pct"), leg_b=rates.where("leg = 'B'").select("day", "pct"))
+
+
+@register(f"SELECT instrument, currency, period_month, {_round('local, fx, rf, excess')} FROM ({RETURNS.format(**_RAW, **_WHEN)})")
+def sql_returns(spark, d):
+    """The return table as it stood at a moment, one statement over raw legs in both engines."""
+    return rounded(_views_of(spark, d)[1].statement(**_WHEN))
+
+
+@register(f"SELECT count(*) AS cells, count(*) FILTER (WHERE (a.excess IS NULL) <> (b.excess IS NULL) OR abs(a.excess - b.excess) > 1e-10)::INTEGER AS mismatches, round(max(abs(a.excess - b.excess)), 8) AS worst FROM returns a FULL JOIN ({RETURNS.format(**_RAW, splice=P.SPLICE, when='2001-08-15', start='1995-01-01', end='2001-07-01')}) b ON a.period_month = b.period_month AND a.instrument = b.instrument")
 def returns_agreement(spark, d):
-    """The excess table against the same returns stated in SQL over views."""
-    p = P.load(spark, d)
-    other = Views(prices=p.prices, fx=p.fx, cash=p.cash).returns()
-    out = R.agreement(p.returns, other, ["period_month", "instrument"], "excess")
+    """The excess table against the same returns as one SQL statement over raw legs."""
+    p, views = _views_of(spark, d)
+    first, last = p.months.agg(F.min("period_month"), F.max("period_month")).first()
+    edge = p.months.agg(F.date_add(F.add_months(F.max("period_month"), 1), 14)).first()[0]
+    out = R.agreement(p.returns, views.statement(P.SPLICE, edge, str(first), str(last)), ["period_month", "instrument"], "excess")
     return rounded(out.withColumn("mismatches", F.col("mismatches").cast("int")))
 
 
@@ -1136,3 +1152,23 @@ def _aimed(spark, d):
 def rebalanced_books(spark, d):
     """The traded path of given targets: no-trade band, constraint set, turnover cap."""
     return rounded(B.fold(_aimed(spark, d)).drop("ord", "cap"))
+
+
+@register("SELECT protocol, traded, window_start, window_end, CAST(months AS INTEGER) AS months, observations::INTEGER AS observations, CASE WHEN protocol = 'rolling' THEN retained END AS components FROM steps JOIN (SELECT protocol, traded, count(DISTINCT period_month) AS observations FROM windows GROUP BY 1, 2) USING (protocol, traded) LEFT JOIN (SELECT traded, retained FROM components WHERE component = 0) USING (traded)")
+def walk_forward_record(spark, d):
+    """The step records completed: months held by each window, components kept by its estimate."""
+    p, windows = _windows(spark, d)
+    kept = E.retained(*_parts(spark, d)).select(F.lit("rolling").alias("protocol"), "traded", "retained")
+    out = C.observed(B.all_steps(p.months), windows, kept)
+    return out.select("protocol", "traded", "window_start", "window_end", "months", "observations", "components")
+
+
+@register()
+def cap_pairs(spark, d):
+    """Each capped run beside the run without its cap."""
+    return S.cap_pairs(_grid_series(spark, d)[1])
+
+
+@register()
+def study_provenance(spark, d):
+    return S.provenance(S.rows(_grid_series(spark, d)[1]), d.rstrip("/").rsplit("/", 1)[-1])

@@ -10,7 +10,29 @@ from pyspark.sql import functions as F
 from ..errors import DataStop
 from ..operators.calendar import cutoff
 
-#: Views of a panel and the columns each must have (fixed values).
+#: Views of a panel and the columns each must have (fixed values); raw legs are optional.
+RAW_LEGS = {"leg_a": ("day", "pct"), "leg_b": ("day", "pct")}
+#: The excess returns as one statement over raw legs, in words that Spark and other
+#: engines share: splice of the rate legs, monthly compounding, the gate on what was
+#: available at a moment, the declared window, translation and excess. Its places are
+#: names of relations ({prices}, {fx}, {leg_a}, {leg_b}) and dates.
+RETURNS = """WITH rate AS (
+    SELECT day, pct FROM {leg_a} WHERE day < DATE '{splice}' UNION ALL SELECT day, pct FROM {leg_b} WHERE day >= DATE '{splice}'
+), cash AS (
+    SELECT CAST(date_trunc('month', day) AS DATE) AS period_month, exp(sum(ln(1 + pct / 100 / 360))) - 1 AS rf FROM rate
+    GROUP BY CAST(date_trunc('month', day) AS DATE) HAVING max(day) < CAST(date_trunc('month', DATE '{when}') AS DATE)
+), moved AS (
+    SELECT instrument, currency, period_month, adj_close / lag(adj_close) OVER (PARTITION BY instrument ORDER BY period_month) - 1 AS local FROM {prices}
+    WHERE period_month < CAST(date_trunc('month', DATE '{when}') AS DATE) AND period_month BETWEEN DATE '{start}' AND DATE '{end}'
+), quoted AS (
+    SELECT currency, period_month, close / lag(close) OVER (PARTITION BY currency ORDER BY period_month) - 1 AS fx FROM {fx}
+    WHERE period_month < CAST(date_trunc('month', DATE '{when}') AS DATE) AND period_month BETWEEN DATE '{start}' AND DATE '{end}'
+)
+SELECT m.instrument, m.currency, m.period_month, m.local, q.fx, c.rf,
+    CASE WHEN m.currency = 'EUR' THEN m.local ELSE (1 + m.local) / (1 + q.fx) - 1 END - c.rf AS excess
+FROM moved m LEFT JOIN quoted q ON q.currency = m.currency AND q.period_month = m.period_month JOIN cash c ON c.period_month = m.period_month
+WHERE m.local IS NOT NULL"""
+
 LEGS = {"prices": ("instrument", "period_month", "adj_close", "currency"), "fx": ("currency", "period_month", "close"), "cash": ("period_month", "rf")}
 
 
@@ -23,6 +45,9 @@ class Views:
                 raise DataStop("missing leg", name)
             if absent := [c for c in columns if c not in legs[name].columns]:
                 raise DataStop("missing column", f"{name}: {', '.join(absent)}")
+        for name, columns in RAW_LEGS.items():
+            if name in legs and (absent := [c for c in columns if c not in legs[name].columns]):
+                raise DataStop("missing column", f"{name}: {', '.join(absent)}")
         mark = uuid.uuid4().hex
         self.spark, self.names = legs["prices"].sparkSession, {name: f"{name}_{mark}" for name in legs}
         for name, frame in legs.items():
@@ -44,6 +69,12 @@ class Views:
             day=str(cutoff(when)),
         )
 
+    def statement(self, splice: str, when, start: str, end: str) -> DataFrame:
+        """``RETURNS`` over the raw legs as it stood at ``when``."""
+        if absent := [n for n in RAW_LEGS if n not in self.names]:
+            raise DataStop("missing leg", ", ".join(absent))
+        return self.spark.sql(RETURNS.format(**self.names, splice=splice, when=cutoff(when), start=start, end=end))
+
     def returns(self) -> DataFrame:
         """period_month, instrument, excess on the joined months."""
         return self.sql("""
