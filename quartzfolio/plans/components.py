@@ -54,7 +54,7 @@ def null(monthly: DataFrame, months: DataFrame, windows: DataFrame, width: int,
     def standard(v: Column) -> Column:
         n = F.size(v)
         centred = lambda m: F.transform(v, lambda a: a - m)
-        return L.let(L.let(L.total(v) / n, centred), lambda c: L.let(F.sqrt(L.dot(c, c)), lambda s: F.transform(c, lambda a: a / s)))
+        return L.let(L.let(L.total(v) / n, centred), lambda c: L.let(F.sqrt(L.dot(c, c)), lambda s: F.transform(c, lambda a: a / F.nullif(s, F.lit(0.0)))))
 
     held = held.join(windows.where("protocol = 'rolling'").select("traded", "n"), "traded").select("traded", "months", F.transform("x", standard).alias("x"))
     lengths = sorted(r[0] for r in held.select("months").distinct().collect())  # a few window lengths
@@ -127,9 +127,9 @@ def factor_model(parts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def condition(cov: Column, width: int) -> Column:
-    """Largest over smallest eigenvalue of a covariance."""
+    """Largest over smallest eigenvalue of a covariance; null where the smallest is nothing."""
     size = lambda p: F.abs(p["value"])
-    return L.let(F.transform(L.eigen(cov, width), size), lambda v: F.array_max(v) / F.array_min(v))
+    return L.let(F.transform(L.eigen(cov, width), size), lambda v: F.array_max(v) / F.nullif(F.array_min(v), F.lit(0.0)))
 
 
 def matrices(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

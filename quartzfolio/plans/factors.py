@@ -116,12 +116,15 @@ def rolling(windows: DataFrame, names: list[str], sleeves: list[str], constructe
         pair = lambda name, i: F.array(entry("beta", F.get(r["beta"], i + 1), name, own), entry("beta_t", F.get(r["t"], i + 1), name, own))
         return F.flatten(F.transform(F.slice(labels, 1, count), pair))
 
+    def share(r: Column) -> Column:
+        return F.coalesce(1 - r["resid_var"] / F.nullif(r["var"], F.lit(0.0)), F.lit(0.0))
+
     def free(r: Column) -> Column:
-        numbers = {"alpha": F.get(r["beta"], F.lit(0)), "alpha_t": F.get(r["t"], F.lit(0)), "resid_var": r["resid_var"], "explained_var": r["var"] - r["resid_var"], "r2": 1 - r["resid_var"] / r["var"], "f": r["f"]}
+        numbers = {"alpha": F.get(r["beta"], F.lit(0)), "alpha_t": F.get(r["t"], F.lit(0)), "resid_var": r["resid_var"], "explained_var": r["var"] - r["resid_var"], "r2": share(r), "f": r["f"]}
         return F.concat(loadings(r, k, False), F.array(*[entry(q, v, None, False) for q, v in numbers.items()]))
 
     def determined(r: Column) -> Column:
-        numbers = {"resid_var": F.lit(0.0), "explained_var": r["var"], "r2": F.lit(1.0), "spine_r2": 1 - r["resid_var"] / r["var"]}
+        numbers = {"resid_var": F.lit(0.0), "explained_var": r["var"], "r2": F.lit(1.0), "spine_r2": share(r)}
         fixed = F.zip_with(F.slice(labels, first, constructed), F.col("fixed"), lambda name, v: entry("beta", v, name, True))
         return F.concat(loadings(r, first - 1, True), F.array(*[entry(q, v, None, True) for q, v in numbers.items()]), fixed)
 
@@ -161,7 +164,7 @@ def two_pass(windows: DataFrame, names: list[str], priced: int, sleeves: int) ->
     mean = F.transform(ys, lambda y: L.cell(gram, F.lit(0), y) / n)
     found = F.transform("map", lambda row, i: F.struct(F.get(F.lit(["intercept", *names[:priced]]), i).alias("factor"), L.dot(row, mean).alias("premium"), L.dot(row, L.times(F.col("c"), row)).alias("v")))
     rows = rows.select("protocol", "traded", "n", F.explode(found).alias("f"))
-    return rows.select("protocol", "traded", "f.factor", "f.premium", (F.col("f.premium") / F.sqrt(F.col("f.v") / F.col("n"))).alias("t"), F.lit(sleeves - k).alias("dof"), F.lit(sleeves - k <= 0).alias("identified"))
+    return rows.select("protocol", "traded", "f.factor", "f.premium", (F.col("f.premium") / F.nullif(F.sqrt(F.col("f.v") / F.col("n")), F.lit(0.0))).alias("t"), F.lit(sleeves - k).alias("dof"), F.lit(sleeves - k <= 0).alias("identified"))
 
 
 def decomposition(active_weights: DataFrame, fit: DataFrame, basis: DataFrame) -> DataFrame:
@@ -224,7 +227,7 @@ def fund_example(series: DataFrame, factors: DataFrame, names: list[str], bar: f
     alpha, t = F.get("r.beta", F.lit(0)), F.get("r.t", F.lit(0))
     fits = fits.select(
         "run_id", alpha.alias("alpha_monthly"), (alpha * periods).alias("alpha_annualised"), t.alias("t_alpha"), F.sqrt(F.col("r.resid_var") * periods).alias("residual_volatility_annualised"),
-        (1 - F.col("r.resid_var") / F.col("r.var")).alias("r2"), F.lit(bar).alias("bar"), (detection * F.abs(alpha / t)).alias("detectable_alpha_monthly"), (F.abs(t) >= bar).alias("clears"),
+        (1 - F.col("r.resid_var") / F.nullif(F.col("r.var"), F.lit(0.0))).alias("r2"), F.lit(bar).alias("bar"), (detection * F.abs(alpha / F.nullif(t, F.lit(0.0)))).alias("detectable_alpha_monthly"), (F.abs(t) >= bar).alias("clears"),
     )
     return seen.join(fits, "run_id", "left")
 

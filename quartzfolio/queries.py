@@ -631,16 +631,38 @@ def tail_contributions(spark, d):
     return rounded(A.tail_contributions(_members(spark, d)[2].select("run_id", "traded", "instrument", "weight", F.col("excess").alias("ret")), "run_id", 0.1))
 
 
-_LADDER = [("policy", False, False, 9.0, None, False, 0.5, None), ("equal_weight", False, False, -9.0, None, False, -0.5, None), ("a_expanding", True, False, 4.0, None, False, 0.5, None), ("b", False, True, 4.0, 0.9, False, 0.5, None), ("c", False, False, 2.0, 0.9, False, 0.5, True), ("e", False, False, 4.0, 0.5, False, 0.5, True), ("f", False, False, 4.0, 0.9, True, 0.5, True), ("g", False, False, -4.0, 0.9, False, -0.5, None), ("h", False, False, 4.0, 0.9, False, 0.5, None), ("i", False, False, 4.0, 0.9, False, 0.5, False), ("j", False, False, 4.0, None, False, 0.5, True)]
-_LIT = lambda v: "NULL" if v is None else repr(v) if isinstance(v, (str, float)) else str(v).upper()
+#: Bars the ladder is read at: none, a low one, and the one for three tests.
+_BARS = (0.0, 0.01, round(K.family_wise_bar(3), 6))
+_CTES |= {
+    "judged": f"""SELECT a.run_id, {_RATIO.format('a.active')} AS ir, {_RATIO.format('a.active')} / (sqrt(12.0 / count(*)) * sqrt(2 * greatest(1 - coalesce(corr(a.net, a.bench), 0), 0))) AS z, max(abs(a.net - e.equal)) <= 1e-6 AS reproduces,
+        {_RATIO.format('CASE WHEN month_index >= (SELECT count(DISTINCT traded) FROM active) // 2 THEN a.active END')} AS later
+        FROM active a JOIN placed_active p ON p.run_id = a.run_id AND p.traded = a.traded JOIN (SELECT traded, net AS equal FROM active WHERE run_id = 'equal_weight') e ON e.traded = a.traded GROUP BY 1""",
+    "kept": "SELECT run_id, avg(CASE WHEN sign(r.ir) = sign(actual) THEN 1.0 ELSE 0.0 END) AS retention, avg(CASE WHEN rank = 1 AND r.ir IS NOT NULL THEN 1.0 ELSE 0.0 END) AS first_share, run_id = (SELECT run_id FROM actual WHERE actual IS NOT NULL ORDER BY actual DESC, run_id LIMIT 1) AS leads FROM ranked r JOIN actual USING (run_id) GROUP BY 1",
+}
+_CTES["placed_active"] = "SELECT run_id, traded, active, row_number() OVER (PARTITION BY run_id ORDER BY traded) - 1 AS month_index FROM active"
 
 
-@register("SELECT run_id, CASE WHEN run_id = 'policy' THEN 1 WHEN run_id = 'equal_weight' THEN 2 WHEN is_repeat THEN 3 WHEN reproduces THEN 4 WHEN abs(z) < 2.9552 THEN 5 WHEN retention < 0.8 THEN 6 WHEN is_leader AND 0.675 < 0.8 THEN 7 WHEN information_ratio <= 0 THEN 8 WHEN expanding_sign IS NULL THEN 9 WHEN NOT expanding_sign THEN 10 ELSE 11 END AS rung FROM (VALUES " + ", ".join("(" + ", ".join(map(_LIT, r)) + ")" for r in _LADDER) + ") t(run_id, is_repeat, reproduces, z, retention, is_leader, information_ratio, expanding_sign)")
+@register(f"""SELECT run_id, bar, CASE WHEN run_id = 'policy' THEN 1 WHEN run_id = 'equal_weight' AND bar > 0 THEN 2 WHEN reproduces THEN 4 WHEN abs(z) < bar THEN 5 WHEN retention < 0.8 THEN 6 WHEN leads AND first_share < 0.8 THEN 7 WHEN ir <= 0 THEN 8 WHEN NOT (abs(ir) > 1e-6 AND abs(later) > 1e-6 AND sign(ir) = sign(later)) THEN 10 ELSE 11 END AS rung
+    FROM (SELECT CASE WHEN bar = 0 AND run_id <> 'policy' THEN 'again_' || run_id ELSE run_id END AS run_id, run_id AS own, bar, ir, z, reproduces AND run_id <> 'equal_weight' AS reproduces, later, retention, leads, first_share FROM judged JOIN kept USING (run_id), (SELECT unnest([{', '.join(f'{b!r}::DOUBLE' for b in _BARS)}]) AS bar))""")
 def verdict_ladder(spark, d):
-    rows = spark.createDataFrame(_LADDER, "run_id string, is_repeat boolean, reproduces boolean, z double, retention double, is_leader boolean, information_ratio double, expanding_sign boolean")
-    rows = rows.withColumns({"bar": F.lit(2.9552), "leader_retention": F.lit(0.675)}).withColumn("verdict", V.verdict())
+    """The ladder over the simple books, read at several bars: the statistic against the
+    benchmark, the seeded bootstrap, and whether the sign holds in the later half of the
+    months. At no bar the books stand under other names, so that every rung decides."""
+    rows = _series(spark, d)[3]
+    months = rows.select("traded").distinct().count()
+    kept = M.retention(rows, "run_id", D.resampled_months(spark, months))
+    kept = kept.select("run_id", F.col("own_sign").alias("retention"), F.col("first_share").alias("leader_retention"), F.col("leads").alias("is_leader"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("traded")) - 1
+    equal = rows.where("run_id = 'equal_weight'").select("traded", F.col("net").alias("equal"))
+    seen = rows.withColumn("half", F.when(place >= months // 2, F.col("active"))).join(equal, "traded").groupBy("run_id").agg(
+        M.ratio("active").alias("information_ratio"), F.count("*").alias("n"), F.corr("net", "bench").alias("rho"), (F.max(F.abs(F.col("net") - F.col("equal"))) <= 1e-6).alias("reproduces"), M.ratio("half").alias("later")
+    )
+    seen = seen.withColumn("z", M.statistic(F.col("information_ratio"), M.paired_error(F.col("n"), F.col("rho")))).withColumn("reproduces", F.col("reproduces") & (F.col("run_id") != "equal_weight"))
+    seen = seen.join(kept, "run_id").withColumn("expanding_sign", V.sign_holds(F.col("information_ratio"), F.col("later"))).withColumn("is_repeat", F.lit(False))
+    seen = seen.select("*", F.explode(F.array(*map(F.lit, _BARS))).alias("bar"))
+    seen = seen.withColumn("run_id", F.when((F.col("bar") == 0) & (F.col("run_id") != "policy"), F.concat(F.lit("again_"), F.col("run_id"))).otherwise(F.col("run_id")))
     words = [V.IS_BENCHMARK, V.IS_EQUAL_WEIGHT, V.IS_EXPANDING, V.REPRODUCES, V.NO_DIFFERENCE, V.RESAMPLING_LOST, V.NOT_UNIQUE, V.BEHIND, V.LEG_NOT_RUN, V.SIGN_LOST, V.CANDIDATE]
-    return rows.select("run_id", F.array_position(F.array(*[F.lit(w) for w in words]), F.col("verdict")).cast("int").alias("rung"))
+    return seen.select("run_id", "bar", F.array_position(F.array(*[F.lit(w) for w in words]), V.verdict()).cast("int").alias("rung"))
 
 
 @register("SELECT w.protocol, w.traded, w.instrument, round(regr_intercept(excess, ret), 8) AS alpha, round(regr_slope(excess, ret), 8) AS beta, round(regr_r2(excess, ret), 8) AS r2 FROM windows w JOIN factors f ON f.period_month = w.period_month AND factor = 'BUILDING' GROUP BY 1, 2, 3")

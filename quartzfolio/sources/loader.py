@@ -14,6 +14,7 @@ from ..operators import calendar as C
 from ..operators import quality as Q
 from ..operators import returns as R
 from . import snapshot as S
+from .archives import read_factor_archives
 from .scratch import once, scope
 
 #: Roles and file names of a snapshot, and the column that is no factor (fixed values).
@@ -58,8 +59,8 @@ def load_factors(spark: SparkSession, root: Path, manifest: dict) -> Factors:
         match = [e["path"] for e in files if part in e["path"]]
         if not match:
             raise DataStop("missing file", f"no factor archive {part}")
-        named[part] = Path(match[0]).name
-    rows = once(spark, ("archives", str(root)), lambda: S.read_archives(spark, [str(root / e["path"]) for e in files]))
+        named[part] = match[0]
+    rows = once(spark, ("archives", str(root)), lambda: read_factor_archives(spark, str(root)).select(F.col("path").alias("file"), "period_month", "factor", "ret"))
     own = {part: rows.where(F.col("file") == name).drop("file") for part, name in named.items()}
     factor = F.col("factor")
     for old, new in RENAMED.items():

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataStop, ManifestError, SourceFormatError
@@ -36,9 +36,16 @@ def snapshot_root(base: str, explicit: str | None = None, variable: str = "QUART
     return dated[-1]
 
 
-def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path and SHA-256 of each file, hashed where the file is read."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("path"), F.sha2("content", 256).alias("sha256"))
+def relative(root: Path, column: str) -> Column:
+    """A file's address as the manifest names it: its path under the snapshot's folder."""
+    plain = F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+    return F.substring_index(plain, f"{os.path.abspath(root)}/", -1)
+
+
+def file_hashes(spark: SparkSession, root: Path, paths: list[str]) -> DataFrame:
+    """path (under the snapshot) and SHA-256 of each file, hashed where the file is read."""
+    found = spark.read.format("binaryFile").load([str(root / p) for p in paths])
+    return found.select(relative(root, "path").alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_prices(spark: SparkSession, root: Path, entries: list[dict], kind: str = "price") -> DataFrame:
@@ -46,8 +53,8 @@ def read_prices(spark: SparkSession, root: Path, entries: list[dict], kind: str
     if not entries:
         raise DataStop("missing file", f"no {kind} file")
     rows = spark.read.csv([str(root / e["path"]) for e in entries], schema=PRICE_SCHEMA, header=True, enforceSchema=False)
-    named = spark.createDataFrame([(Path(e["path"]).name, e["instrument"], e["currency"]) for e in entries], "file string, instrument string, currency string")
-    rows = rows.withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1)).join(F.broadcast(named), "file")
+    named = spark.createDataFrame([(e["path"], e["instrument"], e["currency"]) for e in entries], "file string, instrument string, currency string")
+    rows = rows.withColumn("file", relative(root, "_metadata.file_path")).join(F.broadcast(named), "file")
     rows = rows.select("instrument", F.col("date").alias("period_month"), "close", F.coalesce("adj_close", "close").alias("adj_close"), F.coalesce("dividend", F.lit(0.0)).alias("dividend"), "currency", F.lit(kind).alias("kind"))
     return add_availability(rows)
 
@@ -79,18 +86,23 @@ def parse_archive(content: bytes) -> tuple[list[tuple[str, str, float | None]],
         first, *cells = (c.strip() for c in line.split(","))
         if not re.fullmatch(r"\d{6}", first):
             break
-        values = [None if abs(float(c) - MISSING) < 1e-9 else float(c) / 100 for c in cells]
+        try:
+            values = [None if abs(float(c) - MISSING) < 1e-9 else float(c) / 100 for c in cells]
+            if len(values) != len(names):
+                raise ValueError(f"{len(values)} values of {len(names)}")
+        except ValueError as e:
+            raise SourceFormatError(f"{first}: {e}") from e
         if any(v is not None for v in values):
             out += [(f"{first[:4]}-{first[4:]}-01", n, v) for n, v in zip(names, values, strict=True)]
     return out, vintage[1] if vintage else None
 
 
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, period_month, factor, ret of factor archives, parsed where they are read."""
+    """file (its whole address), period_month, factor, ret of factor archives, parsed where they are read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p.rsplit("/", 1)[-1], *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in parse_archive(bytes(c))[0]]
+            rows = [(p, *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in parse_archive(bytes(c))[0]]
             yield pd.DataFrame(rows, columns=["file", "month", "factor", "ret"])
 
     found = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, month string, factor string, ret double")
@@ -98,28 +110,28 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def measure(spark: SparkSession, root: Path, entries: list[dict]) -> DataFrame:
-    """path, rows, first, last of each declared file, in one job per format."""
-    names = {str(Path(e["path"]).name): e["path"] for e in entries}
+    """path, rows, first, last of each declared file, in one job per format; a file without
+    a dated row has none and no dates."""
     csv = [str(root / e["path"]) for e in entries if e["path"].endswith(".csv")]
     zips = [str(root / e["path"]) for e in entries if e["path"].endswith(".zip")]
-    out = spark.createDataFrame([], "file string, rows long, first string, last string")
+    out = spark.createDataFrame([], "path string, rows long, first string, last string")
     if csv:
-        lines = spark.read.text(csv).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+        lines = spark.read.text(csv).withColumn("path", relative(root, "_metadata.file_path"))
         day = F.regexp_extract("value", r"(?:^|,)(\d{4}-\d{2}-\d{2})(?:,|$)", 1)
-        dated = lines.select("file", day.alias("day")).where("day <> ''")
-        out = out.unionByName(dated.groupBy("file").agg(F.count("*").alias("rows"), F.min("day").alias("first"), F.max("day").alias("last")))
+        dated = lines.select("path", day.alias("day")).where("day <> ''")
+        out = out.unionByName(dated.groupBy("path").agg(F.count("*").alias("rows"), F.min("day").alias("first"), F.max("day").alias("last")))
     if zips:
-        months = read_archives(spark, zips).select("file", F.date_format("period_month", "yyyy-MM").alias("m")).distinct()
-        out = out.unionByName(months.groupBy("file").agg(F.count("*").alias("rows"), F.min("m").alias("first"), F.max("m").alias("last")))
-    paths = spark.createDataFrame(list(names.items()), "file string, path string")
-    return out.join(F.broadcast(paths), "file").select("path", "rows", "first", "last")
+        months = read_archives(spark, zips).select(relative(root, "file").alias("path"), F.date_format("period_month", "yyyy-MM").alias("m")).distinct()
+        out = out.unionByName(months.groupBy("path").agg(F.count("*").alias("rows"), F.min("m").alias("first"), F.max("m").alias("last")))
+    paths = spark.createDataFrame([(e["path"],) for e in entries], "path string")
+    return paths.join(out, "path", "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"), "first", "last")
 
 
 def build_manifest(spark: SparkSession, root: Path, entries: list[dict], instruments: dict, created: str, **extra) -> dict:
     """Measures the declared files and writes manifest.json; ``extra`` may override."""
     sizes = {r.path: r.asDict() for r in measure(spark, root, entries).collect()}
-    hashes = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in file_hashes(spark, [str(root / e["path"]) for e in entries]).collect()}
-    files = [e | {k: sizes[e["path"]][k] for k in ("rows", "first", "last")} | {"sha256": hashes[Path(e["path"]).name]} for e in entries]
+    hashes = {r.path: r.sha256 for r in file_hashes(spark, root, [e["path"] for e in entries]).collect()}
+    files = [e | {k: sizes[e["path"]][k] for k in ("rows", "first", "last")} | {"sha256": hashes[e["path"]]} for e in entries]
     manifest = {"snapshot_id": root.name, "created": created, "files": files, "instruments": instruments} | extra
     (root / "manifest.json").write_text(json.dumps(manifest, indent=1, sort_keys=True))
     return manifest
@@ -147,9 +159,9 @@ def verify(spark: SparkSession, root: Path) -> dict:
             if absent := [k for k in INSTRUMENT_FIELDS if not facts.get(k)]:
                 raise DataStop("manifest mismatch", f"{e.get('instrument')}: no {', '.join(absent)}")
     declared = {e["path"]: (e["rows"], e["first"], e["last"]) for e in manifest["files"]}
-    hashes = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in file_hashes(spark, [str(root / p) for p in declared]).collect()}
+    hashes = {r.path: r.sha256 for r in file_hashes(spark, root, list(declared)).collect()}
     for e in manifest["files"]:
-        if hashes.get(Path(e["path"]).name) != e["sha256"]:
+        if hashes.get(e["path"]) != e["sha256"]:
             raise ManifestError(f"{e['path']}: its hash differs")
     for r in measure(spark, root, manifest["files"]).collect():
         if (r.rows, r["first"], r["last"]) != declared[r.path]:

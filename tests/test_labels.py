@@ -148,3 +148,17 @@ def test_written_tables_can_be_discarded(spark):
         assert held.count() == 3
     assert scratch.discard(spark) >= 1 and scratch.discard(spark) == 0
     assert q.QUERIES["measure"](spark, D).count() == 6
+
+
+#: One plant for each rung: run, repeat, reproduces, z, retention, leader, ratio, sign, rung.
+LADDER = [
+    ("policy", False, False, 9.0, None, False, 0.5, None, V.IS_BENCHMARK), ("equal_weight", False, False, -9.0, None, False, -0.5, None, V.IS_EQUAL_WEIGHT), ("a_expanding", True, False, 4.0, None, False, 0.5, None, V.IS_EXPANDING),
+    ("b", False, True, 4.0, 0.9, False, 0.5, None, V.REPRODUCES), ("c", False, False, 2.0, 0.9, False, 0.5, True, V.NO_DIFFERENCE), ("e", False, False, 4.0, 0.5, False, 0.5, True, V.RESAMPLING_LOST), ("f", False, False, 4.0, 0.9, True, 0.5, True, V.NOT_UNIQUE),
+    ("g", False, False, -4.0, 0.9, False, -0.5, None, V.BEHIND), ("h", False, False, 4.0, 0.9, False, 0.5, None, V.LEG_NOT_RUN), ("i", False, False, 4.0, 0.9, False, 0.5, False, V.SIGN_LOST), ("j", False, False, 4.0, None, False, 0.5, True, V.CANDIDATE),
+]
+
+
+def test_every_rung(spark):
+    rows = spark.createDataFrame([r[:-1] for r in LADDER], "run_id string, is_repeat boolean, reproduces boolean, z double, retention double, is_leader boolean, information_ratio double, expanding_sign boolean")
+    rows = rows.withColumns({"bar": F.lit(2.9552), "leader_retention": F.lit(0.675)})
+    assert {r.run_id: r.v for r in rows.select("run_id", V.verdict().alias("v")).collect()} == {r[0]: r[-1] for r in LADDER}

@@ -61,3 +61,32 @@ def test_refusals(spark, root, tmp_path):
     with pytest.raises(DataStop):
         S.verify(spark, root)
     assert S.snapshot_root(str(tmp_path)) == root
+
+
+def test_two_files_of_one_name(spark, root):
+    """Files are known by their path under the snapshot, not by their last name."""
+    (root / "fx").mkdir()
+    (root / "fx" / "AAA.csv").write_text("date,close,adj_close,dividend\n2019-01-01,1.1,1.1,0\n2019-02-01,1.2,1.2,0\n2019-03-01,1.3,1.3,0\n")
+    files = [*entries(), entries()[0] | {"path": "fx/AAA.csv", "role": "fx", "instrument": "EURUSD", "currency": "USD"}]
+    S.build_manifest(spark, root, files, {"AAA": FACTS}, "2026-09-13")
+    m = S.verify(spark, root)
+    assert {e["path"]: (e["rows"], e["first"]) for e in m["files"] if "AAA" in e["path"]} == {"prices/AAA.csv": (2, "2020-01-01"), "fx/AAA.csv": (3, "2019-01-01")}
+    rows = S.read_prices(spark, root, [e for e in m["files"] if e["role"] in ("price", "fx")]).collect()
+    assert sorted((r.instrument, r.close) for r in rows) == [("AAA", 10.0), ("AAA", 11.0), ("EURUSD", 1.1), ("EURUSD", 1.2), ("EURUSD", 1.3)]
+    text = (root / "fx" / "AAA.csv").read_text()
+    (root / "fx" / "AAA.csv").write_text((root / "prices" / "AAA.csv").read_text())
+    (root / "prices" / "AAA.csv").write_text(text)
+    with pytest.raises(ManifestError, match="hash differs"):
+        S.verify(spark, root)
+
+
+def test_a_file_without_dates_is_measured(spark, root):
+    (root / "rate.csv").write_text("KEY,TIME_PERIOD,OBS_VALUE\n")
+    got = {r.path: (r.rows, r["first"]) for r in S.measure(spark, root, entries()).collect()}
+    assert got["rate.csv"] == (0, None) and got["prices/AAA.csv"] == (2, "2020-01-01")
+
+
+def test_cells_that_are_no_numbers():
+    for row in ("202001, 1.00,", "202001, 1.00, x", "202001, 1.00"):
+        with pytest.raises(SourceFormatError, match="202001"):
+            S.parse_archive(zipped(f"created by hand\n\n,Mkt-RF,SMB\n{row}\n"))
