@@ -1142,22 +1142,28 @@ def no_trade_band(spark, d):
     return rounded(rows.select("run_id", "traded", "instrument", F.when(F.col("gap") > B.BAND, F.col("weight")).otherwise(F.col("held")).alias("aim"), one_way.alias("one_way")))
 
 
-_AIMED = f"""SELECT run_id, traded, row_number() OVER (PARTITION BY run_id ORDER BY traded) AS step, names, w FROM (SELECT run_id, traded, list(instrument ORDER BY ord) AS names, list(weight ORDER BY ord) AS w FROM (
+_AIMED = f"""SELECT run_id, traded, row_number() OVER (PARTITION BY run_id ORDER BY traded) AS step, names, w, {B.CAP}::DOUBLE AS cap FROM (SELECT run_id, traded, list(instrument ORDER BY ord) AS names, list(weight ORDER BY ord) AS w FROM (
     SELECT * FROM books UNION ALL SELECT 'winner', traded, instrument, CASE WHEN row_number() OVER (PARTITION BY traded ORDER BY mean DESC, instrument) = 1 THEN {B.CAP} ELSE {(1 - B.CAP) / 5!r} END::DOUBLE
     FROM (SELECT traded, instrument, avg(excess) AS mean FROM windows WHERE protocol = 'rolling' GROUP BY 1, 2)) JOIN universe USING (instrument) GROUP BY 1, 2)"""
 _GAP = "(1 - list_sum(x))"
-_ROUND = f"CASE WHEN abs{_GAP} <= 1e-12 THEN x ELSE list_transform(x, lambda v: least(greatest(v + {_GAP} * CASE WHEN {_GAP} > 0 THEN ({B.CAP} - v) / ({B.CAP} * len(x) - list_sum(x)) ELSE v / list_sum(x) END, 0), {B.CAP})) END"
+_ROUND = f"CASE WHEN abs{_GAP} <= 1e-12 THEN x ELSE list_transform(x, lambda v: least(greatest(v + {_GAP} * CASE WHEN {_GAP} > 0 THEN (cap - v) / (cap * len(x) - list_sum(x)) ELSE v / list_sum(x) END, 0), cap)) END"
 _MOVED = "list_sum(list_transform(list_zip({0}, {1}), lambda p: abs(p[1] - p[2]))) / 2"
-#: Books by recursion over a run's months: band, projection, cap on the turnover.
-_CTES |= {
-    "aimed": _AIMED,
-    "walked": f"""SELECT run_id, traded, step, names, w, w AS book, 0.0::DOUBLE AS turnover, NULL::DOUBLE AS movement, false AS turnover_binding, 0.0::DOUBLE AS untaken, 0.0::DOUBLE AS funding FROM aimed WHERE step = 1
-        UNION ALL SELECT run_id, traded, step, names, w, CASE WHEN wanted > {B.TURNOVER_CAP} THEN list_transform(list_zip(aim, held), lambda p: p[2] + (p[1] - p[2]) * {B.TURNOVER_CAP} / wanted) ELSE aim END,
+
+
+def _walk(name: str, start: str) -> dict[str, str]:
+    """Books by recursion over a run's months (run_id, traded, step, names, w, cap): band,
+    projection, cap on the turnover."""
+    return {
+        name: f"""SELECT run_id, traded, step, names, w, cap, w AS book, 0.0::DOUBLE AS turnover, NULL::DOUBLE AS movement, false AS turnover_binding, 0.0::DOUBLE AS untaken, 0.0::DOUBLE AS funding FROM {start} WHERE step = 1
+        UNION ALL SELECT run_id, traded, step, names, w, cap, CASE WHEN wanted > {B.TURNOVER_CAP} THEN list_transform(list_zip(aim, held), lambda p: p[2] + (p[1] - p[2]) * {B.TURNOVER_CAP} / wanted) ELSE aim END,
         least(wanted, {B.TURNOVER_CAP}), least(wanted, {B.TURNOVER_CAP}), wanted > {B.TURNOVER_CAP}, wanted - least(wanted, {B.TURNOVER_CAP}), funding
         FROM (SELECT *, {_MOVED.format('aim', 'held')} AS wanted, 2 * {_MOVED.format('aim', 'banded')} AS funding
-        FROM (SELECT *, list_reduce(list_transform(range(len(banded) + 2), lambda i: list_transform(banded, lambda v: least(greatest(v, 0), {B.CAP}))), lambda x, y: {_ROUND}) AS aim
-        FROM (SELECT a.*, b.book AS held, list_transform(list_zip(a.w, b.book), lambda p: CASE WHEN abs(p[1] - p[2]) > {B.BAND} THEN p[1] ELSE p[2] END) AS banded FROM walked b JOIN aimed a ON a.run_id = b.run_id AND a.step = b.step + 1)))""",
-}
+        FROM (SELECT *, list_reduce(list_transform(range(len(banded) + 2), lambda i: list_transform(banded, lambda v: least(greatest(v, 0), cap))), lambda x, y: {_ROUND}) AS aim
+        FROM (SELECT a.*, b.book AS held, list_transform(list_zip(a.w, b.book), lambda p: CASE WHEN abs(p[1] - p[2]) > {B.BAND} THEN p[1] ELSE p[2] END) AS banded FROM {name} b JOIN {start} a ON a.run_id = b.run_id AND a.step = b.step + 1)))"""
+    }
+
+
+_CTES |= {"aimed": _AIMED} | _walk("walked", "aimed")
 
 
 def _aimed(spark, d):
@@ -1194,3 +1200,84 @@ def cap_pairs(spark, d):
 @register()
 def study_provenance(spark, d):
     return S.provenance(S.rows(_grid_series(spark, d)[1]), d.rstrip("/").rsplit("/", 1)[-1])
+
+
+def _gauss(name: str, start: str, n: str) -> dict[str, str]:
+    """Relations that reduce the augmented matrices ``m`` of ``start`` (id, m) on their
+    first ``n`` columns: ``name`` (id, m)."""
+    return {
+        f"{name}_steps": f"""SELECT id, m, 1 AS k FROM {start} UNION ALL SELECT id, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+            ELSE list_transform(range(1, len(m[k]) + 1), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END), k + 1 FROM {name}_steps WHERE k <= {n}""",
+        name: f"SELECT id, m FROM {name}_steps WHERE k = {n} + 1",
+    }
+
+
+#: Runs whose targets are quadratic programmes: run, estimator, mean, cap, protocol.
+_QUADRATIC = [(r[0], r[3], r[4] or "zero", r[5], r[6]) for r in B.RUNS if r[2] in ("minimum_variance", "mean_variance") and r[4] != "none"]
+_SIXES = "SELECT protocol, traded, estimator, list(r ORDER BY ord) AS q FROM (SELECT protocol, traded, estimator, u.ord, list(value ORDER BY w.ord) AS r FROM ({0}) JOIN universe u ON u.instrument = i JOIN universe w ON w.instrument = j GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"
+#: The optimum by trying every set of sleeves at zero, free and at the cap: the one whose
+#: solution of the normal equations is feasible with multipliers of the right sign.
+_CTES |= {
+    "quadratic_runs": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}::DOUBLE, '{e}')" for a, b, c, d, e in _QUADRATIC) + ") t(run_id, estimator, mean, cap, protocol)",
+    "sixes": _SIXES.format("SELECT 'rolling' AS protocol, * FROM estimates UNION ALL SELECT protocol, traded, 'sample', i, j, value, NULL FROM cov WHERE protocol = 'expanding'"),
+    "window_means": "SELECT protocol, traded, list(mu ORDER BY ord) AS mu, list(policy ORDER BY ord) AS policy, any_value(t) AS t FROM (SELECT protocol, traded, ord, avg(excess) AS mu, any_value(policy) AS policy, count(*) AS t FROM windows GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    "prior_start": f"""SELECT 'stein:' || protocol || ':' || traded AS id, {_NTH.format('i', 'q[i] || [1.0::DOUBLE, mu[i]]')} AS m FROM sixes JOIN window_means USING (protocol, traded) WHERE estimator = 'sample'
+        UNION ALL SELECT 'views:' || protocol || ':' || traded, {_NTH.format('i', _NTH.format('j', 'q[i][j] * CASE WHEN i = j THEN 2 ELSE 1 END') + f' || [mu[i] - {B.GAMMA!r} * list_dot_product(q[i], policy)]')} FROM sixes JOIN window_means USING (protocol, traded) WHERE estimator = 'sample'""",
+} | _gauss("priors", "prior_start", "6") | {
+    "stein": f"""SELECT protocol, traded, {_NTH.format('i', '(1 - share) * mu[i] + share * base')} AS c FROM (SELECT *, 8 / (8 + t * q) AS share FROM (SELECT *, list_dot_product(d, {_NTH.format('i', 'm[i][8] - base * m[i][7]')}) AS q FROM (SELECT *, list_transform(mu, lambda v: v - base) AS d
+        FROM (SELECT protocol, traded, mu, t, m, list_dot_product(list_transform(m, lambda r: r[7]), mu) / list_sum(list_transform(m, lambda r: r[7])) AS base FROM priors JOIN window_means ON id = 'stein:' || protocol || ':' || traded))))""",
+    "views": f"SELECT protocol, traded, {_NTH.format('i', f'{B.GAMMA!r} * list_dot_product(q[i], policy) + list_dot_product(q[i], list_transform(m, lambda r: r[7]))')} AS c FROM priors JOIN window_means ON id = 'views:' || protocol || ':' || traded JOIN sixes USING (protocol, traded) WHERE estimator = 'sample'",
+    "programmes": f"""SELECT run_id, traded, cap, CASE WHEN mean = 'zero' THEN q ELSE list_transform(q, lambda r: list_transform(r, lambda v: {B.GAMMA!r} * v)) END AS q, CASE mean WHEN 'zero' THEN [0.0::DOUBLE, 0, 0, 0, 0, 0] WHEN 'sample' THEN mu WHEN 'jorion' THEN s.c ELSE v.c END AS c
+        FROM quadratic_runs JOIN sixes USING (protocol, estimator) JOIN window_means USING (protocol, traded) JOIN stein s USING (protocol, traded) JOIN views v USING (protocol, traded)""",
+    "settings": f"SELECT list_transform(range(6), lambda i: (n // CAST(pow(3, i) AS INT)) % 3) AS s FROM range(729) t(n)",
+    "kkt_start": f"""SELECT run_id || ':' || traded || ':' || array_to_string(s, '') AS id, {_NTH.format('i', "CASE s[i] WHEN 1 THEN q[i] || [1.0::DOUBLE, c[i]] ELSE " + _NTH.format('j', 'CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END') + " || [0.0::DOUBLE, CASE s[i] WHEN 2 THEN cap ELSE 0 END] END")} || [[1.0::DOUBLE, 1, 1, 1, 1, 1, 0, 1]] AS m
+        FROM programmes, settings WHERE list_contains(s, 1) AND len(list_filter(s, lambda x: x = 2)) * cap <= 1 AND len(list_filter(s, lambda x: x > 0)) * cap >= 1""",
+} | _gauss("kkt", "kkt_start", "7") | {
+    "solutions": "SELECT split_part(id, ':', 1) AS run_id, CAST(split_part(id, ':', 2) AS DATE) AS traded, split_part(id, ':', 3) AS s, list_transform(m[:6], lambda r: r[8]) AS w, m[7][8] AS level FROM kkt",
+    "optima": f"""SELECT run_id, traded, arg_min(w, worst) AS w FROM (SELECT run_id, traded, w, list_max({_NTH.format('i', "CASE s[i] WHEN '1' THEN greatest(-w[i], w[i] - cap) WHEN '0' THEN -(list_dot_product(q[i], w) - c[i] + level) / scale ELSE (list_dot_product(q[i], w) - c[i] + level) / scale END")}) AS worst
+        FROM (SELECT x.*, cap, q, c, list_max(list_transform(q, lambda r: list_max(r))) AS scale FROM solutions x JOIN programmes USING (run_id, traded))) GROUP BY 1, 2""",
+}
+
+
+@register("SELECT run_id, traded, instrument, round(w[ord + 1], 5) AS target FROM optima, universe")
+def quadratic_targets(spark, d):
+    """The grid's targets that are quadratic programmes: least variance under three
+    covariances, and mean-variance with sample, shrunk and Black-Litterman means."""
+    rows = _grid(spark, d)[2].where(F.col("run_id").isin(*[r[0] for r in _QUADRATIC]) & F.col("error").isNull())
+    return rows.select("run_id", "traded", "instrument", F.round("target", 5).alias("target"))
+
+
+#: Runs of the grid whose books another engine can work out: the programmes and three fixed books.
+_SOLVED = [r[0] for r in _QUADRATIC] + ["equal_weight", "policy", "mean_variance_none"]
+_CTES |= {
+    "solved_aims": f"""SELECT run_id, traded, row_number() OVER (PARTITION BY run_id ORDER BY traded) AS step, (SELECT list(instrument ORDER BY ord) FROM universe) AS names, w, cap FROM (SELECT run_id, traded, w, cap FROM optima JOIN quadratic_runs USING (run_id)
+        UNION ALL SELECT run_id, traded, CASE run_id WHEN 'policy' THEN (SELECT list(policy ORDER BY ord) FROM universe) ELSE [1 / 6::DOUBLE, 1 / 6, 1 / 6, 1 / 6, 1 / 6, 1 / 6] END, {B.CAP} FROM (SELECT DISTINCT traded FROM steps), (SELECT unnest(['equal_weight', 'policy', 'mean_variance_none']) AS run_id))""",
+} | _walk("solved_path", "solved_aims") | {
+    "solved_series": """SELECT p.run_id, p.traded, gross, turnover, gross - 2 * turnover * 10.0 / 1e4 AS net, movement, turnover_binding, len(list_filter(book, lambda v: v > cap - 1e-9)) AS at_cap, 1 / list_sum(list_transform(w, lambda v: v * v)) AS concentration, list_max(w) AS largest
+        FROM solved_path p JOIN (SELECT run_id, traded, sum(b * excess) AS gross FROM (SELECT run_id, traded, unnest(names) AS instrument, unnest(book) AS b FROM solved_path) x JOIN returns r ON r.period_month = traded AND r.instrument = x.instrument GROUP BY 1, 2) g USING (run_id, traded)""",
+    "solved_active": "SELECT s.*, b.gross AS bench, s.net - b.gross AS active FROM solved_series s JOIN (SELECT traded, gross FROM solved_series WHERE run_id = 'policy') b USING (traded)",
+}
+
+
+@register("SELECT run_id, traded, unnest(names) AS instrument, round(unnest(book), 5) AS book, round(turnover, 5) AS turnover, round(untaken, 5) AS untaken, turnover_binding FROM solved_path")
+def solved_books(spark, d):
+    """The grid's traded books of twelve runs, from targets to the fold."""
+    rows = _path(spark, d)[1].where(F.col("run_id").isin(*_SOLVED))
+    return rounded(rows.select("run_id", "traded", "instrument", "book", "turnover", "untaken", "turnover_binding"), 5)
+
+
+@register(f"SELECT run_id, n, round(information_ratio, 4) AS information_ratio, round(volatility, 5) AS volatility, round(tracking_error, 5) AS tracking_error, round(cumulative, 5) AS cumulative, round(drawdown, 5) AS drawdown FROM (SELECT run_id, count(*) AS n, {_RATIO.format('active')} AS information_ratio, stddev_samp(net) * sqrt(12.0) AS volatility, stddev_samp(active) * sqrt(12.0) AS tracking_error, product(1 + net) - 1 AS cumulative FROM solved_active GROUP BY 1) JOIN (SELECT run_id, min(curve / peak - 1) AS drawdown FROM (SELECT run_id, traded, curve, max(curve) OVER (PARTITION BY run_id ORDER BY traded) AS peak FROM (SELECT run_id, traded, product(1 + net) OVER (PARTITION BY run_id ORDER BY traded) AS curve FROM solved_active)) GROUP BY 1) USING (run_id)")
+def solved_metrics(spark, d):
+    """The metric rows of the same runs."""
+    rows = _grid_series(spark, d)[1].where(F.col("run_id").isin(*_SOLVED))
+    bench = rows.where("run_id = 'policy'").select("traded", F.col("gross").alias("net"))
+    out = M.block(M.active(rows, bench), "run_id")
+    return rounded(out.withColumn("information_ratio", F.round("information_ratio", 4)), 5)
+
+
+@register("SELECT run_id, count(*) AS steps, round(avg(turnover) * 12, 5) AS turnover_annualised, round(2 * avg(turnover) * 10.0 / 1e4 * 12, 6) AS cost_annualised, count(*) FILTER (at_cap > 0) AS cap_binding_steps, count(*) FILTER (turnover_binding) AS turnover_cap_binding_steps, round(avg(concentration), 4) AS concentration, round(max(largest), 5) AS largest_weight, round(coalesce(avg(movement), 0), 5) AS weight_stability, round(product(1 + gross) - 1, 5) AS gross_cumulative FROM solved_series GROUP BY 1")
+def solved_summary(spark, d):
+    """What the paths of the same runs did."""
+    out = B.summary(_grid_series(spark, d)[1].where(F.col("run_id").isin(*_SOLVED)))
+    five = ("turnover_annualised", "largest_weight", "weight_stability", "gross_cumulative")
+    return out.select("run_id", "steps", "cap_binding_steps", "turnover_cap_binding_steps", F.round("cost_annualised", 6).alias("cost_annualised"), F.round("concentration", 4).alias("concentration"), *[F.round(c, 5).alias(c) for c in five])
