@@ -1,8 +1,9 @@
 """Spark-first analytics for monthly multi-asset panels.
 
-Entry groups: ``sources.panel`` and ``sources.snapshot`` (data), ``operators``
-(calendar, returns, quality, metrics, attribution, verdicts), ``functions.kernels``
-(window kernels), ``plans`` (backtest, factors, study), ``queries`` (the registry).
+``facade.GROUPS`` lists the entry groups and their modules, ``queries`` holds the
+registry of queries, ``plans.analysis.analyse`` runs a study as one call.
 """
 
-VERSION = "0.1"
+from .facade import GROUPS, VERSION
+
+__all__ = ["GROUPS", "VERSION"]

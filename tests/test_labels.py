@@ -162,3 +162,20 @@ def test_every_rung(spark):
     rows = spark.createDataFrame([r[:-1] for r in LADDER], "run_id string, is_repeat boolean, reproduces boolean, z double, retention double, is_leader boolean, information_ratio double, expanding_sign boolean")
     rows = rows.withColumns({"bar": F.lit(2.9552), "leader_retention": F.lit(0.675)})
     assert {r.run_id: r.v for r in rows.select("run_id", V.verdict().alias("v")).collect()} == {r[0]: r[-1] for r in LADDER}
+
+
+def test_groups_and_layers(spark, capsys):
+    import quartzfolio
+    from quartzfolio import facade
+
+    assert list(facade.GROUPS)[0] == "contract" and len(quartzfolio.GROUPS) == 6 and set(facade.LAYERS) == set(facade.GROUPS)
+    for name, modules in facade.GROUPS.items():
+        assert len(vars(facade.group(name))) == len(modules)
+    assert all(n in q.QUERIES for names in facade.LAYERS.values() for n in names)
+    got = facade.main(spark, D, "risk_models")
+    said = capsys.readouterr().out
+    assert set(got) == {"covariance_estimators", "rolling_covariance"} and "[risk_models] rolling_covariance: 1368 rows of protocol" in said
+    with pytest.raises(Refusal, match="no layer"):
+        facade.main(spark, D, "other")
+    with pytest.raises(Refusal, match="no group"):
+        facade.group("other")

@@ -16,6 +16,7 @@ from quartzfolio.operators import metrics as M
 from quartzfolio.operators import quality as Q
 from quartzfolio.operators import returns as R
 from quartzfolio.plans import backtest as B
+from quartzfolio.sources.scratch import scope
 from quartzfolio.streaming.monthly import closed_months
 
 D = "/root/testdata/sf0.01"
@@ -155,8 +156,15 @@ def rows_of(frame):
     return list(frame.columns), sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
 
 
+@pytest.fixture(scope="module")
+def shared():
+    """One scope for all comparisons: the tables that queries have in common are written once."""
+    with scope():
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
-def test_against_sql(spark, name):
+def test_against_sql(spark, shared, name):
     db = duckdb.connect()
     for f in glob.glob(f"{D}/*.parquet"):
         db.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
