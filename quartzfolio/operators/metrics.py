@@ -101,17 +101,17 @@ def retention(rows: DataFrame, key: str, draws: DataFrame) -> DataFrame:
     months for every series, so their correlation survives. Per series: how often it
     leads a draw, its median rank, how often its ratio keeps its sign, its ratio over all
     months, and whether it leads there. A series that does not vary, in a draw or at
-    all, has no ratio: it ranks last, never leads and keeps no sign. Ties go to the
-    smaller key.
+    all, has no ratio: it ranks last, never leads and keeps no sign. Ratios that agree to
+    ten digits tie, since sums depend on their order, and ties go to the smaller key.
     """
     sd = F.stddev_samp("active")
     bare = F.when(sd > 1e-12, F.avg("active") / sd * F.sqrt(F.lit(float(PERIODS))))
     place = Window.partitionBy(key).orderBy("traded")
     months = rows.select(key, "active", (F.row_number().over(place) - 1).alias("month_index"))
     drawn = draws.join(months, "month_index").groupBy("draw", key).agg(bare.alias("ir"))
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc_nulls_last("ir"), key)))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.round("ir", 10).desc_nulls_last(), key)))
     full = rows.groupBy(key).agg(bare.alias("actual"))
-    leader = full.where("actual is not null").agg(F.min_by(key, F.struct(-F.col("actual"), F.col(key))).alias("leader"))
+    leader = full.where("actual is not null").agg(F.min_by(key, F.struct(-F.round("actual", 10), F.col(key))).alias("leader"))
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     out = ranked.join(full, key).groupBy(key).agg(
         share((F.col("rank") == 1) & F.col("ir").isNotNull()).alias("first_share"), F.percentile("rank", 0.5).alias("median_rank"),

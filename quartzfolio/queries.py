@@ -497,12 +497,12 @@ _BARE = "CASE WHEN stddev_samp({0}) > 1e-12 THEN avg({0}) / stddev_samp({0}) * s
 _CTES |= D.pcg_sql("picks", "(SELECT count(DISTINCT traded) FROM active)", f"(SELECT {D.RESAMPLES} * count(DISTINCT traded) FROM active)") | {
     "placed_active": "SELECT run_id, active, row_number() OVER (PARTITION BY run_id ORDER BY traded) - 1 AS month_index FROM active",
     "drawn": f"SELECT k // (SELECT count(DISTINCT traded) FROM active) AS draw, run_id, {_BARE.format('active')} AS ir FROM picks JOIN placed_active ON month_index = v GROUP BY 1, 2",
-    "ranked": "SELECT *, row_number() OVER (PARTITION BY draw ORDER BY ir DESC NULLS LAST, run_id) AS rank FROM drawn",
+    "ranked": "SELECT *, row_number() OVER (PARTITION BY draw ORDER BY round(ir, 10) DESC NULLS LAST, run_id) AS rank FROM drawn",
     "actual": f"SELECT run_id, {_BARE.format('active')} AS actual FROM active GROUP BY 1",
 }
 
 
-@register("SELECT run_id, round(avg(CASE WHEN rank = 1 AND ir IS NOT NULL THEN 1.0 ELSE 0.0 END), 8) AS first_share, round(quantile_cont(rank, 0.5), 8) AS median_rank, round(avg(CASE WHEN sign(ir) = sign(actual) THEN 1.0 ELSE 0.0 END), 8) AS own_sign, round(max(actual), 6) AS actual, run_id = (SELECT run_id FROM actual WHERE actual IS NOT NULL ORDER BY actual DESC, run_id LIMIT 1) AS leads FROM ranked JOIN actual USING (run_id) GROUP BY 1")
+@register("SELECT run_id, round(avg(CASE WHEN rank = 1 AND ir IS NOT NULL THEN 1.0 ELSE 0.0 END), 8) AS first_share, round(quantile_cont(rank, 0.5), 8) AS median_rank, round(avg(CASE WHEN sign(ir) = sign(actual) THEN 1.0 ELSE 0.0 END), 8) AS own_sign, round(max(actual), 6) AS actual, run_id = (SELECT run_id FROM actual WHERE actual IS NOT NULL ORDER BY round(actual, 10) DESC, run_id LIMIT 1) AS leads FROM ranked JOIN actual USING (run_id) GROUP BY 1")
 def rank_retention_table(spark, d):
     """The seeded bootstrap of 2,000 resamples over the simple books, the benchmark among
     them: it does not vary, so it ranks last and keeps no sign."""
@@ -637,7 +637,7 @@ _CTES |= {
     "judged": f"""SELECT a.run_id, {_RATIO.format('a.active')} AS ir, {_RATIO.format('a.active')} / (sqrt(12.0 / count(*)) * sqrt(2 * greatest(1 - coalesce(corr(a.net, a.bench), 0), 0))) AS z, max(abs(a.net - e.equal)) <= 1e-6 AS reproduces,
         {_RATIO.format('CASE WHEN month_index >= (SELECT count(DISTINCT traded) FROM active) // 2 THEN a.active END')} AS later
         FROM active a JOIN placed_active p ON p.run_id = a.run_id AND p.traded = a.traded JOIN (SELECT traded, net AS equal FROM active WHERE run_id = 'equal_weight') e ON e.traded = a.traded GROUP BY 1""",
-    "kept": "SELECT run_id, avg(CASE WHEN sign(r.ir) = sign(actual) THEN 1.0 ELSE 0.0 END) AS retention, avg(CASE WHEN rank = 1 AND r.ir IS NOT NULL THEN 1.0 ELSE 0.0 END) AS first_share, run_id = (SELECT run_id FROM actual WHERE actual IS NOT NULL ORDER BY actual DESC, run_id LIMIT 1) AS leads FROM ranked r JOIN actual USING (run_id) GROUP BY 1",
+    "kept": "SELECT run_id, avg(CASE WHEN sign(r.ir) = sign(actual) THEN 1.0 ELSE 0.0 END) AS retention, avg(CASE WHEN rank = 1 AND r.ir IS NOT NULL THEN 1.0 ELSE 0.0 END) AS first_share, run_id = (SELECT run_id FROM actual WHERE actual IS NOT NULL ORDER BY round(actual, 10) DESC, run_id LIMIT 1) AS leads FROM ranked r JOIN actual USING (run_id) GROUP BY 1",
 }
 _CTES["placed_active"] = "SELECT run_id, traded, active, row_number() OVER (PARTITION BY run_id ORDER BY traded) - 1 AS month_index FROM active"
 
@@ -1228,7 +1228,8 @@ _CTES |= {
         FROM (SELECT protocol, traded, mu, t, m, list_dot_product(list_transform(m, lambda r: r[7]), mu) / list_sum(list_transform(m, lambda r: r[7])) AS base FROM priors JOIN window_means ON id = 'stein:' || protocol || ':' || traded))))""",
     "views": f"SELECT protocol, traded, {_NTH.format('i', f'{B.GAMMA!r} * list_dot_product(q[i], policy) + list_dot_product(q[i], list_transform(m, lambda r: r[7]))')} AS c FROM priors JOIN window_means ON id = 'views:' || protocol || ':' || traded JOIN sixes USING (protocol, traded) WHERE estimator = 'sample'",
     "programmes": f"""SELECT run_id, traded, cap, CASE WHEN mean = 'zero' THEN q ELSE list_transform(q, lambda r: list_transform(r, lambda v: {B.GAMMA!r} * v)) END AS q, CASE mean WHEN 'zero' THEN [0.0::DOUBLE, 0, 0, 0, 0, 0] WHEN 'sample' THEN mu WHEN 'jorion' THEN s.c ELSE v.c END AS c
-        FROM quadratic_runs JOIN sixes USING (protocol, estimator) JOIN window_means USING (protocol, traded) JOIN stein s USING (protocol, traded) JOIN views v USING (protocol, traded)""",
+        FROM quadratic_runs JOIN sixes USING (protocol, estimator) JOIN window_means USING (protocol, traded) JOIN stein s USING (protocol, traded) JOIN views v USING (protocol, traded)
+        UNION ALL SELECT 'diverse', traded, 1.0, {_NTH.format('i', _NTH.format('j', 'q[i][j] / sqrt(q[i][i] * q[j][j])'))}, [0.0::DOUBLE, 0, 0, 0, 0, 0] FROM sixes WHERE protocol = 'rolling' AND estimator = 'sample'""",
     "settings": f"SELECT list_transform(range(6), lambda i: (n // CAST(pow(3, i) AS INT)) % 3) AS s FROM range(729) t(n)",
     "kkt_start": f"""SELECT run_id || ':' || traded || ':' || array_to_string(s, '') AS id, {_NTH.format('i', "CASE s[i] WHEN 1 THEN q[i] || [1.0::DOUBLE, c[i]] ELSE " + _NTH.format('j', 'CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END') + " || [0.0::DOUBLE, CASE s[i] WHEN 2 THEN cap ELSE 0 END] END")} || [[1.0::DOUBLE, 1, 1, 1, 1, 1, 0, 1]] AS m
         FROM programmes, settings WHERE list_contains(s, 1) AND len(list_filter(s, lambda x: x = 2)) * cap <= 1 AND len(list_filter(s, lambda x: x > 0)) * cap >= 1""",
@@ -1239,7 +1240,7 @@ _CTES |= {
 }
 
 
-@register("SELECT run_id, traded, instrument, round(w[ord + 1], 5) AS target FROM optima, universe")
+@register("SELECT run_id, traded, instrument, round(w[ord + 1], 5) AS target FROM optima, universe WHERE run_id <> 'diverse'")
 def quadratic_targets(spark, d):
     """The grid's targets that are quadratic programmes: least variance under three
     covariances, and mean-variance with sample, shrunk and Black-Litterman means."""
@@ -1247,10 +1248,40 @@ def quadratic_targets(spark, d):
     return rows.select("run_id", "traded", "instrument", F.round("target", 5).alias("target"))
 
 
-#: Runs of the grid whose books another engine can work out: the programmes and three fixed books.
-_SOLVED = [r[0] for r in _QUADRATIC] + ["equal_weight", "policy", "mean_variance_none"]
+#: Runs by risk: equal contributions, most diversified, hierarchical: run, family, estimator, cap.
+_BY_RISK = [(r[0], r[2], r[3], r[5]) for r in B.RUNS if r[2] in ("erc", "maximum_diversification", "hierarchical_risk_parity")]
+_VARIANCE = "(list_sum(list_transform({0}, lambda i: list_sum(list_transform({0}, lambda j: q[i][j] / (q[i][i] * q[j][j]))))) / pow(list_sum(list_transform({0}, lambda i: 1 / q[i][i])), 2))"
+_LEFT = lambda a, b: f"({_VARIANCE.format(b)} / ({_VARIANCE.format(a)} + {_VARIANCE.format(b)}))"
+_OF = lambda x: f"list_filter(st, lambda y: list_contains(y[2:], e[1][{x}]))[1]"
 _CTES |= {
-    "solved_aims": f"""SELECT run_id, traded, row_number() OVER (PARTITION BY run_id ORDER BY traded) AS step, (SELECT list(instrument ORDER BY ord) FROM universe) AS names, w, cap FROM (SELECT run_id, traded, w, cap FROM optima JOIN quadratic_runs USING (run_id)
+    "risk_runs": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}::DOUBLE)" for a, b, c, d in _BY_RISK) + ") t(run_id, family, estimator, cap)",
+    # equal contributions: the root of each coordinate's quadratic in turn
+    "rooted": f"""SELECT traded, estimator, q, 0 AS k, {_NTH.format('i', '1 / sqrt(q[i][i])')} AS y FROM sixes WHERE protocol = 'rolling'
+        UNION ALL SELECT traded, estimator, q, k + 1, {_NTH.format('j', 'CASE WHEN j = i THEN (-a + sqrt(a * a + 4 * q[i][i] / 6)) / (2 * q[i][i]) ELSE y[j] END')} FROM (SELECT *, list_dot_product(q[i], y) - q[i][i] * y[i] AS a FROM (SELECT *, k % 6 + 1 AS i FROM rooted WHERE k < 900))""",
+    "equal_parts": "SELECT traded, estimator, list_transform(y, lambda v: v / list_sum(y)) AS w FROM rooted WHERE k = 900",
+    # leaves of the single-linkage tree: edges from the nearest on join two clusters, the older first
+    "near_edges": """SELECT traded, any_value(q) AS q, list([[a, b]] ORDER BY d, a, b) AS edges FROM (SELECT traded, q, a, b, sqrt(greatest(0.5 * (1 - least(greatest(q[a][b] / sqrt(q[a][a] * q[b][b]), -1), 1)), 0)) AS d FROM sixes, range(1, 7) x(a), range(1, 7) y(b) WHERE a < b AND protocol = 'rolling' AND estimator = 'sample') GROUP BY 1""",
+    "leaves": f"""SELECT traded, q, list_reduce([{_NTH.format('i', '[i, i]')}] || edges, lambda st, e: CASE WHEN {_OF(1)} = {_OF(2)} THEN st ELSE list_filter(st, lambda y: NOT list_contains(y[2:], e[1][1]) AND NOT list_contains(y[2:], e[1][2]))
+        || [[list_max(list_transform(st, lambda y: y[1])) + 1] || CASE WHEN {_OF(1)}[1] < {_OF(2)}[1] THEN {_OF(1)}[2:] || {_OF(2)}[2:] ELSE {_OF(2)}[2:] || {_OF(1)}[2:] END] END)[1][2:] AS o FROM near_edges""",
+    "halved": f"SELECT traded, o, {_LEFT('o[1:3]', 'o[4:6]')} AS h, {_LEFT('o[1:1]', 'o[2:3]')} AS l, {_LEFT('o[2:2]', 'o[3:3]')} AS ll, {_LEFT('o[4:4]', 'o[5:6]')} AS r, {_LEFT('o[5:5]', 'o[6:6]')} AS rr FROM leaves",
+    "parity": f"SELECT traded, {_NTH.format('i', 'p[list_position(o, i)]')} AS w FROM (SELECT traded, o, [h * l, h * (1 - l) * ll, h * (1 - l) * (1 - ll), (1 - h) * r, (1 - h) * (1 - r) * rr, (1 - h) * (1 - r) * (1 - rr)] AS p FROM halved)",
+    "raw_risk": f"""SELECT run_id, traded, cap, w FROM risk_runs JOIN equal_parts USING (estimator) WHERE family = 'erc' UNION ALL SELECT run_id, traded, cap, w FROM risk_runs, parity WHERE family = 'hierarchical_risk_parity'
+        UNION ALL SELECT r.run_id, traded, r.cap, list_transform(v, lambda x: x / list_sum(v)) FROM risk_runs r, (SELECT traded, {_NTH.format('i', 'w[i] / sqrt(q[i][i])')} AS v FROM optima JOIN sixes USING (traded) WHERE run_id = 'diverse' AND protocol = 'rolling' AND estimator = 'sample') WHERE family = 'maximum_diversification'""",
+    "risk_targets": f"SELECT run_id, traded, cap, list_reduce(list_transform(range(8), lambda i: list_transform(w, lambda v: least(greatest(v, 0), cap))), lambda x, y: {_ROUND}) AS w FROM raw_risk",
+}
+
+
+@register("SELECT run_id, traded, instrument, round(w[ord + 1], 5) AS target FROM risk_targets, universe")
+def risk_based_targets(spark, d):
+    """The grid's targets by risk: equal contributions, most diversified, hierarchical."""
+    rows = _grid(spark, d)[2].where(F.col("run_id").isin(*[r[0] for r in _BY_RISK]) & F.col("error").isNull())
+    return rows.select("run_id", "traded", "instrument", F.round("target", 5).alias("target"))
+
+
+#: Runs of the grid whose books another engine can work out: all but mean-CVaR's.
+_SOLVED = [r[0] for r in _QUADRATIC + _BY_RISK] + ["equal_weight", "policy", "mean_variance_none"]
+_CTES |= {
+    "solved_aims": f"""SELECT run_id, traded, row_number() OVER (PARTITION BY run_id ORDER BY traded) AS step, (SELECT list(instrument ORDER BY ord) FROM universe) AS names, w, cap FROM (SELECT run_id, traded, w, cap FROM optima JOIN quadratic_runs USING (run_id) UNION ALL SELECT run_id, traded, w, cap FROM risk_targets
         UNION ALL SELECT run_id, traded, CASE run_id WHEN 'policy' THEN (SELECT list(policy ORDER BY ord) FROM universe) ELSE [1 / 6::DOUBLE, 1 / 6, 1 / 6, 1 / 6, 1 / 6, 1 / 6] END, {B.CAP} FROM (SELECT DISTINCT traded FROM steps), (SELECT unnest(['equal_weight', 'policy', 'mean_variance_none']) AS run_id))""",
 } | _walk("solved_path", "solved_aims") | {
     "solved_series": """SELECT p.run_id, p.traded, gross, turnover, gross - 2 * turnover * 10.0 / 1e4 AS net, movement, turnover_binding, len(list_filter(book, lambda v: v > cap - 1e-9)) AS at_cap, 1 / list_sum(list_transform(w, lambda v: v * v)) AS concentration, list_max(w) AS largest
@@ -1261,7 +1292,7 @@ _CTES |= {
 
 @register("SELECT run_id, traded, unnest(names) AS instrument, round(unnest(book), 5) AS book, round(turnover, 5) AS turnover, round(untaken, 5) AS untaken, turnover_binding FROM solved_path")
 def solved_books(spark, d):
-    """The grid's traded books of twelve runs, from targets to the fold."""
+    """The grid's traded books of nineteen runs, from targets to the fold."""
     rows = _path(spark, d)[1].where(F.col("run_id").isin(*_SOLVED))
     return rounded(rows.select("run_id", "traded", "instrument", "book", "turnover", "untaken", "turnover_binding"), 5)
 
@@ -1281,3 +1312,32 @@ def solved_summary(spark, d):
     out = B.summary(_grid_series(spark, d)[1].where(F.col("run_id").isin(*_SOLVED)))
     five = ("turnover_annualised", "largest_weight", "weight_stability", "gross_cumulative")
     return out.select("run_id", "steps", "cap_binding_steps", "turnover_cap_binding_steps", F.round("cost_annualised", 6).alias("cost_annualised"), F.round("concentration", 4).alias("concentration"), *[F.round(c, 5).alias(c) for c in five])
+
+
+_FEW = "SELECT * FROM solved_active WHERE run_id IN (" + ", ".join(f"'{c}'" for c in B.CELLS) + ")"
+_ERROR = "sqrt(12.0 / count(*)) * sqrt(2 * greatest(1 - coalesce(corr({0}, {1}), 0), 0))"
+_STATISTIC = "CASE WHEN {1} > 1e-6 THEN {0} / {1} WHEN abs({0}) <= 1e-6 THEN 0 ELSE sign({0}) * 'inf'::DOUBLE END"
+_CTES |= {"few": _FEW} | D.pcg_sql("few_picks", "(SELECT count(DISTINCT traded) FROM solved_active)", f"(SELECT {D.RESAMPLES} * count(DISTINCT traded) FROM solved_active)") | {
+    "few_drawn": f"SELECT k // (SELECT count(DISTINCT traded) FROM few) AS draw, run_id, {_BARE.format('active')} AS ir FROM few_picks JOIN (SELECT run_id, active, row_number() OVER (PARTITION BY run_id ORDER BY traded) - 1 AS month_index FROM few) m ON month_index = v GROUP BY 1, 2",
+    "few_actual": f"SELECT run_id, {_BARE.format('active')} AS actual FROM few GROUP BY 1",
+    "few_kept": """SELECT *, first_value(run_id) OVER (ORDER BY round(actual, 10) DESC NULLS LAST, run_id) AS leader, first_value(share) OVER (ORDER BY round(actual, 10) DESC NULLS LAST, run_id) AS leader_retention FROM (SELECT run_id, any_value(actual) AS actual, avg(CASE WHEN sign(ir) = sign(actual) THEN 1.0 ELSE 0.0 END) AS retention,
+        quantile_cont(rank, 0.5) AS median_rank, avg(CASE WHEN rank = 1 AND ir IS NOT NULL THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY round(ir, 10) DESC NULLS LAST, run_id) AS rank FROM few_drawn) JOIN few_actual USING (run_id) GROUP BY 1)""",
+    "few_bars": f"SELECT {[K.family_wise_bar(k) for k in range(1, 17)]}[n] AS bar, greatest(1.0, 1 + (n - 1) * (1 - (s / n - 1) / n)) AS effective FROM (SELECT count(DISTINCT i) AS n, sum(r * r) AS s FROM (SELECT a.run_id AS i, b.run_id AS j, corr(a.net, b.net) AS r FROM few a JOIN few b ON a.traded = b.traded GROUP BY 1, 2))",
+    "few_tests": f"""SELECT run_id, months, ir, te, se, {_STATISTIC.format('ir', 'se')} AS z, ends_with(run_id, '_expanding') AS is_repeat FROM (SELECT run_id, count(*) AS months, {_RATIO.format('active')} AS ir, stddev_samp(active) * sqrt(12.0) AS te, {_ERROR.format('net', 'bench')} AS se FROM solved_active GROUP BY 1)""",
+    "few_equal": f"SELECT run_id, same, {_STATISTIC.format('d', 'se')} AS z_equal, d FROM (SELECT a.run_id, max(abs(a.net - e.net)) <= 1e-6 AS same, {_RATIO.format('a.active')} - {_RATIO.format('e.active')} AS d, {_ERROR.format('a.net', 'e.net')} AS se FROM solved_active a JOIN solved_active e ON e.traded = a.traded AND e.run_id = 'equal_weight' GROUP BY 1)",
+    "few_rows": """SELECT t.*, q.same, CASE WHEN t.run_id <> 'equal_weight' THEN z_equal END AS z_equal, CASE WHEN t.run_id <> 'equal_weight' THEN d END AS d, retention, median_rank, k.leader, k.leader_retention, bar, effective,
+        CASE WHEN NOT t.is_repeat AND x.ir IS NOT NULL THEN abs(t.ir) > 1e-6 AND abs(x.ir) > 1e-6 AND sign(t.ir) = sign(x.ir) END AS expanding_sign
+        FROM few_tests t JOIN few_equal q USING (run_id) LEFT JOIN few_kept k USING (run_id) LEFT JOIN (SELECT run_id, ir FROM few_tests WHERE is_repeat) x ON x.run_id = t.run_id || '_expanding' CROSS JOIN few_bars""",
+}
+
+
+@register(f"""SELECT run_id, months, round(ir, 4) AS information_ratio, round(te, 5) AS tracking_error, round(z, 3) AS z, round(d, 4) AS difference_equal, round(z_equal, 3) AS z_equal, round(retention, 3) AS retention, median_rank, leader, round(leader_retention, 3) AS leader_retention, round(bar, 6) AS bar, round(effective, 4) AS effective, round((bar + {K.POWER_QUANTILE!r}) * se, 4) AS resolution, expanding_sign,
+    CASE WHEN run_id = 'policy' THEN 1 WHEN run_id = 'equal_weight' THEN 2 WHEN is_repeat THEN 3 WHEN same THEN 4 WHEN NOT abs(z) >= bar THEN 5 WHEN retention < 0.8 THEN 6 WHEN leader = run_id AND leader_retention < 0.8 THEN 7 WHEN ir <= 0 THEN 8 WHEN expanding_sign IS NULL THEN 9 WHEN NOT expanding_sign THEN 10 ELSE 11 END AS rung FROM few_rows""")
+def solved_study(spark, d):
+    """The comparison's rows of nineteen runs: paired tests, the seeded bootstrap over the
+    cells, the bars, and the ladder."""
+    rows = S.rows(_grid_series(spark, d)[1].where(F.col("run_id").isin(*_SOLVED)))
+    words = [V.IS_BENCHMARK, V.IS_EQUAL_WEIGHT, V.IS_EXPANDING, V.REPRODUCES, V.NO_DIFFERENCE, V.RESAMPLING_LOST, V.NOT_UNIQUE, V.BEHIND, V.LEG_NOT_RUN, V.SIGN_LOST, V.CANDIDATE]
+    digits = {"information_ratio": 4, "tracking_error": 5, "z": 3, "difference_equal": 4, "z_equal": 3, "retention": 3, "leader_retention": 3, "bar": 6, "effective": 4, "resolution": 4}
+    rung = F.array_position(F.array(*[F.lit(w) for w in words]), F.col("verdict")).cast("int").alias("rung")
+    return rows.select("run_id", "months", *[F.round(c, n).alias(c) for c, n in digits.items()], "median_rank", "leader", "expanding_sign", rung)
