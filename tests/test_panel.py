@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quartzfolio import queries as q
@@ -152,7 +153,7 @@ def rows_of(frame):
     for c in frame.columns:
         if str(frame[c].dtype).startswith("datetime"):
             frame[c] = frame[c].dt.date
-    show = lambda v: f"{v + 0.0:.6g}" if isinstance(v, float) and v == v else str(v)
+    show = lambda v: "null" if pd.isna(v) else f"{v + 0.0:.6g}" if isinstance(v, float) else str(v)
     return list(frame.columns), sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
 
 
