@@ -15,15 +15,16 @@ from quartzfolio.plans import study as S
 
 
 def plain(active, draws, seed=D.SEED):
-    """Resamples of whole months; no ratio without variation, the first column on ties."""
+    """Resamples of whole months; no ratio without variation; ratios that agree to ten
+    digits tie, and the first column goes first."""
     t, n = active.shape
     pick = np.random.default_rng(seed).integers(0, t, size=(draws, t))
     ratio = lambda x: np.array([v.mean() / v.std(ddof=1) * math.sqrt(12) if v.std(ddof=1) > 1e-12 else np.nan for v in x.T])
     full, found = ratio(active), np.stack([ratio(active[p]) for p in pick])
-    order = np.argsort(np.where(np.isnan(found), np.inf, -found), axis=1, kind="stable")
+    order = np.argsort(np.where(np.isnan(found), np.inf, -np.round(found, 10)), axis=1, kind="stable")
     rank = np.argsort(order, axis=1) + 1
     return {
-        "leader": int(np.nanargmax(full)), "first": ((rank == 1) & ~np.isnan(found)).mean(0), "median": np.median(rank, 0),
+        "leader": int(np.nanargmax(np.round(full, 10))), "first": ((rank == 1) & ~np.isnan(found)).mean(0), "median": np.median(rank, 0),
         "sign": (np.sign(found) == np.sign(full)).mean(0), "actual": full,
     }
 
