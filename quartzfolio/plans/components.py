@@ -57,7 +57,7 @@ def null(monthly: DataFrame, months: DataFrame, windows: DataFrame, width: int,
         return L.let(L.let(L.total(v) / n, centred), lambda c: L.let(F.sqrt(L.dot(c, c)), lambda s: F.transform(c, lambda a: a / F.nullif(s, F.lit(0.0)))))
 
     held = held.join(windows.where("protocol = 'rolling'").select("traded", "n"), "traded").select("traded", "months", F.transform("x", standard).alias("x"))
-    lengths = sorted(r[0] for r in held.select("months").distinct().collect())  # a few window lengths
+    lengths = sorted(r[0] for r in windows.where("protocol = 'rolling'").select("n").distinct().collect())  # a few window lengths
     moved = None
     for t in lengths:
         for seed in seeds:
