@@ -14,6 +14,9 @@ from ..functions import arrays as L
 
 #: No-trade band a sleeve, and the most one-way turnover of a step (fixed values).
 BAND, TURNOVER_CAP = 0.01, 0.05
+#: Rounding that a trade may lie beyond the cap by and still be one of the cap's size: two
+#: targets at the bounds are the cap apart to the last digits.
+EDGE = 1e-9
 _STEP = "struct<book:array<double>,turnover:double,movement:double,turnover_binding:boolean,untaken:double,funding:double>"
 
 
@@ -25,14 +28,17 @@ def distance(a: Column, b: Column) -> Column:
 def step(target: Column, held: Column, cap: Column, band: float = BAND, most: float = TURNOVER_CAP) -> Column:
     """One rebalance: sleeves that would move by the band or less keep their holding, the
     result is brought back to the constraint set (``funding``: how far that moved it), and
-    a trade beyond ``most`` is scaled down as a whole (``untaken``: what was left)."""
+    a trade beyond ``most`` is scaled down as a whole (``untaken``: what was left). A trade
+    of ``most`` itself, give or take ``EDGE``, is made whole."""
     banded = F.zip_with(target, held, lambda t, h: F.when(F.abs(t - h) > band, t).otherwise(h))
 
     def traded(z: Column) -> Column:
-        scale = F.when(z["wanted"] > most, most / z["wanted"]).otherwise(1.0)
-        book = F.zip_with(z["aim"], held, lambda a, h: F.when(z["wanted"] > most, h + (a - h) * scale).otherwise(a))
+        bound = z["wanted"] > most + EDGE
+        scale = F.when(bound, most / z["wanted"]).otherwise(1.0)
+        book = F.zip_with(z["aim"], held, lambda a, h: F.when(bound, h + (a - h) * scale).otherwise(a))
         took = F.least(z["wanted"], F.lit(most))
-        return F.struct(book.alias("book"), took.alias("turnover"), took.alias("movement"), (z["wanted"] > most).alias("turnover_binding"), (z["wanted"] - took).alias("untaken"), z["funding"].alias("funding"))
+        left = F.when(bound, z["wanted"] - took).otherwise(0.0)
+        return F.struct(book.alias("book"), took.alias("turnover"), took.alias("movement"), bound.alias("turnover_binding"), left.alias("untaken"), z["funding"].alias("funding"))
 
     def funded(b: Column) -> Column:
         return L.let(L.capped_simplex(b, cap), lambda aim: L.let(F.struct(aim.alias("aim"), distance(aim, held).alias("wanted"), (2 * distance(aim, b)).alias("funding")), traded))

@@ -58,6 +58,19 @@ def test_closed_forms():
     assert np.allclose(k.mean_variance(COV, MEAN, X, 0.35, POLICY, norm=6**-0.5), 1 / 6)
 
 
+def test_most_diversified_book_to_its_last_digits():
+    """Without bounds that hold it is the normalised solution of cov w = sd."""
+    rng, met = np.random.default_rng(7), 0
+    for _ in range(40):
+        x = (rng.standard_normal((60, 6)) + 0.3 * rng.standard_normal((60, 1))) * rng.uniform(0.01, 0.04, 6)
+        cov = np.cov(x, rowvar=False)
+        w = np.linalg.solve(cov, np.sqrt(np.diag(cov)))
+        if w.min() > 0:
+            met += 1
+            assert np.allclose(k.maximum_diversification(cov, None, None, 1.0, None), w / w.sum(), rtol=0, atol=1e-10)
+    assert met > 20
+
+
 def test_cvar_beats_random_books():
     w = k.mean_cvar(COV, None, X, 0.35, None, level=0.1)
     cvar = k.expected_shortfall(X @ w, 0.1)

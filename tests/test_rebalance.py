@@ -70,6 +70,20 @@ def test_stated_values(spark):
     assert np.allclose([r.book for r in got], [0.55, 0.45]) and got[0].turnover_binding and math.isclose(got[0].untaken, 0.35)
 
 
+def test_a_trade_of_the_caps_size_is_whole(spark):
+    """Targets at the bounds are 0.05 apart, but for the last digits."""
+    for off in (-2e-15, -2e-16, 0.0, 2e-16, 2e-15):
+        a, b = np.array([0.0, 0.35, 0.35, 0.3 + off]), np.array([0.0, 0.35, 0.3 + off, 0.35])
+        last = fold(rows(spark, [a, b], cap=0.35)).where("movement is not null").orderBy("ord").collect()
+        assert not last[0].turnover_binding and last[0].untaken == 0 and math.isclose(last[0].turnover, 0.05)
+        assert [r.book for r in last] == [r.target for r in last]
+        away, back = np.array([0.3 + off, 0.35, 0.35, 0.0]), np.array([0.0, 0.35, 0.35, 0.3])
+        got = fold(rows(spark, [away] + [back] * 8, cap=0.35)).where("ord = 0").orderBy("traded").collect()
+        assert [r.turnover_binding for r in got] == [False] + [True] * 5 + [False] * 3  # 0.3 in six trades, the last of 0.05
+    beyond = fold(rows(spark, [np.array([0.3, 0.7]), np.array([0.3501, 0.6499])], "ab", 1.0)).where("movement is not null").first()
+    assert beyond.turnover_binding and math.isclose(beyond.untaken, 1e-4)
+
+
 def test_other_sleeves_are_refused(spark):
     a, b = rows(spark, [np.full(4, 0.25)]), rows(spark, [np.full(4, 0.25)] * 2, ["a", "b", "c", "e"]).where("traded > '2000-01-15'")
     with pytest.raises(Exception, match="does not cover the sleeves"):
