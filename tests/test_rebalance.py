@@ -8,6 +8,7 @@ import pytest
 
 from quartzfolio.functions import kernels as K
 from quartzfolio.operators.rebalance import fold
+from quartzfolio.plans import backtest as B
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -84,6 +85,16 @@ def test_a_trade_of_the_caps_size_is_whole(spark):
     assert beyond.turnover_binding and math.isclose(beyond.untaken, 1e-4)
 
 
+def test_summary_counts_binding_steps_alone(spark):
+    """0.3 in six trades of 0.05, the last of which the cap does not cut."""
+    for off in (-2e-15, 0.0, 2e-15):
+        away, back = np.array([0.3 + off, 0.35, 0.35, 0.0]), np.array([0.0, 0.35, 0.35, 0.3])
+        path = fold(rows(spark, [away] + [back] * 8, cap=0.35))
+        returns = path.select(path.traded.alias("period_month"), "instrument", path.target.alias("excess"))
+        (got,) = B.summary(B.series(path, returns)).collect()
+        assert got.steps == 9 and got.turnover_cap_binding_steps == 5 and math.isclose(got.turnover_annualised, 0.3 / 9 * 12)
+
+
 def test_other_sleeves_are_refused(spark):
     a, b = rows(spark, [np.full(4, 0.25)]), rows(spark, [np.full(4, 0.25)] * 2, ["a", "b", "c", "e"]).where("traded > '2000-01-15'")
     with pytest.raises(Exception, match="does not cover the sleeves"):
