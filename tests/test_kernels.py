@@ -71,6 +71,24 @@ def test_most_diversified_book_to_its_last_digits():
     assert met > 20
 
 
+def test_most_diversified_book_under_a_cap_that_holds():
+    """It has the largest ratio within the bounds; the optimum without the cap, brought back, has less."""
+    rng, met = np.random.default_rng(11), 0
+    for _ in range(30):
+        x = (rng.standard_normal((60, 6)) + 0.3 * rng.standard_normal((60, 1))) * rng.uniform(0.005, 0.05, 6)
+        cov = np.cov(x, rowvar=False)
+        free = k.maximum_diversification(cov, None, None, 1.0, None)
+        if free.max() > 0.36:
+            met += 1
+            w = k.maximum_diversification(cov, None, None, 0.35, None)
+            ratio = k.diversification_ratio(w, cov)
+            assert ratio > k.diversification_ratio(k.bounded_simplex(free, 0.35), cov)
+            for v in rng.dirichlet(np.ones(6), 100):
+                for share in (1e-3, 0.1, 1.0):
+                    assert ratio >= k.diversification_ratio((1 - share) * w + share * k.bounded_simplex(v, 0.35), cov) - 1e-12
+    assert met > 5
+
+
 def test_cvar_beats_random_books():
     w = k.mean_cvar(COV, None, X, 0.35, None, level=0.1)
     cvar = k.expected_shortfall(X @ w, 0.1)
